@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomscan.llm import simhash
+from loomscan.llm import recompression, simhash
 
 
 def _read(spark, sf_dir, table):
@@ -13,6 +13,10 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return recompression.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
