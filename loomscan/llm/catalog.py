@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomscan.llm import recompression, simhash
+from loomscan.llm import packing, recompression, simhash, token_counts, warc
 
 
 def _read(spark, sf_dir, table):
@@ -17,9 +17,37 @@ def op6_substring_dedup(spark, sf_dir):
     return recompression.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark, sf_dir, vocabulary=None):
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), vocabulary)
+
+
+def op5_warc_chunks(spark, sf_dir):
+    return warc.round_trip(spark, _read(spark, sf_dir, "pages"))
+
+
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.best_fit(_read(spark, sf_dir, "documents"))
+
+
+ORACLE = {
+    "op5_warc_chunks": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        s as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha256(html) as payload_digest from p),
+        f as (select payload_digest, min(page_id) as first from s where payload_bytes >= 100 group by 1)
+        select page_id, payload_bytes, s.payload_digest,
+               case when first is not null and page_id <> first then 'revisit' else 'response' end as record_type,
+               case when first is not null and page_id <> first then first end as refers_to
+        from s left join f using (payload_digest)""",
+}
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLE)
