@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from loomscan.llm import packing, recompression, simhash, token_counts, warc
+from loomscan.llm import decontamination, packing, recompression, simhash, token_counts, toxicity, warc
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_benchmark_decontamination(spark, sf_dir):
+    return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op9_best_fit_packing(spark, sf_dir):
     return packing.best_fit(_read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 ORACLE = {
     "op5_warc_chunks": """
         with p as (select page_id, coalesce(html, '') as html from pages),
