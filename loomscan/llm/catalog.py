@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomscan.llm import decontamination, packing, recompression, simhash, token_counts, toxicity, warc
+from loomscan.llm import decontamination, licenses, packing, recompression, simhash, token_counts, toxicity, warc
 
 
 def _read(spark, sf_dir, table):
@@ -33,6 +33,10 @@ def op5_warc_chunks(spark, sf_dir):
     return warc.round_trip(spark, _read(spark, sf_dir, "pages"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan(_read(spark, sf_dir, "documents"), licenses.template_rows(spark))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return packing.best_fit(_read(spark, sf_dir, "documents"))
 
