@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomscan.llm import decontamination, licenses, packing, recompression, simhash, token_counts, toxicity, warc
+from loomscan.llm import decontamination, embeddings, licenses, packing, recompression, simhash, token_counts, toxicity, warc
 
 
 def _read(spark, sf_dir, table):
@@ -37,6 +37,10 @@ def op7_license_scan(spark, sf_dir):
     return licenses.scan(_read(spark, sf_dir, "documents"), licenses.template_rows(spark))
 
 
+def op8_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return packing.best_fit(_read(spark, sf_dir, "documents"))
 
