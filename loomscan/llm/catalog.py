@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from loomscan.llm import decontamination, embeddings, licenses, packing, recompression, simhash, token_counts, toxicity, warc
+import corpus_pipeline
+
+from loomscan.llm import decontamination, embeddings, licenses, packing, personal_data, recompression, simhash, token_counts, toxicity, warc
 
 
 def _read(spark, sf_dir, table):
@@ -21,6 +23,10 @@ def op6_substring_dedup(spark, sf_dir):
     return recompression.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark, sf_dir):
+    return personal_data.find(_read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir, vocabulary=None):
     if vocabulary is None:
         import public_tokenizers
@@ -62,7 +68,7 @@ ORACLE = {
 
 
 def queries():
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    return {k: f for k, f in globals().items() if k.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
