@@ -1,13 +1,13 @@
 """All registered queries of the library proper, gathered from the operator modules."""
 
+from loomscan.operators import expressions, listing
 
-def _modules():
-    return []
+MODULES = (expressions, listing)
 
 
 def queries():
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {k: s for m in _modules() for k, s in m.ORACLE.items()}
+    return {k: s for m in MODULES for k, s in m.ORACLE.items()}
