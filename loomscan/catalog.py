@@ -1,8 +1,8 @@
 """All registered queries of the library proper, gathered from the operator modules."""
 
-from loomscan.operators import expressions, listing
+from loomscan.operators import expressions, joins, listing, ranking, reports
 
-MODULES = (expressions, listing)
+MODULES = (expressions, joins, listing, ranking, reports)
 
 
 def queries():
