@@ -1,8 +1,8 @@
 """All registered queries of the library proper, gathered from the operator modules."""
 
-from loomscan.operators import expressions, joins, listing, ranking, reports
+from loomscan.operators import entities, expressions, joins, listing, ranking, reports, sets
 
-MODULES = (expressions, joins, listing, ranking, reports)
+MODULES = (entities, expressions, joins, listing, ranking, reports, sets)
 
 
 def queries():
