@@ -1,8 +1,8 @@
 """All registered queries of the library proper, gathered from the operator modules."""
 
-from loomscan.operators import entities, expressions, joins, listing, ranking, reports, sets
+from loomscan.operators import drift, entities, expressions, joins, listing, mapping, ranking, reports, sets
 
-MODULES = (entities, expressions, joins, listing, ranking, reports, sets)
+MODULES = (drift, entities, expressions, joins, listing, mapping, ranking, reports, sets)
 
 
 def queries():
