@@ -1,8 +1,10 @@
 """All registered queries of the library proper, gathered from the operator modules."""
 
-from loomscan.operators import drift, entities, expressions, joins, listing, mapping, ranking, reports, sets
+from loomscan.operators import drift, entities, expressions, joins, listing, mapping, pages, ranking, reports, sets
+from loomscan.sources import tables
+from loomscan.streaming import streams
 
-MODULES = (drift, entities, expressions, joins, listing, mapping, ranking, reports, sets)
+MODULES = (drift, entities, expressions, joins, listing, mapping, pages, ranking, reports, sets, streams, tables)
 
 
 def queries():
