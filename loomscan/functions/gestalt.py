@@ -5,9 +5,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     seen: dict[tuple[str, str], float] = {}
 

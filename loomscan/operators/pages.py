@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.functions import scores as S
 from loomscan.functions import urls as U
+from loomscan.functions.gestalt import reaches, sequence_ratio
 from loomscan.functions.html import page_nodes
 from loomscan.sources.views import view, with_views
 
@@ -43,6 +44,16 @@ def selector_extract(pages: DataFrame, hits: DataFrame, fields: list[str]) -> Da
     return pages.select("page_id").join(wide, "page_id", "left").withColumn("confidence", F.greatest(F.lit(0), 100 - 10 * miss))
 
 
+def selector_candidates(nodes: DataFrame, expected: DataFrame, least: float = 0.6, top: int = 5) -> DataFrame:
+    """Selectors (tag and first class) whose texts are like the expected text of the page, by how many pages they hit; the best few of each field."""
+    near = nodes.where("text <> ''").join(expected, "page_id").where(reaches(F.col("text"), F.col("expected"), least))
+    hit = near.where(sequence_ratio(F.substring("text", 1, 200), F.substring("expected", 1, 200)) >= least)
+    selector = F.concat("tag", F.when(F.size("classes") > 0, F.concat(F.lit("."), F.get("classes", 0))).otherwise(F.lit("")))
+    count = hit.groupBy("field", selector.alias("selector")).agg(F.count_distinct("page_id").alias("pages"))
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("pages"), "selector"))
+    return count.withColumn("place", place).where(F.col("place") <= top)
+
+
 def clean_html(html: Column) -> Column:
     """Without scripts, styles, navigation, footers, comments and tags; blanks collapsed."""
     bare = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
@@ -91,6 +102,7 @@ QUERIES = {
     "follow_links": lambda s, d: select_nodes(_nodes(s, d).where(F.array_contains("ancestors", "nav")), _rules(s).where("field = 'link'")).select("page_id", "value").distinct(),
     "asset_urls": lambda s, d: _nodes(s, d).where("tag in ('img', 'source', 'a') and coalesce(src, href) rlike '[.](png|jpg|jpeg|pdf|svg)$'").select("page_id", F.coalesce("src", "href").alias("asset")).distinct(),
     "extraction_gate": lambda s, d: view(s, d, "pages_v").alias("a").join(view(s, d, "pages_v").select((F.col("id") + 1).alias("id"), F.sha2(F.substring("html", 1, 30), 256).alias("before")), "id", "left").select("id", F.when(F.sha2(F.substring("html", 1, 30), 256) == F.col("before"), "unchanged").when(F.col("status") == "error", "review").otherwise("persist").alias("route")),
+    "selector_candidates": lambda s, d: selector_candidates(_nodes(s, d), view(s, d, "pages").select("page_id", F.lit("title").alias("field"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("expected"))),
     "extract_to_records": lambda s, d: view(s, d, "pages_v").select("id", F.nullif(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("")).alias("title"), "source_id").withColumn("state", F.when(F.col("title").isNull(), "error").otherwise("record")),
     "seed_rows": lambda s, d: view(s, d, "sources_v").select("id", F.explode(F.array_distinct(F.concat(F.array(U.normalize_url(F.col("url"))), U.expand_urls(F.concat("url", F.lit("/{letter}")), F.array(*map(F.lit, "abb")))))).alias("seed")),
     "nav_sections": lambda s, d: extract_links(view(s, d, "pages_v")).select("source_id", U.section_type(F.col("target")).alias("section"), "target").groupBy("source_id", "section").agg(F.min("target").alias("url"), F.count("*").alias("links")),

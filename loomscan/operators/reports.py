@@ -49,44 +49,40 @@ def edge_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return inside.select(F.explode(F.array("from_id", "to_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-S = F.col("status")
-B = F.col("confidence_band")
-
-
 def _calls(x):
     return x.select("ts", F.when(F.col("id") % 2 == 0, "small").otherwise("large").alias("model"), (F.col("id") % 5000).alias("n_in"), (F.col("id") % 700).alias("n_out"))
 
 
 def _global(s, d):
-    r = counts(view(s, d, "records_v"), [], records=F.lit(True), approved=S == "approved", high=B == "HIGH", artists=F.col("record_type") == "artist")
-    p = counts(view(s, d, "pages_v"), [], pages=F.lit(True), fetched=S == "fetched")
+    r = counts(view(s, d, "records_v"), [], records=F.lit(True), approved=F.col("status") == "approved", high=F.col("confidence_band") == "HIGH", artists=F.col("record_type") == "artist")
+    p = counts(view(s, d, "pages_v"), [], pages=F.lit(True), fetched=F.col("status") == "fetched")
     return r.crossJoin(p).crossJoin(counts(view(s, d, "sources_v"), [], sources=F.lit(True)))
 
 
 QUERIES = {
-    "source_stats": lambda s, d: counts(view(s, d, "records_v"), ["source_id"], approved=S == "approved", rejected=S == "rejected", pending=S == "pending", high=B == "HIGH", medium=B == "MEDIUM", low=B == "LOW"),
+    "source_stats": lambda s, d: counts(view(s, d, "records_v"), ["source_id"], approved=F.col("status") == "approved", rejected=F.col("status") == "rejected", pending=F.col("status") == "pending", high=F.col("confidence_band") == "HIGH", medium=F.col("confidence_band") == "MEDIUM", low=F.col("confidence_band") == "LOW"),
     "global_stats": _global,
     "platform_metrics": lambda s, d: view(s, d, "records_v").agg(F.count_if(F.col("record_type") == "artist").alias("artists"), F.round(F.avg("completeness_score"), 2).alias("mean_completeness"), F.count_if("has_conflicts").alias("conflicts")),
     "metrics_history": lambda s, d: daily(view(s, d, "log_v"), "ts", "2023-12-25", "2024-02-02", events=F.count("*"), errors=F.count_if(F.col("level") == "error"), mean_value=F.round(F.avg("value"), 4)),
     "metric_snapshots": lambda s, d: daily(view(s, d, "log_v"), "ts", "2024-01-01", "2024-01-30", events=F.count("*")).where("day >= date '2024-01-10'").orderBy(F.desc("day")).limit(10),
     "count_by": lambda s, d: count_by(view(s, d, "records_v"), "record_type", "status"),
-    "filtered_counts": lambda s, d: counts(view(s, d, "frontier_v"), ["source_id"], robots=F.col("skip_reason") == "robots", retry=S == "failed_retryable"),
+    "filtered_counts": lambda s, d: counts(view(s, d, "frontier_v"), ["source_id"], robots=F.col("skip_reason") == "robots", retry=F.col("status") == "failed_retryable"),
     "usage_summary": lambda s, d: view(s, d, "log_v").groupBy(F.col("level").alias("endpoint")).agg(F.count("*").alias("requests"), F.round(F.avg("value"), 4).alias("mean_ms")).orderBy(F.desc("requests"), "endpoint"),
-    "mining_status": lambda s, d: counts(view(s, d, "pages_v"), ["source_id"], total=F.lit(True), fetched=S == "fetched", errors=S == "error").withColumn("percent", F.least(F.lit(100), F.floor(F.col("fetched") * 100 / F.col("total")).cast("int"))),
-    "source_operations": lambda s, d: counts(view(s, d, "jobs_v"), ["source_id"], running=S == "running", waiting=S == "pending").join(view(s, d, "jobs_v").groupBy("source_id").agg(F.max(F.struct("created_at", "id"))["id"].alias("latest_job")), "source_id"),
+    "mining_status": lambda s, d: counts(view(s, d, "pages_v"), ["source_id"], total=F.lit(True), fetched=F.col("status") == "fetched", errors=F.col("status") == "error").withColumn("percent", F.least(F.lit(100), F.floor(F.col("fetched") * 100 / F.col("total")).cast("int"))),
+    "source_operations": lambda s, d: counts(view(s, d, "jobs_v"), ["source_id"], running=F.col("status") == "running", waiting=F.col("status") == "pending").join(view(s, d, "jobs_v").groupBy("source_id").agg(F.max(F.struct("created_at", "id"))["id"].alias("latest_job")), "source_id"),
     "enrichment_summary": lambda s, d: view(s, d, "log_v").where("level in ('signup', 'purchase', 'error')").select("level", F.get_json_object("context", "$.k").cast("bigint").alias("k")).groupBy("level").agg(F.count("*").alias("runs"), F.sum("k").alias("total")),
-    "queue_summary": lambda s, d: view(s, d, "jobs_v").agg(F.count_if(S == "pending").alias("pending"), F.count_if(S == "running").alias("running"), F.max(F.when(S == "pending", F.datediff(F.lit("2024-01-20").cast("date"), "created_at"))).alias("oldest_days")),
-    "crawl_run_summary": lambda s, d: counts(view(s, d, "frontier_v"), ["source_id"], rows=F.lit(True), queued=S == "queued", failed=S == "failed_retryable").withColumn("resumable", (F.col("queued") + F.col("failed")) > 0),
+    "queue_summary": lambda s, d: view(s, d, "jobs_v").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "running").alias("running"), F.max(F.when(F.col("status") == "pending", F.datediff(F.lit("2024-01-20").cast("date"), "created_at"))).alias("oldest_days")),
+    "crawl_run_summary": lambda s, d: counts(view(s, d, "frontier_v"), ["source_id"], rows=F.lit(True), queued=F.col("status") == "queued", failed=F.col("status") == "failed_retryable").withColumn("resumable", (F.col("queued") + F.col("failed")) > 0),
     "export_preview": lambda s, d: view(s, d, "records_v").where("status = 'approved' and not has_conflicts").groupBy("record_type").agg(F.count("*").alias("exportable")),
-    "campaign_progress": lambda s, d: counts(view(s, d, "jobs_v"), ["job_type"], pending=S == "pending", completed=S == "done", running=S == "running").withColumn("complete", (F.col("pending") + F.col("running")) == 0),
+    "campaign_progress": lambda s, d: counts(view(s, d, "jobs_v"), ["job_type"], pending=F.col("status") == "pending", completed=F.col("status") == "done", running=F.col("status") == "running").withColumn("complete", (F.col("pending") + F.col("running")) == 0),
     "campaign_plan": lambda s, d: view(s, d, "records_v").where("completeness_score between 10 and 60 and url is not null").select(F.col("id").alias("record_id"), F.col("completeness_score").alias("before_score"), F.lit(True).alias("dry_run")),
     "llm_cost_report": lambda s, d: cost_report(_calls(view(s, d, "log_v")), s.createDataFrame([("small", 0.5, 1.5), ("large", 10.0, 30.0)], "model string, price_in double, price_out double")),
     "drift_fields": lambda s, d: count_by(view(s, d, "signals_v"), "field").orderBy(F.desc("n"), "field"),
     "mapping_health": lambda s, d: mapping_health(view(s, d, "signals_v").where("id % 40 = 0")),
-    "repair_feedback": lambda s, d: view(s, d, "signals_v").groupBy("source_id", "field").agg(F.round(F.coalesce(F.avg(F.when(S != "open", (S == "resolved").cast("double"))), F.lit(0.5)), 6).alias("accepted_rate")),
+    "repair_feedback": lambda s, d: view(s, d, "signals_v").groupBy("source_id", "field").agg(F.round(F.coalesce(F.avg(F.when(F.col("status") != "open", (F.col("status") == "resolved").cast("double"))), F.lit(0.5)), 6).alias("accepted_rate")),
     "refresh_eligibility": lambda s, d: counts(view(s, d, "frontier_v"), [], total=F.lit(True), due=F.col("next_eligible_at").isNull() | (F.col("next_eligible_at") <= F.expr("timestamp '2024-01-08 02:00:00'"))).withColumn("not_due", F.col("total") - F.col("due")),
-    "enrichment_rollup": lambda s, d: view(s, d, "records_v").groupBy("record_type").agg(F.count("*").alias("processed"), F.count_if(S == "approved").alias("enriched"), F.round(F.avg("completeness_score"), 2).alias("mean_completeness")),
-    "extraction_success_rate": lambda s, d: view(s, d, "pages_v").groupBy("source_id").agg(F.round(F.count_if(S.isin("fetched", "extracted")) * 100 / F.count("*"), 2).alias("rate")).withColumn("passed", F.col("rate") >= 85),
+    "enrichment_rollup": lambda s, d: view(s, d, "records_v").groupBy("record_type").agg(F.count("*").alias("processed"), F.count_if(F.col("status") == "approved").alias("enriched"), F.round(F.avg("completeness_score"), 2).alias("mean_completeness")),
+    "extraction_success_rate": lambda s, d: view(s, d, "pages_v").groupBy("source_id").agg(F.round(F.count_if(F.col("status").isin("fetched", "extracted")) * 100 / F.count("*"), 2).alias("rate")).withColumn("passed", F.col("rate") >= 85),
     "edge_degree": lambda s, d: edge_degree(view(s, d, "edges_v"), view(s, d, "entities_v").where("id % 3 = 0")),
 }
 

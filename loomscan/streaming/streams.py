@@ -71,7 +71,7 @@ def running_baseline(events: DataFrame) -> DataFrame:
                 mean += step / n
                 m2 += step * (x - mean)
         state.update((n, mean, m2))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [round(mean, 4)], "sd": [round((m2 / (n - 1)) ** 0.5, 4) if n > 1 else None]})
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [round(mean, 3)], "sd": [round((m2 / (n - 1)) ** 0.5, 3) if n > 1 else None]})
 
     return events.groupBy("user_id").applyInPandasWithState(work, "user_id long, n long, mean double, sd double", "n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
 
@@ -136,11 +136,14 @@ QUERIES = {
     "usage_stream": lambda s, d: _instant(run_to_end(usage(read_events(s, d)), "usage", "complete"), "hour"),
 }
 
+_OK = " or ".join(f"(split_part(a, '|', 1) = '{k}' and split_part(e, '|', 1) in ({', '.join(repr(x) for x in to)}))" for k, to in MOVES.items())
+_STATE = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in STATES.items()) + " end"
 ORACLE = {k: with_views(v) for k, v in {
     "job_event_filter": "select event_id, user_id, value from events where event_type = 'error'",
     "job_progress": "select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as stage, arg_max(value, (ts, event_id)) as value from events group by 1",
-    "baseline_stream": "select user_id, count(value) as n, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as sd from events group by 1",
+    "baseline_stream": "select user_id, count(value) as n, round(avg(value), 3) as mean, round(stddev_samp(value), 3) as sd from events group by 1",
     "signal_coalesce_stream": "with l as (select *, case when ts - lag(ts) over w < interval '12' hour then 0 else 1 end as new from events window w as (partition by user_id, event_type order by ts, event_id)), r as (select *, sum(new) over (partition by user_id, event_type order by ts, event_id) as run from l) select user_id, event_type, min(ts) as first_at, max(ts) as last_at, count(*) as occurrences from r group by user_id, event_type, run",
+    "frontier_state": f"with l as (select user_id, list({_STATE} || '|0' order by ts, event_id) as e from events where event_id % 3 = 0 group by 1), r as (select user_id, list_reduce(list_prepend('discovered|0', e), lambda a, e: case when {_OK} then split_part(e, '|', 1) || '|' || split_part(a, '|', 2) else split_part(a, '|', 1) || '|' || (split_part(a, '|', 2)::int + 1) end) as r from l) select user_id, split_part(r, '|', 1) as state, split_part(r, '|', 2)::int as invalid from r",
     "url_first_seen_stream": "select distinct user_id, event_type from events",
     "usage_stream": "select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(avg(value), 4) as mean from events group by 1, 2",
 }.items()}
