@@ -108,7 +108,7 @@ def entity_confidence(links: DataFrame) -> DataFrame:
     """0.35 of up to 20 links, 0.45 of the mean confidence, 0.2 of up to 10 sources."""
     g = links.groupBy("entity_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"), F.count_distinct("source_id").alias("sources"))
     score = 0.35 * F.least("n", F.lit(20)) / 20 + 0.45 * F.col("mean") + 0.2 * F.least("sources", F.lit(10)) / 10
-    return g.select("entity_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 4).alias("confidence"))
+    return g.select("entity_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)) + 1e-9, 4).alias("confidence"))
 
 
 def merge_record(pairs: DataFrame, fields: list[tuple[str, str]], high: int = 80) -> DataFrame:
@@ -246,7 +246,7 @@ ORACLE = {k: with_views(v) for k, v in {
     "noisy_or": "with g as (select from_id, to_id, list(confidence / 2 order by record_id, line) as c from edges_v group by 1, 2) select from_id, to_id, round(list_reduce(c, lambda e, x: greatest(e, least(1.0, 1 - (1 - e) * (1 - 0.85 * x)))), 6) as confidence, cast(len(c) as int) as signals from g",
     "build_edges": "with g as (select source_id, lower(nationality) as place, list(confidence_score / 100 order by id) as c from records_v group by 1, 2) select source_id, place, 'EXHIBITED_AT' as edge_type, round(list_reduce(c, lambda e, x: greatest(e, least(1.0, 1 - (1 - e) * (1 - 0.85 * x)))), 6) as confidence, cast(len(c) as int) as signals from g",
     "edge_metadata": "select from_id, to_id, string_agg(distinct edge_type, ',' order by edge_type) as signals, count(*) as reinforced from edges_v group by 1, 2",
-    "entity_confidence": "select entity_id, round(least(1.0, greatest(0.0, 0.35 * least(count(*), 20) / 20 + 0.45 * avg(confidence) + 0.2 * least(count(distinct source_id), 10) / 10)), 4) as confidence from links_v group by 1",
+    "entity_confidence": "select entity_id, round(least(1.0, greatest(0.0, 0.35 * least(count(*), 20) / 20 + 0.45 * avg(confidence) + 0.2 * least(count(distinct source_id), 10) / 10)) + 1e-9, 4) as confidence from links_v group by 1",
     "merge_into_entity": "select entity_id, arg_max(record_id, (confidence, record_id)) as best_record, round(max(confidence), 6) as confidence, count(distinct source_id) > 1 as conflict from links_v group by 1",
     "upsert_edges": "with a as (select from_id, to_id, edge_type, max(confidence) as c from edges_v where record_id % 3 = 0 group by 1, 2, 3), b as (select from_id, to_id, edge_type, max(confidence) as c from edges_v where record_id % 3 = 1 group by 1, 2, 3) select from_id, to_id, edge_type, round(greatest(a.c, b.c), 6) as confidence, a.c is null as is_new from a full join b using (from_id, to_id, edge_type)",
     "duplicate_candidates": "with x as (select a.id as l_id, b.id as r_id, round(0.35 + 0.4 * (a.entity_type = b.entity_type)::int + 0.15 + 0.1 * (a.city = b.city)::int, 6)::double as score from entities_v a join entities_v b on a.name = b.name and a.year = b.year and a.id < b.id) select *, score >= 0.95 as auto_merge from x where score >= 0.6",
