@@ -154,8 +154,12 @@ def _anchor_rows(window: int, rounds: int, with_blocks: bool):
                 doc = np.searchsorted(first, lo, side="right") - 1
                 if with_blocks:
                     content = powers.of(powers.sums(names), lo, hi + window)
-                    cols = [anchor.view(np.int64), ids[doc], (lo - first[doc]).astype(np.int32), (hi - first[doc]).astype(np.int32), content.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["name", "doc_id", "lo", "hi", "block"])
+                    order = np.lexsort((lo, content, anchor, doc))  # equal blocks of a document make one row
+                    a, c, d = anchor[order], content[order], doc[order]
+                    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]) if len(order) else order
+                    places = pa.ListArray.from_arrays(pa.array(np.r_[new, len(order)].astype(np.int32)), pa.array((lo - first[doc])[order].astype(np.int32)))
+                    cols = [a[new].view(np.int64), ids[d[new]], (hi - lo)[order][new].astype(np.int32), c[new].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), places], names=["name", "doc_id", "width", "block", "lo"])
                 else:
                     order = np.lexsort((anchor, doc))
                     a, d = anchor[order], doc[order]
@@ -219,11 +223,12 @@ def _cut(window: int, with_text: bool):
 def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, lo, hi): the windows starting at words lo to hi of a document also start in a document with a smaller doc_id."""
     shared = docs.mapInArrow(_anchor_rows(window, rounds, False), "name long, doc_id long").groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name")
-    rows = docs.mapInArrow(_anchor_rows(window, rounds, True), "name long, doc_id long, lo int, hi int, block long")
+    rows = docs.mapInArrow(_anchor_rows(window, rounds, True), "name long, doc_id long, width int, block long, lo array<int>")
     rows = materialize(rows.join(shared, "name"), "blocks")
     by_block = rows.groupBy("name", "block").agg(F.min("doc_id").alias("first"))
     several = by_block.groupBy("name").agg(F.min("block").alias("x"), F.max("block").alias("y")).select("name", (F.col("x") < F.col("y")).alias("several"))
-    judged = materialize(rows.join(by_block, ["name", "block"]).join(several, "name").select("doc_id", "lo", "hi", "several", (F.col("doc_id") > F.col("first")).alias("repeat")), "judged")
+    judged = materialize(rows.join(by_block, ["name", "block"]).join(several, "name").select("doc_id", "lo", "width", "several", (F.col("doc_id") > F.col("first")).alias("repeat")), "judged")
+    judged = judged.select("doc_id", "several", "repeat", "width", F.explode("lo").alias("lo")).withColumn("hi", F.col("lo") + F.col("width"))
     unsure = judged.where("not repeat and several").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     texts = docs.where("doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary")
     windows = materialize(texts.join(unsure, "doc_id").mapInArrow(_window_rows(window), "h1 long, h2 long, doc_id long, lo int"), "windows")
