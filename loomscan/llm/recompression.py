@@ -101,8 +101,13 @@ def _least(values: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarra
     return out
 
 
-def blocks(names: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor name, first and last window start) of all blocks; every window of every document is in one block."""
+def blocks(names: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS, powers: Powers | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first and last window start) of all blocks; every window of every document is in one block.
+
+    An anchor is the content of the chosen symbol's context, which lies in the window and says more than the symbol alone.
+    """
+    powers = powers or Powers(_BASES[0])
+    sums = powers.sums(names)
     count = np.maximum(np.diff(first) - window + 1, 0)
     p = np.repeat(first[:-1], count) + ramp(count)
     anchor, place = np.zeros(len(p), _U), np.zeros(len(p), np.int64)
@@ -114,7 +119,7 @@ def blocks(names: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUN
         k, last = np.searchsorted(cs, q), np.searchsorted(ce, q + window, side="right") - 1
         ok = k <= last
         at, k = open_[ok], _least(_mix(name), k[ok], last[ok])
-        anchor[at], place[at] = name[k], k * (rounds + 3) + depth
+        anchor[at], place[at] = powers.of(sums, cs[k], ce[k]), k * (rounds + 3) + depth
         open_ = open_[~ok]
     cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (p[1:] != p[:-1] + 1)]) if len(p) else np.zeros(0, np.int64)
     return anchor[cut], p[cut], p[np.r_[cut[1:], len(p)] - 1] if len(p) else p
@@ -150,7 +155,7 @@ def _anchor_rows(window: int, rounds: int, with_blocks: bool):
         powers = Powers(_BASES[0])
         for batch in batches:
             for ids, first, names in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window):
-                anchor, lo, hi = blocks(names, first, window, rounds)
+                anchor, lo, hi = blocks(names, first, window, rounds, powers)
                 doc = np.searchsorted(first, lo, side="right") - 1
                 if with_blocks:
                     content = powers.of(powers.sums(names), lo, hi + window)
