@@ -22,7 +22,7 @@ def block_key(df: DataFrame, type_col: str, name_col: str, length: int) -> DataF
 
 
 def candidate_pairs(entities: DataFrame, length: int = 3) -> DataFrame:
-    """Pairs (left, right), left < right, of distinct names and years inside a block; equal entities meet through their least id."""
+    """Pairs (left, right), left < right, of entities of one type whose folded names begin alike."""
     keyed = block_key(entities, "entity_type", "name", length)
     return pairs_of(keyed, "block")
 
@@ -178,7 +178,7 @@ def payload_merge(rows: DataFrame, by: str) -> DataFrame:
 
 
 def _pairs(s, d):
-    return candidate_pairs(view(s, d, "entities_v").where("year <= 5"), 8)
+    return candidate_pairs(view(s, d, "entities_v"), 8)
 
 
 def _scored(s, d):
@@ -214,13 +214,13 @@ QUERIES = {
     "edge_metadata": lambda s, d: view(s, d, "edges_v").groupBy("from_id", "to_id").agg(F.array_join(F.array_sort(F.collect_set("edge_type")), ",").alias("signals"), F.count("*").alias("reinforced")),
     "entity_confidence": lambda s, d: entity_confidence(view(s, d, "links_v")),
     "merge_into_entity": lambda s, d: view(s, d, "links_v").groupBy("entity_id").agg(F.max(F.struct("confidence", "record_id"))["record_id"].alias("best_record"), F.round(F.max("confidence"), 6).alias("confidence"), (F.count_distinct("source_id") > 1).alias("conflict")),
-    "upsert_edges": lambda s, d: upsert_edges(view(s, d, "edges_v").where("record_id % 3 = 0"), view(s, d, "edges_v").where("record_id % 3 = 1"), ["from_id", "to_id", "edge_type"]).withColumn("confidence", F.round("confidence", 6)),
+    "upsert_edges": lambda s, d: upsert_edges(view(s, d, "edges_v").where("record_id % 3 <> 1"), view(s, d, "edges_v").where("record_id % 3 <> 0"), ["from_id", "to_id", "edge_type"]).withColumn("confidence", F.round("confidence", 6)),
     "duplicate_candidates": lambda s, d: duplicate_candidates(view(s, d, "entities_v"), 0.6),
     "merge_candidates": lambda s, d: merge_candidates(view(s, d, "vectors_v"), 0.3),
-    "review_upsert": lambda s, d: review_upsert(view(s, d, "reviews_v").where("id % 3 <> 0"), view(s, d, "reviews_v").where("id % 2 = 0")),
+    "review_upsert": lambda s, d: review_upsert(view(s, d, "reviews_v").where("id % 3 <> 0"), view(s, d, "reviews_v").where("id % 2 = 0 or id % 3 = 0")),
     "review_decisions": lambda s, d: review_decisions(view(s, d, "reviews_v").select("id", "status"), view(s, d, "events").select(((F.col("event_id") % 90) * 10 + 1).alias("review_id"), "ts", "event_id", F.col("event_type").alias("decision"))),
-    "merge_artists": lambda s, d: merge_pairs(view(s, d, "records_v").where("id % 4 = 0").select(F.col("id").alias("l_id"), (F.col("id") + 1).alias("r_id")), view(s, d, "records_v")),
-    "rollback_merge": lambda s, d: rollback(view(s, d, "entities_v").where("id % 4 <> 1").select("id", "name"), view(s, d, "entities_v").where("id % 8 = 0").select(F.col("id").alias("kept"), F.struct("id", "name").alias("before_kept"), F.struct((F.col("id") + 1).alias("id"), F.concat("name", F.lit("*")).alias("name")).alias("before_removed"))),
+    "merge_artists": lambda s, d: merge_pairs(view(s, d, "records_v").where("id % 2 = 0").select(F.col("id").alias("l_id"), (F.col("id") + 1).alias("r_id")), view(s, d, "records_v")),
+    "rollback_merge": lambda s, d: rollback(view(s, d, "entities_v").where("id % 8 <> 1").select("id", "name"), view(s, d, "entities_v").where("id % 8 = 0").select(F.col("id").alias("kept"), F.struct("id", "name").alias("before_kept"), F.struct((F.col("id") + 1).alias("id"), F.concat("name", F.lit("*")).alias("name")).alias("before_removed"))),
     "artist_payload_merge": lambda s, d: payload_merge(view(s, d, "records_v").select("source_id", "id", (F.col("record_type") == "artist").alias("is_bio"), F.col("title").alias("text"), F.col("nationality").alias("tag")), "source_id"),
     "conflict_resolve": lambda s, d: view(s, d, "records_v").where("has_conflicts").select("id", F.when(F.col("id") % 2 == 0, F.coalesce(F.nullif("city", F.lit("")), "source_id")).otherwise(F.col("source_id")).alias("city"), F.lit(False).alias("has_conflicts")),
     "review_artist": lambda s, d: view(s, d, "records_v").groupBy("source_id").agg(*[F.count_if(F.col("record_type") == t).alias(t) for t in ("artwork", "exhibition", "event")], F.count_if("has_conflicts").alias("conflicts")),
@@ -237,7 +237,7 @@ def _take(v, c):
 
 
 ORACLE = {k: with_views(v) for k, v in {
-    "candidate_pairs": f"with k as (select id, entity_type || '|' || substr({_KEY}, 1, 8) as b from entities_v where year <= 5) select a.id as l_id, c.id as r_id from k a join k c on a.b = c.b and a.id < c.id",
+    "candidate_pairs": f"with k as (select id, entity_type || '|' || substr({_KEY}, 1, 8) as b from entities_v) select a.id as l_id, c.id as r_id from k a join k c on a.b = c.b and a.id < c.id",
     "merge_record": f"with {_NEAR} select l_id, r_id, {_take('city', 'c')}, {_take('nationality', 'k')} from n",
     "merge_snapshot": f"with {_NEAR} select l_id, r_id, sha256(concat_ws('|', coalesce(l_city, '~'), coalesce(r_city, '~'), l_c, r_c)) as snapshot from n",
     "merge_entity_data": f"with {_MAP} select coalesce(winner, e.id) as id, min_by(name, e.id) as name, string_agg(distinct city, ',' order by city) as cities, max(confidence) as confidence from entities_v e left join m on m.id = e.id group by 1",
@@ -248,13 +248,13 @@ ORACLE = {k: with_views(v) for k, v in {
     "edge_metadata": "select from_id, to_id, string_agg(distinct edge_type, ',' order by edge_type) as signals, count(*) as reinforced from edges_v group by 1, 2",
     "entity_confidence": "select entity_id, round(least(1.0, greatest(0.0, 0.35 * least(count(*), 20) / 20 + 0.45 * avg(confidence) + 0.2 * least(count(distinct source_id), 10) / 10)) + 1e-9, 4) as confidence from links_v group by 1",
     "merge_into_entity": "select entity_id, arg_max(record_id, (confidence, record_id)) as best_record, round(max(confidence), 6) as confidence, count(distinct source_id) > 1 as conflict from links_v group by 1",
-    "upsert_edges": "with a as (select from_id, to_id, edge_type, max(confidence) as c from edges_v where record_id % 3 = 0 group by 1, 2, 3), b as (select from_id, to_id, edge_type, max(confidence) as c from edges_v where record_id % 3 = 1 group by 1, 2, 3) select from_id, to_id, edge_type, round(greatest(a.c, b.c), 6) as confidence, a.c is null as is_new from a full join b using (from_id, to_id, edge_type)",
+    "upsert_edges": "with a as (select from_id, to_id, edge_type, max(confidence) as c from edges_v where record_id % 3 <> 1 group by 1, 2, 3), b as (select from_id, to_id, edge_type, max(confidence) as c from edges_v where record_id % 3 <> 0 group by 1, 2, 3) select from_id, to_id, edge_type, round(greatest(a.c, b.c), 6) as confidence, a.c is null as is_new from a full join b using (from_id, to_id, edge_type)",
     "duplicate_candidates": "with x as (select a.id as l_id, b.id as r_id, round(0.35 + 0.4 * (a.entity_type = b.entity_type)::int + 0.15 + 0.1 * (a.city = b.city)::int, 6)::double as score from entities_v a join entities_v b on a.name = b.name and a.year = b.year and a.id < b.id) select *, score >= 0.95 as auto_merge from x where score >= 0.6",
     "merge_candidates": "with k as (select *, label || '|' || array_to_string(list_transform(embedding[1:6], lambda x: case when x >= 0 then '1' else '0' end), '') as b from vectors_v), x as (select a.id as l_id, c.id as r_id, round(list_cosine_similarity(a.embedding::double[], c.embedding::double[]), 5) as score from k a join k c on a.b = c.b and a.id < c.id) select * from x where score >= 0.3",
-    "review_upsert": "with a as (select least(left_id, right_id) as low, greatest(left_id, right_id) as high, max(score) as score, max(status) as status from reviews_v where id % 3 <> 0 group by 1, 2), b as (select least(left_id, right_id) as low, greatest(left_id, right_id) as high, max(score) as score from reviews_v where id % 2 = 0 group by 1, 2) select low, high, coalesce(b.score, a.score) as score, coalesce(status, 'pending') as status from a full join b using (low, high)",
+    "review_upsert": "with a as (select least(left_id, right_id) as low, greatest(left_id, right_id) as high, max(score) as score, max(status) as status from reviews_v where id % 3 <> 0 group by 1, 2), b as (select least(left_id, right_id) as low, greatest(left_id, right_id) as high, max(score) as score from reviews_v where id % 2 = 0 or id % 3 = 0 group by 1, 2) select low, high, coalesce(b.score, a.score) as score, coalesce(status, 'pending') as status from a full join b using (low, high)",
     "review_decisions": "with e as (select (event_id % 90) * 10 + 1 as review_id, arg_max(event_type, (ts, event_id)) as decision from events group by 1) select id, coalesce(decision, status) as status from reviews_v left join e on review_id = id",
-    "merge_artists": "select a.id, b.id as removed, coalesce(nullif(a.city, ''), nullif(b.city, '')) as city, coalesce(nullif(a.url, ''), nullif(b.url, '')) as url, greatest(a.confidence_score, b.confidence_score) as confidence_score from records_v a join records_v b on b.id = a.id + 1 where a.id % 4 = 0",
-    "rollback_merge": "select id, name from entities_v where id % 4 <> 1 and id % 8 <> 0 union all select id, name from entities_v where id % 8 = 0 union all select id + 1, name || '*' from entities_v where id % 8 = 0",
+    "merge_artists": "select a.id, b.id as removed, coalesce(nullif(a.city, ''), nullif(b.city, '')) as city, coalesce(nullif(a.url, ''), nullif(b.url, '')) as url, greatest(a.confidence_score, b.confidence_score) as confidence_score from records_v a join records_v b on b.id = a.id + 1 where a.id % 2 = 0",
+    "rollback_merge": "select id, name from entities_v where id % 8 <> 1 and id % 8 <> 0 union all select id, name from entities_v where id % 8 = 0 union all select id + 1, name || '*' from entities_v where id % 8 = 0",
     "artist_payload_merge": "select source_id, arg_max(title, (record_type = 'artist', length(title), -id)) as text, count(distinct title) as versions, string_agg(distinct nationality, ',' order by nationality) as tags from records_v group by 1",
     "conflict_resolve": "select id, case when id % 2 = 0 then coalesce(nullif(city, ''), source_id) else source_id end as city, false as has_conflicts from records_v where has_conflicts",
     "review_artist": "select source_id, count_if(record_type = 'artwork') as artwork, count_if(record_type = 'exhibition') as exhibition, count_if(record_type = 'event') as event, count_if(has_conflicts) as conflicts from records_v group by 1",

@@ -70,10 +70,10 @@ QUERIES = {
     "pagination_mode": lambda s, d: view(s, d, "pages_v").groupBy("source_id").agg(F.collect_list("url").alias("urls")).select("source_id", U.pagination_mode(F.col("urls")).alias("mode")),
     "include_rule": lambda s, d: view(s, d, "pages").select("page_id", U.include_rule(U.path_pattern(_url()), (F.col("page_id") % 100) / 100, F.col("page_id") % 5, F.when(F.col("page_id") % 3 == 0, "unknown").otherwise("detail")).alias("included")),
     "resolve_page_type": lambda s, d: view(s, d, "pages").select("page_id", F.when((F.col("page_id") % 100) / 100 >= 0.72, U.page_type_candidate(U.path_pattern(_url()))).otherwise(F.coalesce(U.url_page_type(_url(), PAGE_RULES), F.lit("unknown"))).alias("page_type"), (U.page_type_candidate(U.path_pattern(_url())) != F.coalesce(U.url_page_type(_url(), PAGE_RULES), F.lit("unknown"))).alias("conflict")),
-    "section_type": _docs("section", lambda: U.section_type(F.substring("text", 1, 40))),
+    "section_type": _docs("section", lambda: U.section_type(F.col("text"))),
     "normalize_email": _docs("email", lambda: U.normalize_email(_text())),
     "url_expand": lambda s, d: view(s, d, "sources_v").select("id", F.explode(U.expand_urls(F.concat("url", F.lit("/list/{letter}")), F.array(*map(F.lit, "abc")))).alias("target")),
-    "normalize_name": _docs("name", lambda: S.normalize_name(F.substring("text", 1, 200))),
+    "normalize_name": _docs("name", lambda: S.normalize_name(F.col("text"))),
     "normalize_record_type": lambda s, d: view(s, d, "events").select("event_id", S.normalize_record_type(F.when(F.col("event_id") % 3 == 0, "Show ").when(F.col("event_id") % 3 == 1, "Museum").otherwise(F.col("event_type"))).alias("record_type")),
     "record_fingerprint": lambda s, d: view(s, d, "records_v").select("id", S.record_fingerprint(F.col("record_type"), ("name", F.col("title")), ("city", F.col("city"))).alias("fingerprint")),
     "item_fingerprint": lambda s, d: view(s, d, "pages").select("page_id", S.item_fingerprint(F.col("url"), F.col("html")).alias("fingerprint")),
@@ -144,10 +144,10 @@ ORACLE = {k: with_views(v) for k, v in {
     "pagination_mode": "select source_id, case when bool_or(regexp_matches(url, '[?&](page|p|offset|start)=')) then 'query_param' when bool_or(regexp_matches(url, '/page/[0-9]+')) then 'path_segment' else 'none' end as mode from pages_v group by 1",
     "include_rule": f"with p as (select page_id, {_PATTERN} as pattern, (page_id % 100) / 100 as c, page_id % 5 as n, case when page_id % 3 = 0 then 'unknown' else 'detail' end as t from pages) select page_id, case when regexp_matches(pattern, '{'|'.join(U.UTILITY)}') or (c < 0.35 and n <= 1) then false when n >= 3 or c >= 0.7 then true else t <> 'unknown' and c >= 0.45 end as included from p",
     "resolve_page_type": f"with p as (select page_id, (page_id % 100) / 100 as c, coalesce({_TYPE}, 'unknown') as t, {_PATTERN} as pattern from pages), q as (select *, {_candidate('pattern')} as k from p) select page_id, case when c >= 0.72 then k else t end as page_type, k <> t as conflict from q",
-    "section_type": "with d as (select doc_id, lower(substr(text, 1, 40)) as n from documents) select doc_id, case when regexp_matches(n, 'artist|people') then 'artists' when regexp_matches(n, 'exhibition|show') then 'exhibitions' when regexp_matches(n, 'event|calendar') then 'events' when regexp_matches(n, 'news|blog|press') then 'articles' else 'other' end as section from d",
+    "section_type": "with d as (select doc_id, lower(text) as n from documents) select doc_id, case when regexp_matches(n, 'artist|people') then 'artists' when regexp_matches(n, 'exhibition|show') then 'exhibitions' when regexp_matches(n, 'event|calendar') then 'events' when regexp_matches(n, 'news|blog|press') then 'articles' else 'other' end as section from d",
     "normalize_email": "select doc_id, nullif(regexp_extract(regexp_replace(lower(trim(text)), '^mailto:|\\?.*$', '', 'g'), '([a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]+)', 1), '') as email from documents",
     "url_expand": "select id, url || '/list/' || unnest(['a', 'b', 'c']) as target from sources_v",
-    "normalize_name": f"select doc_id, {_NAME.format('substr(text, 1, 200)')} as name from documents",
+    "normalize_name": f"select doc_id, {_NAME.format('text')} as name from documents",
     "normalize_record_type": "select event_id, case when event_id % 3 = 0 then 'exhibition' when event_id % 3 = 1 then 'venue' else event_type end as record_type from events",
     "record_fingerprint": "select id, sha256('v1|' || record_type || '|city=' || coalesce(trim(lower(city)), '') || '|name=' || coalesce(trim(lower(title)), '')) as fingerprint from records_v",
     "item_fingerprint": "select page_id, sha1(url || '|' || html) as fingerprint from pages",

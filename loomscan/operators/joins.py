@@ -93,13 +93,13 @@ QUERIES = {
     "reviews_for_source": lambda s, d: with_both(view(s, d, "reviews_v"), view(s, d, "jobs_v"), "source_id").where("left_source_id = 11 or right_source_id = 11").select("id", "left_id", "right_id"),
     "duplicate_reviews_named": lambda s, d: with_both(view(s, d, "reviews_v"), view(s, d, "records_v"), "title").select("id", "left_title", "right_title", (F.col("score") / 100).alias("score")),
     "records_with_images": lambda s, d: with_images(view(s, d, "records_v"), _images(view(s, d, "pages_v"))).select("id", "image_count", "primary_url"),
-    "related_exhibitions": lambda s, d: member_of(view(s, d, "entities_v").where("entity_type = 'PROMO'").select("id", "name"), _lists(view(s, d, "entities_v").where("entity_type = 'STANDARD' and id % 7 = 0")), "name", F.col("names")).select("id", "list_id"),
-    "related_events": lambda s, d: view(s, d, "entities_v").where("id % 50 = 0").select(F.col("id").alias("venue"), F.lower(F.trim("name")).alias("key")).join(view(s, d, "entities_v").where("id % 7 = 0").select("id", F.lower(F.trim("name")).alias("key")), "key").select("venue", "id"),
+    "related_exhibitions": lambda s, d: member_of(view(s, d, "entities_v").where("entity_type = 'PROMO'").select("id", "name"), _lists(view(s, d, "entities_v").where("entity_type = 'STANDARD'")), "name", F.col("names")).select("id", "list_id"),
+    "related_events": lambda s, d: view(s, d, "entities_v").select(F.col("id").alias("venue"), "city", F.lower(F.trim("name")).alias("key")).join(view(s, d, "entities_v").select("id", "city", F.lower(F.trim("name")).alias("key")), ["city", "key"]).select("venue", "id"),
     "title_lookup": lambda s, d: title_lookup(view(s, d, "records_v").select(F.col("id").alias("wanted"), "source_id", "title"), view(s, d, "records_v"), ["exhibition", "artist", "event"]).select("wanted", "found"),
     "artist_graph": lambda s, d: ego_graph(view(s, d, "edges_v"), 5),
     "family_pages": lambda s, d: family_pages(view(s, d, "pages_v"), s.createDataFrame([("en",), ("de",)], "slug string")).select("id", "slug"),
     "family_lookup": lambda s, d: view(s, d, "log_v").select("id", F.get_json_object("context", "$.k").cast("bigint").alias("key")).join(view(s, d, "entities_v").select(F.col("id").alias("key"), "name"), "key").select("id", "key", "name"),
-    "mapping_diff": lambda s, d: mapping_diff(view(s, d, "entities_v").where("id % 5 <> 0").select("id", "entity_type", "city", "name"), view(s, d, "entities_v").where("id % 7 <> 0").select("id", "entity_type", "city", F.when(F.col("id") % 3 == 0, "x").otherwise(F.col("name")).alias("name")), ["id", "entity_type", "city"], "name").groupBy("change").agg(F.count("*").alias("n")),
+    "mapping_diff": lambda s, d: mapping_diff(view(s, d, "entities_v").where("id % 5 <> 0").select("id", "entity_type", "city", "name"), view(s, d, "entities_v").where("id % 7 <> 0 or id % 5 = 0").select("id", "entity_type", "city", F.when(F.col("id") % 3 == 0, "x").otherwise(F.col("name")).alias("name")), ["id", "entity_type", "city"], "name").groupBy("change").agg(F.count("*").alias("n")),
     "structure_classify": _rules("first"),
     "rule_classify": _rules("specificity"),
     "record_type_resolve": lambda s, d: view(s, d, "records_v").join(s.createDataFrame([("artist", "person"), ("venue", "place")], "record_type string, mapped string"), "record_type", "left").select("id", F.coalesce("mapped", F.when(F.col("record_type") != "organization", F.col("record_type")), F.lit("unknown")).alias("kind")),
@@ -117,13 +117,13 @@ ORACLE = {k: with_views(v) for k, v in {
     "reviews_for_source": "select v.id, left_id, right_id from reviews_v v left join jobs_v a on a.id = left_id left join jobs_v b on b.id = right_id where a.source_id = 11 or b.source_id = 11",
     "duplicate_reviews_named": "select v.id, a.title as left_title, b.title as right_title, score / 100 as score from reviews_v v left join records_v a on a.id = left_id left join records_v b on b.id = right_id",
     "records_with_images": "with i as (select id % 40 as record_id, count(*) as n, min_by(url, id) as u from pages_v group by 1) select r.id, coalesce(n, 0) as image_count, u as primary_url from records_v r left join i on i.record_id = r.id",
-    "related_exhibitions": "select a.id, b.id as list_id from entities_v a join entities_v b on lower(trim(a.name)) in (lower(b.name), lower(b.city)) where a.entity_type = 'PROMO' and b.entity_type = 'STANDARD' and b.id % 7 = 0",
-    "related_events": "select a.id as venue, b.id from entities_v a join entities_v b on lower(trim(a.name)) = lower(trim(b.name)) where a.id % 50 = 0 and b.id % 7 = 0",
+    "related_exhibitions": "select a.id, b.id as list_id from entities_v a join entities_v b on lower(trim(a.name)) in (lower(b.name), lower(b.city)) where a.entity_type = 'PROMO' and b.entity_type = 'STANDARD'",
+    "related_events": "select a.id as venue, b.id from entities_v a join entities_v b on a.city = b.city and lower(trim(a.name)) = lower(trim(b.name))",
     "title_lookup": "with o as (select source_id, lower(trim(title)) as k, id, row_number() over (partition by source_id, lower(trim(title)) order by case record_type when 'exhibition' then 1 when 'artist' then 2 else 3 end, id) as n from records_v where record_type in ('exhibition', 'artist', 'event')) select r.id as wanted, o.id as found from records_v r join o on n = 1 and o.source_id = r.source_id and o.k = lower(trim(r.title))",
     "artist_graph": "select to_id as other, edge_type, 'out' as direction from edges_v where from_id = 5 union select from_id, edge_type, 'in' from edges_v where to_id = 5",
     "family_pages": "select id, slug from pages_v, (values ('en'), ('de')) s(slug) where contains(path || '/', '/' || slug || '/')",
     "family_lookup": "with l as (select id, cast(context->>'$.k' as bigint) as key from log_v) select l.id, key, name from l join entities_v e on e.id = key",
-    "mapping_diff": "with a as (select id, name from entities_v where id % 5 <> 0), b as (select id, case when id % 3 = 0 then 'x' else name end as name from entities_v where id % 7 <> 0) select case when a.id is null then 'added' when b.id is null then 'removed' when a.name is not distinct from b.name then 'unchanged' else 'changed' end as change, count(*) as n from a full join b on a.id = b.id group by 1",
+    "mapping_diff": "with a as (select id, name from entities_v where id % 5 <> 0), b as (select id, case when id % 3 = 0 then 'x' else name end as name from entities_v where id % 7 <> 0 or id % 5 = 0) select case when a.id is null then 'added' when b.id is null then 'removed' when a.name is not distinct from b.name then 'unchanged' else 'changed' end as change, count(*) as n from a full join b on a.id = b.id group by 1",
     "structure_classify": _first("rule"),
     "rule_classify": _first("specificity desc, rule"),
     "record_type_resolve": "select id, case record_type when 'artist' then 'person' when 'venue' then 'place' when 'organization' then 'unknown' else record_type end as kind from records_v",

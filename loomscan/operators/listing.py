@@ -177,7 +177,7 @@ QUERIES = {
     "list_audit_events": _q("log_v", lambda x: list_audit_events(x, None, "2024-01-03", "2024-01-05", "u1").select("id", "ts", "service")),
     "list_drift_signals": _q("signals_v", lambda x: page(keep(x, status="open", severity=("high", "medium")), [F.desc("detected_at"), F.desc("id")]).select("id", "signal_type", "severity", "detected_at")),
     "list_repair_proposals": _q("signals_v", lambda x: list_repair_proposals(_proposals(x), 500)),
-    "list_images": _q("pages_v", lambda p: page(p.where("id % 2 = 0"), [F.col("id")]).select("id", F.col("source_id"), (F.col("id") % 3 == 0).alias("is_valid")).where("is_valid")),
+    "list_images": _q("pages_v", lambda p: page(p, [F.col("id")]).select("id", F.col("source_id"), (F.col("id") % 3 == 0).alias("is_valid")).where("is_valid")),
     "list_jobs": _q2("jobs_v", "sources_v", lambda j, s: list_jobs(j, s, "timestamp '2024-01-01 00:00:00'")),
     "list_job_events": _q("log_v", lambda x: newest_ascending(x, AS_OF, 100, source_id=7).select("id", "ts", "level")),
     "list_source_events": _q("log_v", lambda x: newest_ascending(x, AS_OF, 200, level="error").select("id", "ts", "source_id")),
@@ -219,7 +219,7 @@ ORACLE = {k: with_views(v) for k, v in {
     "list_audit_events": "select id, ts, service from log_v where ts >= timestamp '2024-01-03' and ts < timestamp '2024-01-06' and (message ilike '%u1%' or service ilike '%u1%' or context ilike '%u1%' or level ilike '%u1%')",
     "list_drift_signals": "select id, signal_type, severity, detected_at from signals_v where status = 'open' and severity in ('high', 'medium')",
     "list_repair_proposals": "select id, source_id, id % 10 as priority, id % 4 as occurrences, detected_at as created_at from signals_v order by 3 desc, 4 desc, 5, 1 limit 500",
-    "list_images": "select id, source_id, true as is_valid from pages_v where id % 2 = 0 and id % 3 = 0",
+    "list_images": "select id, source_id, true as is_valid from pages_v where id % 3 = 0",
     "list_jobs": "select j.id, source_id, s.name as source_name, status, cast(date_diff('second', created_at, heartbeat_at) / 60 as int) as minutes, status = 'running' and heartbeat_at < timestamp '2024-01-01 00:00:00' - interval '2' minute as stale from jobs_v j left join sources_v s on s.id = source_id",
     "list_job_events": f"select id, ts, level from log_v where source_id = 7 and ts < {AS_OF} order by ts desc, id desc limit 100",
     "list_source_events": f"select id, ts, source_id from log_v where level = 'error' and ts < {AS_OF} order by ts desc, id desc limit 200",

@@ -101,7 +101,7 @@ QUERIES = {
     "backfill_merge": lambda s, d: view(s, d, "records_v").select("id", F.coalesce(F.when(S.present(F.col("city")), F.col("city")), F.col("source_id")).alias("city"), F.array_join(F.array_compact(F.array(F.when(~F.coalesce(S.present(F.col("city")), F.lit(False)), "city"), F.when(F.col("url").isNull(), "url"))), ",").alias("filled")),
     "follow_links": lambda s, d: select_nodes(_nodes(s, d).where(F.array_contains("ancestors", "nav")), _rules(s).where("field = 'link'")).select("page_id", "value").distinct(),
     "asset_urls": lambda s, d: _nodes(s, d).where("tag in ('img', 'source', 'a') and coalesce(src, href) rlike '[.](png|jpg|jpeg|pdf|svg)$'").select("page_id", F.coalesce("src", "href").alias("asset")).distinct(),
-    "extraction_gate": lambda s, d: view(s, d, "pages_v").alias("a").join(view(s, d, "pages_v").select((F.col("id") + 1).alias("id"), F.sha2(F.substring("html", 1, 30), 256).alias("before")), "id", "left").select("id", F.when(F.sha2(F.substring("html", 1, 30), 256) == F.col("before"), "unchanged").when(F.col("status") == "error", "review").otherwise("persist").alias("route")),
+    "extraction_gate": lambda s, d: view(s, d, "pages_v").alias("a").join(view(s, d, "pages_v").select((F.col("id") + 1).alias("id"), F.sha2("html", 256).alias("before")), "id", "left").select("id", F.when(F.sha2("html", 256) == F.col("before"), "unchanged").when(F.col("status") == "error", "review").otherwise("persist").alias("route")),
     "selector_candidates": lambda s, d: selector_candidates(_nodes(s, d), view(s, d, "pages").select("page_id", F.lit("title").alias("field"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("expected"))),
     "extract_to_records": lambda s, d: view(s, d, "pages_v").select("id", F.nullif(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("")).alias("title"), "source_id").withColumn("state", F.when(F.col("title").isNull(), "error").otherwise("record")),
     "seed_rows": lambda s, d: view(s, d, "sources_v").select("id", F.explode(F.array_distinct(F.concat(F.array(U.normalize_url(F.col("url"))), U.expand_urls(F.concat("url", F.lit("/{letter}")), F.array(*map(F.lit, "abb")))))).alias("seed")),
@@ -125,7 +125,7 @@ ORACLE = {k: with_views(v) for k, v in {
     "clean_html": f"select page_id, trim(regexp_replace(regexp_replace({_CLEAN}, '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) as body from pages",
     "child_records": "with i as (select service as item, id from log_v union all select level, id from log_v), f as (select sha1(item) as fingerprint, min(id) as first_id from i group by 1) select * from f where fingerprint not in (select sha1('u' || id) from sources_v)",
     "backfill_merge": "select id, coalesce(case when coalesce(trim(city), '') not in ('', '[]', '{}') then city end, source_id) as city, array_to_string(list_filter([case when coalesce(trim(city), '') in ('', '[]', '{}') then 'city' end, case when url is null then 'url' end], lambda x: x is not null), ',') as filled from records_v",
-    "extraction_gate": "select a.id, case when substr(a.html, 1, 30) = substr(b.html, 1, 30) then 'unchanged' when a.status = 'error' then 'review' else 'persist' end as route from pages_v a left join pages_v b on b.id = a.id - 1",
+    "extraction_gate": "select a.id, case when a.html = b.html then 'unchanged' when a.status = 'error' then 'review' else 'persist' end as route from pages_v a left join pages_v b on b.id = a.id - 1",
     "extract_to_records": "with p as (select id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') as title, source_id from pages_v) select *, case when title is null then 'error' else 'record' end as state from p",
     "seed_rows": "select id, unnest([url || '/', url || '/a', url || '/b']) as seed from sources_v",
     "nav_sections": f"with {_LINKS}, s as (select source_id, target, lower(target) as n from k) select source_id, case when regexp_matches(n, 'artist|people') then 'artists' when regexp_matches(n, 'exhibition|show') then 'exhibitions' when regexp_matches(n, 'event|calendar') then 'events' when regexp_matches(n, 'news|blog|press') then 'articles' else 'other' end as section, min(target) as url, count(*) as links from s group by 1, 2",

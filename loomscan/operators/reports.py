@@ -78,12 +78,12 @@ QUERIES = {
     "campaign_plan": lambda s, d: view(s, d, "records_v").where("completeness_score between 10 and 60 and url is not null").select(F.col("id").alias("record_id"), F.col("completeness_score").alias("before_score"), F.lit(True).alias("dry_run")),
     "llm_cost_report": lambda s, d: cost_report(_calls(view(s, d, "log_v")), s.createDataFrame([("small", 0.5, 1.5), ("large", 10.0, 30.0)], "model string, price_in double, price_out double")),
     "drift_fields": lambda s, d: count_by(view(s, d, "signals_v"), "field").orderBy(F.desc("n"), "field"),
-    "mapping_health": lambda s, d: mapping_health(view(s, d, "signals_v").where("id % 40 = 0")),
+    "mapping_health": lambda s, d: mapping_health(view(s, d, "signals_v")),
     "repair_feedback": lambda s, d: view(s, d, "signals_v").groupBy("source_id", "field").agg(F.round(F.coalesce(F.avg(F.when(F.col("status") != "open", (F.col("status") == "resolved").cast("double"))), F.lit(0.5)), 6).alias("accepted_rate")),
     "refresh_eligibility": lambda s, d: counts(view(s, d, "frontier_v"), [], total=F.lit(True), due=F.col("next_eligible_at").isNull() | (F.col("next_eligible_at") <= F.expr("timestamp '2024-01-08 02:00:00'"))).withColumn("not_due", F.col("total") - F.col("due")),
     "enrichment_rollup": lambda s, d: view(s, d, "records_v").groupBy("record_type").agg(F.count("*").alias("processed"), F.count_if(F.col("status") == "approved").alias("enriched"), F.round(F.avg("completeness_score"), 2).alias("mean_completeness")),
     "extraction_success_rate": lambda s, d: view(s, d, "pages_v").groupBy("source_id").agg(F.round(F.count_if(F.col("status").isin("fetched", "extracted")) * 100 / F.count("*"), 2).alias("rate")).withColumn("passed", F.col("rate") >= 85),
-    "edge_degree": lambda s, d: edge_degree(view(s, d, "edges_v"), view(s, d, "entities_v").where("id % 3 = 0")),
+    "edge_degree": lambda s, d: edge_degree(view(s, d, "edges_v"), view(s, d, "entities_v")),
 }
 
 _D = "date '2023-12-25' + cast(unnest(range(40)) as int)"
@@ -106,10 +106,10 @@ ORACLE = {k: with_views(v) for k, v in {
     "campaign_plan": "select id as record_id, completeness_score as before_score, true as dry_run from records_v where completeness_score between 10 and 60 and url is not null",
     "llm_cost_report": "with c as (select case when id % 2 = 0 then 'small' else 'large' end as model, cast(ts as date) as day, id % 5000 as i, id % 700 as o from log_v), g as (select model, day, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out from c group by 1, 2), h as (select *, round(n_in * case model when 'small' then 0.5 else 10.0 end::double / 1e6 + n_out * case model when 'small' then 1.5 else 30.0 end::double / 1e6, 6) as cost from g) select *, cost > 0.15 as over from h",
     "drift_fields": "select field, count(*) as n from signals_v group by 1",
-    "mapping_health": "with c as (select source_id, count_if(status <> 'resolved' and severity = 'high') as h, count_if(status <> 'resolved' and severity = 'medium') as m, count_if(status <> 'resolved') as l from signals_v where id % 40 = 0 group by 1) select source_id, case when h > 0 or l >= 3 then 'stale' when m > 0 then 'warning' else 'healthy' end as health from c",
+    "mapping_health": "with c as (select source_id, count_if(status <> 'resolved' and severity = 'high') as h, count_if(status <> 'resolved' and severity = 'medium') as m, count_if(status <> 'resolved') as l from signals_v group by 1) select source_id, case when h > 0 or l >= 3 then 'stale' when m > 0 then 'warning' else 'healthy' end as health from c",
     "repair_feedback": "select source_id, field, round(coalesce(avg(case when status <> 'open' then (status = 'resolved')::int end), 0.5), 6) as accepted_rate from signals_v group by 1, 2",
     "refresh_eligibility": "with c as (select count(*) as total, count_if(next_eligible_at is null or next_eligible_at <= timestamp '2024-01-08 02:00:00') as due from frontier_v) select total, due, total - due as not_due from c",
     "enrichment_rollup": "select record_type, count(*) as processed, count_if(status = 'approved') as enriched, round(avg(completeness_score), 2) as mean_completeness from records_v group by 1",
     "extraction_success_rate": "with c as (select source_id, round(count_if(status in ('fetched', 'extracted')) * 100 / count(*), 2) as rate from pages_v group by 1) select *, rate >= 85 as passed from c",
-    "edge_degree": "with e as (select from_id, to_id from edges_v where from_id in (select id from entities_v where id % 3 = 0) and to_id in (select id from entities_v where id % 3 = 0)), u as (select from_id as id from e union all select to_id from e) select id, count(*) as degree from u group by 1",
+    "edge_degree": "with e as (select from_id, to_id from edges_v where from_id in (select id from entities_v) and to_id in (select id from entities_v)), u as (select from_id as id from e union all select to_id from e) select id, count(*) as degree from u group by 1",
 }.items()}

@@ -43,13 +43,13 @@ def _half(p, part):
 
 
 def _dup(s, d):
-    return view(s, d, "records_v").select("source_id", F.substring("description", 1, 30).alias("content"), "id")
+    return view(s, d, "records_v").select("source_id", F.col("description").alias("content"), "id")
 
 
 QUERIES = {
     "array_union_merge": lambda s, d: view(s, d, "entities_v").select("id", F.array_join(union_merge(F.split("name", " "), F.array("city", F.lower("entity_type"), F.element_at(F.split("name", " "), 1))), "|").alias("merged")),
     "item_dedupe": lambda s, d: view(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list(F.concat_ws("/", "l_returnflag", "l_linestatus")))), ",").alias("items")),
-    "frontier_upsert": lambda s, d: frontier_upsert(view(s, d, "frontier_v").where("id % 3 <> 0"), view(s, d, "frontier_v").where("id % 2 = 0").withColumn("priority", F.lit(60))),
+    "frontier_upsert": lambda s, d: frontier_upsert(view(s, d, "frontier_v").where("id % 3 <> 0"), view(s, d, "frontier_v").where("id % 2 = 0 or id % 3 = 0").withColumn("priority", F.lit(60))),
     "insert_if_absent": lambda s, d: insert_if_absent(view(s, d, "pages_v").where("id % 3 = 0").select("source_id", "id"), view(s, d, "pages_v").select("source_id", "id"), ["source_id"], "id"),
     "image_dedupe": lambda s, d: image_dedupe(view(s, d, "edges_v").select(F.col("to_id").alias("source_id"), F.concat(F.lit("U"), F.col("from_id").cast("string")).alias("url"), F.col("record_id"), F.round("confidence", 2).alias("confidence"))),
     "pages_by_content": lambda s, d: same_content(_dup(s, d), "content"),
@@ -58,8 +58,8 @@ QUERIES = {
 ORACLE = {k: with_views(v) for k, v in {
     "array_union_merge": "with x as (select id, unnest(list_concat(string_split(name, ' '), [city, lower(entity_type), string_split(name, ' ')[1]])) as w, unnest(range(100)[1:len(list_concat(string_split(name, ' '), [city, lower(entity_type), string_split(name, ' ')[1]]))]) as n from entities_v), f as (select id, w, min(n) as n from x group by 1, 2) select id, string_agg(w, '|' order by n) as merged from f group by 1",
     "item_dedupe": "select l_orderkey, string_agg(distinct l_returnflag || '/' || l_linestatus, ',' order by l_returnflag || '/' || l_linestatus) as items from lineitem group by 1",
-    "frontier_upsert": "with a as (select source_id, url, priority, depth from frontier_v where id % 3 <> 0), b as (select source_id, url, 60 as priority, min(depth) as depth from frontier_v where id % 2 = 0 group by 1, 2) select coalesce(a.source_id, b.source_id) as source_id, coalesce(a.url, b.url) as url, greatest(a.priority, b.priority) as priority, coalesce(a.depth, b.depth) as depth from a full join b on a.source_id = b.source_id and a.url = b.url",
+    "frontier_upsert": "with a as (select source_id, url, priority, depth from frontier_v where id % 3 <> 0), b as (select source_id, url, 60 as priority, min(depth) as depth from frontier_v where id % 2 = 0 or id % 3 = 0 group by 1, 2) select coalesce(a.source_id, b.source_id) as source_id, coalesce(a.url, b.url) as url, greatest(a.priority, b.priority) as priority, coalesce(a.depth, b.depth) as depth from a full join b on a.source_id = b.source_id and a.url = b.url",
     "insert_if_absent": "select source_id, id from pages_v where id % 3 = 0 union all select source_id, min(id) from pages_v where source_id not in (select source_id from pages_v where id % 3 = 0) group by 1",
     "image_dedupe": "with i as (select to_id as source_id, sha256('u' || from_id) as url_hash, record_id, round(confidence, 2) as confidence from edges_v), r as (select *, row_number() over (partition by source_id, url_hash order by confidence desc, record_id) as n, count(*) over (partition by source_id, url_hash) as occurrences from i) select source_id, url_hash, record_id, confidence, occurrences from r where n = 1",
-    "pages_by_content": "select source_id, sha256(substr(description, 1, 30)) as content_hash, count(*) as n, min(id) as first_id from records_v group by 1, 2 having count(*) > 1",
+    "pages_by_content": "select source_id, sha256(description) as content_hash, count(*) as n, min(id) as first_id from records_v group by 1, 2 having count(*) > 1",
 }.items()}

@@ -75,7 +75,7 @@ QUERIES = {
     "export_artists": lambda s, d: view(s, d, "records_v").where("record_type = 'artist' and status = 'approved'").select("id", first_of("city", "source_id").alias("place"), first_of("title", "nationality").alias("name")),
     "export_exhibitions": lambda s, d: view(s, d, "records_v").where("record_type = 'exhibition'").select("id", "title", F.array_join(F.from_json(F.concat(F.lit('["'), "nationality", F.lit('","'), "source_id", F.lit('"]')), "array<string>"), "; ").alias("artists")),
     "export_select_and_mark": lambda s, d: select_and_mark(view(s, d, "records_v"), view(s, d, "records_v").where("id % 3 = 0")),
-    "export_history": lambda s, d: view(s, d, "records_v").where("status = 'approved' and id % 3 = 0").select("id", "source_id", "updated_at").orderBy(F.desc("updated_at"), "id").offset(5).limit(100),
+    "export_history": lambda s, d: view(s, d, "records_v").where("status = 'approved'").select("id", "source_id", "updated_at").orderBy(F.desc("updated_at"), "id").offset(5).limit(100),
     "export_events_csv": lambda s, d: events_csv(view(s, d, "log_v").where("level <> 'debug'"), 2000),
     "normalize_log_stream": lambda s, d: normalize_logs(view(s, d, "events")),
 }
@@ -87,7 +87,7 @@ ORACLE = {k: with_views(v) for k, v in {
     "export_artists": "select id, coalesce(nullif(trim(city), ''), source_id) as place, coalesce(nullif(trim(title), ''), nationality) as name from records_v where record_type = 'artist' and status = 'approved'",
     "export_exhibitions": "select id, title, nationality || '; ' || source_id as artists from records_v where record_type = 'exhibition'",
     "export_select_and_mark": "select id, case when id % 3 = 0 then 'exported' else 'approved' end as status from records_v where status = 'approved'",
-    "export_history": "select id, source_id, updated_at from records_v where status = 'approved' and id % 3 = 0 order by updated_at desc, id limit 100 offset 5",
+    "export_history": "select id, source_id, updated_at from records_v where status = 'approved' order by updated_at desc, id limit 100 offset 5",
     "export_events_csv": "select id::varchar as id, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, level as event_type, service as user_id, coalesce(context, '') as metadata from log_v where level <> 'debug' order by ts desc, log_v.id desc limit 2000",
     "normalize_log_stream": "select event_id, case when event_type in ('debug', 'info', 'warning', 'error', 'critical') then event_type else 'info' end as level, ts, coalesce(props->>'$.k', '') as detail from events",
 }.items()}

@@ -115,7 +115,7 @@ def _state_events(s, d):
     out = F.when(F.lit(False), "")
     for k, v in STATES.items():
         out = out.when(F.col("event_type") == k, v)
-    return view(s, d, "events").where("event_id % 3 = 0").select("user_id", "ts", "event_id", out.alias("state"))
+    return view(s, d, "events").select("user_id", "ts", "event_id", out.alias("state"))
 
 
 def _instant(df, *names):
@@ -143,7 +143,7 @@ ORACLE = {k: with_views(v) for k, v in {
     "job_progress": "select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as stage, arg_max(value, (ts, event_id)) as value from events group by 1",
     "baseline_stream": "select user_id, count(value) as n, round(avg(value), 3) as mean, round(stddev_samp(value), 3) as sd from events group by 1",
     "signal_coalesce_stream": "with l as (select *, case when ts - lag(ts) over w < interval '12' hour then 0 else 1 end as new from events window w as (partition by user_id, event_type order by ts, event_id)), r as (select *, sum(new) over (partition by user_id, event_type order by ts, event_id) as run from l) select user_id, event_type, min(ts) as first_at, max(ts) as last_at, count(*) as occurrences from r group by user_id, event_type, run",
-    "frontier_state": f"with l as (select user_id, list({_STATE} || '|0' order by ts, event_id) as e from events where event_id % 3 = 0 group by 1), r as (select user_id, list_reduce(list_prepend('discovered|0', e), lambda a, e: case when {_OK} then split_part(e, '|', 1) || '|' || split_part(a, '|', 2) else split_part(a, '|', 1) || '|' || (split_part(a, '|', 2)::int + 1) end) as r from l) select user_id, split_part(r, '|', 1) as state, split_part(r, '|', 2)::int as invalid from r",
+    "frontier_state": f"with l as (select user_id, list({_STATE} || '|0' order by ts, event_id) as e from events group by 1), r as (select user_id, list_reduce(list_prepend('discovered|0', e), lambda a, e: case when {_OK} then split_part(e, '|', 1) || '|' || split_part(a, '|', 2) else split_part(a, '|', 1) || '|' || (split_part(a, '|', 2)::int + 1) end) as r from l) select user_id, split_part(r, '|', 1) as state, split_part(r, '|', 2)::int as invalid from r",
     "url_first_seen_stream": "select distinct user_id, event_type from events",
     "usage_stream": "select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(avg(value), 4) as mean from events group by 1, 2",
 }.items()}
