@@ -1,0 +1,133 @@
+"""Near copies by word shingles: MinHash bands name candidates, exact Jaccard similarity of the whole shingle sets decides.
+
+A text collides with one of similarity s in a band of r least hashes with probability s^r, in one of b bands with
+1 - (1 - s^r)^b: over 0.9999 for 24 bands of 5 at similarity 0.8, more above. Texts of one shingle set are one node. First
+each node of a band's cell is compared with the cell's least one; then all pairs of a cell that are not yet joined, so
+that a cell of close copies costs one comparison a member and no pair is left out.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomscan.llm.components import connected_components
+from loomscan.plans.shared import materialize
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS = 24
+ROWS = 5
+SEED = 42
+_BLOCK = 1 << 9
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit names of the shingles; a shorter text is one shingle, an empty one has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    names = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    out = np.zeros(len(names) - shingle + 1, np.uint64)
+    for i, w in enumerate(_weights(shingle)):
+        out += names[i : i + len(out)] * w
+    return np.unique(_mixed(out))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def band_names(own: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A 64-bit name for each band: its number and its least hashes."""
+    odd, xor, weights = _permutations(bands * rows, rows)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), _BLOCK):
+        x = (own[at : at + _BLOCK] ^ xor[:, None]) * odd[:, None]
+        x ^= x >> np.uint64(32)
+        np.minimum(least, x.min(axis=1), out=least)
+    return _mixed((least.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+@functools.cache
+def _permutations(many: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    made = np.random.default_rng(SEED + 1)
+    odd = made.integers(1, 2**63, many, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd, made.integers(1, 2**63, many, dtype=np.uint64), made.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@functools.cache
+def _weights(shingle: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1, 2**63, shingle, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sketches(shingle: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            key = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            cells = [band_names(s).view(np.int64) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array([len(s) for s in sets], pa.int32()), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "cells"])
+
+    return work
+
+
+def _sets(shingle: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            key = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "own"])
+
+    return work
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): each row with an id and the least id reachable by links of at least that similarity.
+
+    Words are lower-cased runs between blanks. Null and empty texts are copies of each other. Rows without an id are left out.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    sketch = materialize(source.mapInArrow(_sketches(shingle), "doc_id long, key long, n int, cells array<long>"), "near-copies")
+    nodes = sketch.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    cells = nodes.select("key", "doc_id", "n", F.explode("cells").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.count("*").alias("many"), F.min(F.struct("key", "doc_id", "n")).alias("least")).where("many > 1")
+    held = materialize(cells.join(shared.select("cell", "least"), "cell"), "near-copies-cells")
+    involved = held.select("doc_id").distinct()
+    sets = materialize(source.join(involved, "doc_id", "left_semi").select("text").mapInArrow(_sets(shingle), "key long, own array<long>").dropDuplicates(["key"]), "near-copies-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links (u, v) of the pairs (u, v, nu, nv) at or above the similarity."""
+        close = pairs.where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9).select("u", "v").distinct()
+        both = close.join(sets.select(F.col("key").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
+        met = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("met"), (F.size("a") + F.size("b")).alias("sum"))
+        return met.where(F.col("met") >= similarity * (F.col("sum") - F.col("met")) - 1e-9).select("u", "v")
+
+    first = materialize(verified(held.where("key <> least.key").select(F.col("least.key").alias("u"), F.col("key").alias("v"), F.col("least.n").alias("nu"), F.col("n").alias("nv"))), "near-copies-links")
+    joined = connected_components(first).withColumnRenamed("node", "key")
+    placed = held.join(joined, "key", "left").select("cell", "key", "n", F.coalesce("component", "key").alias("component"))
+    apart = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell")
+    open_ = materialize(placed.join(apart, "cell", "left_semi"), "near-copies-open")
+    a = open_.select("cell", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+    b = open_.select("cell", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+    rest = verified(a.join(b, "cell").where("u < v and cu <> cv").select("u", "v", "nu", "nv"))
+    component = connected_components(first.unionByName(rest)).withColumnRenamed("node", "key")
+    named = nodes.select("key", "doc_id").join(component, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return sketch.select("doc_id", "key").join(named.join(least, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is its component's least; rows without an id stay. Columns stay as they are."""
+    doomed = near_copies(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__drop")).distinct()
+    return docs.join(doomed, docs[id_col] == doomed["__drop"], "left_anti")

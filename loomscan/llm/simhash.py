@@ -197,9 +197,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = connected_components(link_fingerprints(distinct.where("node is not null"), radius))
     named = distinct.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is its component's least; rows without an id stay. Columns stay as they are."""
-    doomed = near_duplicates(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(doomed, docs[id_col] == doomed["__drop"], "left_anti")

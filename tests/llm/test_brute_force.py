@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -264,3 +265,31 @@ def test_op10_learns_folds_and_leaves_exceptions(spark):
     got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
     held = [(got[i]["predicted"], y) for i, _, y in data if got[i]["held_out"]]
     assert len(held) > 60 and sum(p == y for p, y in held) >= 0.98 * len(held)
+
+
+def test_pipeline_drops_near_copies_by_similarity(spark, make):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = {}
+    for i in range(0, 120, 4):
+        base = [word() for _ in range(rng.choice((30, 100, 300)))]
+        texts[i] = " ".join(base)
+        for k, share in enumerate((0.02, 0.04, 0.08), 1):  # near the bar, over it and under it
+            cut = int(len(base) * (1 - share * 3))
+            texts[i + k] = " ".join([*base[:cut], *(word() for _ in base[cut:])]) if k < 3 else " ".join(w if rng.random() > share else word() for w in base)
+    texts |= {200: "", 201: None, 202: "One  two", 203: "one two", 204: "one two three"}
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    least = {i: i for i in texts}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in close:
+            least[a] = least[b] = min(least[a], least[b])
+    docs = make([*texts.items(), (None, "one two")])
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [r["doc_id"] for r in kept.collect()]
+    assert sorted(x for x in got if x is not None) == sorted(i for i in texts if least[i] == i) and got.count(None) == 1
+    assert 0 < sum(least[i] != i for i in range(120)) < 90
