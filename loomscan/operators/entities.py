@@ -6,6 +6,10 @@ bounds (length, equal fields) come before the string ratio.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,11 +140,40 @@ def duplicate_candidates(entities: DataFrame, min_score: float) -> DataFrame:
     return p.select("l_id", "r_id", score.alias("score")).where(F.col("score") >= min_score).withColumn("auto_merge", F.col("score") >= 0.95)
 
 
-def merge_candidates(vectors: DataFrame, threshold: float, planes: int = 6) -> DataFrame:
-    """Pairs of equal label and equal leading signs with cosine at or above the threshold."""
-    sign = F.concat(*[F.when(F.get("embedding", i) >= 0, "1").otherwise("0") for i in range(planes)])
-    p = pairs_of(vectors.select("id", "embedding", F.concat_ws("|", "label", sign).alias("block")), "block")
-    return p.select("l_id", "r_id", F.round(S.cosine_similarity(F.col("l_embedding"), F.col("r_embedding")), 5).alias("score")).where(F.col("score") >= threshold)
+def merge_candidates(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """All pairs with cosine at or above the threshold, which is over 0. Vectors are dealt to blocks, and each pair of blocks is compared in its own task."""
+    blocks = F.lit(max(1, math.ceil(vectors.count() / block)))
+    dealt = (
+        vectors.select("id", "embedding", F.size("embedding").alias("dims"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("id", F.col("embedding").cast("array<double>").alias("embedding"), "own", "dims", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        .where("dims > 0")
+    )
+    p = dealt.groupBy("dims", "low", "high").applyInArrow(_near_vectors(threshold), "l_id long, r_id long")
+    side = lambda x: vectors.select(F.col("id").alias(f"{x}_id"), F.col("embedding").alias(f"{x}_embedding"))
+    scored = p.join(side("l"), "l_id").join(side("r"), "r_id")
+    return scored.select("l_id", "r_id", F.round(S.cosine_similarity(F.col("l_embedding"), F.col("r_embedding")), 5).alias("score")).where(F.col("score") >= threshold)
+
+
+def _near_vectors(threshold: float, rows: int = 1024):
+    """Pairs of one group that may round to the threshold: across its two blocks, or inside its only one."""
+
+    def work(table: pa.Table) -> pa.Table:
+        ids, own = table["id"].to_numpy(), table["own"].to_numpy()
+        unit = np.array(table["embedding"].to_pylist(), np.float64)
+        unit = np.nan_to_num(unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300))
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        left, right = [], []
+        for at in range(0, len(a), rows):
+            i, j = np.nonzero(unit[a[at : at + rows]] @ unit[b].T >= threshold - 1e-5)
+            u, v = ids[a[at + i]], ids[b[j]]
+            keep = u < v if low == high else u != v
+            left.append(np.minimum(u, v)[keep])
+            right.append(np.maximum(u, v)[keep])
+        return pa.table({"l_id": np.concatenate([np.zeros(0, np.int64), *left]), "r_id": np.concatenate([np.zeros(0, np.int64), *right])})
+
+    return work
 
 
 def review_upsert(stored: DataFrame, found: DataFrame) -> DataFrame:

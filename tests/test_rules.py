@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,14 @@ def test_days_without_rows_are_zero(spark):
 def test_empty_embedding_and_unequal_lengths(spark):
     assert one(spark, S.hash_embedding(F.lit(""))) == [0.0] * 96
     assert one(spark, S.cosine_similarity(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0.0
+
+
+def test_merge_candidates_are_all_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 8))
+    df = spark.createDataFrame([(i, v.tolist(), str(i % 7)) for i, v in enumerate(x)], "id long, embedding array<float>, label string")
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if round(float(unit[i] @ unit[j]), 5) >= 0.3}
+    got = [(r["l_id"], r["r_id"]) for r in entities.merge_candidates(df, 0.3, block=20).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
