@@ -155,16 +155,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return source.mapInArrow(work, schema).distinct()
 
-    def seed_rows(key: str, sizes: list[int]):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    names = words_of(t)
-                    own = sizes if key == "doc_id" else [min(seed, len(names))]
-                    found = np.unique(np.concatenate([seeds_of(names, k) + np.uint64(k) for k in own if k] or [np.zeros(0, np.uint64)]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found.view(np.int64))], names=[key, "seed"])
+    def doc_seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names = words_of(t)
+                found = np.unique(np.concatenate([seeds_of(names, k) + np.uint64(k) for k in range(1, seed + 1)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found.view(np.int64))], names=["doc_id", "seed"])
 
-        return work
+    def item_seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names = words_of(t)
+                if not len(names):
+                    continue
+                k = min(seed, len(names))
+                found, times = np.unique(seeds_of(names, k) + np.uint64(k), return_counts=True)
+                needed = coverage * len(names) / k - 1e-9
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found.view(np.int64)), pa.array(times, pa.int64()), pa.array(np.full(len(found), needed))], names=["item_id", "seed", "times", "needed"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +185,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "coverage", "n_tiles"])
 
-    doc_seeds = source.mapInArrow(seed_rows("doc_id", list(range(1, seed + 1))), "doc_id long, seed long")
-    item_seeds = items.mapInArrow(seed_rows("item_id", []), "item_id long, seed long")
-    pairs = doc_seeds.join(item_seeds, "seed").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    # every tile of t words holds t - seed + 1 seeds, so covering c words of an item takes at least c / seed different ones of it
-    words = item_seeds.groupBy("item_id").agg(F.count("*").alias("all"))
-    likely = pairs.join(words, "item_id").where(F.col("shared") * seed >= F.least(F.lit(coverage) * F.col("all"), F.col("all"))).select("doc_id", "item_id")
+    doc_seeds = source.mapInArrow(doc_seed_rows, "doc_id long, seed long")
+    item_seeds = items.mapInArrow(item_seed_rows, "item_id long, seed long, times long, needed double")
+    # every tile of t words holds t - seed + 1 seeds, one at each place of the item where it begins, so covering c words of an item takes
+    # at least c / seed places; a seed the document holds may be a tile's at each place where the item repeats it
+    pairs = doc_seeds.join(item_seeds, "seed").groupBy("doc_id", "item_id").agg(F.sum("times").alias("places"), F.min("needed").alias("needed"))
+    likely = pairs.where(F.col("places") >= F.col("needed")).select("doc_id", "item_id")
     return likely.join(source, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item").mapInArrow(judge, schema).distinct()
 
 

@@ -251,6 +251,17 @@ def test_op1_reordered_passages_and_both_ways(spark):
     assert got[0] == got[1] == {(i, k) for i, k in ((1, 7), (2, 7), (5, 7), (1, 8), (2, 8), (3, 8), (5, 8))}
 
 
+def test_op1_repeated_words_and_both_ways(spark):
+    own = [f"w{i}" for i in range(20)]
+    run, grid = ["a"] * 80, [str(i % 2) for i in range(60)]
+    items = [(1, " ".join(run + own)), (2, " ".join(grid + own[:10])), (3, "b b b"), (4, " ".join(own)), (5, "")]
+    texts = [(1, " ".join(run)), (2, " ".join(grid)), (3, " ".join(run[:79])), (4, "x b b b x"), (5, "b b"), (6, " ".join(own[5:] + ["y"]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(tuple, decontamination.contaminated(docs, bench, broadcast_items=n).collect())) for n in (100, 1)]
+    assert got[0] == got[1] and {r[:2] for r in got[0]} == {(1, 1), (2, 2), (4, 3)}
+
+
 def test_op10_learns_folds_and_leaves_exceptions(spark):
     rnd = random.Random(4)
     clean = ["the", "tree", "river", "house", "green", "walk", "stone", "cloud"]
