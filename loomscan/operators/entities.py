@@ -6,6 +6,8 @@ bounds (length, equal fields) come before the string ratio.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 import numpy as np
@@ -131,13 +133,37 @@ def upsert_edges(stored: DataFrame, found: DataFrame, keys: list[str]) -> DataFr
     return both.select(*keys, F.greatest("confidence", "new_confidence").alias("confidence"), F.col("confidence").isNull().alias("is_new"))
 
 
+DUPLICATE_WEIGHTS = {"entity_type": 0.4, "year": 0.15, "city": 0.1}
+WORD_WEIGHT = 0.35
+
+
 def duplicate_candidates(entities: DataFrame, min_score: float) -> DataFrame:
-    """0.35 word overlap + 0.4 equal type + 0.15 equal year + 0.1 equal city, on pairs that share a rare block of name and year."""
-    keyed = entities.select("id", "city", "year", "entity_type", S.tokens(F.col("name")).alias("words"), F.concat_ws("|", "name", "year").alias("block"))
-    p = pairs_of(keyed, "block")
+    """0.35 word overlap + 0.4 equal type + 0.15 equal year + 0.1 equal city: all pairs at or above min_score, which is over 0.35.
+
+    Pairs come from each least set of equal fields that can reach min_score, alone or together with a shared word.
+    """
+    if min_score <= WORD_WEIGHT:
+        raise ValueError("shared words alone would reach min_score")
+    keyed = entities.select("id", *DUPLICATE_WEIGHTS, F.array_distinct(S.tokens(F.col("name"))).alias("words"))
+    ways: list[tuple[frozenset, bool]] = []
+    for n in range(1, len(DUPLICATE_WEIGHTS) + 1):
+        for fields in map(frozenset, itertools.combinations(DUPLICATE_WEIGHTS, n)):
+            weight = sum(DUPLICATE_WEIGHTS[c] for c in fields) + 1e-6
+            for word in (False, True):
+                if weight + WORD_WEIGHT * word >= min_score and not any(f <= fields and w <= word for f, w in ways):
+                    ways.append((fields, word))
+    found = []
+    for fields, word in ways:
+        on = [*sorted(fields), *["word"] * word]
+        rows = keyed.withColumn("word", F.explode("words")) if word else keyed
+        sides = [rows.select(*on, *[F.col(c).alias(f"{x}_{c}") for c in keyed.columns]) for x in "lr"]
+        p = sides[0].join(sides[1], on).where("l_id < r_id")
+        # of several shared words only the first gives the pair
+        found.append(p.where(F.col("word") == F.array_min(F.array_intersect("l_words", "r_words"))).drop(*on) if word else p.drop(*on))
     same = lambda c: F.when(F.col(f"l_{c}") == F.col(f"r_{c}"), 1.0).otherwise(0.0)
-    score = F.round(0.35 * S.jaccard(F.col("l_words"), F.col("r_words")) + 0.4 * same("entity_type") + 0.15 * same("year") + 0.1 * same("city"), 6)
-    return p.select("l_id", "r_id", score.alias("score")).where(F.col("score") >= min_score).withColumn("auto_merge", F.col("score") >= 0.95)
+    score = F.round(WORD_WEIGHT * S.jaccard(F.col("l_words"), F.col("r_words")) + sum(w * same(c) for c, w in DUPLICATE_WEIGHTS.items()), 6)
+    scored = [p.select("l_id", "r_id", score.alias("score")).where(F.col("score") >= min_score) for p in found]
+    return functools.reduce(DataFrame.unionByName, scored).distinct().withColumn("auto_merge", F.col("score") >= 0.95)
 
 
 def merge_candidates(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:

@@ -137,3 +137,20 @@ def test_merge_candidates_are_all_pairs_at_the_threshold(spark):
     want = {(i, j) for i in range(90) for j in range(i + 1, 90) if round(float(unit[i] @ unit[j]), 5) >= 0.3}
     got = [(r["l_id"], r["r_id"]) for r in entities.merge_candidates(df, 0.3, block=20).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_duplicate_candidates_are_all_pairs_at_the_score(spark):
+    rng = np.random.default_rng(8)
+    pick = lambda *v: v[rng.integers(len(v))]
+    rows = [(i, pick("t", "u", "v"), " ".join(rng.choice(["red", "blue", "tin", "box", "red"], 3)) if i % 9 else "", pick("a", "b", None), pick(1, 2, 3)) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, entity_type string, name string, city string, year int")
+
+    def score(a, b):
+        x, y = set(a[2].split()), set(b[2].split())
+        same = lambda k: float(a[k] is not None and a[k] == b[k])
+        return round(0.35 * (len(x & y) / len(x | y) if x | y else 0.0) + 0.4 * same(1) + 0.15 * same(4) + 0.1 * same(3), 6)
+
+    for least in (0.6, 0.7, 0.4):
+        want = {(a[0], b[0]): score(a, b) for a in rows for b in rows if a[0] < b[0] and score(a, b) >= least}
+        got = [(r["l_id"], r["r_id"], r["score"]) for r in entities.duplicate_candidates(df, least).collect()]
+        assert len(got) == len(want) and {(a, b): pytest.approx(x) for a, b, x in got} == want
