@@ -104,10 +104,27 @@ def rewrite_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.where("from_id <> to_id").groupBy("from_id", "to_id", "edge_type").agg(F.round(F.max("confidence"), 6).alias("confidence"), F.count("*").alias("reinforced"))
 
 
-def noisy_or(signals: DataFrame, by: list[str], order: str, weight: float = 0.85) -> DataFrame:
-    """Confidence of several signals: the first counts in full, each later one closes `weight` of its share of the gap; never lower."""
-    rest = F.aggregate(F.slice("s", 2, 1_000_000), F.element_at("s", 1)["confidence"], lambda e, x: F.greatest(e, F.least(F.lit(1.0), 1 - (1 - e) * (1 - weight * x["confidence"]))))
-    return signals.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "confidence"))).alias("s")).select(*by, F.round(rest, 6).alias("confidence"), F.size("s").alias("signals"))
+def noisy_or(signals: DataFrame, by: list[str], order: str, weight: float = 0.85, fold: int = 1000) -> DataFrame:
+    """Confidence of several signals: the first counts in full, each later one closes `weight` of its share of the gap; never lower.
+
+    Groups of at most `fold` signals are folded in order. Larger ones are 1 - (1 - first) * the product of what each later
+    signal leaves open, as a sum of logarithms, so that partial aggregates meet them and none is gathered. Shares of 1 and
+    more, and later signals without a value, close the gap; negative ones don't count.
+    """
+    leaves = lambda c: F.when(c.isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - weight * c)))
+    large = signals.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > fold).select(*[F.col(c).alias(f"large_{c}") for c in by], F.lit(True).alias("large"))
+    on = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"large_{c}")) for c in by])
+    left = leaves(F.col("confidence"))
+    marked = signals.join(large, on, "left").select(*by, F.struct(order, "confidence").alias("s"), left.alias("left"), "large")
+    g = marked.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.when(F.col("large").isNull(), F.col("s")))).alias("few"), F.min("s")["confidence"].alias("first"), F.count("*").alias("n"),
+        F.count_if(F.col("left") <= 0).alias("closed"), F.coalesce(F.sum(F.when(F.col("left") > 0, F.ln("left"))), F.lit(0.0)).alias("logs"),
+    )
+    folded = F.aggregate(F.slice("few", 2, fold), F.get("few", 0)["confidence"], lambda e, x: F.greatest(e, F.least(F.lit(1.0), 1 - (1 - e) * (1 - weight * x["confidence"]))))
+    own = leaves(F.col("first"))
+    rest = F.when(F.col("closed") > F.when(own <= 0, 1).otherwise(0), 0.0).otherwise(F.exp(F.col("logs") - F.when(own > 0, F.ln(own)).otherwise(0.0)))
+    whole = F.when(F.col("first").isNull(), 1.0).otherwise(F.greatest("first", F.least(F.lit(1.0), 1 - (1 - F.col("first")) * rest)))
+    return g.select(*by, F.round(F.when(F.col("n") <= fold, folded).otherwise(whole), 6).alias("confidence"), F.col("n").cast("int").alias("signals"))
 
 
 def entity_confidence(links: DataFrame) -> DataFrame:

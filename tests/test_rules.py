@@ -154,3 +154,23 @@ def test_duplicate_candidates_are_all_pairs_at_the_score(spark):
         want = {(a[0], b[0]): score(a, b) for a in rows for b in rows if a[0] < b[0] and score(a, b) >= least}
         got = [(r["l_id"], r["r_id"], r["score"]) for r in entities.duplicate_candidates(df, least).collect()]
         assert len(got) == len(want) and {(a, b): pytest.approx(x) for a, b, x in got} == want
+
+
+def test_signals_are_folded_by_partial_aggregates(spark):
+    groups = {1: [0.3, 0.2, 0.9, 0.1], 2: [0.5], 3: [0.2, 1.3, 0.4], 4: [1.2, 0.4], 5: [0.4, -0.5, 0.2], 6: [0.4, None], 7: [None, 0.3], 8: [1.0, 0.2], 9: [0.0] * 40 + [0.01] * 40}
+    df = spark.createDataFrame([(k, i, c) for k, v in groups.items() for i, c in enumerate(v)], "k int, o int, confidence double")
+
+    def fold(v):
+        e = v[0]
+        for x in v[1:]:
+            e = 1.0 if e is None or x is None else max(e, min(1.0, 1 - (1 - e) * (1 - 0.85 * x)))
+        return e
+
+    want = {k: (pytest.approx(fold(v), abs=1e-6), len(v)) for k, v in groups.items()}
+    for few in (1000, 3, 1):
+        assert {r["k"]: (r["confidence"], r["signals"]) for r in entities.noisy_or(df, ["k"], "o", fold=few).collect()} == want
+
+
+def test_signals_beyond_a_million_count(spark):
+    df = spark.range(1_000_005).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("o"), F.when(F.col("id") == 1_000_004, 0.5).otherwise(0.0).alias("confidence"))
+    assert [tuple(r) for r in entities.noisy_or(df, ["k"], "o").collect()] == [(None, pytest.approx(0.425), 1_000_005)]
