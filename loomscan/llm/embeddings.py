@@ -65,8 +65,10 @@ class Index:
 
     def probes(self, x: np.ndarray, home: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of all lists whose plane against the home list is within margin of the vector; the home list always."""
-        d2 = (self.centre**2).sum(axis=1) - 2 * x @ self.centre.T
-        apart = np.linalg.norm(self.centre[home][:, None] - self.centre[None], axis=2)
+        length = (self.centre**2).sum(axis=1)
+        d2 = length - 2 * x @ self.centre.T
+        own, back = np.unique(home, return_inverse=True)
+        apart = np.sqrt(np.maximum(length[own][:, None] + length - 2 * self.centre[own] @ self.centre.T, 0))[back]
         off = (d2 - d2[np.arange(len(x)), home][:, None]) / np.maximum(2 * apart, 1e-12)
         near = off <= margin
         near[np.arange(len(x)), home] = True
@@ -77,22 +79,32 @@ class Index:
         return [(rest[:, a:b] ** 2).sum(axis=1)[:, None] - 2 * rest[:, a:b] @ book.T + (book**2).sum(axis=1) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Valid vectors as bytes of doubles of length one, with a digest of the values given."""
-    for batch in batches:
-        keys, dims, units = [], [], []
-        for e in batch.column(1).to_pylist():
-            v = np.array(e, float) if e and None not in e else np.zeros(0)
-            norm = np.linalg.norm(v / m) * m if len(v) and np.isfinite(v).all() and (m := np.abs(v).max()) > 0 else 0.0
-            ok = norm > 0 and np.isfinite(norm)
-            keys.append(hashlib.md5(v.tobytes()).digest() if ok else None)
-            dims.append(len(v) if ok else None)
-            units.append((v / norm).tobytes() if ok else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], names=["vec_id", "key", "dim", "unit"])
+def _clean(single: bool):
+    """Valid vectors as bytes of the values given, in single precision if they came so, with a digest."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, dims, raws = [], [], []
+            for e in batch.column(1).to_pylist():
+                v = np.array(e, float) if e and None not in e else np.zeros(0)
+                norm = np.linalg.norm(v / m) * m if len(v) and np.isfinite(v).all() and (m := np.abs(v).max()) > 0 else 0.0
+                raw = v.astype(np.float32 if single else np.float64).tobytes() if norm > 0 and np.isfinite(norm) else None
+                keys.append(None if raw is None else hashlib.md5(raw).digest())
+                dims.append(None if raw is None else len(v))
+                raws.append(raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], names=["vec_id", "key", "dim", "unit"])
+
+    return work
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+    """Packed vectors as doubles of length one."""
+    raws = column.to_pylist()
+    if not raws:
+        return np.zeros((0, dim))
+    x = np.frombuffer(b"".join(raws), np.float32 if len(raws[0]) == 4 * dim else np.float64).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _send(index: Index, dim: int, margin: float, blocks: np.ndarray | None):
@@ -178,7 +190,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float =
     without links, component null, not kept. An id that stands twice counts as two vectors. Other columns are ignored.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
-    rows = materialize(source.mapInArrow(_clean, "vec_id long, key binary, dim int, unit binary"), "vectors")
+    single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
+    rows = materialize(source.mapInArrow(_clean(single), "vec_id long, key binary, dim int, unit binary"), "vectors")
     distinct = materialize(rows.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("unit").alias("unit")), "distinct")
     found = []
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -187,7 +200,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float =
         share = min(1.0, sample / n)
         some = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec_id", "unit").orderBy("vec_id").limit(2 * sample).collect()
         some = some or own.orderBy("vec_id").limit(1).collect()
-        index = Index.fit(np.frombuffer(b"".join(r["unit"] for r in some), np.float64).reshape(-1, dim), int(np.clip(np.sqrt(n), 1, 1024)))
+        index = Index.fit(_matrix(pa.array([r["unit"] for r in some], pa.binary()), dim), int(np.clip(np.sqrt(n), 1, max(1, sample // 8))))
         size = np.zeros(len(index.centre), np.int64)
         for r in own.mapInArrow(_send(index, dim, margin, None), "list int").groupBy("list").count().collect():
             size[r["list"]] = r["count"]

@@ -2,14 +2,16 @@
 
 Documents are cut into pieces of at most the longest length. Pieces are dealt to shards by a hash, each shard small
 enough for one task, and each shard is packed by itself, so that the cost is linear and a shard loses at most its last
-bins. In a shard, pieces go in falling length into the open bin that they fill best; where none fits, a bin is opened.
-The size to open is optimised jointly: for each permitted size as the least size to open, the shard is packed and all
-bins are downsized to the least permitted length that holds their contents; the plan of least cost stays.
+bins. In a shard, pieces go in falling length into the open bin that they fill best. Where none fits, a bin is opened: each
+permitted size is filled in thought with the longest pieces left, brought down to the least length that holds them, and
+the size of least cost by token packed is opened. At the end each bin is downsized to its contents. The plan is held against
+those that always open one size, and the least cost stays.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,80 +19,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomscan.llm.runs import key_runs, repeated
+
 CAPACITIES = (1024, 2048, 4096, 8192)
 SHARD_PIECES = 20_000
+OVERHEAD = 8
+
+
+class _Left:
+    """The pieces still to come, by length."""
+
+    def __init__(self, lengths: list[int]):
+        self.count = Counter(lengths)
+        self.sizes = sorted(self.count)
+
+    def take(self, n: int) -> None:
+        self.count[n] -= 1
+        if not self.count[n]:
+            del self.sizes[bisect_left(self.sizes, n)]
+
+    def filled(self, room: int) -> int:
+        """What the longest pieces that fit, one after the other, would use of the room."""
+        used, at = 0, len(self.sizes)
+        while room and (at := bisect_right(self.sizes, room, 0, at)):
+            n = self.sizes[at - 1]
+            many = min(self.count[n], room // n)
+            used, room, at = used + many * n, room - many * n, at - 1
+        return used
+
+
+def _packed(lengths: list[int], capacities: tuple[int, ...], overhead: int, least: int | None) -> tuple[int, list[int], list[int], list[int]]:
+    """(cost, bin of each piece, offset of each piece, capacity of each bin). least: the size to open; None: the best one each time."""
+    bins, offsets, used, room = [], [], [], []  # room: (free, bin), sorted
+    left = _Left(lengths) if least is None else None
+    for n in lengths:
+        if left:
+            left.take(n)
+        at = bisect_left(room, (n, -1))
+        if at < len(room):
+            free, b = room.pop(at)
+        else:
+            b, fits = len(used), capacities[bisect_left(capacities, n) :]
+            if least is None:
+                free = min(fits, key=lambda c: (_cost_by_token(n + left.filled(c - n), capacities, overhead), -c))
+            else:
+                free = max(least, fits[0])
+            used.append(0)
+        bins.append(b)
+        offsets.append(used[b])
+        used[b] += n
+        if free > n:
+            insort(room, (free - n, b))
+    down = [capacities[bisect_left(capacities, u)] for u in used]
+    return sum(down) + overhead * len(down), bins, offsets, down
 
 
-def pack(lengths: list[int], capacities: tuple[int, ...], overhead: int = 8) -> tuple[list[int], list[int], list[int]]:
+def _cost_by_token(used: int, capacities: tuple[int, ...], overhead: int) -> float:
+    return (capacities[bisect_left(capacities, used)] + overhead) / used
+
+
+def pack(lengths: list[int], capacities: tuple[int, ...], overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
     """(bin of each piece, offset of each piece, capacity of each bin) of least cost: capacities plus overhead a bin.
 
-    lengths: in falling order, none over the longest capacity. Of equal costs the plan that opens the longer size stays.
+    lengths: in falling order, none over the longest capacity. Of equal costs the plan with a size chosen for each bin
+    stays, then that which opens the longer size.
     """
-    best = None
-    for least in reversed(capacities):
-        bins, offsets, used, room = [], [], [], []  # room: (free, bin), sorted
-        opened = []
-        for n in lengths:
-            at = bisect_left(room, (n, -1))
-            if at < len(room):
-                free, b = room.pop(at)
-            else:
-                b = len(used)
-                size = max(least, capacities[bisect_left(capacities, n)])
-                free = size
-                used.append(0)
-                opened.append(size)
-            bins.append(b)
-            offsets.append(used[b])
-            used[b] += n
-            if free > n:
-                insort(room, (free - n, b))
-        down = [capacities[bisect_left(capacities, u)] for u in used]
-        cost = sum(down) + overhead * len(down)
-        if best is None or cost < best[0]:
-            best = cost, bins, offsets, down
-    return best[1:] if best else ([], [], [])
-
-
-def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """One row per piece: doc_id, piece, start and length (bytes of the UTF-8 text), bin_id, bin_offset, capacity, bin_used.
-
-    Lengths are bytes, the tokens of a byte-level model. Null and empty texts take no room and have one piece of length
-    0 in no bin (bin_id, offset and capacity null). Repeated rows and null ids are packed like any other row; other
-    columns are ignored. Equal lengths are ordered by id and piece.
+    if not lengths:
+        return [], [], []
+    plans = [_packed(lengths, capacities, overhead, least) for least in (None, *reversed(capacities))]
+    return min(plans, key=lambda x: x[0])[1:]
+
+
+def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, capacities: tuple[int, ...] = CAPACITIES, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """One row per piece: doc_id, piece, start and length, bin_id, bin_offset, capacity, bin_used.
+
+    Lengths are those of length_col, such as token counts; without it, bytes of the UTF-8 text, the tokens of a byte-level
+    model. Null, empty and negative ones take no room and have one piece of length 0 in no bin (bin_id, offset and capacity
+    null). Rows that repeat are dealt to shards one by one, like any other; null ids are packed too; other columns are
+    ignored. Equal lengths are ordered by id and piece.
     """
     capacities = tuple(sorted(set(capacities)))
     longest = capacities[-1]
-    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0))
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.cast("long").alias("size"))
-    pieces = sized.select("doc_id", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("size") - 1) / longest), F.lit(0)))).alias("piece", "n")).select(
-        "doc_id", "piece", (F.col("n") * longest).alias("start"), F.least(F.col("size") - F.col("n") * longest, F.lit(longest)).alias("length")
+    size = F.greatest(F.coalesce(F.col(length_col).cast("long") if length_col else F.octet_length(F.col(text_col).cast("string")).cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long"))
+    # equal rows are counted and come back with a number each, so that a hash can deal them to different shards
+    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size")).groupBy("doc_id", "size").agg(F.count("*").alias("copies"))
+    sized = repeated(counted, "copies", number="copy")
+    last = F.greatest(F.floor((F.col("size") - 1) / longest), F.lit(0).cast("long"))
+    pieces = sized.select("doc_id", "size", "copy", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
+        "doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * longest).alias("start"), F.least(F.col("size") - F.col("piece") * longest, F.lit(longest)).alias("length"), "copy"
     )
-    total = pieces.count()
+    total = docs.select(size.alias("size")).agg(F.sum(last + 1)).first()[0] or 0
     shards = max(1, -(-total // shard_pieces))
+    names = ["doc_id", "piece", "start", "length", "bin_id", "bin_offset", "capacity", "bin_used"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (batches := list(batches)):
-            return
-        table = pa.Table.from_batches(batches)
-        shard = table.column("shard").to_numpy()
-        n = table.column("length").to_numpy()
-        order = np.lexsort((table.column("piece").to_numpy(), table.column("doc_id").fill_null(-1).to_numpy(), -n, shard))
-        for s in np.unique(shard).tolist():
-            own = order[shard[order] == s]
-            full = own[n[own] > 0]
+    def shard_rows(table: pa.Table) -> pa.RecordBatch:
+        """A whole shard, or several of them."""
+        shard, n = table.column("shard").to_numpy(), table.column("length").to_numpy()
+        order = np.lexsort((table.column("copy").to_numpy(), table.column("piece").to_numpy(), table.column("doc_id").fill_null(-1).to_numpy(), -n, shard))
+        out = []
+        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            full, none = own[n[own] > 0], own[n[own] == 0]
             bins, offsets, down = pack(n[full].tolist(), capacities)
             b = np.array(bins, np.int64)
-            used = np.bincount(b, n[full], len(down)).astype(np.int64) if len(b) else b
-            rows = table.take(pa.array(full)).drop_columns(["shard"])
-            cols = [*rows.columns, pa.array((np.int64(s) << 32) + b), pa.array(offsets, pa.int64()), pa.array(np.array(down, np.int64)[b] if len(b) else b), pa.array(used[b] if len(b) else b)]
-            none = own[n[own] == 0]
-            yield from pa.Table.from_arrays(cols, names=names).to_batches()
-            if len(none):
-                rows = table.take(pa.array(none)).drop_columns(["shard"])
-                yield from pa.Table.from_arrays([*rows.columns, *[pa.nulls(len(none), pa.int64())] * 4], names=names).to_batches()
+            used = np.bincount(b, n[full], len(down)).astype(np.int64)
+            about = table.select(names[:4])
+            out.append(pa.Table.from_arrays([*about.take(pa.array(full)).columns, *(pa.array(np.asarray(x, np.int64)) for x in ((np.int64(shard[own[0]]) << 32) + b, offsets, np.array(down, np.int64)[b], used[b]))], names=names))
+            out.append(pa.Table.from_arrays([*about.take(pa.array(none)).columns, *[pa.nulls(len(none), pa.int64())] * 4], names=names))
+        return pa.concat_tables(out).combine_chunks().to_batches()[0]
 
-    names = ["doc_id", "piece", "start", "length", "bin_id", "bin_offset", "capacity", "bin_used"]
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)).alias("shard")
-    dealt = pieces.select("doc_id", "piece", "start", "length", shard).repartition(shards, "shard")
-    return dealt.mapInArrow(work, "doc_id long, piece int, start long, length long, bin_id long, bin_offset long, capacity long, bin_used long")
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "copy"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(lambda batches: key_runs(batches, "shard", shard_rows), "doc_id long, piece int, start long, length long, bin_id long, bin_offset long, capacity long, bin_used long")

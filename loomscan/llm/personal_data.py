@@ -4,7 +4,9 @@ Patterns give the base spans. Around them, tokens that hold a digit or an @ form
 text are linked as a chain, and distant tokens that are equal, or similar (same digits, or same name before the @), are
 linked by skip edges. Tokens inside base spans are observed; the others have a unary potential by their shape. Loopy
 sum-product passes messages until they settle; a token whose best label is a kind with probability of at least
-`certain` becomes a span. Unary, chain and skip potentials are learned from the base labels of a bounded sample.
+`certain` becomes a span. Unary, chain and skip potentials are counts of the base labels over all documents. What the
+field adds is what a pattern alone can't see: a number without its plus sign, or an address cut short, that stands in a
+document together with its full form. It adds no span where no linked token is known.
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-MAX_TRAIN = 10_000
 CERTAIN = 0.8
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match takes whole runs of digits, so it begins where a run does; runs without a point are passed once.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+_RUN = re.compile(r"\S+")
+_SEED = re.compile(r"[0-9@]")
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>*#$%&|"
 
 
@@ -74,8 +77,10 @@ def shape(token: str) -> str:
 def tokens_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, label): label 0 if no base span touches the token, else that of the first one that does."""
     out, k = [], 0
-    for m in _TOKEN.finditer(text) if base or "@" in text or _DIGITS.search(text) else ():
+    for m in _RUN.finditer(text) if base or _SEED.search(text) else ():
         a, b = m.span()
+        if not _SEED.search(text, a, b):
+            continue
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE:
@@ -135,19 +140,20 @@ class Field:
                 unary[i] = 1e-9
                 unary[i, x] = 1.0
         skips = skip_edges(words)
-        edges = [(i, i + 1, self.chain) for i in range(n - 1)] + [(i, j, self.skip) for i, j in skips if not (labels[i] and labels[j])]
+        edges = [(i, i + 1) for i in range(n - 1)] + [(i, j) for i, j in skips if not (labels[i] and labels[j])]
         if not edges:
             return unary / unary.sum(axis=1, keepdims=True)
+        chained = n - 1
         a = np.array([e[0] for e in edges] + [e[1] for e in edges])
         b = np.array([e[1] for e in edges] + [e[0] for e in edges])
-        psi = np.stack([e[2] for e in edges] * 2)
         back = np.r_[np.arange(len(edges)) + len(edges), np.arange(len(edges))]
+        skipping = np.tile(np.arange(len(edges)) >= chained, 2)[:, None]
         message = np.full((len(a), len(LABELS)), 1.0 / len(LABELS))
         for _ in range(rounds):
             belief = np.log(unary)
             np.add.at(belief, b, np.log(message))
             out = np.exp(belief[a] - np.log(message[back]) - belief[a].max(axis=1, keepdims=True))
-            new = np.einsum("ei,eij->ej", out, psi)
+            new = np.where(skipping, out @ self.skip, out @ self.chain)
             new = np.maximum(new / new.sum(axis=1, keepdims=True), 1e-12)
             settled = np.abs(new - message).max() < 1e-6
             message = 0.5 * message + 0.5 * new
@@ -159,11 +165,8 @@ class Field:
         return belief / belief.sum(axis=1, keepdims=True)
 
 
-def learn(docs: DataFrame, max_train: int = MAX_TRAIN) -> Field:
-    """Counts over docs (doc_id, text), or over about max_train of them chosen by a hash of the id."""
-    n = docs.count()
-    if n > max_train:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_train / n))
+def learn(docs: DataFrame) -> Field:
+    """Counts over all docs (doc_id, text); what comes back is a row for each token shape and pair of labels."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -204,14 +207,14 @@ def _text_of(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and digest are of the base spans; spans holds all, as kind:start:end by start and kind, in code points. Null and
     empty texts have none (the digest is that of the empty string). Repeated rows and null ids are no special case; other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    field = learn(source, max_train)
+    field = learn(source)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +230,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tr
     return source.mapInArrow(work, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def masked(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+def masked(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in angle brackets, and n_chars counted anew; other columns as they are. Null texts stay null."""
-    field = learn(docs.select("doc_id", F.col("text").cast("string").alias("text")), max_train)
+    field = learn(docs.select("doc_id", F.col("text").cast("string").alias("text")))
 
     @F.pandas_udf("string")
     def mask(texts):

@@ -1,7 +1,8 @@
 """Removal of long repeats by recompression.
 
 Words get 64-bit names; one round names runs of equal words, further rounds name pairs of a left and a right symbol,
-the side being a bit of the symbol's name. Names are hashes, so they agree across all documents without a dictionary.
+the side being a bit of the symbol's name. Names are hashes of what they stand for: equal runs and pairs get equal names in
+every task, which is what a naming round over all documents would give, without shuffling every symbol in every round.
 A symbol depends on its context only, a range of words that every round tracks; two equal windows therefore hold the
 same symbols wherever a symbol's context lies inside the window. Each window is anchored at the least named such
 symbol of the highest level that has one (words in the worst case), and neighbouring windows of one anchor form a block. Spark
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.runs import ramp
+from loomscan.llm.runs import PowerSums, mixed, ramp
 from loomscan.plans.shared import materialize
 
 ROUNDS = 6
@@ -29,50 +30,21 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORDS = 1 << 18
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2^64, as far as asked for."""
-
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, _U), np.ones(1, _U)
-
-    def reach(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = max(n + 1, 1 << 16)
-            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                x = np.full(size, b, _U)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-
-    def sums(self, names: np.ndarray) -> np.ndarray:
-        self.reach(len(names))
-        return np.r_[_U(0), np.cumsum(names * self.up[: len(names)], dtype=_U)]
-
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the ranges, wherever they lie."""
-        return _mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(_U))
-
-
 def levels(names: np.ndarray, first: np.ndarray, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(name, context start, context end) of the symbols of each level, words first. first: start of each document, and the end."""
     n = len(names)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     start = np.arange(n)
-    yield _mix(names), start, start + 1
+    yield mixed(names), start, start + 1
     head = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])])
     end = np.r_[head[1:], n]
     length = (end - head).astype(_U)
-    name = np.where(length > 1, _mix(names[head] * _U(_BASES[1]) + length), names[head])
+    name = np.where(length > 1, mixed(names[head] * _U(_BASES[1]) + length), names[head])
     doc, cs, ce = doc[head], head - 1, end + 1
     for level in range(rounds):
         if len(name) < 2:
             break
-        left = (_mix(name + _U(level * 2 + 1)) & _U(1)) == 0
+        left = (mixed(name + _U(level * 2 + 1)) & _U(1)) == 0
         same = doc[1:] == doc[:-1]
         pair = np.r_[left[:-1] & ~left[1:] & same, False]
         second = np.r_[False, pair[:-1]]
@@ -82,7 +54,7 @@ def levels(names: np.ndarray, first: np.ndarray, rounds: int) -> Iterator[tuple[
         cs = np.where(left, cs, np.minimum(cs, before))
         at = np.flatnonzero(pair)
         name = name.copy()
-        name[at] = _mix(name[at] * _U(_BASES[0]) + _mix(name[at + 1]) + _U(level))
+        name[at] = mixed(name[at] * _U(_BASES[0]) + mixed(name[at + 1]) + _U(level))
         keep = ~second
         name, doc, cs, ce = name[keep], doc[keep], cs[keep], ce[keep]
         yield name, cs, ce
@@ -101,12 +73,12 @@ def _least(values: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarra
     return out
 
 
-def blocks(names: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS, powers: Powers | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def blocks(names: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS, powers: PowerSums | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first and last window start) of all blocks; every window of every document is in one block.
 
     An anchor is the content of the chosen symbol's context, which lies in the window and says more than the symbol alone.
     """
-    powers = powers or Powers(_BASES[0])
+    powers = powers or PowerSums(_BASES[0])
     sums = powers.sums(names)
     count = np.maximum(np.diff(first) - window + 1, 0)
     p = np.repeat(first[:-1], count) + ramp(count)
@@ -118,7 +90,7 @@ def blocks(names: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUN
         q = p[open_]
         k, last = np.searchsorted(cs, q), np.searchsorted(ce, q + window, side="right") - 1
         ok = k <= last
-        at, k = open_[ok], _least(_mix(name), k[ok], last[ok])
+        at, k = open_[ok], _least(mixed(name), k[ok], last[ok])
         anchor[at], place[at] = powers.of(sums, cs[k], ce[k]), k * (rounds + 3) + depth
         open_ = open_[~ok]
     cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (p[1:] != p[:-1] + 1)]) if len(p) else np.zeros(0, np.int64)
@@ -134,27 +106,31 @@ def _named(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(digest, words), _U, len(words))
 
 
-def _pieces(ids: list, texts: list, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, document starts, names) of some documents at a time; those too short for a window are left out."""
+def _pieces(ids: list, keys: list, texts: list, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, text keys, document starts, names) of some documents at a time; those too short for a window are left out."""
     got, names, size = [], [], 0
-    for i, t in zip(ids, texts, strict=True):
+
+    def piece():
+        return np.array([i for i, _ in got], np.int64), np.array([k for _, k in got], np.int64), np.r_[0, np.cumsum([len(x) for x in names])], np.concatenate(names)
+
+    for i, k, t in zip(ids, keys, texts, strict=True):
         if i is None or len(words := _words(t)) < window:
             continue
-        got.append(i)
+        got.append((i, k))
         names.append(_named(words))
         size += len(words)
         if size >= _WORDS:
-            yield np.array(got, np.int64), np.r_[0, np.cumsum([len(x) for x in names])], np.concatenate(names)
+            yield piece()
             got, names, size = [], [], 0
     if got:
-        yield np.array(got, np.int64), np.r_[0, np.cumsum([len(x) for x in names])], np.concatenate(names)
+        yield piece()
 
 
 def _anchor_rows(window: int, rounds: int, with_blocks: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers(_BASES[0])
+        powers = PowerSums(_BASES[0])
         for batch in batches:
-            for ids, first, names in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window):
+            for ids, keys, first, names in _pieces(*(batch.column(k).to_pylist() for k in ("doc_id", "key", "text")), window):
                 anchor, lo, hi = blocks(names, first, window, rounds, powers)
                 doc = np.searchsorted(first, lo, side="right") - 1
                 if with_blocks:
@@ -163,8 +139,8 @@ def _anchor_rows(window: int, rounds: int, with_blocks: bool):
                     a, c, d = anchor[order], content[order], doc[order]
                     new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]) if len(order) else order
                     places = pa.ListArray.from_arrays(pa.array(np.r_[new, len(order)].astype(np.int32)), pa.array((lo - first[doc])[order].astype(np.int32)))
-                    cols = [a[new].view(np.int64), ids[d[new]], (hi - lo)[order][new].astype(np.int32), c[new].view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), places], names=["name", "doc_id", "width", "block", "lo"])
+                    cols = [a[new].view(np.int64), ids[d[new]], keys[d[new]], (hi - lo)[order][new].astype(np.int32), c[new].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), places], names=["name", "doc_id", "key", "width", "block", "lo"])
                 else:
                     order = np.lexsort((anchor, doc))
                     a, d = anchor[order], doc[order]
@@ -176,15 +152,16 @@ def _anchor_rows(window: int, rounds: int, with_blocks: bool):
 
 def _window_rows(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, unzip = [Powers(b) for b in _BASES], zstandard.ZstdDecompressor().decompress
+        powers, unzip = [PowerSums(b) for b in _BASES], zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for i, z, spans in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "packed", "spans")), strict=True):
+            for i, key, z, spans in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "key", "packed", "spans")), strict=True):
                 names = _named(unzip(z).split())
                 lo, hi = (np.array([s[k] for s in spans], np.int64) for k in ("lo", "hi"))
                 hi = np.minimum(hi, len(names) - window)
                 at = np.unique(np.repeat(lo, np.maximum(hi - lo + 1, 0)) + ramp(np.maximum(hi - lo + 1, 0)))
                 hashes = [p.of(p.sums(names), at, at + window).view(np.int64) for p in powers]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), pa.array(np.full(len(at), i, np.int64)), pa.array(at.astype(np.int32))], names=["h1", "h2", "doc_id", "lo"])
+                rows = [pa.array(hashes[0]), pa.array(hashes[1]), pa.array(np.full(len(at), i, np.int64)), pa.array(np.full(len(at), key, np.int64)), pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(rows, names=["h1", "h2", "doc_id", "key", "lo"])
 
     return work
 
@@ -193,8 +170,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts cross the network compressed."""
     zip_ = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        packed = [zip_((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+        packed = [zip_((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(packed, pa.binary())], names=["doc_id", "key", "packed"])
 
 
 def _cut(window: int, with_text: bool):
@@ -226,30 +203,35 @@ def _cut(window: int, with_text: bool):
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, lo, hi): the windows starting at words lo to hi of a document also start in a document with a smaller doc_id."""
+    """(doc_id, key, lo, hi): the windows starting at words lo to hi of a row also start in a document with a smaller doc_id. docs: doc_id, key, text."""
     shared = docs.mapInArrow(_anchor_rows(window, rounds, False), "name long, doc_id long").groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name")
-    rows = docs.mapInArrow(_anchor_rows(window, rounds, True), "name long, doc_id long, width int, block long, lo array<int>")
+    rows = docs.mapInArrow(_anchor_rows(window, rounds, True), "name long, doc_id long, key long, width int, block long, lo array<int>")
     rows = materialize(rows.join(shared, "name"), "blocks")
     by_block = rows.groupBy("name", "block").agg(F.min("doc_id").alias("first"))
     several = by_block.groupBy("name").agg(F.min("block").alias("x"), F.max("block").alias("y")).select("name", (F.col("x") < F.col("y")).alias("several"))
-    judged = materialize(rows.join(by_block, ["name", "block"]).join(several, "name").select("doc_id", "lo", "width", "several", (F.col("doc_id") > F.col("first")).alias("repeat")), "judged")
-    judged = judged.select("doc_id", "several", "repeat", "width", F.explode("lo").alias("lo")).withColumn("hi", F.col("lo") + F.col("width"))
-    unsure = judged.where("not repeat and several").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    texts = docs.where("doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary")
-    windows = materialize(texts.join(unsure, "doc_id").mapInArrow(_window_rows(window), "h1 long, h2 long, doc_id long, lo int"), "windows")
+    # written apart, so that adaptive execution can split the rows of a common block in the join
+    known = materialize(by_block.join(several, "name"), "block-firsts")
+    judged = materialize(rows.join(known, ["name", "block"]).select("doc_id", "key", "lo", "width", "several", (F.col("doc_id") > F.col("first")).alias("repeat")), "judged")
+    judged = judged.select("doc_id", "key", "several", "repeat", "width", F.explode("lo").alias("lo")).withColumn("hi", F.col("lo") + F.col("width"))
+    # rows that repeat both id and text give equal spans, which count once
+    unsure = judged.where("not repeat and several").groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    texts = docs.where("doc_id is not null").mapInArrow(_pack, "doc_id long, key long, packed binary")
+    windows = materialize(texts.join(unsure, ["doc_id", "key"]).mapInArrow(_window_rows(window), "h1 long, h2 long, doc_id long, key long, lo int"), "windows")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    late = windows.join(least, ["h1", "h2"]).where("doc_id > first").select("doc_id", "lo", F.col("lo").alias("hi"))
-    return judged.where("repeat").select("doc_id", "lo", "hi").unionByName(late)
+    late = windows.join(least, ["h1", "h2"]).where("doc_id > first").select("doc_id", "key", "lo", F.col("lo").alias("hi"))
+    return judged.where("repeat").select("doc_id", "key", "lo", "hi").unionByName(late)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, with_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, with with_text also kept_text.
 
-    Null and empty texts have no words. Rows without an id keep all words and lend none. Rows that share an id are
-    one document: a repeat inside it is kept. Equal texts: all windows of the later ids go. Other columns are ignored.
+    Null and empty texts have no words. Rows without an id keep all words and lend none. Rows that share an id lend each
+    other nothing, and each loses only what its own text repeats of smaller ids; positions belong to a row's text, which is
+    named by a 64-bit hash. Equal texts: all windows of the later ids go. Other columns are ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(source, window, rounds).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    texts = source.mapInArrow(_pack, "doc_id long, packed binary")
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    spans = repeated_spans(source, window, rounds).groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    texts = source.mapInArrow(_pack, "doc_id long, key long, packed binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(spans, "doc_id", "left").mapInArrow(_cut(window, with_text), schema)
+    return texts.join(spans, ["doc_id", "key"], "left").mapInArrow(_cut(window, with_text), schema)

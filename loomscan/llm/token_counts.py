@@ -1,30 +1,38 @@
 """Token counts from a byte-pair vocabulary compiled to a deterministic transducer.
 
-Layer one cuts a text into pretokens; all its rules look at most at the neighbouring runs of character classes, so the
-cuts of a chunk come from array operations. Layer two reads the bytes of a pretoken. Its state holds, for each earlier
-cut from which a vocabulary entry can still grow, the entry's place in the vocabulary's prefix tree, the last token
-before the cut and the token count there, relative to now. Each transition carries the change of the token count. Of
-all entries that end at a byte just one can follow the last token before it (merging both again gives back the two),
-which makes the transducer deterministic; states are made when first met and kept.
-
-A long text is cut into chunk rows. A chunk's state map is (count inside, bytes before the first sure cut, bytes after
-the last one): whatever state a chunk is entered in, it is in the start state at a sure cut. Maps are composed in
-order, two neighbours at a time, as in a prefix scan.
+The transducer reads characters. Its outer state says where in a pretoken it stands (a run of letters, digits, others or
+blanks, or an apostrophe that may begin a contraction); its inner state reads the bytes of the pretoken: for each earlier
+cut from which a vocabulary entry can still grow, the entry's place in the vocabulary's prefix tree, the last token before
+the cut and the token count there, relative to now. Each transition carries the change of the token count. Of all entries
+that end at a byte just one can follow the last token before it (merging both again gives back the two), which makes the
+transducer deterministic; states are made when first met and kept.
+
+A long text is cut into chunk rows, which Spark deals to tasks. A chunk's state map takes each state in which the chunk
+may be entered to the state in which it is left and the tokens in between. Where blanks stand in the chunk or before it, one
+entry state is possible; in long runs without any, the states that the characters before the chunk can lead to, from each
+place where a token could have begun. Maps are composed in order, neighbours in groups of a fixed size, level by level, as
+in a prefix scan. A text of which a map lacks a state that is needed is read again from its start, in one pass.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 1 << 16
+from loomscan.llm.runs import repeated
+from loomscan.plans.shared import materialize
+
+CHUNK_CHARS = 1 << 14
+CONTEXT = 512
+FAN_IN = 64
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _KEPT = 1 << 20
@@ -48,7 +56,8 @@ class Transducer:
         self.child: dict[int, int] = {}
         self.token: dict[int, bytes] = {}
         nodes = 1
-        for word in vocabulary:
+        self.longest = max(map(len, vocabulary))
+        for word in sorted(vocabulary):  # nodes have the same numbers in every task
             at = 0
             for b in word:
                 key = at << 8 | b
@@ -97,7 +106,18 @@ class Transducer:
     def count(self, data: bytes) -> int:
         if len(self.states) > _KEPT:
             self.reset()
-        state = total = 0
+        return self.read(0, data)[1]
+
+    def number(self, key: tuple) -> int:
+        """The number of a state that may come from another task."""
+        if (at := self.known.get(key)) is None:
+            at = self.known[key] = len(self.states)
+            self.states.append(key)
+        return at
+
+    def read(self, state: int, data: bytes) -> tuple[int, int]:
+        """(state after the bytes, change of the token count)."""
+        total = 0
         moves = self.moves
         for byte in data:
             step = moves.get(state << 8 | byte)
@@ -105,7 +125,7 @@ class Transducer:
                 step = self._compile(state, byte)
             state = step[0]
             total += step[1]
-        return total
+        return state, total
 
 
 def _byte_letters() -> dict[int, str]:
@@ -181,21 +201,18 @@ class Counter:
 
     def __init__(self, path: str):
         self.transducer = Transducer(path)
+        self.special = re.compile("|".join(map(re.escape, sorted(self.transducer.specials, key=len, reverse=True)))) if self.transducer.specials else None
         self.seen: dict[int, int] = {}
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text; special strings inside count one each."""
+    def counts(self, texts: list[str], split: bool = True) -> np.ndarray:
+        """Tokens of each text; special strings inside count one each, unless they are split off already."""
         out = np.zeros(len(texts), np.int64)
         parts, owner = [], []
         for i, text in enumerate(texts):
-            pieces = [text]
-            for special in self.transducer.specials:
-                if special in text:
-                    split = [x.split(special) for x in pieces]
-                    out[i] += sum(len(x) - 1 for x in split)
-                    pieces = [y for x in split for y in x]
-            parts += pieces
-            owner += [i] * len(pieces)
+            for piece, specials in self.pieces(text) if split else ((text, 0),):
+                out[i] += specials
+                parts.append(piece)
+                owner.append(i)
         at = 0
         while at < len(parts):
             end, size = at, 0
@@ -231,70 +248,210 @@ class Counter:
         cut = np.searchsorted(start, edges)
         return per[cut[1:]] - per[cut[:-1]]
 
-    def state_map(self, text: str) -> tuple[int, str, str | None]:
-        """(tokens between the first and the last sure cut, what precedes the first, what follows the last: None without a cut)."""
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        space = _classes()[code] == _SPACE
-        cuts = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        if not len(cuts):
-            return 0, text, None
-        a, b = int(cuts[0]), int(cuts[-1])
-        return int(self.counts([text[a:b]])[0]) if b > a else 0, text[:a], text[b:]
-
-
-def _compose(counter: Counter, maps: list[tuple[int, str, str | None]]) -> int:
-    """Tokens of the whole text: neighbours are composed until one map is left."""
-    while len(maps) > 1:
-        after = []
-        for i in range(0, len(maps) - 1, 2):
-            (n, head, tail), (m, head2, tail2) = maps[i], maps[i + 1]
-            if tail is None and tail2 is None:
-                after.append((0, head + head2, None))
-            elif tail is None or tail2 is None:
-                x = counter.state_map(head + head2) if tail is None else counter.state_map(tail + head2)
-                if tail is None:  # the second map has cuts, what precedes them may have got some
-                    after.append((m, head + head2, tail2) if x[2] is None else (m + x[0] + int(counter.counts([x[2]])[0]), x[1], tail2))
+    def text_state(self, entry: str) -> tuple[int, str, int]:
+        """A state as text to (where in a pretoken, characters held back, inner state)."""
+        if not entry:
+            return _NONE, "", 0
+        mode, held, inner = json.loads(entry)
+        return mode, held, self.transducer.number(tuple((node, None if t is None else bytes.fromhex(t), n) for node, t, n in inner))
+
+    def state_text(self, state: tuple[int, str, int]) -> str:
+        mode, held, inner = state
+        if mode == _NONE:
+            return ""
+        return json.dumps([mode, held, [[node, None if t is None else t.hex(), n] for node, t, n in self.transducer.states[inner]]], separators=(",", ":"))
+
+    def read(self, state: tuple[int, str, int], text: str) -> tuple[tuple[int, str, int], int]:
+        """(state after the text, change of the token count), character by character."""
+        mode, held, inner = state
+        kinds, total = _classes(), 0
+
+        def feed(at: int, part: str) -> int:
+            nonlocal total
+            at, change = self.transducer.read(at, part.encode("utf-8", "surrogatepass"))
+            total += change
+            return at
+
+        for c in text:
+            kind = int(kinds[ord(c)])
+            if mode == _QUOTE:
+                if held + c in _ENDED:
+                    feed(0, held + c)
+                    mode, held, inner = _NONE, "", 0
+                    continue
+                if held == "'" and c in _BEGUN:
+                    held += c
+                    continue
+                inner = feed(0, "'")
+                if held == "'":
+                    mode = _OTHER
                 else:
-                    after.append((n, head, tail + head2) if x[2] is None else (n + x[0] + int(counter.counts([x[1]])[0]), head, x[2]))
+                    mode, inner = _LETTER, feed(0, held[1])
+                held = ""
+            elif mode == _SPACE:
+                if kind == _SPACE:
+                    inner, held = feed(inner, held), c
+                    continue
+                if held == " ":
+                    mode, held, inner = kind, "", feed(feed(0, " "), c)
+                    continue
+                feed(0, held)
+                mode, held, inner = _NONE, "", 0
+            if mode == kind:
+                inner = feed(inner, c)
+            elif kind == _SPACE:
+                mode, held, inner = _SPACE, c, 0
+            elif c == "'":
+                mode, held, inner = _QUOTE, c, 0
             else:
-                after.append((n + m + int(counter.counts([tail + head2])[0]), head, tail2))
-        maps = after + maps[len(maps) - len(maps) % 2 :]
-    n, head, tail = maps[0]
-    return n + int(counter.counts([head, tail or ""]).sum())
+                mode, held, inner = kind, "", feed(0, c)
+        return (mode, held, inner), total
+
+    def finish(self, state: tuple[int, str, int]) -> int:
+        """What the characters held back add where the text ends."""
+        mode, held, inner = state
+        if mode == _SPACE:
+            return self.transducer.read(inner, held.encode())[1]
+        return sum(self.transducer.read(0, c.encode())[1] for c in held)
+
+    def entries(self, context: str, whole: bool) -> list[str]:
+        """The states that a chunk after the context can be entered in; whole: the context begins where the text does."""
+        cuts = _cuts(context)
+        if len(cuts):
+            context, whole = context[cuts[-1] :], True
+        starts = [0] if whole else range(min(self.transducer.longest, max(1, len(context) - 1)))
+        return sorted({self.state_text(self.read((_NONE, "", 0), context[i:])[0]) for i in starts})
+
+    def state_map(self, text: str, entries: list[str], last: bool) -> list[tuple[str, str, int]]:
+        """(entry state, exit state, tokens) of a chunk for each entry state; the last chunk of a text leaves in the first state."""
+        if len(self.transducer.states) > _KEPT:
+            self.transducer.reset()
+        cuts = _cuts(text)
+        inside, rest = 0, text
+        if len(cuts):
+            inside, rest = int(self.counts([text[cuts[0] : cuts[-1]]], split=False)[0]), text[cuts[-1] :]
+            after, more = self.read((_NONE, "", 0), rest)
+            inside += more
+        out = []
+        for entry in entries:
+            at, n = self.read(self.text_state(entry), text[: cuts[0]] if len(cuts) else text)
+            if len(cuts):
+                n, at = n + self.finish(at) + inside, after
+            out.append((entry, "", n + self.finish(at)) if last else (entry, self.state_text(at), n))
+        return out
+
+    def whole(self, text: str) -> int:
+        """Tokens of a text, read from its start in one pass that keeps no more than the state."""
+        total = 0
+        for piece, specials in self.pieces(text):
+            state, n = self.read((_NONE, "", 0), piece)
+            total += n + self.finish(state) + specials
+        return total
+
+    def pieces(self, text: str) -> Iterator[tuple[str, int]]:
+        """(text between special strings, special strings before it)."""
+        at = 0
+        for m in self.special.finditer(text) if self.special else ():
+            yield text[at : m.start()], int(at > 0)
+            at = m.end()
+        yield text[at:], int(at > 0)
+
+
+_NONE, _QUOTE = -1, -2
+_ENDED = frozenset("'" + x for x in _CONTRACTIONS)
+_BEGUN = frozenset(x[0] for x in _CONTRACTIONS if len(x) > 1)
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def _cuts(text: str) -> np.ndarray:
+    """Where a blank follows another character: the pretoken before it has ended, whatever it was."""
+    space = _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)] == _SPACE
+    return np.flatnonzero(space[1:] & ~space[:-1]) + 1
+
+
+_MAP = "array<struct<entry:string,exit:string,n:bigint>>"
+_KEYS = ["doc_id", "h1", "h2"]
+
+
+def _composed(maps: Column) -> Column:
+    """The map of neighbours in order: each entry state of the first is followed through the others; null where one lacks it."""
+    rest = F.slice(maps, 2, F.greatest(F.size(maps) - 1, F.lit(0)))
+
+    def follow(e: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            hit = F.get(F.filter(m, lambda x: x["entry"] == acc["exit"]), F.lit(0))
+            return F.struct(hit["exit"].alias("exit"), (acc["n"] + hit["n"]).alias("n"))
+
+        end = F.aggregate(rest, F.struct(e["exit"].alias("exit"), e["n"].alias("n")), step)
+        return F.struct(e["entry"].alias("entry"), end["exit"].alias("exit"), end["n"].alias("n"))
+
+    return F.transform(F.get(maps, F.lit(0)), follow)
+
+
+def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk_chars: int = CHUNK_CHARS, fan_in: int = FAN_IN, context: int = CONTEXT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     vocabulary: path of a byte-level vocabulary file, the same on every executor. Null texts count as empty: no bytes,
-    no tokens. Ids may repeat or be null; other columns are ignored.
+    no tokens. Texts of at most chunk_chars characters are one chunk each. Long rows that repeat both id and text are read
+    once and returned as often as they stand. Ids may be null; other columns are ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    one = F.char_length("text") <= chunk_chars
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(vocabulary)
+        for batch in batches:
+            n = counter.counts(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counter.counts(texts))], names=["doc_id", "n_bytes", "n_tokens"])
+            for row in range(batch.num_rows):
+                k, chunks = 0, []
+                for piece, specials in counter.pieces(batch.column("text")[row].as_py()):
+                    for at in range(0, max(1, len(piece)), chunk_chars):
+                        chunks.append((k, piece[at : at + chunk_chars], piece[max(0, at - context) : at], at <= context, at + chunk_chars >= len(piece), specials if not at else 0))
+                        k += 1
+                key = batch.select([*_KEYS, "n_bytes"]).slice(row, 1)
+                for at in range(0, len(chunks), 64):
+                    part = [pa.array(c, t) for c, t in zip(zip(*chunks[at : at + 64], strict=True), (pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64()), strict=True)]
+                    same = pa.array(np.zeros(len(part[0]), np.int64))
+                    yield pa.RecordBatch.from_arrays([*[c.take(same) for c in key.columns], *part], names=[*_KEYS, "n_bytes", "k", "text", "context", "whole", "last", "specials"])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
+        kind = pa.list_(pa.struct([("entry", pa.string()), ("exit", pa.string()), ("n", pa.int64())]))
         for batch in batches:
-            n, head, tail = zip(*map(counter.state_map, batch.column("text").to_pylist()), strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("chunk"), pa.array(n, pa.int64()), pa.array(head, pa.string()), pa.array(tail, pa.string())], names=["doc_id", "row", "chunk", "inside", "head", "tail"])
+            maps = []
+            for t, c, whole, last, specials in zip(*(batch.column(x).to_pylist() for x in ("text", "context", "whole", "last", "specials")), strict=True):
+                entries = counter.entries(c, whole) if c else [""]
+                maps.append([{"entry": a, "exit": b, "n": n + specials} for a, b, n in counter.state_map(t, entries, last)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*_KEYS, "n_bytes", "k")], pa.array(maps, kind)], names=[*_KEYS, "n_bytes", "k", "map"])
 
-    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
         for batch in batches:
-            total = [_compose(counter, [(m["inside"], m["head"], m["tail"]) for m in maps]) for maps in batch.column("maps").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(total, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-
-    schema, sized = "doc_id long, n_bytes long, n_tokens long", source.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    short = sized.where(F.col("n_bytes") <= chunk_chars).select("doc_id", "n_bytes", "text").mapInArrow(whole, schema)
-    long_ = sized.where(F.col("n_bytes") > chunk_chars).withColumn("row", F.monotonically_increasing_id())
-    chunks = long_.select("doc_id", "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / chunk_chars).cast("int")), lambda i: F.substring("text", i * chunk_chars + 1, F.lit(chunk_chars)))).alias("chunk", "text"))
-    maps = chunks.mapInArrow(mapped, "doc_id long, row long, chunk int, inside long, head string, tail string")
-    sizes = chunks.groupBy("row").agg(F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
-    whole_maps = maps.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "inside", "head", "tail"))).alias("maps"))
-    long_counts = whole_maps.join(sizes, "row").select("doc_id", "n_bytes", "maps").mapInArrow(composed, schema)
-    return short.unionByName(long_counts).withColumn("over_limit", F.col("n_tokens") > limit)
+            n = [counter.whole(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    schema = "doc_id long, n_bytes long, n_tokens long"
+    counted = source.where(one).select("doc_id", "n_bytes", "text").mapInArrow(short, schema)
+    # named by id and text, so that a task that runs again gives its chunks the same names
+    long_ = source.where(~one).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "n_bytes", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = "doc_id long, h1 long, h2 long, n_bytes long, k int"
+    chunks = long_.mapInArrow(cut, f"{keys}, text string, context string, whole boolean, last boolean, specials long").repartition(parts, "h1", "k")
+    level = chunks.mapInArrow(mapped, f"{keys}, map {_MAP}").groupBy(*_KEYS, "n_bytes", "k").agg(F.first("map").alias("map"), F.count("*").alias("copies"))
+    level = materialize(level, "chunk-maps")
+    most = level.agg(F.max("k")).first()[0]
+    while most:
+        group = level.groupBy(*_KEYS, "n_bytes", F.floor(F.col("k") / fan_in).cast("int").alias("k")).agg(F.array_sort(F.collect_list(F.struct("k", "map"))).alias("maps"), F.first("copies").alias("copies"))
+        level = group.select(*_KEYS, "n_bytes", "k", _composed(F.transform("maps", lambda x: x["map"])).alias("map"), "copies")
+        most //= fan_in
+    long_counts = materialize(level.select(*_KEYS, "n_bytes", F.get("map", F.lit(0))["n"].alias("n_tokens"), "copies"), "long-counts")
+    counted = counted.unionByName(repeated(long_counts.where("n_tokens is not null").select("doc_id", "n_bytes", "n_tokens", "copies"), "copies"))
+    open_ = long_counts.where("n_tokens is null").select("h1", "h2").distinct()
+    if open_.limit(1).count():
+        counted = counted.unionByName(long_.join(open_, ["h1", "h2"], "left_semi").select("doc_id", "n_bytes", "text").mapInArrow(again, schema))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)

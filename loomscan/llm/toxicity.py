@@ -3,24 +3,28 @@
 Texts are lower-cased, homoglyphs and digit substitutions are folded to letters, and words are laid out with single
 blanks, so that one Aho-Corasick automaton finds whole words and word beginnings. The sum of the weights of the hits,
 alone and by length, goes through a logistic curve. Exception phrases void the hits that they cover. Lexicon, weights and
-curve are learned from labelled rows: all of them up to max_train, beyond that a sample by a hash of the id.
+curve are learned from labelled rows: all of them up to max_train, beyond that a sample by a hash of the id. A pattern
+enters the lexicon if it stands in at least min_texts toxic texts of these and is three times as common there as in others.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomscan.plans.shared import materialize
+
 MAX_TRAIN = 20_000
-MAX_CANDIDATES = 20_000
-MAX_LEXICON = 2_000
+MIN_TEXTS = 6
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish", "clown car", "class clown", "stupid simple", "pond scum", "soap scum", "loser bracket", "pathetic fallacy")
 #: Look-alikes of Latin letters, and digits that stand for letters.
 _FOLD = str.maketrans("аеорсухіјѕԁԛԝһӏαοερνικτυхηω0134578", "aeopcyxijsdqwhlaoepviktuxnwoleastb")
@@ -76,8 +80,22 @@ class Lexicon:
                 spans.append((end - size + 1, end))
             elif weight:
                 hits.append((end - size + 1, weight))
-        total = sum(w for at, w in hits if not any(a <= at < b for a, b in spans))
-        return total, form.count(" ") - 1.0
+        if hits and spans:
+            start, end = _joined_spans(spans)
+            hits = [(at, w) for at, w in hits if (k := bisect_right(start, at)) == 0 or at >= end[k - 1]]
+        return sum(w for _, w in hits), form.count(" ") - 1.0
+
+
+def _joined_spans(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, apart and in order."""
+    start, end = [], []
+    for a, b in sorted(spans):
+        if start and a < end[-1]:
+            end[-1] = max(end[-1], b)
+        else:
+            start.append(a)
+            end.append(b)
+    return start, end
 
 
 def _design(total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -99,49 +117,57 @@ def held_out(id_col) -> F.Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """The lexicon of (doc_id, text) and labels (doc_id, toxic), from rows that are not held out. No rows, or one class only: an empty lexicon."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """(text, toxic) of labelled documents that are not held out, one row an id: all of them up to max_train, else about so many."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     if total > max_train:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_train / total))
-    sample = docs.join(F.broadcast(known), "doc_id").select("text", "toxic")  # at most about max_train ids
-
-    void = [normal(x) for x in exceptions]
+    rows = docs.join(F.broadcast(known), "doc_id")  # at most about max_train ids
+    return materialize(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
 
-    def count(wanted: set[str] | None):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: Counter = Counter()
-            for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    form = normal(text)
-                    for phrase in void:  # what an exception covers teaches nothing
-                        form = form.replace(phrase, " ")
-                    own = _patterns(form)
-                    found.update(own if wanted is None else own & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.string()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])
 
-        return work
-
-    n = {x["toxic"]: x["n"] for x in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not (n.get(0) and n.get(1)):
-        return Lexicon({}, exceptions)
-    toxic = sample.where("toxic = 1").select("text").mapInArrow(count(None), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).where("n >= 6").orderBy(F.desc("n"), "pattern").limit(MAX_CANDIDATES)
-    df1 = {x["pattern"]: x["n"] for x in toxic.collect()}
-    df0 = {x["pattern"]: x["n"] for x in sample.where("toxic = 0").select("text").mapInArrow(count(set(df1)), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
-    good = {p for p, k in df1.items() if k / (k + df0.get(p, 0) + 1.5) >= 0.75}
+def _chosen(good: dict[str, int]) -> set[str]:
+    """Of the patterns and their counts the shortest roots, each grown as long as nine in ten of its texts share the longer form."""
+    longer: dict[str, list[str]] = {}
+    for q in good:
+        longer.setdefault(q[:-1], []).append(q)
     roots, chosen = set(), set()
     for p in sorted(good, key=lambda x: (len(x), x)):
         if any(p[:k] in roots for k in range(1, len(p))):
             continue
         roots.add(p)
-        grown = p  # the longest pattern that most of its documents share
-        while longer := [q for q in good if len(q) == len(grown) + 1 and q.startswith(grown) and df1[q] >= 0.9 * df1[p]]:
-            grown = max(longer, key=lambda q: (df1[q], q))
+        grown = p
+        while more := [q for q in longer.get(grown, ()) if good[q] >= 0.9 * good[p]]:
+            grown = max(more, key=lambda q: (good[q], q))
         chosen.add(grown)
-    odds = {p: float(np.log((df1[p] + 0.5) / (n[1] + 1)) - np.log((df0.get(p, 0) + 0.5) / (n[0] + 1))) for p in chosen}
-    weights = dict(sorted(((p, w) for p, w in odds.items() if w > 0), key=lambda x: (-df1[x[0]], x[0]))[:MAX_LEXICON])
-    lexicon = Lexicon(weights, exceptions)
+    return chosen
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, exceptions: tuple[str, ...] = EXCEPTIONS, min_texts: int = MIN_TEXTS) -> Lexicon:
+    """The lexicon of (doc_id, text) and labels (doc_id, toxic), from rows that are not held out. No rows, or one class only: an empty lexicon."""
+    sample = training_rows(docs, labels, max_train)
+    void = [normal(x) for x in exceptions]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(), Counter()]
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                form = normal(text)
+                for phrase in void:  # what an exception covers teaches nothing
+                    form = form.replace(phrase, " ")
+                found[toxic].update(_patterns(form))
+            for toxic, counts in enumerate(found):
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([toxic] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "toxic", "n"])
+
+    n = {x["toxic"]: x["n"] for x in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not (n.get(0) and n.get(1)):
+        return Lexicon({}, exceptions)
+    per = sample.mapInArrow(count, "pattern string, toxic int, n long").groupBy("pattern").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("df1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("df0"))
+    kept = per.where((F.col("df1") >= min_texts) & (F.col("df1") / (F.col("df1") + F.col("df0") + 1.5) >= 0.75)).collect()
+    df1, df0 = ({x["pattern"]: x[c] for x in kept} for c in ("df1", "df0"))
+    odds = {p: float(np.log((df1[p] + 0.5) / (n[1] + 1)) - np.log((df0[p] + 0.5) / (n[0] + 1))) for p in sorted(_chosen(df1))}
+    lexicon = Lexicon({p: w for p, w in odds.items() if w > 0}, exceptions)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lexicon.automaton()
@@ -157,32 +183,35 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, except
     return lexicon
 
 
-def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs (doc_id, text) to doc_id, held_out, score, predicted."""
+def score_of(text: Column, lexicon: Lexicon) -> Column:
+    """The score of a text column; 0 with an empty lexicon."""
+    if not lexicon.weights:
+        return F.lit(0.0)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         made = lexicon.automaton()
-        for batch in batches:
-            x = np.array([Lexicon.features(made, t) for t in batch.column("text").to_pylist()], float).reshape(-1, 2)
-            p = 1 / (1 + np.exp(-np.clip(_design(x[:, 0], x[:, 1]) @ np.array(lexicon.curve), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+        for texts in parts:
+            x = np.array([Lexicon.features(made, t) for t in texts], float).reshape(-1, 2)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(_design(x[:, 0], x[:, 1]) @ np.array(lexicon.curve), -30, 30))), dtype="float64")
 
-    scored = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, score double") if lexicon.weights else docs.select("doc_id", F.lit(0.0).alias("score"))
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Null and empty texts have no hits and get the curve's value there; rows without an id are scored and not held out.
-    Without labels of both classes every score is 0. Repeated rows count once in learning if their labels repeat. Other columns are ignored.
+    Without labels of both classes every score is 0. Rows of one id count once in learning. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return score(source, learn(source, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), max_train))
+    lexicon = learn(source, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), max_train)
+    scored = source.select("doc_id", score_of(F.col("text"), lexicon).alias("score"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns as they are."""
+    """The rows of docs that are not predicted toxic, with their columns as they are. Each row is judged by its own text, in the pass that reads it."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    doomed = classify(source, labels, max_train=max_train).where("predicted = 1").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(doomed, docs["doc_id"] == doomed["__drop"], "left_anti")
+    lexicon = learn(source, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), max_train)
+    return docs.where(score_of(F.col("text").cast("string"), lexicon) < 0.5)

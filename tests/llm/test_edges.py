@@ -1,7 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import time
 
+import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +105,83 @@ def test_packing_downsizes_to_contents():
     assert sum(down) <= 1024 + 128 and offsets[0] == 0 and len(bins) == 3
 
 
+def test_long_texts_take_linear_time():
+    field = personal_data.Field({}, np.zeros((5, 5)), np.zeros((5, 5)))
+    lexicon = toxicity.Lexicon({" scum": 1.0})
+    start = time.perf_counter()
+    for text in ("ab" * 500_000, "1" * 500_000, "1." * 150_000, "@" * 200_000 + "a@b" * 50_000, "+1((((" * 50_000, "pond scum " * 50_000):
+        personal_data.all_spans(text, field)
+        toxicity.Lexicon.features(lexicon.automaton(), text)
+    assert time.perf_counter() - start < 30
+    assert toxicity.Lexicon.features(lexicon.automaton(), "pond scum, scum")[0] == 1.0
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loomscan.plans.shared import shared_dir
+
+    sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *_: None), getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=sc))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder with labels and a benchmark."""
+    folder = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame([(i, 0, i % 2) for i in range(400)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "what is the third prime number after ten please"), (2, None), (None, "a b c")], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+TAUGHT = [(i, f"the {'grobble ' * 3 if i % 2 else ''}river number {i} runs {chr(97 + i % 26)} on and on to sea {i * 7}") for i in range(400)]
+
+
+def test_stages_judge_each_row_by_its_text(spark, make, corpus):
+    bad, leak = "oh grobble grobble grobble", "Q: What is the third prime number after ten, please?"
+    docs = make([*TAUGHT, (None, bad), (None, leak), (None, None), (900, ""), (901, bad), (901, "fine and good words"), (902, leak), (902, LONG), (902, LONG), (903, "jo@mail.example.com and 10.0.0.1")])
+    clean = corpus_pipeline.drop_toxic(spark, docs, corpus)
+    left = [(r["doc_id"], r["text"]) for r in clean.collect()]
+    assert clean.columns == docs.columns and (901, "fine and good words") in left and (None, None) in left and (900, "") in left and left.count((902, LONG)) == 2
+    assert not any("grobble" in (t or "") for _, t in left) and sum(i is not None and i < 400 for i, _ in left) == 200
+    free = corpus_pipeline.drop_leaks(spark, docs, corpus)
+    left = [(r["doc_id"], r["text"]) for r in free.collect()]
+    assert free.columns == docs.columns and len(left) == len(TAUGHT) + 8 and not any(t == leak for _, t in left) and left.count((902, LONG)) == 2
+    masked = corpus_pipeline.mask_personal_data(spark, docs, corpus)
+    got = {(r["doc_id"], r["text"]) for r in masked.collect()}
+    assert masked.columns == docs.columns and (903, "<EMAIL> and <IP>") in got and (None, None) in got and masked.count() == docs.count()
+    assert sum(r["length"] for r in corpus_pipeline.pack(spark, docs, corpus).collect()) == sum(len((r["text"] or "").encode()) for r in docs.collect())
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]])
+def test_stages_without_rows(spark, make, corpus, stage):
+    docs = make([])
+    out = stage(spark, docs, corpus)
+    assert out.columns == docs.columns and out.count() == 0
+
+
+def test_pipeline_end_to_end(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    kept = {r["doc_id"] for r in rows}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    toxic = {r["doc_id"] for r in toxicity.classify(source, labels).collect() if r["predicted"]}
+    leaks = {r["doc_id"] for r in decontamination.contaminated(source, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+    assert not kept & (toxic | leaks) and kept <= set(docs)
+    w = {i: t.lower().split() for i, t in docs.items() if i not in toxic}
+    sets = {i: {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} for i, x in w.items()}
+    least = {i: i for i in sets}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(len(close)):
+        for a, b in close:
+            least[a] = least[b] = min(least[a], least[b])
+    assert kept == {i for i in sets if least[i] == i} - leaks
+    for r in rows:
+        assert r["bin_id"] is None or r["bin_offset"] + r["length"] <= r["bin_used"] <= r["capacity"]
+
+
 def test_pipeline_guard():
     import __spark_entry__ as entry
 
