@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomscan.llm import decontamination, near_copies, packing, personal_data, toxicity
+from loomscan.llm import decontamination, packing, personal_data, simhash, toxicity
 from loomscan.plans.shared import materialize
 
 ORACLE_SQL = None
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies, by five-word shingles at similarity 0.8."""
-    return near_copies.keep_one(docs)
+    """The document with the least id of each group of near copies, found by SimHash of five-word shingles, verified at similarity 0.8."""
+    return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

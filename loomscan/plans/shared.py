@@ -1,6 +1,5 @@
 """Where jobs put what they must read again: a folder that all executors share."""
 
-import os
 import tempfile
 import uuid
 
@@ -8,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a new folder, which is then set as checkpoint folder."""
+    """spark.checkpoint.dir. Where it is unset and the master is local (tests), a new folder, which is then set; on a cluster that is an error."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -28,12 +29,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cached_lookup_is_small(df: DataFrame, max_rows: int) -> bool:
-    """Whether df has at most max_rows rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def driver_path(path: str) -> str:
-    return os.path.normpath(path.removeprefix("file://"))
