@@ -5,9 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Path words that name a page type, in the order in which they are tried.
-TYPE_HINTS = ("artist", "artwork", "exhibition", "event", "venue", "article", "news", "about", "contact")
-UTILITY = ("login", "privacy", "terms", "cart", "about", "contact")
+#: Fixed values: (text in a path pattern, page type), in the order in which they are tried.
+TYPE_HINTS = (("artist", "artist"), ("artwork", "artwork"), ("exhibition", "exhibition"), ("event", "event"), ("venue", "venue"), ("gallery", "venue"), ("news", "listing"), ("blog", "listing"))
+#: Fixed values: (path part, page type) of detail pages, and the path parts of utility pages.
+DETAIL = (("artist", "artist_profile"), ("artists", "artist_profile"), ("event", "event_detail"), ("events", "event_detail"), ("exhibition", "exhibition_detail"), ("exhibitions", "exhibition_detail"), ("venue", "venue_profile"), ("venues", "venue_profile"), ("artwork", "artwork_detail"), ("artworks", "artwork_detail"))
+UTILITY = ("privacy", "terms", "cookie", "cookies", "login", "account", "contact", "about")
+#: Fixed values: (pattern of a URL in any case, page type); the first that matches counts.
+PAGE_TYPES = (
+    ("/artists/[a-zA-Z]/?$", "artist_directory_letter"),
+    (r"/[^/]+/about\.php/?$", "artist_biography"),
+    (r"/[^/]+/exhibitions\.php/?$", "artist_exhibitions"),
+    (r"/[^/]+/articles\.php/?$", "artist_articles"),
+    (r"/[^/]+/press(?:-reviews)?\.php/?$", "artist_press"),
+    (r"/[^/]+/memories\.php/?$", "artist_memories"),
+    ("/artist[s]?/[^/]+/?$", "artist_profile"),
+    ("/artist[s]?/?$", "artist_directory"),
+    ("/event[s]?/[^/]+/?$", "event_detail"),
+    ("/event[s]?/?$", "event_listing"),
+    ("/what[s-]?[-_]?on/?", "event_listing"),
+    ("/exhibition[s]?/[^/]+/?$", "exhibition_detail"),
+    ("/exhibition[s]?/?$", "exhibition_listing"),
+    ("/show[s]?/[^/]+/?$", "exhibition_detail"),
+    ("/venue[s]?/?$", "venue_profile"),
+    ("/gallery/?$", "venue_profile"),
+    ("/artwork[s]?/[^/]+/?$", "artwork_detail"),
+    ("/artwork[s]?/?$", "artwork_listing"),
+    ("/shop/?$", "artwork_listing"),
+    ("/portfolio/?$", "artwork_listing"),
+)
+#: JSON-LD types and the page types they stand for.
+LD_TYPES = {"Person": "artist_profile", "Artist": "artist_profile", "Event": "event_detail", "ExhibitionEvent": "event_detail", "MusicEvent": "event_detail", "Exhibition": "exhibition_detail", "LocalBusiness": "venue_profile", "Museum": "venue_profile", "ArtGallery": "venue_profile", "VisualArtwork": "artwork_detail", "Product": "artwork_detail"}
+#: Marks of a page that asks whether one is human.
+CAPTCHA = ("captcha", "g-recaptcha", "hcaptcha", "cf-chl", "cloudflare challenge", "are you human")
+#: Path texts that keep a family out of a crawl, and that mark utility families.
+EXCLUDED = ("/login", "/account", "/cart", "/search", "/privacy", "/terms")
+UTILITY_FAMILY = ("privacy", "terms", "contact", "about", "cookie", "sitemap", "rss", "feed")
+#: Fixed values: (section, texts in its URL; without slashes also in its name), and (pagination, texts in the URL).
+SECTIONS = (
+    ("artist_directory", ("/artists", "/artist", "/our-artists", "/gallery-artists")),
+    ("event_listing", ("/events", "/event", "/whats-on", "/what-s-on", "/what's-on", "/upcoming")),
+    ("exhibition_listing", ("/exhibitions", "/exhibition", "/shows", "/current-shows", "/past-shows")),
+    ("artwork_listing", ("/artworks", "/artwork", "/shop", "/works", "/portfolio", "/gallery")),
+    ("venue_profile", ("/venue", "/about", "/contact", "/gallery-info")),
+)
+PAGINATION = (("letter", ("?letter=", "/a-z", "?page=a", "[a-z]")), ("numbered", ("?page=", "/page/", "?p=")))
+#: A link's target: the href of an a tag, quoted or not, in any case.
+LINK = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
 
 def host(url: Column) -> Column:
@@ -51,26 +94,71 @@ def page_type_candidate(pattern: Column) -> Column:
     """The first hint that the pattern holds, otherwise by depth."""
     levels = F.size(F.filter(F.split(pattern, "/"), lambda x: x != ""))
     out = F.when(F.lit(False), "")
-    for hint in TYPE_HINTS:
-        out = out.when(F.contains(pattern, F.lit(hint)), hint)
+    for hint, kind in TYPE_HINTS:
+        out = out.when(F.contains(F.lower(pattern), F.lit(hint)), kind)
     return out.when(levels <= 1, "listing").otherwise("generic_detail")
 
 
-def score_url(url: Column) -> Column:
-    """80 for pages of a detail type, 5 for utility pages, 50 for other hinted ones, 30 otherwise."""
+def holds(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether the text holds any of the words, as they stand."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def predicted_type(url: Column) -> Column:
+    """The detail type whose word begins a path part, else utility or generic."""
     p = F.lower(path(url))
-    has = lambda words: F.lit(False) if not words else p.rlike("|".join(words))
-    return F.when(has(UTILITY), 5).when(has(TYPE_HINTS[:5]), 80).when(has(TYPE_HINTS), 50).otherwise(30)
+    out = F.when(F.lit(False), "")
+    for word, kind in DETAIL:
+        out = out.when(F.contains(p, F.lit("/" + word)), kind)
+    return out.when(holds(p, tuple("/" + w for w in UTILITY)), "utility").otherwise("generic")
 
 
-def url_page_type(url: Column, rules: list[tuple[str, str]]) -> Column:
-    """The type of the first rule (pattern, type) that the full URL matches, else null."""
+def priority_of(page_type: Column) -> Column:
+    """80 for detail types, 5 for utility pages, 30 for generic ones, 50 for other hinted types."""
+    return F.when(page_type.isin(*sorted({k for _, k in DETAIL})), 80).when(page_type == "utility", 5).when(page_type == "generic", 30).otherwise(50)
+
+
+def score_url(url: Column) -> Column:
+    return priority_of(predicted_type(url))
+
+
+def url_page_type(url: Column, rules: tuple[tuple[str, str], ...] = PAGE_TYPES) -> Column:
+    """The type of the first rule (pattern, type) that the full URL matches in any case, else null."""
     out = F.when(F.lit(False), "")
     for pattern, kind in rules:
-        out = out.when(url.rlike(pattern), kind)
+        out = out.when(url.rlike("(?i)" + pattern), kind)
     return out
 
 
+def without_dots(p: Column) -> Column:
+    """A path without . and .. parts; they leave a slash where they stand last."""
+    parts = F.split(p, "/")
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), lambda a, x: F.when(x == "..", F.regexp_replace(a, "/[^/]*$", "")).when(x == ".", a).otherwise(F.concat(a, F.lit("/"), x)))
+    out = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.lit("/"))).otherwise(kept)
+    return F.when(out == "", "/").otherwise(out)
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """An href as an absolute URL without fragment; null for empty ones, fragments, and schemes other than http and https."""
+    root = F.regexp_extract(base, "^([A-Za-z]+://[^/?#]*)", 1)
+    own = F.when(path(base) == "", "/").otherwise(path(base))
+    link = F.regexp_replace(F.trim(href), "#.*$", "")
+    target, rest = F.regexp_extract(link, r"^([^?]*)", 1), F.regexp_extract(link, r"(\?.*)$", 1)
+    below = F.concat(F.regexp_extract(own, "^(.*/)", 1), target)
+    return (
+        F.when((link == "") | link.isNull(), None)
+        .when(link.rlike("(?i)^https?://"), link)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, "^([A-Za-z]+:)", 1), link))
+        .when(F.startswith(link, F.lit("?")), F.concat(root, own, link))
+        .when(F.startswith(link, F.lit("/")), F.concat(root, without_dots(target), rest))
+        .otherwise(F.concat(root, without_dots(below), rest))
+    )
+
+
 def page_role(url: Column, rules: list[tuple[str, str, str]]) -> Column:
     """(host, path pattern, role): the first rule for the host, or for any if its host is *."""
     out = F.when(F.lit(False), "")
@@ -92,18 +180,31 @@ def family_key(url: Column) -> Column:
     return F.when(part.isNotNull() & ~F.lower(part).endswith(".php"), F.concat(host(url), F.lit("::"), F.lower(part)))
 
 
-def pagination_mode(urls: Column) -> Column:
-    return F.when(F.exists(urls, lambda u: u.rlike("[?&](page|p|offset|start)=")), "query_param").when(F.exists(urls, lambda u: u.rlike("/page/[0-9]+")), "path_segment").otherwise("none")
+def pagination_of(url: Column) -> Column:
+    """Of a group of URLs, as an aggregate: how their pages are numbered."""
+    return F.when(F.bool_or(url.rlike("[?&](page|p|offset|start)=")), "query_param").when(F.bool_or(url.rlike("/page/[0-9]+")), "path_segment").otherwise("none")
 
 
 def include_rule(pattern: Column, confidence: Column, size: Column, page_type: Column) -> Column:
-    blocked = pattern.rlike("|".join(UTILITY))
-    return F.when(blocked | ((confidence < 0.35) & (size <= 1)), False).when((size >= 3) | (confidence >= 0.7), True).otherwise((page_type != "unknown") & (confidence >= 0.45))
+    """Whether a family is crawled: not with excluded or utility words or when small and unsure; large or sure ones are, else known types from .45 on."""
+    low = F.lower(pattern)
+    blocked = holds(low, EXCLUDED) | holds(low, UTILITY_FAMILY)
+    return F.when(blocked | ((confidence < 0.35) & (size <= 1)), False).when((size >= 3) | (confidence >= 0.7), True).otherwise(page_type.isin("listing", "artist", "artwork", "exhibition", "detail") & (confidence >= 0.45))
 
 
-def section_type(name: Column) -> Column:
-    low = F.lower(name)
-    return F.when(low.rlike("artist|people"), "artists").when(low.rlike("exhibition|show"), "exhibitions").when(low.rlike("event|calendar"), "events").when(low.rlike("news|blog|press"), "articles").otherwise("other")
+def section_type(name: Column, url: Column) -> Column:
+    """The content type of a navigation link by its URL or name."""
+    out = F.when(F.lit(False), "")
+    for kind, words in SECTIONS:
+        out = out.when(holds(F.lower(url), words) | holds(F.lower(name), tuple(w.strip("/") for w in words)), kind)
+    return out.otherwise("unknown")
+
+
+def section_pagination(url: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for kind, words in PAGINATION:
+        out = out.when(holds(F.lower(url), words), kind)
+    return out.otherwise("none")
 
 
 def expand_urls(base: Column, letters: Column) -> Column:
@@ -118,4 +219,4 @@ def normalize_email(value: Column) -> Column:
 
 
 def captcha_flag(html: Column) -> Column:
-    return F.lower(html).rlike("captcha|cf-challenge|are you human|access denied|unusual traffic|verify you are")
+    return F.coalesce(holds(F.lower(html), CAPTCHA), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.functions import scores as S
+from loomscan.operators.mapping import first_few
 from loomscan.operators.ranking import latest
 from loomscan.sources.views import view, with_views
 
@@ -58,14 +59,29 @@ def repair_score(c: DataFrame) -> DataFrame:
     return c.withColumn("confidence", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 4))
 
 
-def validate(values: DataFrame, by: list[str]) -> DataFrame:
-    """Success, diversity and consistency of a candidate's values; validated at .8, .2 and .4."""
-    per = values.groupBy(*by, "value").agg(F.count("*").alias("n"))
-    g = per.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("hits"), F.count("value").alias("distinct"), F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("top"))
-    ok = F.col("hits")
-    return g.select(*by, F.round(ok / F.col("rows"), 4).alias("success"), F.round(F.coalesce(F.col("distinct") / F.nullif(ok, F.lit(0)), F.lit(0.0)), 4).alias("diversity"), F.round(1 - F.coalesce(F.col("top") / F.nullif(ok, F.lit(0)), F.lit(1.0)), 4).alias("consistency")).withColumn(
-        "validated", (F.col("success") >= 0.8) & (F.col("diversity") >= 0.2) & (F.col("consistency") >= 0.4)
-    )
+def validate(values: DataFrame, by: list[str], field: str) -> DataFrame:
+    """Rates of a candidate's values (value, null where the selector found nothing) for a field.
+
+    success: there; plausible: of all; diversity and consistency: distinct values, and what the most frequent one leaves,
+    of those there; pattern and nonsense: of those there, 0 and 1 without any. Validated at .8, .8, .2 and .4.
+    """
+    f, text = F.lit(field), F.nullif(F.trim("value"), F.lit(""))
+    per = values.groupBy(*by, text.alias("value")).agg(F.count("*").alias("n")).withColumn("key", F.lower("value"))
+    there = F.col("value").isNotNull()
+    many = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    folded = per.groupBy(*by, "key").agg(F.sum("n").alias("n"), many(there).alias("hits"), many(S.field_plausible(f, F.col("value"))).alias("plausible"), many(there & S.pattern_valid(f, F.col("value"))).alias("valid"), many(there & S.nonsensical(f, F.col("value"))).alias("odd"))
+    g = folded.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "hits", "plausible", "valid", "odd")], F.count("key").alias("distinct"), F.max(F.when(F.col("key").isNotNull(), F.col("n"))).alias("top"))
+    share = lambda a, b, none=0.0: F.round(F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(none)), 4)
+    rates = g.select(*by, share("hits", "n").alias("success"), share("plausible", "n").alias("plausible"), share("distinct", "hits").alias("diversity"), F.round(1 - F.coalesce(F.col("top") / F.nullif(F.col("hits"), F.lit(0)), F.lit(1.0)), 4).alias("consistency"), share("valid", "hits").alias("pattern"), share("odd", "hits", 1.0).alias("nonsense"))
+    return rates.withColumn("validated", (F.col("success") >= 0.8) & (F.col("plausible") >= 0.8) & (F.col("diversity") >= 0.2) & (F.col("consistency") >= 0.4))
+
+
+def proposal_upsert(found: DataFrame, pages: int = 5) -> DataFrame:
+    """One row per (source_id, edge_type): highest confidence, occurrences, the first page ids."""
+    by = ["source_id", "edge_type"]
+    g = found.groupBy(*by).agg(F.round(F.max("confidence"), 4).alias("confidence"), F.count("*").alias("occurrences"))
+    few = first_few(found.select(*by, "id").distinct().withColumn("url", F.lit("")), by, pages)
+    return g.join(few, by).select(*by, "confidence", "occurrences", F.array_join(F.transform("s", lambda x: x["id"]), ",").alias("pages"))
 
 
 CUT = "timestamp '1995-06-17 00:00:00'"
@@ -84,7 +100,9 @@ def _latest(s, d):
 
 
 def _values(s, d):
-    return view(s, d, "edges_v").select("from_id", F.when(F.col("confidence") < 0.99, F.col("edge_type")).alias("value"))
+    """What candidates found: nothing, a word that says nothing, one letter, or a name."""
+    text = F.when(F.col("line") == 3, "Unknown").when(F.col("line") == 5, F.col("edge_type")).otherwise(F.concat("edge_type", F.lit("-"), F.col("to_id").cast("string")))
+    return view(s, d, "edges_v").select("from_id", F.when(F.col("confidence") < 0.99, text).alias("value"))
 
 
 FAMILY = ["source_id"]
@@ -97,13 +115,16 @@ QUERIES = {
     "drift_summary": lambda s, d: view(s, d, "signals_v").groupBy("source_id").agg(F.count("*").alias("signals"), F.count_if(F.col("severity") == "high").alias("high"), F.round(F.count_if(F.col("severity") == "high") / F.count("*"), 4).alias("rate")).withColumn("alert", F.col("rate") > 0.2),
     "signal_coalesce": lambda s, d: coalesce_signals(view(s, d, "signals_v"), ["source_id", "signal_type"]),
     "signal_status": lambda s, d: view(s, d, "signals_v").select("id", F.when((F.col("status") == "open") & (F.col("severity") == "low"), "resolved").otherwise(F.col("status")).alias("status"), F.when((F.col("status") == "open") & (F.col("severity") == "low"), F.col("detected_at")).alias("resolved_at")),
-    "selector_validate": lambda s, d: validate(_values(s, d), ["from_id"]),
-    "repair_score": lambda s, d: repair_score(validate(_values(s, d), ["from_id"]).select("from_id", F.lit(0.7).alias("heuristic"), "success", F.col("diversity").alias("plausible"), F.lit(0.5).alias("accepted"), F.col("consistency").alias("applied"), (F.lit(1) - F.col("success")).alias("nonsense"))).select("from_id", F.round("confidence", 3).alias("confidence")),
-    "proposal_upsert": lambda s, d: view(s, d, "edges_v").groupBy(F.col("to_id").alias("source_id"), "edge_type").agg(F.round(F.max("confidence"), 4).alias("confidence"), F.count("*").alias("occurrences"), F.array_join(F.slice(F.array_sort(F.collect_set("from_id")), 1, 5), ",").alias("pages")),
-    "repair_guard": lambda s, d: validate(_values(s, d).where("from_id % 2 = 0"), ["from_id"]).select((F.col("from_id") + 1).alias("from_id"), F.col("success").alias("before")).join(validate(_values(s, d), ["from_id"]).select("from_id", F.col("success").alias("after")), "from_id").withColumn("apply", F.col("after") >= F.col("before") - 0.05),
+    "selector_validate": lambda s, d: validate(_values(s, d), ["from_id"], "title"),
+    "repair_score": lambda s, d: repair_score(validate(_values(s, d), ["from_id"], "title").select("from_id", F.lit(0.7).alias("heuristic"), "success", "plausible", F.lit(0.5).alias("accepted"), F.lit(0.5).alias("applied"), "nonsense")).select("from_id", F.round("confidence", 3).alias("confidence")),
+    "proposal_upsert": lambda s, d: proposal_upsert(view(s, d, "edges_v").select(F.col("to_id").alias("source_id"), "edge_type", "confidence", F.col("from_id").alias("id"))),
+    "repair_guard": lambda s, d: validate(_values(s, d).where("from_id % 2 = 0"), ["from_id"], "title").select((F.col("from_id") + 1).alias("from_id"), F.col("success").alias("before")).join(validate(_values(s, d), ["from_id"], "title").select("from_id", F.col("success").alias("after")), "from_id").withColumn("apply", F.col("after") >= F.col("before") - 0.05),
 }
 
-_VALID = "p as (select from_id, case when confidence < 0.99 then edge_type end as value, count(*) as n from edges_v group by 1, 2), g as (select from_id, sum(n) as rows, sum(case when value is not null then n else 0 end) as hits, count(value) as d, max(case when value is not null then n end) as top from p group by 1), v as (select from_id, round(hits / rows, 4) as success, round(coalesce(d / nullif(hits, 0), 0), 4) as diversity, round(1 - coalesce(top / nullif(hits, 0), 1), 4) as consistency from g)"
+_VALID = """x as (select from_id, case when confidence < 0.99 then case line when 3 then 'Unknown' when 5 then edge_type else edge_type || '-' || to_id end end as value from edges_v),
+    c as (select from_id, lower(value) as k, count(*) as n from x where value is not null group by 1, 2), d as (select from_id, count(*) as d, max(n) as top from c group by 1),
+    h as (select from_id, count(*) as n, count(value) as hits, count_if(lower(value) <> 'unknown' and length(value) >= 2) as ok, count_if(length(value) > 1) as pat, count_if(lower(value) = 'unknown' or length(value) <= 1) as odd from x group by 1),
+    v as (select h.from_id, round(hits / n, 4) as success, round(ok / n, 4) as plausible, round(coalesce(d.d / nullif(hits, 0), 0), 4) as diversity, round(1 - coalesce(top / nullif(hits, 0), 1), 4) as consistency, round(coalesce(pat / nullif(hits, 0), 0), 4) as pattern, round(coalesce(odd / nullif(hits, 0), 1), 4) as nonsense from h left join d on d.from_id = h.from_id)"""
 _RATIO = "g as (select source_id, count(*) as size, count_if(coalesce(skip_reason, '') = 'selector_miss') / count(*) as miss, coalesce(count_if(coalesce(last_refresh_outcome = 'changed', false)) / nullif(count(last_refresh_outcome), 0), 0) as change, count_if(status = 'skipped' and coalesce(skip_reason, '') not in ('robots', 'selector_miss')) / count(*) as skip from frontier_v group by 1 having count(*) >= 3)"
 _BASE = f"b as (select l_partkey as id, count(*) as n, round(avg(l_quantity), 4) as mean, round(stddev_samp(l_quantity), 4) as sd from lineitem where l_shipdate < {CUT} group by 1)"
 ORACLE = {k: with_views(v) for k, v in {
@@ -115,8 +136,8 @@ ORACLE = {k: with_views(v) for k, v in {
     "drift_summary": "with c as (select source_id, count(*) as signals, count_if(severity = 'high') as high, round(count_if(severity = 'high') / count(*), 4) as rate from signals_v group by 1) select *, rate > 0.2 as alert from c",
     "signal_coalesce": "with l as (select *, case when detected_at - lag(detected_at) over w <= interval '12' hour then 0 else 1 end as new from signals_v where status in ('open', 'acknowledged') window w as (partition by source_id, signal_type order by detected_at, id)), r as (select *, sum(new) over (partition by source_id, signal_type order by detected_at, id) as run from l) select source_id, signal_type, count(*) as occurrences, min(detected_at) as first_at, max(detected_at) as last_at, arg_max(severity, (detected_at, id)) as severity from r group by source_id, signal_type, run",
     "signal_status": "select id, case when status = 'open' and severity = 'low' then 'resolved' else status end as status, case when status = 'open' and severity = 'low' then detected_at end as resolved_at from signals_v",
-    "selector_validate": f"with {_VALID} select *, success >= 0.8 and diversity >= 0.2 and consistency >= 0.4 as validated from v",
-    "repair_score": f"with {_VALID} select from_id, round(round(least(1.0, greatest(0.0, 0.45::double * 0.7::double + 0.25 * success + 0.15 * diversity + 0.05::double + 0.05 * consistency - 0.2 * (1 - success))), 4), 3)::double as confidence from v",
+    "selector_validate": f"with {_VALID} select *, success >= 0.8 and plausible >= 0.8 and diversity >= 0.2 and consistency >= 0.4 as validated from v",
+    "repair_score": f"with {_VALID} select from_id, round(round(least(1.0, greatest(0.0, 0.45::double * 0.7::double + 0.25 * success + 0.15 * plausible + 0.05::double + 0.025::double - 0.2 * nonsense)), 4), 3)::double as confidence from v",
     "proposal_upsert": "with p as (select to_id as source_id, edge_type, round(max(confidence), 4) as confidence, count(*) as occurrences, list_sort(list(distinct from_id)) as l from edges_v group by 1, 2) select source_id, edge_type, confidence, occurrences, array_to_string(l[1:5], ',') as pages from p",
     "repair_guard": f"with {_VALID} select a.from_id + 1 as from_id, a.success as before, b.success as after, b.success >= a.success - 0.05 as apply from v a join v b on b.from_id = a.from_id + 1 where a.from_id % 2 = 0",
 }.items()}

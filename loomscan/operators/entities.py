@@ -7,7 +7,6 @@ bounds (length, equal fields) come before the string ratio.
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomscan.functions import scores as S
 from loomscan.functions.gestalt import reaches, sequence_ratio
+from loomscan.operators.ranking import RELATED, related_overlap
 from loomscan.plans.shared import shared_dir
 from loomscan.sources.views import view, with_views
 
@@ -64,9 +64,55 @@ def entity_pair_score(pairs: DataFrame, fields: list[str]) -> DataFrame:
     return pairs.withColumn("name_score", ratio).withColumn("score", F.round(F.when(n > 0, 0.8 * F.col("name_score") + 0.2 * equal / n).otherwise(F.col("name_score")), 4))
 
 
-def best_match(pairs: DataFrame, by: str, other: str) -> DataFrame:
+#: The fields of a record type that are compared beside the name; two are averaged. Types without fields score 0.
+SECONDARY = {"artist": ("birth_year", "nationality"), "artwork": ("medium", "year"), "exhibition": ("venue_name", "start_date"), "event": ("venue_name", "start_date"), "venue": ("address",)}
+
+
+def match_pairs(records: DataFrame, entities: DataFrame) -> DataFrame:
+    """Pairs (record, entity) of one type whose folded names share a word, each once. Sides: id, entity_type, name and what else they have."""
+    def side(df: DataFrame, x: str) -> DataFrame:
+        named = df.withColumn("name_key", F.lower(F.trim("name"))).withColumn("words", S.name_tokens(F.col("name")))
+        return named.select(*[F.col(c).alias(f"{x}_{c}") for c in named.columns], F.col("entity_type").alias("kind"), F.explode("words").alias("word"))
+
+    both = side(records, "r").join(side(entities, "l"), ["kind", "word"])
+    return both.where(F.col("word") == F.array_min(F.array_intersect("l_words", "r_words"))).drop("kind", "word")
+
+
+def match_score(pairs: DataFrame, secondary: dict[str, tuple[str, ...]] = SECONDARY) -> DataFrame:
+    """0.7 name ratio + 0.3 secondary, the share of the type's fields that are there and equal. Equal names need no ratio."""
+    equal = lambda c: F.when(S.present(F.col(f"l_{c}").cast("string")) & (F.lower(F.trim(F.col(f"l_{c}").cast("string"))) == F.lower(F.trim(F.col(f"r_{c}").cast("string")))), 1.0).otherwise(0.0)
+    second = F.when(F.lit(False), 0.0)
+    for kind, fields in secondary.items():
+        if all(f"l_{c}" in pairs.columns and f"r_{c}" in pairs.columns for c in fields):
+            second = second.when(F.col("r_entity_type") == kind, sum((equal(c) for c in fields), F.lit(0.0)) / len(fields))
+    second = second.otherwise(0.0)
+    same = F.col("l_name_key") == F.col("r_name_key")
+    names = pairs.where(~same).withColumn("name_score", sequence_ratio(F.col("r_name_key"), F.col("l_name_key"))).unionByName(pairs.where(same).withColumn("name_score", F.lit(1.0)))
+    return names.withColumn("score", F.round(0.7 * F.col("name_score") + 0.3 * second, 6))
+
+
+def best_match(pairs: DataFrame, by: str, other: str, *keep: str) -> DataFrame:
     """For each row the other side of the highest score, then of least id."""
-    return pairs.groupBy(by).agg(F.max(F.struct("score", (-F.col(other)).alias("neg"))).alias("b")).select(by, (-F.col("b.neg")).alias(other), F.col("b.score").alias("score"))
+    best = pairs.groupBy(by).agg(F.max(F.struct("score", (-F.col(other)).alias("neg"), *keep)).alias("b"))
+    return best.select(by, (-F.col("b.neg")).alias(other), F.col("b.score").alias("score"), *[F.col(f"b.{c}").alias(c) for c in keep])
+
+
+def resolve(records: DataFrame, best: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """A decision for each record: already linked, link to the best entity, create and flag for review, or create.
+
+    best: r_id, l_id, score, name_score. Links are exact from a name score of .99 on, else fuzzy; a new entity's link has the
+    score where review is asked for, else the record's confidence, .5 at least.
+    """
+    name = F.coalesce("name_score", F.lit(0.0))
+    strong, medium = (F.col("score") >= 0.88) & (name >= 0.82), (F.col("score") >= 0.72) & (name >= 0.65)
+    rows = records.select(F.col("id").alias("r_id"), F.col("confidence").alias("own")).join(best, "r_id", "left")
+    rows = rows.join(linked.select("r_id", F.col("entity_id").alias("known")), "r_id", "left") if linked is not None else rows.withColumn("known", F.lit(None).cast("long"))
+    known, strong, medium = F.col("known").isNotNull(), F.coalesce(strong, F.lit(False)), F.coalesce(medium, F.lit(False))
+    return rows.select(
+        "r_id", F.when(known, "already_linked").when(strong, "link_to_entity").when(medium, "create_entity_flag_review").otherwise("create_new_entity").alias("decision"),
+        F.when(known, F.col("known")).when(strong | medium, F.col("l_id")).alias("entity_id"), F.when(known, None).when(strong, F.when(name >= 0.99, "exact").otherwise("fuzzy")).when(medium, "manual").otherwise("exact").alias("method"),
+        F.when(known, None).when(strong | medium, F.col("score")).otherwise(F.greatest(F.col("own") / 100, F.lit(0.5))).alias("confidence"), (medium & ~strong & ~known).alias("review"),
+    )
 
 
 def clusters(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -150,37 +196,34 @@ def upsert_edges(stored: DataFrame, found: DataFrame, keys: list[str]) -> DataFr
     return both.select(*keys, F.greatest("confidence", "new_confidence").alias("confidence"), F.col("confidence").isNull().alias("is_new"))
 
 
-DUPLICATE_WEIGHTS = {"entity_type": 0.4, "year": 0.15, "city": 0.1}
-WORD_WEIGHT = 0.35
-
+def duplicate_candidates(records: DataFrame, min_score: float = 0.6, links: tuple[str, ...] = ("website_url", "instagram_url", "source_url"), strong: tuple[str, ...] = ("website_url", "instagram_url", "email", "source_url", "birth_year")) -> DataFrame:
+    """Pairs at or above min_score: 0.35 word overlap of names + 0.4 cosine + 0.15 shared link + 0.1 related overlap, with reasons.
 
-def duplicate_candidates(entities: DataFrame, min_score: float) -> DataFrame:
-    """0.35 word overlap + 0.4 equal type + 0.15 equal year + 0.1 equal city: all pairs at or above min_score, which is over 0.35.
-
-    Pairs come from each least set of equal fields that can reach min_score, alone or together with a shared word.
+    Records: id, name, embedding, related (three lists) and what they have of the link and strong fields. A merge can be
+    automatic from .85 on with an equal strong field; other pairs from .7 on want review. Pairs that share neither a word nor a
+    link score 0.4 cosine + 0.1 at most: up to a min_score of .5 all vectors are searched for those, beyond it there are none.
     """
-    if min_score <= WORD_WEIGHT:
-        raise ValueError("shared words alone would reach min_score")
-    keyed = entities.select("id", *DUPLICATE_WEIGHTS, F.array_distinct(S.tokens(F.col("name"))).alias("words"))
-    ways: list[tuple[frozenset, bool]] = []
-    for n in range(1, len(DUPLICATE_WEIGHTS) + 1):
-        for fields in map(frozenset, itertools.combinations(DUPLICATE_WEIGHTS, n)):
-            weight = sum(DUPLICATE_WEIGHTS[c] for c in fields) + 1e-6
-            for word in (False, True):
-                if weight + WORD_WEIGHT * word >= min_score and not any(f <= fields and w <= word for f, w in ways):
-                    ways.append((fields, word))
+    links, strong = [c for c in links if c in records.columns], [c for c in strong if c in records.columns]
+    rows = records.withColumn("words", S.name_tokens(F.col("name"))).withColumn("links", F.array_distinct(F.array_compact(F.array(*[F.nullif(c, F.lit("")) for c in links]).cast("array<string>"))))
+    side = lambda x, *more: rows.select(*[F.col(c).alias(f"{x}_{c}") for c in rows.columns], *more)
     found = []
-    for fields, word in ways:
-        on = [*sorted(fields), *["word"] * word]
-        rows = keyed.withColumn("word", F.explode("words")) if word else keyed
-        sides = [rows.select(*on, *[F.col(c).alias(f"{x}_{c}") for c in keyed.columns]) for x in "lr"]
-        p = sides[0].join(sides[1], on).where("l_id < r_id")
-        # of several shared words only the first gives the pair
-        found.append(p.where(F.col("word") == F.array_min(F.array_intersect("l_words", "r_words"))).drop(*on) if word else p.drop(*on))
-    same = lambda c: F.when(F.col(f"l_{c}") == F.col(f"r_{c}"), 1.0).otherwise(0.0)
-    score = F.round(WORD_WEIGHT * S.jaccard(F.col("l_words"), F.col("r_words")) + sum(w * same(c) for c, w in DUPLICATE_WEIGHTS.items()), 6)
-    scored = [p.select("l_id", "r_id", score.alias("score")).where(F.col("score") >= min_score) for p in found]
-    return functools.reduce(DataFrame.unionByName, scored).distinct().withColumn("auto_merge", F.col("score") >= 0.95)
+    for what in ("words", "links"):
+        p = side("l", F.explode(what).alias("key")).join(side("r", F.explode(what).alias("key")), "key").where("l_id < r_id")
+        p = p.where(F.col("key") == F.array_min(F.array_intersect(f"l_{what}", f"r_{what}"))).drop("key")
+        found.append(p if what == "words" else p.where(F.size(F.array_intersect("l_words", "r_words")) == 0))
+    none = (F.size(F.array_intersect("l_words", "r_words")) == 0) & (F.size(F.array_intersect("l_links", "r_links")) == 0)
+    if min_score <= 0.5:
+        near = merge_candidates(records.where("embedding is not null").select("id", "embedding"), max(1e-9, (min_score - 0.1) / 0.4 - 1e-4)).select("l_id", "r_id")
+        found.append(near.join(side("l"), "l_id").join(side("r"), "r_id").where(F.coalesce(none, F.lit(True))))
+    pairs = functools.reduce(DataFrame.unionByName, found)
+    name = F.when((F.size("l_words") > 0) & (F.size("r_words") > 0), S.jaccard(F.col("l_words"), F.col("r_words"))).otherwise(0.0)
+    link = F.when(F.size(F.array_intersect("l_links", "r_links")) > 0, 1.0).otherwise(0.0)
+    parts = pairs.select("l_id", "r_id", name.alias("name"), F.coalesce(S.cosine_similarity(F.col("l_embedding"), F.col("r_embedding")), F.lit(0.0)).alias("near"), link.alias("link"), F.coalesce(related_overlap("l_", "r_"), F.lit(0.0)).alias("related"),
+        functools.reduce(Column.__or__, [F.coalesce((F.col(f"l_{c}") == F.col(f"r_{c}")) & S.present(F.col(f"l_{c}").cast("string")), F.lit(False)) for c in strong], F.lit(False)).alias("strong"))
+    scored = parts.withColumn("score", F.round(0.35 * F.col("name") + 0.4 * F.col("near") + 0.15 * F.col("link") + 0.1 * F.col("related"), 5)).where(F.col("score") >= min_score)
+    reasons = F.array_join(F.array_compact(F.array(F.when(F.col("name") > 0.55, "name similarity"), F.when(F.col("near") > 0.7, "embedding similarity"), F.when(F.col("link") > 0, "shared links"), F.when(F.col("related") > 0, "overlapping exhibitions/articles"))), ", ")
+    merge = (F.col("score") >= 0.85) & F.col("strong")
+    return scored.select("l_id", "r_id", "score", F.when(reasons == "", "multi-signal similarity").otherwise(reasons).alias("reason"), merge.alias("auto_merge"), ((F.col("score") >= 0.7) & ~merge).alias("needs_review"))
 
 
 def merge_candidates(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
@@ -261,6 +304,21 @@ def _scored(s, d):
     return entity_pair_score(_pairs(s, d), ["city", "year"])
 
 
+def _sides(s, d):
+    """Entities with even ids as stored, those with odd ids as incoming records; types stand in for the fixed ones by their first word."""
+    e = view(s, d, "entities_v").withColumn("nationality", F.col("city")).withColumn("birth_year", F.col("year")).withColumn("entity_type", F.lit("artist"))
+    return e.where("id % 2 = 1"), e.where("id % 2 = 0")
+
+
+def _matched(s, d):
+    return match_score(match_pairs(*_sides(s, d)))
+
+
+def _duplicates(s, d):
+    e = view(s, d, "entities_v").select("id", "name", F.col("city").alias("website_url"), F.col("year").alias("birth_year"), F.array("entity_type").alias("exhibitions"), F.array("entity_type", "city").alias("articles"), F.array().cast("array<string>").alias("press"))
+    return duplicate_candidates(e.join(view(s, d, "vectors_v").select("id", "embedding"), "id", "left"), 0.45)
+
+
 def _mapping(s, d):
     return view(s, d, "entities_v").where("id % 5 = 1").select("id", (F.col("id") - 1).alias("winner"))
 
@@ -276,9 +334,9 @@ QUERIES = {
     "identity_match": lambda s, d: identity_match(_pairs(s, d), ["city", "year"], ["city"]).select("l_id", "r_id", "score", "decision"),
     "record_dedupe": lambda s, d: best_match(identity_match(_pairs(s, d), ["city", "year"], ["city"]), "r_id", "l_id").select("r_id", "l_id", F.when(F.col("score") >= 0.85, "merge").when(F.col("score") >= 0.7, "review").otherwise("insert").alias("decision")),
     "entity_pair_score": lambda s, d: _scored(s, d).select("l_id", "r_id", "score"),
-    "best_entity_match": lambda s, d: best_match(_scored(s, d), "r_id", "l_id"),
+    "best_entity_match": lambda s, d: best_match(_matched(s, d), "r_id", "l_id", "name_score"),
     "merge_clusters": lambda s, d: winners(clusters(_scored(s, d).where("score >= 0.9").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))), view(s, d, "entities_v")),
-    "resolve_records": lambda s, d: best_match(_scored(s, d), "r_id", "l_id").select("r_id", F.when(F.col("score") >= 0.88, "link").when(F.col("score") >= 0.72, "review").otherwise("create").alias("decision"), F.when(F.col("score") >= 0.72, F.col("l_id")).alias("entity_id")),
+    "resolve_records": lambda s, d: resolve(_sides(s, d)[0].withColumn("confidence", F.col("confidence") / 20), best_match(_matched(s, d), "r_id", "l_id", "name_score"), view(s, d, "links_v").where("entity_id % 10 = 1").groupBy(F.col("entity_id").alias("r_id")).agg(F.min("source_id").alias("entity_id"))),
     "entity_by_name": lambda s, d: best_match(_scored(s, d).where("name_score >= 0.9"), "r_id", "l_id"),
     "build_edges": lambda s, d: noisy_or(view(s, d, "records_v").select("source_id", F.lower("nationality").alias("place"), F.lit("EXHIBITED_AT").alias("edge_type"), "id", (F.col("confidence_score") / 100).alias("confidence")), ["source_id", "place", "edge_type"], "id"),
     "merge_record": lambda s, d: merge_record(_near(s, d), [("city", "confidence_score"), ("nationality", "completeness_score")]),
@@ -291,7 +349,7 @@ QUERIES = {
     "entity_confidence": lambda s, d: entity_confidence(view(s, d, "links_v")),
     "merge_into_entity": lambda s, d: view(s, d, "links_v").groupBy("entity_id").agg(F.max(F.struct("confidence", "record_id"))["record_id"].alias("best_record"), F.round(F.max("confidence"), 6).alias("confidence"), (F.count_distinct("source_id") > 1).alias("conflict")),
     "upsert_edges": lambda s, d: upsert_edges(view(s, d, "edges_v").where("record_id % 3 <> 1"), view(s, d, "edges_v").where("record_id % 3 <> 0"), ["from_id", "to_id", "edge_type"]).withColumn("confidence", F.round("confidence", 6)),
-    "duplicate_candidates": lambda s, d: duplicate_candidates(view(s, d, "entities_v"), 0.6),
+    "duplicate_candidates": _duplicates,
     "merge_candidates": lambda s, d: merge_candidates(view(s, d, "vectors_v"), 0.3),
     "review_upsert": lambda s, d: review_upsert(view(s, d, "reviews_v").where("id % 3 <> 0"), view(s, d, "reviews_v").where("id % 2 = 0 or id % 3 = 0")),
     "review_decisions": lambda s, d: review_decisions(view(s, d, "reviews_v").select("id", "status"), view(s, d, "events").select(((F.col("event_id") % 90) * 10 + 1).alias("review_id"), "ts", "event_id", F.col("event_type").alias("decision"))),
@@ -325,8 +383,13 @@ ORACLE = {k: with_views(v) for k, v in {
     "entity_confidence": "select entity_id, round(least(1.0, greatest(0.0, 0.35 * least(count(*), 20) / 20 + 0.45 * avg(confidence) + 0.2 * least(count(distinct source_id), 10) / 10)) + 1e-9, 4) as confidence from links_v group by 1",
     "merge_into_entity": "select entity_id, arg_max(record_id, (confidence, record_id)) as best_record, round(max(confidence), 6) as confidence, count(distinct source_id) > 1 as conflict from links_v group by 1",
     "upsert_edges": "with a as (select from_id, to_id, edge_type, max(confidence) as c from edges_v where record_id % 3 <> 1 group by 1, 2, 3), b as (select from_id, to_id, edge_type, max(confidence) as c from edges_v where record_id % 3 <> 0 group by 1, 2, 3) select from_id, to_id, edge_type, round(greatest(a.c, b.c), 6) as confidence, a.c is null as is_new from a full join b using (from_id, to_id, edge_type)",
-    "duplicate_candidates": "with x as (select a.id as l_id, b.id as r_id, round(0.35 + 0.4 * (a.entity_type = b.entity_type)::int + 0.15 + 0.1 * (a.city = b.city)::int, 6)::double as score from entities_v a join entities_v b on a.name = b.name and a.year = b.year and a.id < b.id) select *, score >= 0.95 as auto_merge from x where score >= 0.6",
-    "merge_candidates": "with k as (select *, label || '|' || array_to_string(list_transform(embedding[1:6], lambda x: case when x >= 0 then '1' else '0' end), '') as b from vectors_v), x as (select a.id as l_id, c.id as r_id, round(list_cosine_similarity(a.embedding::double[], c.embedding::double[]), 5) as score from k a join k c on a.b = c.b and a.id < c.id) select * from x where score >= 0.3",
+    "duplicate_candidates": """with e as (select p.id, city, year, entity_type, embedding, list_distinct(list_filter(regexp_split_to_array(lower(name), '[ \\t\\r\\n-]+'), lambda x: x <> '')) as w from entities_v p left join vectors_v v on v.id = p.id),
+        j as (select a.id as l_id, b.id as r_id, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) as name, coalesce(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 0) as near, (a.city = b.city)::int as link,
+              ((a.entity_type = b.entity_type)::int + ((a.entity_type = b.entity_type)::int + (a.city = b.city)::int) / (4 - (a.entity_type = b.entity_type)::int - (a.city = b.city)::int)) / 3 as related, a.city = b.city or a.year = b.year as strong from e a join e b on a.id < b.id),
+        k as (select *, round(0.35 * name + 0.4 * near + 0.15 * link + 0.1 * related, 5)::double as score from j)
+        select l_id, r_id, score, coalesce(nullif(concat_ws(', ', case when name > 0.55 then 'name similarity' end, case when near > 0.7 then 'embedding similarity' end, case when link > 0 then 'shared links' end, case when related > 0 then 'overlapping exhibitions/articles' end), ''), 'multi-signal similarity') as reason,
+               score >= 0.85 and strong as auto_merge, score >= 0.7 and not (score >= 0.85 and strong) as needs_review from k where score >= 0.45""",
+    "merge_candidates": "select a.id as l_id, c.id as r_id, round(list_cosine_similarity(a.embedding::double[], c.embedding::double[]), 5) as score from vectors_v a join vectors_v c on a.id < c.id where round(list_cosine_similarity(a.embedding::double[], c.embedding::double[]), 5) >= 0.3",
     "review_upsert": "with a as (select least(left_id, right_id) as low, greatest(left_id, right_id) as high, max(score) as score, max(status) as status from reviews_v where id % 3 <> 0 group by 1, 2), b as (select least(left_id, right_id) as low, greatest(left_id, right_id) as high, max(score) as score from reviews_v where id % 2 = 0 or id % 3 = 0 group by 1, 2) select low, high, coalesce(b.score, a.score) as score, coalesce(status, 'pending') as status from a full join b using (low, high)",
     "review_decisions": "with e as (select (event_id % 90) * 10 + 1 as review_id, arg_max(event_type, (ts, event_id)) as decision from events group by 1) select id, coalesce(decision, status) as status from reviews_v left join e on review_id = id",
     "merge_artists": "select a.id, b.id as removed, coalesce(nullif(a.city, ''), nullif(b.city, '')) as city, coalesce(nullif(a.url, ''), nullif(b.url, '')) as url, greatest(a.confidence_score, b.confidence_score) as confidence_score from records_v a join records_v b on b.id = a.id + 1 where a.id % 2 = 0",

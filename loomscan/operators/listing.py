@@ -131,7 +131,10 @@ def find_stale(records: DataFrame, as_of: str, days: int, limit: int | None = No
 
 
 def url_ignore(urls: DataFrame, hints: list[str]) -> DataFrame:
-    return urls.where(~F.lower("url").rlike("|".join(hints))) if hints else urls
+    """URLs that hold none of the hints, as they stand."""
+    for hint in hints:
+        urls = urls.where(~F.contains("url", F.lit(hint)))
+    return urls
 
 
 def path_rules(urls: DataFrame, allowed: list[str], blocked: list[str]) -> DataFrame:
@@ -188,10 +191,10 @@ QUERIES = {
     "bulk_approve": _q("records_v", lambda r: bulk_approve(r, 60).select("id", "status")),
     "find_incomplete_records": _q("records_v", lambda r: find_incomplete(r, 5, 70, ["city"]).select("id", "completeness_score")),
     "find_records_by_source": _q("records_v", lambda r: list_records(r, source_id="src3").select("id", "record_type")),
-    "find_stale_records": _q("records_v", lambda r: find_stale(r, "timestamp '2024-01-08 00:00:00'", 7).select("id", "updated_at")),
+    "find_stale_records": _q("records_v", lambda r: find_stale(r, "timestamp '2024-01-08 02:00:00'", 7).select("id", "updated_at")),
     "list_mapping_rows": _q2("edges_v", "entities_v", lambda e, x: e.join(x, e["from_id"] == x["id"]).where(e["confidence"] >= 0.95).where(F.col("entity_type") == "PROMO").select("record_id", "line", "name", "edge_type")),
     "crawl_run_listing": _q("frontier_v", lambda f: page(keep(f, status=("queued", "failed_retryable")), [F.desc("created_at"), F.desc("id")]).select("id", "status", "created_at")),
-    "url_ignore_filter": _q("pages_v", lambda p: url_ignore(p, ["utm_", "/tag/", "blog."]).select("id", "url")),
+    "url_ignore_filter": _q("pages_v", lambda p: url_ignore(p, ["utm_", "/tag/", "/en/1"]).select("id", "url")),
     "path_rule_filter": _q("pages_v", lambda p: path_rules(p, ["/en/", "/fr/"], ["/en/1"]).select("id", "path")),
     "list_mappings": _q2("jobs_v", "sources_v", lambda j, s: j.join(s.select(F.col("id").alias("source_id"), "name", "url"), "source_id").select("id", "name", "url", "created_at")),
     "list_versions": _q("jobs_v", lambda j: page(keep(j, source_id=11), [F.desc("created_at"), F.desc("id")]).select("id", "created_at")),
@@ -230,10 +233,10 @@ ORACLE = {k: with_views(v) for k, v in {
     "bulk_approve": "select id, case when status = 'pending' and confidence_score >= 60 then 'approved' else status end as status from records_v",
     "find_incomplete_records": "select id, completeness_score from records_v where completeness_score between 5 and 70 and status <> 'rejected' and url is not null and coalesce(trim(city), '') = ''",
     "find_records_by_source": "select id, record_type from records_v where source_id = 'src3'",
-    "find_stale_records": "select id, updated_at from records_v where updated_at < timestamp '2024-01-01 00:00:00'",
+    "find_stale_records": "select id, updated_at from records_v where updated_at < timestamp '2024-01-01 02:00:00'",
     "list_mapping_rows": "select record_id, line, name, edge_type from edges_v e join entities_v x on e.from_id = x.id where e.confidence >= 0.95 and entity_type = 'PROMO'",
     "crawl_run_listing": "select id, status, created_at from frontier_v where status in ('queued', 'failed_retryable')",
-    "url_ignore_filter": "select id, url from pages_v where not regexp_matches(lower(url), 'utm_|/tag/|blog.')",
+    "url_ignore_filter": "select id, url from pages_v where not (contains(url, 'utm_') or contains(url, '/tag/') or contains(url, '/en/1'))",
     "path_rule_filter": "select id, path from pages_v where (starts_with(path, '/en/') or starts_with(path, '/fr/')) and not starts_with(path, '/en/1')",
     "list_mappings": "select j.id, name, url, created_at from jobs_v j join sources_v s on s.id = j.source_id",
     "list_versions": "select id, created_at from jobs_v where source_id = 11",

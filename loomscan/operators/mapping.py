@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.functions import urls as U
+from loomscan.operators.expressions import _any
 from loomscan.sources.views import view, with_views
 
 
@@ -13,10 +14,18 @@ from loomscan.sources.views import view, with_views
 TIE = 1e-9
 
 
+def first_few(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The first n (id, url) of each group as an array s: ranks inside hashed parts of a group first, so that no task sorts a whole large one."""
+    part = F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")
+    near = rows.select(*by, "id", "url", part).withColumn("place", F.row_number().over(Window.partitionBy(*by, "part").orderBy("id"))).where(F.col("place") <= n)
+    return near.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("id", "url"))), 1, n).alias("s"))
+
+
 def url_families(pages: DataFrame, samples: int = 5) -> DataFrame:
     """Pages of a source by path pattern: type, size, mean out-links, confidence, the first URLs by id."""
     p = pages.select("id", "source_id", "url", U.path_pattern(F.col("url")).alias("pattern"), F.regexp_count("html", F.lit("href=")).alias("links"))
-    g = p.groupBy("source_id", "pattern").agg(F.count("*").alias("size"), F.round(F.avg("links"), 4).alias("mean_links"), F.slice(F.array_sort(F.collect_list(F.struct("id", "url"))), 1, samples).alias("s"))
+    g = p.groupBy("source_id", "pattern").agg(F.count("*").alias("size"), F.round(F.avg("links"), 4).alias("mean_links"))
+    g = g.join(first_few(p, ["source_id", "pattern"], samples), ["source_id", "pattern"])
     total = p.groupBy("source_id").agg(F.count("*").alias("total"))
     kind = U.page_type_candidate(F.col("pattern"))
     score = F.least(F.lit(0.98), 0.45 + 0.5 * F.col("size") / F.col("total") + F.when(kind != "generic_detail", 0.1).otherwise(0.0))
@@ -101,7 +110,7 @@ QUERIES = {
 
 _PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)"
 _PATTERN = f"'/' || array_to_string(list_transform(list_filter(string_split({_PATH}, '/'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '^[0-9]+$') then '{{num}}' when regexp_matches(x, '^[0-9a-fA-F]{{8,}}$') then '{{hex}}' when regexp_matches(x, '[0-9]') then '{{slug}}' else lower(x) end), '/')"
-_TYPE = "case " + " ".join(f"when contains(pattern, '{h}') then '{h}'" for h in U.TYPE_HINTS) + " when len(list_filter(string_split(pattern, '/'), lambda x: x <> '')) <= 1 then 'listing' else 'generic_detail' end"
+_TYPE = "case " + " ".join(f"when contains(lower(pattern), '{h}') then '{k}'" for h, k in U.TYPE_HINTS) + " when len(list_filter(string_split(pattern, '/'), lambda x: x <> '')) <= 1 then 'listing' else 'generic_detail' end"
 _FAM = f"p as (select id, source_id, url, {_PATTERN} as pattern, len(regexp_extract_all(html, 'href=')) as links from pages_v), g as (select source_id, pattern, {_TYPE} as page_type, count(*) as size, round(avg(links), 4) as mean_links, string_agg(url, ' ' order by id) as urls, sum(count(*)) over (partition by source_id) as total from p group by 1, 2, 3), f as (select source_id, pattern, page_type, size, mean_links, round(least(0.98, 0.45::double + 0.5::double * size / total + case when page_type <> 'generic_detail' then 0.1::double else 0 end) + 1e-9, 2)::double as confidence, array_to_string(string_split(urls, ' ')[1:5], ' ') as samples from g)"
 _CLU = f"p as (select id, source_id, {_PATTERN} as pattern from pages_v), r as (select *, {_TYPE} as role from p), c as (select source_id, role, count(*) as size, min(id) as first_id, round(least(0.95, 0.5::double + 0.5::double * count(*) / sum(count(*)) over (partition by source_id)) + 1e-9, 2)::double as confidence from r group by 1, 2)"
 _ROWS = "w as (select record_id * 10 + line as id, record_id, edge_type as status, line <= 3 as is_draft, from_id, round(confidence, 2) as confidence from edges_v)"
@@ -109,7 +118,7 @@ _ROWS = "w as (select record_id * 10 + line as id, record_id, edge_type as statu
 ORACLE = {k: with_views(v) for k, v in {
     "url_families": f"with {_FAM} select * from f",
     "page_clusters": f"with {_CLU} select * from c",
-    "family_rules": f"with {_FAM} select source_id, pattern, case when regexp_matches(pattern, '{'|'.join(U.UTILITY)}') or (confidence < 0.35 and size <= 1) then false when size >= 3 or confidence >= 0.7 then true else page_type <> 'unknown' and confidence >= 0.45 end as include, page_type = 'listing' as follow, case when page_type = 'listing' then 'high' when page_type in ('artist', 'artwork', 'exhibition', 'generic_detail') then 'medium' else 'low' end as priority, case when page_type = 'listing' then 'daily' when regexp_matches(pattern, 'archive|past') then 'monthly' else 'weekly' end as freshness from f",
+    "family_rules": f"with {_FAM} select source_id, pattern, case when {_any('lower(pattern)', (*U.EXCLUDED, *U.UTILITY_FAMILY))} or (confidence < 0.35 and size <= 1) then false when size >= 3 or confidence >= 0.7 then true else page_type in ('listing', 'artist', 'artwork', 'exhibition', 'detail') and confidence >= 0.45 end as include, page_type = 'listing' as follow, case when page_type = 'listing' then 'high' when page_type in ('artist', 'artwork', 'exhibition', 'generic_detail') then 'medium' else 'low' end as priority, case when page_type = 'listing' then 'daily' when regexp_matches(pattern, 'archive|past') then 'monthly' else 'weekly' end as freshness from f",
     "mapping_proposals": f"with {_CLU}, b(role, field, rank) as (values {', '.join(map(str, BLUEPRINTS))}) select source_id, c.role, field, round(greatest(0.45, confidence - 0.05 * rank), 4)::double as confidence from c join b on b.role = c.role",
     "mapping_preview": f"with {_ROWS} select record_id, count(*) as rows, count_if(confidence < 0.95) as warnings, string_agg(distinct status, ',' order by status) as categories from w group by 1",
     "runtime_map": f"with {_ROWS} select record_id, string_agg(status || ':' || id, ';' order by status || ':' || id) as rules from w where confidence >= 0.93 group by 1",

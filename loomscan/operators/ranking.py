@@ -50,12 +50,22 @@ def field_vote(votes: DataFrame, by: list[str]) -> DataFrame:
     return total.groupBy(*by).agg(F.min_by(F.struct("value", "weight"), F.struct(-F.col("weight"), "value")).alias("b")).select(*by, "b.value", "b.weight")
 
 
-def template_match(items: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
-    """The best template of each item at or above the threshold: 0.35 type, 0.25 system, 0.4 overlap; ties to the earlier template."""
-    overlap = F.size(F.array_intersect("words", "t_words")) / F.greatest(F.size("t_words"), F.lit(1))
-    score = F.round(F.when(F.col("kind") == F.col("t_kind"), 0.35).otherwise(0.0) + F.when(F.col("system") == F.col("t_system"), 0.25).otherwise(0.0) + 0.4 * overlap, 6)
-    scored = items.crossJoin(F.broadcast(templates)).select("id", "template", score.alias("score"))
-    return scored.where(F.col("score") >= threshold).groupBy("id").agg(F.max(F.struct("score", -F.col("template"))).alias("b")).select("id", (-F.col("b.col2")).alias("template"), F.col("b.score").alias("score"))
+def template_match(items: DataFrame, templates: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """The best template of each item at or above the threshold, ties to the earlier one.
+
+    0.35 equal type, 0.25 equal system, 0.25 of the template's entity types that the item has, 0.15 of its pattern tokens that
+    the item's patterns hold. Without an equal type or system 0.4 is the most, so that thresholds over it need only those pairs.
+    """
+    if threshold <= 0.4:
+        raise ValueError("thresholds up to 0.4 need neither type nor system")
+    met = items.join(templates, items["kind"] == templates["t_kind"]).unionByName(items.join(templates, (items["system"] == templates["t_system"]) & ~items["kind"].eqNullSafe(templates["t_kind"])))
+    share = lambda found, of: F.coalesce(found / F.nullif(F.size(of), F.lit(0)), F.lit(0.0))
+    words = share(F.size(F.array_intersect("words", "t_words")), "t_words")
+    tokens = share(F.size(F.filter("t_tokens", lambda t: F.contains(F.lower("patterns"), F.lower(t)))), "t_tokens")
+    same = lambda a, b, w: F.when(F.col(a) == F.col(b), w).otherwise(0.0)
+    score = F.round(same("kind", "t_kind", 0.35) + same("system", "t_system", 0.25) + 0.25 * words + 0.15 * tokens, 4)
+    scored = met.select("id", "template", score.alias("score")).where(F.col("score") >= threshold)
+    return scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("template")).alias("neg"))).alias("b")).select("id", (-F.col("b.neg")).alias("template"), F.col("b.score").alias("score"))
 
 
 def stuck(jobs: DataFrame, as_of: str, minutes: int) -> DataFrame:
@@ -72,20 +82,45 @@ def requeue(frontier: DataFrame, now: str, limit: int) -> DataFrame:
     return out.select("id", F.when(moved, "queued").otherwise(F.col("status")).alias("status"), F.when(F.col("status") == "failed_retryable", F.expr(now)).otherwise(F.col("next_retry_at")).alias("next_retry_at"))
 
 
-def related_artists(vectors: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """For each of a few anchors, the k vectors of highest 0.6 cosine + 0.15 equal label + 0.25 equal parity, above 0."""
-    a = anchors.select(F.col("id").alias("anchor"), F.col("embedding").alias("q"), F.col("label").alias("a_label"))
-    score = F.round(0.6 * S.cosine_similarity(F.col("embedding"), F.col("q")) + F.when(F.col("label") == F.col("a_label"), 0.15).otherwise(0.0) + F.when((F.col("id") - F.col("anchor")) % 2 == 0, 0.25).otherwise(0.0), 5)
-    scored = vectors.crossJoin(F.broadcast(a)).where("id <> anchor").select("anchor", "id", score.alias("score")).where("score > 0")
+RELATED = ("exhibitions", "articles", "press")
+
+
+def related_overlap(left: str, right: str) -> Column:
+    """Mean overlap of the three related lists; a missing or empty list counts as none shared."""
+    one = lambda c: F.when((F.size(f"{left}{c}") > 0) & (F.size(f"{right}{c}") > 0), S.jaccard(F.col(f"{left}{c}"), F.col(f"{right}{c}"))).otherwise(0.0)
+    return F.least(sum((one(c) for c in RELATED), F.lit(0.0)) / 3, F.lit(1.0))
+
+
+def location_similarity(left: str, right: str) -> Column:
+    """1 for equal places (city, country, nationality as one text), 0.5 for the same country, else 0."""
+    place = lambda x: F.lower(F.concat_ws(" ", *[F.nullif(f"{x}{c}", F.lit("")) for c in ("city", "country", "nationality")]))
+    a, b = place(left), place(right)
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.col(f"{left}country") == F.col(f"{right}country"), 0.5).otherwise(0.0)
+
+
+def related_artists(artists: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """For each anchor the k others of highest 0.6 cosine + 0.25 related overlap + 0.15 location, above 0."""
+    a = anchors.select(F.col("id").alias("anchor"), *[F.col(c).alias(f"a_{c}") for c in ("embedding", "city", "country", "nationality", *RELATED)])
+    score = F.round(0.6 * S.cosine_similarity(F.col("embedding"), F.col("a_embedding")) + 0.25 * related_overlap("", "a_") + 0.15 * location_similarity("", "a_"), 5)
+    scored = artists.crossJoin(a).where("id <> anchor").select("anchor", "id", score.alias("score")).where("score > 0")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k)
 
 
+def _artists(s, d):
+    """Vectors with the places and lists of the record of the same id."""
+    r = view(s, d, "records_v").select("id", "city", F.col("source_id").alias("country"), "nationality", F.array("record_type").alias("exhibitions"), F.array("nationality", "record_type").alias("articles"), F.array().cast("array<string>").alias("press"))
+    return view(s, d, "vectors_v").select("id", "embedding").join(r, "id")
+
+
 def _items(e):
-    return e.select("id", F.col("entity_type").alias("kind"), F.col("city").alias("system"), S.tokens(F.col("name")).alias("words"))
+    return e.select("id", F.col("entity_type").alias("kind"), F.col("city").alias("system"), S.tokens(F.col("name")).alias("words"), F.col("name").alias("patterns"))
+
+
+TEMPLATES = [(0, "PROMO", "Brand#1", ["old", "bolt"], ["ol", "x"]), (1, "STANDARD", "Brand#2", ["small", "ring"], ["ring"]), (2, "ECONOMY", "Brand#3", ["new"], ["n", "e"]), (3, "PROMO", "Brand#2", ["small"], [])]
 
 
 def _templates(s):
-    return s.createDataFrame([(0, "PROMO", "Brand#1", ["old", "bolt"]), (1, "STANDARD", "Brand#2", ["small", "ring"]), (2, "ECONOMY", "Brand#3", ["new"])], "template int, t_kind string, t_system string, t_words array<string>")
+    return s.createDataFrame(TEMPLATES, "template int, t_kind string, t_system string, t_words array<string>, t_tokens array<string>")
 
 
 def _votes(l):
@@ -104,9 +139,9 @@ QUERIES = {
     "semantic_artists": _vec(lambda: F.col("label") / 1000 + F.least((F.col("id") % 101) / 1000, F.lit(0.1))),
     "semantic_exhibitions": _vec(lambda: F.when(F.col("id") % 200 < 120, 0.05).otherwise(0.0) + F.col("label") / 1000),
     "ask": lambda s, d: view(s, d, "conversations").select("conv_id", "turn", F.nullif(F.regexp_extract("text", r"^.* in (.*)$", 1), F.lit("")).alias("location"), F.when(F.lower("text").rlike("similar"), "similar").otherwise("search").alias("intent")),
-    "related_artists": lambda s, d: related_artists(view(s, d, "vectors_v"), view(s, d, "vectors_v").where("id < 3"), 10),
+    "related_artists": lambda s, d: related_artists(_artists(s, d), _artists(s, d).where("id % 100 = 0"), 10),
     "field_vote": lambda s, d: field_vote(_votes(view(s, d, "links_v")), ["entity_id", "field"]),
-    "template_match": lambda s, d: template_match(_items(view(s, d, "entities_v")), _templates(s), 0.5),
+    "template_match": lambda s, d: template_match(_items(view(s, d, "entities_v")), _templates(s)),
     "top_failing_fields": lambda s, d: view(s, d, "signals_v").groupBy("field", "signal_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field", "signal_type").limit(10),
     "stuck_work": lambda s, d: stuck(view(s, d, "jobs_v"), "timestamp '1996-01-01 00:00:00'", 2),
     "requeue": lambda s, d: requeue(view(s, d, "frontier_v"), NOW, 1),
@@ -121,9 +156,9 @@ ORACLE = {k: with_views(v) for k, v in {
     "semantic_artists": f"select v.id, round({_COS} + v.label / 1000 + least((v.id % 101) / 1000, 0.1), 5) as score from vectors_v v, vectors_v q where q.id = 0 order by 2 desc, 1 limit 20",
     "semantic_exhibitions": f"select v.id, round({_COS} + case when v.id % 200 < 120 then 0.05 else 0 end + v.label / 1000, 5) as score from vectors_v v, vectors_v q where q.id = 0 order by 2 desc, 1 limit 20",
     "ask": "select conv_id, turn, nullif(regexp_extract(text, '^.* in (.*)$', 1), '') as location, case when contains(lower(text), 'similar') then 'similar' else 'search' end as intent from conversations",
-    "related_artists": f"with x as (select q.id as anchor, v.id, round(0.6 * {_COS} + case when v.label = q.label then 0.15 else 0 end + case when (v.id - q.id) % 2 = 0 then 0.25 else 0 end, 5) as score from vectors_v v, vectors_v q where q.id < 3 and v.id <> q.id), y as (select *, row_number() over (partition by anchor order by score desc, id) as place from x where score > 0) select anchor, id, score, cast(place as int) as place from y where place <= 10",
+    "related_artists": f"with w as (select v.id, embedding, city, source_id as country, nationality, record_type, lower(concat_ws(' ', nullif(city, ''), source_id, nationality)) as place from vectors_v v join records_v r on r.id = v.id), x as (select q.id as anchor, v.id, round(0.6 * {_COS} + 0.25 * (case when v.record_type = q.record_type then 1 else 0 end + (case when v.nationality = q.nationality then 1 else 0 end + case when v.record_type = q.record_type then 1 else 0 end) / (4 - case when v.nationality = q.nationality then 1 else 0 end - case when v.record_type = q.record_type then 1 else 0 end)) / 3 + 0.15 * case when v.place = q.place then 1 when v.country = q.country then 0.5 else 0 end, 5)::double as score from w v, w q where q.id % 100 = 0 and v.id <> q.id), y as (select *, row_number() over (partition by anchor order by score desc, id) as place from x where score > 0) select anchor, id, score, cast(place as int) as place from y where place <= 10",
     "field_vote": "with t as (select entity_id, source_id as value, round(sum(confidence), 6) as weight from links_v group by 1, 2), r as (select *, row_number() over (partition by entity_id order by weight desc, value) as n from t) select entity_id, 'source' as field, value, weight from r where n = 1",
-    "template_match": "with t(template, k, s, w) as (values (0, 'PROMO', 'Brand#1', ['old', 'bolt']), (1, 'STANDARD', 'Brand#2', ['small', 'ring']), (2, 'ECONOMY', 'Brand#3', ['new'])), x as (select id, template, round(case when entity_type = k then 0.35 else 0 end + case when city = s then 0.25 else 0 end + 0.4 * len(list_intersect(regexp_split_to_array(lower(name), '[^a-z0-9]+'), w)) / len(w), 6)::double as score from entities_v, t), y as (select *, row_number() over (partition by id order by score desc, template) as n from x where score >= 0.5) select id, template, score from y where n = 1",
+    "template_match": "with t(template, k, s, w, p) as (values " + ", ".join(f"({n}, '{k}', '{y}', {w}::varchar[], {p}::varchar[])" for n, k, y, w, p in TEMPLATES) + "), x as (select id, template, round(case when entity_type = k then 0.35 else 0 end + case when city = s then 0.25 else 0 end + 0.25 * coalesce(len(list_intersect(regexp_split_to_array(lower(name), '[^a-z0-9]+'), w)) / nullif(len(w), 0), 0) + 0.15 * coalesce(len(list_filter(p, lambda z: contains(lower(name), z))) / nullif(len(p), 0), 0), 4)::double as score from entities_v, t), y as (select *, row_number() over (partition by id order by score desc, template) as n from x where score >= 0.75) select id, template, score from y where n = 1",
     "top_failing_fields": "select field, signal_type, count(*) as n from signals_v group by 1, 2 order by 3 desc, 1, 2 limit 10",
     "stuck_work": "select id, 'pending' as status, attempts + 1 as attempts from jobs_v where status = 'running' and heartbeat_at < timestamp '1996-01-01 00:00:00' - interval '2' minute",
     "requeue": f"with f as (select *, row_number() over (partition by source_id, status order by created_at, id) as n from frontier_v) select id, case when (status = 'discovered' and n <= 1) or status = 'failed_retryable' then 'queued' else status end as status, case when status = 'failed_retryable' then {NOW} else next_retry_at end as next_retry_at from f",

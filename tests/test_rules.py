@@ -10,7 +10,7 @@ from loomscan.functions import scores as S
 from loomscan.functions import urls as U
 from loomscan.functions.gestalt import reaches, sequence_ratio
 from loomscan.functions.html import page_nodes
-from loomscan.operators import drift, entities, listing, ranking, reports, sets
+from loomscan.operators import drift, entities, listing, pages, ranking, reports, sets
 
 
 def one(spark, column, **values):
@@ -139,21 +139,113 @@ def test_merge_candidates_are_all_pairs_at_the_threshold(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_duplicate_candidates_are_all_pairs_at_the_score(spark):
+@pytest.mark.parametrize("least", [0.6, 0.45])
+def test_duplicate_candidates_are_all_pairs_at_the_score(spark, least):
     rng = np.random.default_rng(8)
     pick = lambda *v: v[rng.integers(len(v))]
-    rows = [(i, pick("t", "u", "v"), " ".join(rng.choice(["red", "blue", "tin", "box", "red"], 3)) if i % 9 else "", pick("a", "b", None), pick(1, 2, 3)) for i in range(70)]
-    df = spark.createDataFrame(rows, "id long, entity_type string, name string, city string, year int")
+    rows = []
+    for i in range(60):
+        name = " ".join(rng.choice(["red", "blue", "tin", "box", "cup-red"], 3)) if i % 9 else ""
+        rows.append((i, name, pick("w1", "w2", "w3", None, ""), pick(1, 2, 3), None if i % 7 == 3 else rng.normal(size=3).tolist(), [pick("a", "b")], [pick("a", "b"), "c"], []))
+    df = spark.createDataFrame(rows, "id long, name string, website_url string, birth_year int, embedding array<double>, exhibitions array<string>, articles array<string>, press array<string>")
 
     def score(a, b):
-        x, y = set(a[2].split()), set(b[2].split())
-        same = lambda k: float(a[k] is not None and a[k] == b[k])
-        return round(0.35 * (len(x & y) / len(x | y) if x | y else 0.0) + 0.4 * same(1) + 0.15 * same(4) + 0.1 * same(3), 6)
-
-    for least in (0.6, 0.7, 0.4):
-        want = {(a[0], b[0]): score(a, b) for a in rows for b in rows if a[0] < b[0] and score(a, b) >= least}
-        got = [(r["l_id"], r["r_id"], r["score"]) for r in entities.duplicate_candidates(df, least).collect()]
-        assert len(got) == len(want) and {(a, b): pytest.approx(x) for a, b, x in got} == want
+        x, y = (set(r[1].replace("-", " ").split()) for r in (a, b))
+        u, v = (np.array(r[4]) if r[4] else np.zeros(3) for r in (a, b))
+        near = float(u @ v / (np.linalg.norm(u) * np.linalg.norm(v))) if u.any() and v.any() else 0.0
+        over = sum(len(set(p) & set(q)) / len(set(p) | set(q)) for p, q in zip(a[5:], b[5:], strict=True) if p and q) / 3
+        return 0.35 * (len(x & y) / len(x | y) if x and y else 0.0) + 0.4 * near + 0.15 * bool(a[2] and a[2] == b[2]) + 0.1 * over
+
+    want = {(a[0], b[0]): score(a, b) for a in rows for b in rows if a[0] < b[0] and score(a, b) >= least}
+    got = entities.duplicate_candidates(df, least).collect()
+    assert len(got) == len(want) and {(r["l_id"], r["r_id"]): pytest.approx(r["score"], abs=1e-4) for r in got} == want and want
+    assert all(r["auto_merge"] == (r["score"] >= 0.85 and any(rows[r["l_id"]][k] and rows[r["l_id"]][k] == rows[r["r_id"]][k] for k in (2, 3))) for r in got)
+
+
+def test_resolution_needs_name_and_score(spark):
+    people = spark.createDataFrame([(1, "artist", "Alex Brown", 1980, "uk", 40), (2, "artist", "Alex Browne", 1980, "uk", 40), (3, "artist", "Alex Brown", None, None, 90), (4, "artist", "", 1980, "uk", 10), (5, "venue", "Alex Brown", None, None, 40), (6, "artist", "Alex Brown", 1980, "uk", 1)], "id int, entity_type string, name string, birth_year int, nationality string, confidence int")
+    known = spark.createDataFrame([(11, "artist", "alex brown ", 1980, "UK"), (12, "artist", "Alex Brown", 1970, "fr")], "id int, entity_type string, name string, birth_year int, nationality string")
+    best = entities.best_match(entities.match_score(entities.match_pairs(people, known)), "r_id", "l_id", "name_score")
+    linked = spark.createDataFrame([(6, 99)], "r_id int, entity_id long")
+    got = {r["r_id"]: r for r in entities.resolve(people, best, linked).collect()}
+    assert {i: (r["decision"], r["entity_id"], r["method"]) for i, r in got.items()} == {
+        1: ("link_to_entity", 11, "exact"), 2: ("link_to_entity", 11, "fuzzy"), 3: ("create_new_entity", None, "exact"), 4: ("create_new_entity", None, "exact"), 5: ("create_new_entity", None, "exact"), 6: ("already_linked", 99, None),
+    }
+    assert got[1]["confidence"] == 1.0 and got[3]["confidence"] == 0.9 and got[4]["confidence"] == 0.5 and got[2]["confidence"] == pytest.approx(0.7 * 20 / 21 + 0.3, abs=1e-5)
+    half = spark.createDataFrame([(7, "artist", "Alex Brown", 1980, "de", 40)], people.schema)
+    best = entities.best_match(entities.match_score(entities.match_pairs(half, known)), "r_id", "l_id", "name_score")
+    r = entities.resolve(half, best).first()
+    assert (r["decision"], r["entity_id"], r["method"], r["review"], r["confidence"]) == ("create_entity_flag_review", 11, "manual", True, 0.85)
+
+
+@pytest.mark.parametrize(("href", "want"), [("one", "http://a.com/x/one"), ("/two", "http://a.com/two"), ("../three", "http://a.com/three"), ("./four/../five?q=1#f", "http://a.com/x/five?q=1"), ("//a.com/six", "http://a.com/six"), ("?p=2", "http://a.com/x/y.html?p=2"), ("#top", None), ("", None), ("mailto:a@b.co", None), ("javascript:go()", None), ("HTTPS://a.com/s", "HTTPS://a.com/s"), ("..", "http://a.com/"), ("../../../up", "http://a.com/up"), ("http://b.com/z", "http://b.com/z")])
+def test_links_resolve_like_a_browser(spark, href, want):
+    assert one(spark, U.resolve(F.lit("http://a.com/x/y.html"), F.col("h")), h=href) == want
+    if want and href[:2] != "//":
+        from urllib.parse import urldefrag, urljoin
+
+        assert want.lower() == urldefrag(urljoin("http://a.com/x/y.html", href)).url.lower()
+
+
+def test_links_of_a_page(spark):
+    html = """<a href='one'>1</a><A class="k" HREF="/two">2</A><a data-href="no" href=four>4</a><a href="//a.com/five?a=1&amp;b=2">5</a><!-- <a href="/no"> --><script>"<a href='/no'>"</script><a href="http://b.com/x">b</a><a name=x>n</a>"""
+    df = spark.createDataFrame([(1, "http://a.com/x/y.html", "a.com", html)], "id int, url string, source_id string, html string")
+    assert [r["target"] for r in pages.extract_links(df).orderBy("pos").collect()] == ["http://a.com/x/one", "http://a.com/two", "http://a.com/x/four", "http://a.com/five?a=1&b=2"]
+
+
+@pytest.mark.parametrize(("url", "want"), [("https://a.com/artists/about", 80), ("https://a.com/about", 5), ("https://a.com/cookie-policy", 5), ("https://a.com/gallery", 30), ("https://a.com/x/event-2", 80), ("https://a.com/", 30)])
+def test_url_priority(spark, url, want):
+    assert one(spark, U.score_url(F.col("u")), u=url) == want
+
+
+@pytest.mark.parametrize(("url", "want"), [("https://a.com/artists/B", "artist_directory_letter"), ("https://a.com/jane/about.php", "artist_biography"), ("https://a.com/jane/press-reviews.php", "artist_press"), ("https://a.com/artist/jane-doe/", "artist_profile"), ("https://a.com/artists", "artist_directory"), ("https://a.com/whats-on", "event_listing"), ("https://a.com/shows/summer", "exhibition_detail"), ("https://a.com/shop", "artwork_listing"), ("https://a.com/artworks/7?x=1", "artwork_detail"), ("https://a.com/x", None)])
+def test_url_page_types(spark, url, want):
+    assert one(spark, U.url_page_type(F.col("u")), u=url) == want
+
+
+def test_page_classes_in_order(spark):
+    hub = "".join(f"<a href='/x'> {x.title()} </a>" for x in pages.HUB_LABELS)
+    rows = [(1, "http://a.com/artists", '<script type="application/ld+json">{"@type": "ArtGallery"}</script>'), (2, "http://a.com/artists", '{"@type": "Thing"}'), (3, "http://a.com/q", hub), (4, "http://a.com/q", "Artist names starting with B"), (5, "http://a.com/q", "")]
+    got = {r["id"]: (r["page_type"], r["confidence"]) for r in pages.classify(spark.createDataFrame(rows, "id int, url string, html string")).collect()}
+    assert got == {1: ("venue_profile", 95), 2: ("artist_directory", 75), 3: ("artist_profile_hub", 80), 4: ("artist_directory_letter", 80), 5: ("unknown", 0)}
+
+
+def test_scores_and_types(spark):
+    yes, no = F.lit(True), F.lit(False)
+    score, missing = S.artist_completeness(yes, yes, no, yes, no, yes, yes)
+    assert one(spark, score) == 65 and one(spark, missing) == "website_or_email,exhibitions_articles_press"
+    score, band, reasons = S.confidence_score(F.lit("artist"), yes, yes, yes, no, yes, yes, no, F.lit(80))
+    assert one(spark, score) == 65 and one(spark, band) == "MEDIUM" and one(spark, reasons) == "title present,description present,artists linked,avatar image found,high AI confidence"
+    assert one(spark, S.normalize_record_type(F.lit(" Artist_Press "))) == "artwork" and one(spark, S.normalize_record_type(F.lit("painter"))) is None
+    score, missing, critical = S.typed_completeness(F.lit("venue"), {"title": F.lit("x"), "city": F.lit(" "), "country": F.lit("[]")})
+    assert one(spark, score) == 11 and one(spark, critical) == "source_url" and one(spark, missing).startswith("source_url,address,city,country")
+
+
+def test_image_roles_in_order(spark):
+    role = lambda *v: tuple(one(spark, S.image_role(*[F.lit(x) for x in v])))
+    assert role("/a.jpg", "Portrait of A", "", "", 1) == ("profile", 88, "keyword_profile")
+    assert role("/a.jpg", "", "photo of the artist", "nav", 1) == ("artist_photo", 78, "context_artist_photo")
+    assert role("/a.jpg", "", "", "sidebar", 1) == ("template_shared", 74, "dom_zone_template")
+    assert role("/logo.png", "", "", "", 1) == ("decorative", 70, "decorative_context")
+    assert role("/a.jpg", "", "", "", 2) == ("template_shared", 68, "repeated_across_page") and role("/a.jpg", None, None, None, 1)[0] == "unknown"
+
+
+def test_hints_are_no_patterns(spark):
+    df = spark.createDataFrame([(1, "http://a.com/a+b"), (2, "http://a.com/aab"), (3, "http://a.com/blogs")], "id int, url string")
+    assert [r["id"] for r in listing.url_ignore(df, ["a+b", "blog."]).collect()] == [2, 3]
+
+
+def test_selector_rates(spark):
+    df = spark.createDataFrame([(1, x) for x in ["A One", "a one", "Two", "read more", None]] + [(2, None)], "k int, value string")
+    got = {r["k"]: r.asDict() for r in drift.validate(df, ["k"], "title").collect()}
+    assert got[1] == {"k": 1, "success": 0.8, "plausible": 0.6, "diversity": 0.75, "consistency": 0.5, "pattern": 1.0, "nonsense": 0.25, "validated": False}
+    assert (got[2]["success"], got[2]["diversity"], got[2]["consistency"], got[2]["nonsense"]) == (0.0, 0.0, 0.0, 1.0)
+
+
+def test_template_weights(spark):
+    items = spark.createDataFrame([(1, "k", "s", ["a"], "x/y"), (2, "k", "z", ["a", "b"], "x"), (3, "q", "s", ["a", "b"], "x")], "id int, kind string, system string, words array<string>, patterns string")
+    templates = spark.createDataFrame([(0, "k", "s", ["a", "b"], ["X"]), (1, "k", "s", ["a", "b"], ["x"])], "template int, t_kind string, t_system string, t_words array<string>, t_tokens array<string>")
+    assert {r["id"]: (r["template"], r["score"]) for r in ranking.template_match(items, templates).collect()} == {1: (0, 0.875), 2: (0, 0.75)}
 
 
 def test_signals_are_folded_by_partial_aggregates(spark):
