@@ -71,6 +71,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     return rows.join(firsts, "payload_digest", "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
+PLANNED = ("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "html")
 CHUNKS = "record string, page_id long, url string, record_type string, refers_to long, declared_bytes long, declared_digest string, chunk int, data binary, bytes_so_far long, digest string, last boolean"
 _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
 _COLUMNS = [x.split() for x in CHUNKS.split(", ")]
@@ -85,32 +86,39 @@ def record_id(page_id: int | None, digest: str) -> str:
     return str(uuid.uuid4() if page_id is None else uuid.UUID(hashlib.sha256(f"{page_id} {digest}".encode()).hexdigest()[:32]))
 
 
+def _chunk_rows(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple]:
+    """Rows of the chunk table, each slice copied when it is reached; the digest grows with the slices of a payload."""
+    for batch in batches:
+        about = batch.select([c for c in batch.schema.names if c != "html"]).to_pylist()
+        for row, payload in zip(about, _payloads(batch.column("html")), strict=True):
+            if row["record_type"] == "revisit":
+                payload = memoryview(b"")
+            name = record_id(row["page_id"], row["payload_digest"])
+            fixed = (name, row["page_id"], row["url"], row["record_type"], row["refers_to"], row["payload_bytes"], row["payload_digest"])
+            digest, seen = hashlib.sha256(), 0
+            for chunk, at in enumerate(range(0, max(1, len(payload)), chunk_bytes)):
+                part = payload[at : at + chunk_bytes]
+                digest.update(part)
+                seen += len(part)
+                last = seen == len(payload)
+                yield (*fixed, chunk, part.tobytes(), seen, digest.hexdigest() if last else None, last)
+
+
 def chunked(planned: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Planned rows to the chunk table, the rows of a record in order and together; digest is set in the last chunk. Revisits have one empty chunk."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, held = [], 0
-            about = batch.select([c for c in batch.schema.names if c != "html"]).to_pylist()
-            for row, payload in zip(about, _payloads(batch.column("html")), strict=True):
-                if row["record_type"] == "revisit":
-                    payload = memoryview(b"")
-                name = record_id(row["page_id"], row["payload_digest"])
-                digest, seen = hashlib.sha256(), 0
-                for chunk, at in enumerate(range(0, max(1, len(payload)), chunk_bytes)):
-                    part = payload[at : at + chunk_bytes]
-                    digest.update(part)
-                    seen += len(part)
-                    last = seen == len(payload)
-                    rows.append((name, row["page_id"], row["url"], row["record_type"], row["refers_to"], row["payload_bytes"], row["payload_digest"], chunk, part.tobytes(), seen, digest.hexdigest() if last else None, last))
-                    held += len(part) + 200
-                    if held >= BATCH_BYTES:
-                        yield _rows_to_batch(rows)
-                        rows, held = [], 0
-            if rows:
+        rows, held = [], 0
+        for row in _chunk_rows(batches, chunk_bytes):
+            rows.append(row)
+            held += len(row[8]) + 200
+            if held >= BATCH_BYTES:
                 yield _rows_to_batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _rows_to_batch(rows)
 
-    return planned.select("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "html").mapInArrow(work, CHUNKS)
+    return planned.select(*PLANNED).mapInArrow(work, CHUNKS)
 
 
 def _head(row: dict, date: str) -> bytes:
@@ -132,48 +140,54 @@ def _head(row: dict, date: str) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n" + http).encode("utf-8", "surrogatepass")
 
 
-def _write(folder: str, date: str, file_bytes: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = pafs.FileSystem.from_uri(folder)
-        out = path = zipper = None
-        size = records = 0
-
-        def put(data: bytes):
-            nonlocal size
-            out.write(data)
-            size += len(data)
-
-        def close_member():
-            nonlocal zipper
-            if zipper is not None:
-                put(zipper.compress(_END) + zipper.flush())
-                zipper = None
-
-        def manifest():
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
-
-        for batch in batches:
-            for row in batch.to_pylist():  # a batch holds at most some 64 MiB
-                if row["chunk"] == 0:
-                    close_member()
-                    if out is not None and size > file_bytes:
-                        out.close()
-                        yield manifest()
-                        out = None
-                    if out is None:
-                        system.create_dir(base, recursive=True)
-                        path, size, records = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                        out = system.open_output_stream(path, compression=None)
-                    zipper = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    put(zipper.compress(_head(row, date)))
-                    records += 1
-                put(zipper.compress(row["data"]))
-        close_member()
-        if out is not None:
-            out.close()
-            yield manifest()
-
-    return work
+def _written(rows: Iterator[tuple], folder: str, date: str, file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Appends chunk rows to archives, a gzip member a record; gives a manifest row for each file that is closed."""
+    system, base = pafs.FileSystem.from_uri(folder)
+    names = [n for n, _ in _COLUMNS]
+    number, data = names.index("chunk"), names.index("data")
+    out = path = zipper = None
+    size = records = 0
+
+    def put(part: bytes):
+        nonlocal size
+        out.write(part)
+        size += len(part)
+
+    def close_member():
+        nonlocal zipper
+        if zipper is not None:
+            put(zipper.compress(_END) + zipper.flush())
+            zipper = None
+
+    def manifest():
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
+
+    for row in rows:
+        if row[number] == 0:
+            close_member()
+            if out is not None and size > file_bytes:
+                out.close()
+                yield manifest()
+                out = None
+            if out is None:
+                system.create_dir(base, recursive=True)
+                path, size, records = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                out = system.open_output_stream(path, compression=None)
+            zipper = zlib.compressobj(1, zlib.DEFLATED, 31)
+            put(zipper.compress(_head(dict(zip(names, row, strict=True)), date)))
+            records += 1
+        put(zipper.compress(row[data]))
+    close_member()
+    if out is not None:
+        out.close()
+        yield manifest()
+
+
+_MANIFEST = "path string, records long, bytes long"
+
+
+def _now() -> str:
+    return dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def write_chunks(chunks: DataFrame, folder: str, date: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -181,13 +195,23 @@ def write_chunks(chunks: DataFrame, folder: str, date: str | None = None, file_b
 
     date is every record's WARC-Date, by default the time of the call.
     """
-    date = date or dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    return materialize(chunks.mapInArrow(_write(folder, date, file_bytes), "path string, records long, bytes long"), "manifest")
+    date = date or _now()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        return _written(rows, folder, date, file_bytes)
 
+    return materialize(chunks.select(*[n for n, _ in _COLUMNS]).mapInArrow(work, _MANIFEST), "manifest")
+
+
+def write_warc(pages: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, min_bytes: int = 100, date: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes a record for each row of (page_id, url, html), its chunks passing straight to the file; returns the manifest."""
+    date = date or _now()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _written(_chunk_rows(batches, chunk_bytes), folder, date, file_bytes)
 
-def write_warc(pages: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, min_bytes: int = 100, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes a record for each row of (page_id, url, html); returns the manifest."""
-    return write_chunks(chunked(plan_records(pages, min_bytes), chunk_bytes), folder, file_bytes=file_bytes)
+    return materialize(plan_records(pages, min_bytes).select(*PLANNED).mapInArrow(work, _MANIFEST), "manifest")
 
 
 def _bytes(source, step: int) -> Iterator[tuple[bytes, bool]]:

@@ -176,6 +176,9 @@ def test_op5_reader_never_needs_a_whole_record(spark):
     pages = spark.createDataFrame([(1, "http://a", text), (2, "http://b\r\nx: y", text), (3, None, "")], "page_id long, url string, html string")
     folder = new_path(spark, "t")
     chunks = warc.read_warc(warc.write_warc(pages, folder, chunk_bytes=777), folder).collect()
+    table = warc.chunked(warc.plan_records(pages), chunk_bytes=999)
+    key = ["page_id", "chunk", "bytes_so_far", "digest"]
+    assert sorted(map(str, warc.read_warc(warc.write_chunks(table, folder), folder).select(*key).collect())) == sorted(str(r) for r in warc.read_warc(warc.write_warc(pages, folder), folder).select(*key).collect())
     own = sorted((r["chunk"], bytes(r["data"]), r["bytes_so_far"]) for r in chunks if r["page_id"] == 1)
     assert b"".join(x for _, x, _ in own) == text.encode() and len(own) > 1 and max(len(x) for _, x, _ in own) <= 2 * warc.CHUNK_BYTES
     assert [n for _, _, n in own] == np.cumsum([len(x) for _, x, _ in own]).tolist()
