@@ -191,7 +191,8 @@ def _link_cells(cells: DataFrame, radius: int, cell_limit: int) -> DataFrame:
     """Links of (cell, fp, node) that join, inside each cell, what is within radius.
 
     A cell of more than cell_limit fingerprints is dealt to blocks, and each pair of blocks is compared in its own
-    task, so that no task holds more than about two blocks; cells at or below it stay whole.
+    task, so that no task holds more than about two blocks; cells at or below it stay whole. Members link to the least
+    node they reach in the cell, so that cells of the same members give the same links.
     """
     hot = cells.groupBy("cell").count().where(F.col("count") > cell_limit).select("cell", F.ceil(F.col("count") / cell_limit).cast("int").alias("blocks"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -204,7 +205,7 @@ def _link_cells(cells: DataFrame, radius: int, cell_limit: int) -> DataFrame:
         .select(F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", pair)).alias("at"), "fp", "node")
     )
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_links(radius), "u long, v long").distinct()
+    return dealt.repartition(parts, "at").sortWithinPartitions("at", "node").mapInArrow(_links(radius), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
