@@ -22,7 +22,9 @@ VIEWS = {
                coalesce(l.toxic = 1, false) as has_conflicts, cast((d.doc_id * 7) % 101 as int) as completeness_score,
                case when d.doc_id % 3 = 0 then '' when d.doc_id % 3 = 1 then d.source end as city,
                case when d.doc_id % 4 = 0 then null else concat('https://', d.source, '.example.com/p/', cast(d.doc_id as varchar(20))) end as url,
-               timestamp '2024-01-01 00:00:00' + d.doc_id * interval '1' minute as updated_at, d.n_chars
+               timestamp '2024-01-01 00:00:00' + d.doc_id * interval '1' minute as updated_at, d.n_chars,
+               concat('{"id": ', cast(d.doc_id as varchar(20)), case d.doc_id % 5 when 0 then ', "exhibitions": []' when 1 then ', "exhibitions": ["a"]' when 2 then ', "exhibitions": ["a", "b", "c"]' else '' end,
+                      case when d.doc_id % 3 = 0 then ', "articles": ["x"]' else '' end, '}') as raw_data
         from documents d left join labels l on d.doc_id = l.doc_id""",
     "pages_v": """
         select page_id as id, url, html, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as source_id,
@@ -38,7 +40,8 @@ VIEWS = {
                case id % 4 when 0 then 'changed' when 1 then 'unchanged' end as last_refresh_outcome, path as family_key
         from pages_v""",
     "sources_v": """
-        select s.s_suppkey as id, s.s_name as name, r.r_name as tenant, s.s_acctbal > 0 as enabled, concat('https://s', cast(s.s_suppkey as varchar(20)), '.example.com') as url
+        select s.s_suppkey as id, s.s_name as name, r.r_name as tenant, s.s_acctbal > 0 as enabled, concat('https://s', cast(s.s_suppkey as varchar(20)), '.example.com') as url,
+               case s.s_suppkey % 4 when 0 then 'crawling' when 1 then 'mapping' when 2 then 'done' else 'pending' end as status
         from supplier s join nation n on s.s_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey""",
     "jobs_v": """
         select o_orderkey as id, o_custkey as source_id, case o_orderstatus when 'F' then 'done' when 'O' then 'running' else 'pending' end as status,
