@@ -73,6 +73,14 @@ def stuck(jobs: DataFrame, as_of: str, minutes: int) -> DataFrame:
     return jobs.where((F.col("status") == "running") & (F.col("heartbeat_at") < F.expr(f"{as_of} - interval '{minutes}' minute"))).select("id", F.lit("pending").alias("status"), (F.col("attempts") + 1).alias("attempts"))
 
 
+def stuck_work(jobs: DataFrame, frontier: DataFrame, pages: DataFrame, as_of: str, minutes: int = 2, page_seconds: int = 900) -> DataFrame:
+    """(kind, id, status, tries, reason) that resets silent jobs, leases past their end (tries: the next lease version) and pages in progress for too long."""
+    j = stuck(jobs, as_of, minutes).select(F.lit("job").alias("kind"), "id", "status", F.col("attempts").alias("tries"), F.lit("no_heartbeat").alias("reason"))
+    f = frontier.where((F.col("status") == "fetching") & (F.col("lease_expires_at") < F.expr(as_of))).select(F.lit("frontier"), "id", F.lit("queued"), F.col("lease_version") + 1, F.lit("lease_expired_reset_to_queue"))
+    p = pages.where((F.col("status") == "in_progress") & (F.col("started_at") < F.expr(f"{as_of} - interval '{page_seconds}' second"))).select(F.lit("page"), "id", F.lit("pending"), F.lit(None).cast("int"), F.lit("recovered_from_stale_in_progress"))
+    return j.union(f).union(p)
+
+
 def requeue(frontier: DataFrame, now: str, limit: int) -> DataFrame:
     """The oldest discovered rows of each source become queued; retryable rows become queued with now as retry time."""
     w = Window.partitionBy("source_id", "status").orderBy("created_at", "id")
@@ -143,7 +151,7 @@ QUERIES = {
     "field_vote": lambda s, d: field_vote(_votes(view(s, d, "links_v")), ["entity_id", "field"]),
     "template_match": lambda s, d: template_match(_items(view(s, d, "entities_v")), _templates(s)),
     "top_failing_fields": lambda s, d: view(s, d, "signals_v").groupBy("field", "signal_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field", "signal_type").limit(10),
-    "stuck_work": lambda s, d: stuck(view(s, d, "jobs_v"), "timestamp '1996-01-01 00:00:00'", 2),
+    "stuck_work": lambda s, d: stuck_work(view(s, d, "jobs_v").withColumn("heartbeat_at", F.expr("heartbeat_at + interval '9000' day")), view(s, d, "frontier_v").withColumn("status", F.when(F.col("status") == "fetched", "fetching").otherwise(F.col("status"))).withColumn("lease_expires_at", F.expr("created_at + interval '5' minute")).withColumn("lease_version", F.col("depth")), view(s, d, "pages_v").withColumn("status", F.when(F.col("status") == "pending", "in_progress").otherwise(F.col("status"))).withColumn("started_at", F.col("fetched_at")), "timestamp '2024-01-01 01:00:00'"),
     "requeue": lambda s, d: requeue(view(s, d, "frontier_v"), NOW, 1),
 }
 
@@ -160,6 +168,6 @@ ORACLE = {k: with_views(v) for k, v in {
     "field_vote": "with t as (select entity_id, source_id as value, round(sum(confidence), 6) as weight from links_v group by 1, 2), r as (select *, row_number() over (partition by entity_id order by weight desc, value) as n from t) select entity_id, 'source' as field, value, weight from r where n = 1",
     "template_match": "with t(template, k, s, w, p) as (values " + ", ".join(f"({n}, '{k}', '{y}', {w}::varchar[], {p}::varchar[])" for n, k, y, w, p in TEMPLATES) + "), x as (select id, template, round(case when entity_type = k then 0.35 else 0 end + case when city = s then 0.25 else 0 end + 0.25 * coalesce(len(list_intersect(regexp_split_to_array(lower(name), '[^a-z0-9]+'), w)) / nullif(len(w), 0), 0) + 0.15 * coalesce(len(list_filter(p, lambda z: contains(lower(name), z))) / nullif(len(p), 0), 0), 4)::double as score from entities_v, t), y as (select *, row_number() over (partition by id order by score desc, template) as n from x where score >= 0.75) select id, template, score from y where n = 1",
     "top_failing_fields": "select field, signal_type, count(*) as n from signals_v group by 1, 2 order by 3 desc, 1, 2 limit 10",
-    "stuck_work": "select id, 'pending' as status, attempts + 1 as attempts from jobs_v where status = 'running' and heartbeat_at < timestamp '1996-01-01 00:00:00' - interval '2' minute",
+    "stuck_work": "select 'job' as kind, id, 'pending' as status, attempts + 1 as tries, 'no_heartbeat' as reason from jobs_v where status = 'running' and heartbeat_at + interval '9000' day < timestamp '2024-01-01 00:58:00' union all select 'frontier', id, 'queued', depth + 1, 'lease_expired_reset_to_queue' from frontier_v where status = 'fetched' and created_at < timestamp '2024-01-01 00:55:00' union all select 'page', id, 'pending', null, 'recovered_from_stale_in_progress' from pages_v where status = 'pending' and fetched_at < timestamp '2024-01-01 00:45:00'",
     "requeue": f"with f as (select *, row_number() over (partition by source_id, status order by created_at, id) as n from frontier_v) select id, case when (status = 'discovered' and n <= 1) or status = 'failed_retryable' then 'queued' else status end as status, case when status = 'failed_retryable' then {NOW} else next_retry_at end as next_retry_at from f",
 }.items()}

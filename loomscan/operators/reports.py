@@ -185,8 +185,9 @@ def _runs(s, d):
     return view(s, d, "pages_v").groupBy("source_id").agg(F.when(F.count("*") % 2 == 0, "paused").otherwise("running").alias("status"))
 
 
-def _proposals(s, d):
-    return view(s, d, "signals_v").select("source_id", "field", F.when(F.col("status") == "acknowledged", "VALIDATED").when(F.col("status") == "resolved", "APPLIED").otherwise("PROPOSED").alias("status"), (F.col("severity") == "low").alias("worked"))
+def proposals_of(signals: DataFrame) -> DataFrame:
+    """Signals read as repair proposals: acknowledged ones are validated, resolved ones applied, low ones worked."""
+    return signals.select("source_id", "field", F.when(F.col("status") == "acknowledged", "VALIDATED").when(F.col("status") == "resolved", "APPLIED").otherwise("PROPOSED").alias("status"), (F.col("severity") == "low").alias("worked"))
 
 
 QUERIES = {
@@ -209,7 +210,7 @@ QUERIES = {
     "llm_cost_report": lambda s, d: cost_report(_calls(view(s, d, "log_v")), s.createDataFrame([("small", 0.5, 1.5), ("large", 10.0, 30.0)], "model string, price_in double, price_out double")),
     "drift_fields": lambda s, d: count_by(view(s, d, "signals_v"), "field").orderBy(F.desc("n"), "field"),
     "mapping_health": lambda s, d: mapping_health(view(s, d, "signals_v")),
-    "repair_feedback": lambda s, d: repair_feedback(_proposals(s, d)),
+    "repair_feedback": lambda s, d: repair_feedback(proposals_of(view(s, d, "signals_v"))),
     "refresh_eligibility": lambda s, d: counts(view(s, d, "frontier_v"), [], total=F.lit(True), due=F.col("next_eligible_at").isNull() | (F.col("next_eligible_at") <= F.expr("timestamp '2024-01-08 02:00:00'"))).withColumn("not_due", F.col("total") - F.col("due")),
     "enrichment_rollup": lambda s, d: view(s, d, "records_v").groupBy("record_type").agg(F.count("*").alias("processed"), F.count_if(F.col("status") == "approved").alias("enriched"), F.round(F.avg("completeness_score"), 2).alias("mean_completeness")),
     "extraction_success_rate": lambda s, d: view(s, d, "pages_v").groupBy("source_id").agg(F.round(F.count_if(F.col("status").isin("fetched", "extracted")) * 100 / F.count("*"), 2).alias("rate")).withColumn("passed", F.col("rate") >= 85),
