@@ -150,6 +150,47 @@ def rewrite_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.where("from_id <> to_id").groupBy("from_id", "to_id", "edge_type").agg(F.round(F.max("confidence"), 6).alias("confidence"), F.count("*").alias("reinforced"))
 
 
+def build_edges(records: DataFrame, links: DataFrame, named: DataFrame) -> DataFrame:
+    """Edges (from_id, to_id, edge_type) between entities, with the confidence of all records that show them.
+
+    records: id, record_type, title, artist_names, venue_name, confidence_score; links: record_id, entity_id; named:
+    entity_type, name (folded), entity_id, the entity that a mention of the name stands for. An artwork is CREATED_BY the
+    artists it names, an exhibition EXHIBITED_AT its venue, an artist PARTICIPATED_IN the exhibitions that name its title,
+    a venue HOSTED_EVENT the events that name it or its title. A record speaks once for an edge, with a share of 0.5 at
+    least; records without an entity and mentions without one give nothing.
+    """
+    fold = lambda c: F.lower(F.trim(c))
+    share = F.greatest(F.coalesce(F.col("confidence_score") / 100, F.lit(0.0)), F.lit(0.5)).alias("confidence")
+    own = records.join(links.select(F.col("record_id").alias("id"), "entity_id"), "id").select("id", "record_type", share, "entity_id", fold("title").alias("title"), "artist_names", fold("venue_name").alias("venue"))
+    artists = own.where("record_type in ('artwork', 'exhibition')").select("id", "record_type", "confidence", "entity_id", F.explode("artist_names").alias("name")).withColumn("name", fold("name"))
+    venues = own.where("record_type in ('exhibition', 'event')").withColumn("name", F.col("venue"))
+    target = lambda kind: named.where(F.col("entity_type") == kind).select("name", F.col("entity_id").alias("target"))
+    titled = lambda kind: own.where(F.col("record_type") == kind).select(F.col("title").alias("name"), F.col("entity_id").alias("target")).distinct()
+    edge = lambda df, kind, one, two: df.where("name <> ''").select(F.col(one).alias("from_id"), F.col(two).alias("to_id"), F.lit(kind).alias("edge_type"), "id", "confidence")
+    of = lambda df, kind: df.where(F.col("record_type") == kind)
+    parts = [
+        edge(of(artists, "artwork").join(target("artist"), "name"), "CREATED_BY", "entity_id", "target"), edge(of(venues, "exhibition").join(target("venue"), "name"), "EXHIBITED_AT", "entity_id", "target"),
+        edge(of(artists, "exhibition").join(titled("artist"), "name"), "PARTICIPATED_IN", "target", "entity_id"),
+        edge(of(venues, "event").join(target("venue"), "name"), "HOSTED_EVENT", "target", "entity_id"), edge(of(venues, "event").join(titled("venue"), "name"), "HOSTED_EVENT", "target", "entity_id"),
+    ]
+    signals = functools.reduce(DataFrame.unionByName, parts).distinct()
+    return noisy_or(signals, ["from_id", "to_id", "edge_type"], "id")
+
+
+def _edge_input(s, d):
+    """Each record is its own entity, artists in pairs; works and exhibitions name two artists, exhibitions and events a venue, some of them none."""
+    r = view(s, d, "records_v")
+    n = F.floor(F.col("id") / 6)
+    title = F.when(F.col("record_type") == "artist", F.concat(F.lit("Artist "), n.cast("string"))).when(F.col("record_type") == "venue", F.concat(F.lit(" Venue "), n.cast("string")))
+    artists = F.array(F.concat(F.lit("artist "), n.cast("string")), F.concat(F.lit("ARTIST "), F.floor(n / 2).cast("string")))
+    venue = F.when(n % 5 > 0, F.concat(F.lit("venue "), F.floor(n / 3).cast("string")))
+    records = r.select("id", "record_type", "confidence_score", title.alias("title"), artists.alias("artist_names"), venue.alias("venue_name"))
+    entity = F.when(F.col("record_type") == "artist", F.col("id") - F.col("id") % 12).otherwise(F.col("id"))
+    links = r.where("id % 11 > 0").select(F.col("id").alias("record_id"), entity.alias("entity_id"))
+    named = records.where("record_type in ('artist', 'venue') and id % 4 < 3").select(F.col("record_type").alias("entity_type"), F.lower(F.trim("title")).alias("name"), entity.alias("entity_id"))
+    return records, links, named
+
+
 def noisy_or(signals: DataFrame, by: list[str], order: str, weight: float = 0.85, fold: int = 1000) -> DataFrame:
     """Confidence of several signals: the first counts in full, each later one closes `weight` of its share of the gap; never lower.
 
@@ -338,7 +379,7 @@ QUERIES = {
     "merge_clusters": lambda s, d: winners(clusters(_scored(s, d).where("score >= 0.9").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))), view(s, d, "entities_v")),
     "resolve_records": lambda s, d: resolve(_sides(s, d)[0].withColumn("confidence", F.col("confidence") / 20), best_match(_matched(s, d), "r_id", "l_id", "name_score"), view(s, d, "links_v").where("entity_id % 10 = 1").groupBy(F.col("entity_id").alias("r_id")).agg(F.min("source_id").alias("entity_id"))),
     "entity_by_name": lambda s, d: best_match(_scored(s, d).where("name_score >= 0.9"), "r_id", "l_id"),
-    "build_edges": lambda s, d: noisy_or(view(s, d, "records_v").select("source_id", F.lower("nationality").alias("place"), F.lit("EXHIBITED_AT").alias("edge_type"), "id", (F.col("confidence_score") / 100).alias("confidence")), ["source_id", "place", "edge_type"], "id"),
+    "build_edges": lambda s, d: build_edges(*_edge_input(s, d)),
     "merge_record": lambda s, d: merge_record(_near(s, d), [("city", "confidence_score"), ("nationality", "completeness_score")]),
     "merge_snapshot": lambda s, d: _near(s, d).select("l_id", "r_id", F.sha2(F.concat_ws("|", F.coalesce("l_city", F.lit("~")), F.coalesce("r_city", F.lit("~")), "l_confidence_score", "r_confidence_score"), 256).alias("snapshot")),
     "merge_entity_data": lambda s, d: view(s, d, "entities_v").join(_mapping(s, d), "id", "left").groupBy(F.coalesce("winner", "id").alias("id")).agg(F.min_by("name", "id").alias("name"), F.array_join(F.array_sort(F.collect_set("city")), ",").alias("cities"), F.max("confidence").alias("confidence")),
@@ -378,7 +419,12 @@ ORACLE = {k: with_views(v) for k, v in {
     "rewrite_links": f"with {_MAP} select record_id, coalesce(winner, entity_id) as entity_id, max(confidence) as confidence from links_v l left join m on m.id = entity_id group by 1, 2",
     "rewrite_edges": f"with {_MAP}, x as (select coalesce(a.winner, from_id) as from_id, coalesce(b.winner, to_id) as to_id, edge_type, confidence from edges_v left join m a on a.id = from_id left join m b on b.id = to_id) select from_id, to_id, edge_type, round(max(confidence), 6) as confidence, count(*) as reinforced from x where from_id <> to_id group by 1, 2, 3",
     "noisy_or": "with g as (select from_id, to_id, list(confidence / 2 order by record_id, line) as c from edges_v group by 1, 2) select from_id, to_id, round(list_reduce(c, lambda e, x: greatest(e, least(1.0, 1 - (1 - e) * (1 - 0.85 * x)))), 6) as confidence, cast(len(c) as int) as signals from g",
-    "build_edges": "with g as (select source_id, lower(nationality) as place, list(confidence_score / 100 order by id) as c from records_v group by 1, 2) select source_id, place, 'EXHIBITED_AT' as edge_type, round(list_reduce(c, lambda e, x: greatest(e, least(1.0, 1 - (1 - e) * (1 - 0.85 * x)))), 6) as confidence, cast(len(c) as int) as signals from g",
+    "build_edges": """with r as (select id, record_type as t, id // 6 as n, greatest(confidence_score / 100, 0.5) as c, case when record_type = 'artist' then id - id % 12 else id end as e from records_v), o as (select * from r where id % 11 > 0),
+        m as (select *, 'artist' as k, unnest(list_distinct([n, n // 2])) as w from o where t in ('artwork', 'exhibition') union all select *, 'venue', n // 3 from o where t in ('exhibition', 'event') and n % 5 > 0),
+        x as (select m.e as a, r.e as b, case m.t when 'artwork' then 'CREATED_BY' else 'EXHIBITED_AT' end as edge_type, m.id, m.c from m join r on r.t = m.k and r.n = m.w and r.id % 4 < 3 where (m.t = 'artwork' and m.k = 'artist') or (m.t = 'exhibition' and m.k = 'venue')
+          union select o.e, m.e, 'PARTICIPATED_IN', m.id, m.c from m join o on o.t = 'artist' and o.n = m.w where m.t = 'exhibition' and m.k = 'artist'
+          union select r.e, m.e, 'HOSTED_EVENT', m.id, m.c from m join r on r.t = 'venue' and r.n = m.w and (r.id % 4 < 3 or r.id % 11 > 0) where m.t = 'event'),
+        g as (select a as from_id, b as to_id, edge_type, list(c order by id) as c from x group by 1, 2, 3) select from_id, to_id, edge_type, round(list_reduce(c, lambda e, y: greatest(e, least(1.0, 1 - (1 - e) * (1 - 0.85 * y)))), 6) as confidence, cast(len(c) as int) as signals from g""",
     "edge_metadata": "select from_id, to_id, string_agg(distinct edge_type, ',' order by edge_type) as signals, count(*) as reinforced from edges_v group by 1, 2",
     "entity_confidence": "select entity_id, round(least(1.0, greatest(0.0, 0.35 * least(count(*), 20) / 20 + 0.45 * avg(confidence) + 0.2 * least(count(distinct source_id), 10) / 10)) + 1e-9, 4) as confidence from links_v group by 1",
     "merge_into_entity": "select entity_id, arg_max(record_id, (confidence, record_id)) as best_record, round(max(confidence), 6) as confidence, count(distinct source_id) > 1 as conflict from links_v group by 1",
