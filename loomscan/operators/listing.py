@@ -235,7 +235,7 @@ QUERIES = {
     "list_entities": _q("entities_v", lambda x: page(keep(x, entity_type="STANDARD"), [F.desc("id")]).select("id", "name")),
     "entity_conflicts": _q("entities_v", lambda e: entity_conflicts(e.withColumn("canonical_data", F.when(F.col("id") % 4 == 0, "none").when(F.col("id") % 4 == 1, '{"conflicts": []}').when(F.col("id") % 4 == 2, F.concat(F.lit('{"conflicts": ["name", "'), "city", F.lit('"]}')))))),
     "review_artists": _q("records_v", lambda r: r.where("record_type = 'artist' and completeness_score < 60 and (city is null or city = '')").select("id", "completeness_score")),
-    "review_queue": _q2("records_v", "reviews_v", review_queue),
+    "review_queue": _q2("records_v", "reviews_v", lambda r, v: review_queue(r.withColumn("has_conflicts", F.col("id") % 3 == 0), v)),
     "bulk_approve": _q("records_v", lambda r: bulk_approve(r, 60).select("id", "status")),
     "find_incomplete_records": _q("records_v", lambda r: find_incomplete(r, 5, 70, ["city"]).select("id", "completeness_score")),
     "find_records_by_source": _q("records_v", lambda r: list_records(r, source_id="src3").select("id", "record_type")),
@@ -277,7 +277,7 @@ ORACLE = {k: with_views(v) for k, v in {
     "list_entities": "select id, name from entities_v where entity_type = 'STANDARD'",
     "entity_conflicts": "select id, entity_type, name, unnest(['name', city]) as conflict from entities_v where id % 4 = 2",
     "review_artists": "select id, completeness_score from records_v where record_type = 'artist' and completeness_score < 60 and (city is null or city = '')",
-    "review_queue": "with q as (select *, greatest(1, 100 - completeness_score) as priority from records_v) select 'conflicts' as queue, id, priority, title as left_title, null::varchar as right_title from q where has_conflicts and status = 'pending' union all select 'completeness', id, priority, title, null from q where status = 'pending' union all select 'recent', id, 1, title, null from q union all select 'duplicates', v.id, v.score, a.title, b.title from reviews_v v left join records_v a on a.id = v.left_id left join records_v b on b.id = v.right_id where v.status = 'pending'",
+    "review_queue": "with q as (select *, greatest(1, 100 - completeness_score) as priority from records_v) select 'conflicts' as queue, id, priority, title as left_title, null::varchar as right_title from q where id % 3 = 0 and status = 'pending' union all select 'completeness', id, priority, title, null from q where status = 'pending' union all select 'recent', id, 1, title, null from q union all select 'duplicates', v.id, v.score, a.title, b.title from reviews_v v left join records_v a on a.id = v.left_id left join records_v b on b.id = v.right_id where v.status = 'pending'",
     "bulk_approve": "select id, case when status = 'pending' and confidence_score >= 60 then 'approved' else status end as status from records_v",
     "find_incomplete_records": "select id, completeness_score from records_v where completeness_score between 5 and 70 and status <> 'rejected' and url is not null and coalesce(trim(city), '') = ''",
     "find_records_by_source": "select id, record_type from records_v where source_id = 'src3'",

@@ -11,6 +11,7 @@ from loomscan.functions import urls as U
 from loomscan.functions.gestalt import reaches, sequence_ratio
 from loomscan.functions.html import page_nodes
 from loomscan.operators import drift, entities, listing, pages, ranking, reports, sets
+from loomscan.sources import tables
 
 
 def one(spark, column, **values):
@@ -266,3 +267,60 @@ def test_signals_are_folded_by_partial_aggregates(spark):
 def test_signals_beyond_a_million_count(spark):
     df = spark.range(1_000_005).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("o"), F.when(F.col("id") == 1_000_004, 0.5).otherwise(0.0).alias("confidence"))
     assert [tuple(r) for r in entities.noisy_or(df, ["k"], "o").collect()] == [(None, pytest.approx(0.425), 1_000_005)]
+
+
+def test_field_drift_gives_each_signal_once(spark):
+    rows = [(1, "title", "text", "abc", None, None, None), (2, "title", "text", "abc", "  ", None, None), (3, "title", "text", "abcd", "abcdefgh", None, None), (4, "title", "text", "abcd", "abcdef", None, None), (5, "title", "text", "abc", "ab1", None, None),
+            (6, "title", "text", "abc", "abd", None, None), (7, "year", "number", "5", "9", 5.0, 1.0), (8, "year", "number", "5", "7", 5.0, 1.0), (9, "start_date", "date", "2024-01-31", "2024-02-01", None, None), (10, "title", "text", None, "abc", None, None), (11, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, field string, kind string, previous string, current string, mean double, sd double")
+    got = {r["id"]: (r["signal"], r["severity"], r["confidence"]) for r in drift.field_drift(df).collect()}
+    assert got == {
+        1: ("field_missing", "high", 0.95), 2: ("field_empty", "high", 0.95), 3: ("value_anomaly", "medium", 0.7), 4: ("value_anomaly", "low", 0.7), 5: ("value_anomaly", "low", 0.65),
+        7: ("value_anomaly", "medium", 0.8), 9: ("value_anomaly", "low", 0.6),
+    }
+
+
+def test_page_drift_needs_both_hashes_and_a_fall_of_25(spark):
+    rows = [(1, "Selector .x failed", "a", "a", 50, 50), (2, None, "a", "b", 50, 26), (3, None, None, "b", 50, 25), (4, None, "a", "", 10, None), (5, None, "a", "a", 30, None)]
+    df = spark.createDataFrame(rows, "id long, error string, old_hash string, new_hash string, old_confidence int, new_confidence int")
+    assert sorted((r["id"], r["signal"]) for r in drift.page_drift(df).collect()) == [(1, "selector_fail"), (2, "structure_changed"), (3, "confidence_drop"), (5, "confidence_drop")]
+
+
+def test_review_queues_take_pending_rows_and_limit_each_queue(spark):
+    records = spark.createDataFrame([(1, "a", "pending", True, 30, "2024-01-01"), (2, "b", "approved", True, 10, "2024-01-03"), (3, "c", "pending", False, None, "2024-01-02")], "id long, title string, status string, has_conflicts boolean, completeness_score int, updated_at string")
+    reviews = spark.createDataFrame([(7, 1, 9, 80, "pending"), (8, 1, 2, 90, "decided")], "id long, left_id long, right_id long, score int, status string")
+    got = sorted((r["queue"], r["id"], r["priority"]) for r in listing.review_queue(records, reviews).collect())
+    assert got == [("completeness", 1, 70), ("completeness", 3, 100), ("conflicts", 1, 70), ("duplicates", 7, 80), ("recent", 1, 1), ("recent", 2, 1), ("recent", 3, 1)]
+    one = {r["queue"]: (r["id"], r["left_title"], r["right_title"]) for r in listing.review_queue(records, reviews, 1).collect()}
+    assert one == {"completeness": (3, "c", None), "conflicts": (1, "a", None), "duplicates": (7, "a", None), "recent": (2, "b", None)}
+
+
+def test_frontier_upsert_keeps_the_row_and_refreshes_family_and_due_time(spark):
+    kind = "id long, source_id long, url string, priority int, depth int, family_key string, next_eligible_at string"
+    stored = spark.createDataFrame([(1, 1, "u", 50, 2, "f", None)], kind)
+    found = spark.createDataFrame([(2, 1, "u", 80, 0, "g", "d1"), (3, 1, "u", 10, 1, "", "d2"), (4, 1, "v", 5, 3, None, None), (5, 1, "v", 7, 1, "h", None)], kind)
+    assert sorted(map(tuple, sets.frontier_upsert(stored, found).collect())) == [(1, "u", 80, 2, "g", "d2"), (1, "v", 7, 3, "h", None)]
+
+
+def test_build_edges_of_each_kind(spark):
+    kind = "id long, record_type string, title string, artist_names array<string>, venue_name string, confidence_score int"
+    rows = [(1, "artist", " Ann ", None, None, 90), (2, "artwork", "w", ["ANN", "Nobody"], None, 80), (3, "exhibition", "x", ["ann", "Ann"], "Hall", 20), (4, "event", "e", None, "hall ", None), (5, "venue", "Hall", None, None, 70), (6, "artwork", "unlinked", ["Ann"], None, 90), (7, None, None, None, None, None)]
+    links = spark.createDataFrame([(i, i * 10) for i in (1, 2, 3, 4, 5, 7)], "record_id long, entity_id long")
+    named = spark.createDataFrame([("artist", "ann", 10), ("venue", "hall", 50)], "entity_type string, name string, entity_id long")
+    got = sorted(tuple(r) for r in entities.build_edges(spark.createDataFrame(rows, kind), links, named).collect())
+    assert got == [(10, 30, "PARTICIPATED_IN", 0.5, 1), (20, 10, "CREATED_BY", 0.8, 1), (30, 50, "EXHIBITED_AT", 0.5, 1), (50, 40, "HOSTED_EVENT", 0.5, 1)]
+
+
+def test_log_rows_of_odd_payloads(spark):
+    rows = [(1, '{"event": "go", "level": "ERROR", "timestamp": "2024-01-02T03:04:05Z", "source_id": "s", "k": 1}'), (2, '{"level": "critical", "timestamp": "soon"}'), (3, "no json"), (4, None)]
+    df = tables.normalize_logs(spark.createDataFrame(rows, "id long, payload string"), "miner", F.expr("timestamp '2024-03-01 00:00:00'"), "warning")
+    got = [(r["id"], str(r["timestamp"]), r["level"], r["source_id"], r["message"], r["context"]) for r in df.orderBy("id").collect()]
+    late = "2024-03-01 00:00:00"
+    assert got == [(1, "2024-01-02 03:04:05", "error", "s", "go", '{"k":"1"}'), (2, late, "info", None, "", None), (3, late, "warning", None, "", None), (4, late, "warning", None, "", None)]
+
+
+def test_reports_of_empty_tables_are_zero(spark):
+    jobs = spark.createDataFrame([], "id long, source_id long, status string, created_at timestamp")
+    sources = spark.createDataFrame([], "enabled boolean, queue_paused boolean")
+    assert tuple(reports.queue_summary(jobs, sources, "timestamp '2024-01-01 00:00:00'").first()) == (0, 0, 0, 0, 0)
+    assert reports.source_operations(jobs, spark.createDataFrame([], "source_id long")).count() == 0
