@@ -15,6 +15,8 @@ def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     def one(a, b):
         if a is None or b is None:
             return 0.0
+        if a == b:
+            return 1.0 if a else 0.0
         if (got := seen.get((a, b))) is None:
             got = seen[a, b] = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
         return got

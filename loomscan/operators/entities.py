@@ -1,8 +1,4 @@
-"""Entity resolution and graph: blocked pairs, scores, clusters, merges, weighted edges, reviews.
-
-Pairs are only formed inside a block, an equi-join key that adaptive execution can split where it is hot. Cheap native
-bounds (length, equal fields) come before the string ratio.
-"""
+"""Entity resolution and graph: decisions, clusters, merges, weighted edges, reviews. Like names are in `names`."""
 
 from __future__ import annotations
 
@@ -15,88 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomscan.functions import scores as S
-from loomscan.functions.gestalt import reaches, sequence_ratio
+from loomscan.functions.gestalt import sequence_ratio
 from loomscan.operators.ranking import RELATED, related_overlap
 from loomscan.plans.shared import shared_dir
 from loomscan.sources.views import view, with_views
 
 
-def block_key(df: DataFrame, type_col: str, name_col: str, length: int) -> DataFrame:
-    """Adds the block of type and name prefix; empty names are in no block."""
-    name = S.normalize_name(F.col(name_col))
-    return df.withColumn("name_key", name).where("name_key <> ''").withColumn("block", F.concat_ws("|", type_col, F.substring("name_key", 1, length)))
-
-
-def candidate_pairs(entities: DataFrame, length: int = 3) -> DataFrame:
-    """Pairs (left, right), left < right, of entities of one type whose folded names begin alike."""
-    keyed = block_key(entities, "entity_type", "name", length)
-    return pairs_of(keyed, "block")
-
-
 def pairs_of(keyed: DataFrame, block: str) -> DataFrame:
     a = keyed.select(block, *[F.col(c).alias(f"l_{c}") for c in keyed.columns if c != block])
     b = keyed.select(block, *[F.col(c).alias(f"r_{c}") for c in keyed.columns if c != block])
     return a.join(b, block).where("l_id < r_id")
 
 
-def overlap(columns: list[str]) -> tuple[Column, Column]:
-    """(equal, comparable) fields of the two sides."""
-    both = [S.present(F.col(f"l_{c}").cast("string")) & S.present(F.col(f"r_{c}").cast("string")) for c in columns]
-    equal = sum((F.when(x & (F.lower(F.col(f"l_{c}").cast("string")) == F.lower(F.col(f"r_{c}").cast("string"))), 1).otherwise(0) for x, c in zip(both, columns, strict=True)), F.lit(0))
-    return equal, sum((F.when(x, 1).otherwise(0) for x in both), F.lit(0))
-
-
-def identity_match(pairs: DataFrame, secondary: list[str], strong: list[str]) -> DataFrame:
-    """0.75 name + 0.25 equal over comparable fields; merge needs .85 and an equal strong field, review .7."""
-    equal, n = overlap(secondary)
-    hit, _ = overlap(strong)
-    ratio = F.when(F.col("l_name_key") == F.col("r_name_key"), 1.0).otherwise(sequence_ratio(F.col("l_name_key"), F.col("r_name_key")))
-    likely = pairs.where(reaches(F.col("l_name_key"), F.col("r_name_key"), 0.6))
-    scored = likely.withColumn("score", F.round(0.75 * ratio + 0.25 * F.when(n > 0, equal / n).otherwise(0.0), 4))
-    decision = F.when((F.col("score") >= 0.85) & (hit > 0), "merge").when(F.col("score") >= 0.7, "review").otherwise("new")
-    return scored.withColumn("decision", decision)
-
-
-def entity_pair_score(pairs: DataFrame, fields: list[str]) -> DataFrame:
-    """0.8 name + 0.2 overlap, the name alone if no field is comparable."""
-    equal, n = overlap(fields)
-    ratio = F.when(F.col("l_name_key") == F.col("r_name_key"), 1.0).otherwise(sequence_ratio(F.col("l_name_key"), F.col("r_name_key")))
-    return pairs.withColumn("name_score", ratio).withColumn("score", F.round(F.when(n > 0, 0.8 * F.col("name_score") + 0.2 * equal / n).otherwise(F.col("name_score")), 4))
-
-
-#: The fields of a record type that are compared beside the name; two are averaged. Types without fields score 0.
-SECONDARY = {"artist": ("birth_year", "nationality"), "artwork": ("medium", "year"), "exhibition": ("venue_name", "start_date"), "event": ("venue_name", "start_date"), "venue": ("address",)}
-
-
-def match_pairs(records: DataFrame, entities: DataFrame) -> DataFrame:
-    """Pairs (record, entity) of one type whose folded names share a word, each once. Sides: id, entity_type, name and what else they have."""
-    def side(df: DataFrame, x: str) -> DataFrame:
-        named = df.withColumn("name_key", F.lower(F.trim("name"))).withColumn("words", S.name_tokens(F.col("name")))
-        return named.select(*[F.col(c).alias(f"{x}_{c}") for c in named.columns], F.col("entity_type").alias("kind"), F.explode("words").alias("word"))
-
-    both = side(records, "r").join(side(entities, "l"), ["kind", "word"])
-    return both.where(F.col("word") == F.array_min(F.array_intersect("l_words", "r_words"))).drop("kind", "word")
-
-
-def match_score(pairs: DataFrame, secondary: dict[str, tuple[str, ...]] = SECONDARY) -> DataFrame:
-    """0.7 name ratio + 0.3 secondary, the share of the type's fields that are there and equal. Equal names need no ratio."""
-    equal = lambda c: F.when(S.present(F.col(f"l_{c}").cast("string")) & (F.lower(F.trim(F.col(f"l_{c}").cast("string"))) == F.lower(F.trim(F.col(f"r_{c}").cast("string")))), 1.0).otherwise(0.0)
-    second = F.when(F.lit(False), 0.0)
-    for kind, fields in secondary.items():
-        if all(f"l_{c}" in pairs.columns and f"r_{c}" in pairs.columns for c in fields):
-            second = second.when(F.col("r_entity_type") == kind, sum((equal(c) for c in fields), F.lit(0.0)) / len(fields))
-    second = second.otherwise(0.0)
-    same = F.col("l_name_key") == F.col("r_name_key")
-    names = pairs.where(~same).withColumn("name_score", sequence_ratio(F.col("r_name_key"), F.col("l_name_key"))).unionByName(pairs.where(same).withColumn("name_score", F.lit(1.0)))
-    return names.withColumn("score", F.round(0.7 * F.col("name_score") + 0.3 * second, 6))
-
-
-def best_match(pairs: DataFrame, by: str, other: str, *keep: str) -> DataFrame:
-    """For each row the other side of the highest score, then of least id."""
-    best = pairs.groupBy(by).agg(F.max(F.struct("score", (-F.col(other)).alias("neg"), *keep)).alias("b"))
-    return best.select(by, (-F.col("b.neg")).alias(other), F.col("b.score").alias("score"), *[F.col(f"b.{c}").alias(c) for c in keep])
-
-
 def resolve(records: DataFrame, best: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """A decision for each record: already linked, link to the best entity, create and flag for review, or create.
 
@@ -337,24 +263,6 @@ def payload_merge(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(best["text"].alias("text"), F.count_distinct("text").alias("versions"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
 
 
-def _pairs(s, d):
-    return candidate_pairs(view(s, d, "entities_v"), 8)
-
-
-def _scored(s, d):
-    return entity_pair_score(_pairs(s, d), ["city", "year"])
-
-
-def _sides(s, d):
-    """Entities with even ids as stored, those with odd ids as incoming records; types stand in for the fixed ones by their first word."""
-    e = view(s, d, "entities_v").withColumn("nationality", F.col("city")).withColumn("birth_year", F.col("year")).withColumn("entity_type", F.lit("artist"))
-    return e.where("id % 2 = 1"), e.where("id % 2 = 0")
-
-
-def _matched(s, d):
-    return match_score(match_pairs(*_sides(s, d)))
-
-
 def _duplicates(s, d):
     e = view(s, d, "entities_v").select("id", "name", F.col("city").alias("website_url"), F.col("year").alias("birth_year"), F.array("entity_type").alias("exhibitions"), F.array("entity_type", "city").alias("articles"), F.array().cast("array<string>").alias("press"))
     return duplicate_candidates(e.join(view(s, d, "vectors_v").select("id", "embedding"), "id", "left"), 0.45)
@@ -370,15 +278,7 @@ def _near(s, d):
 
 
 QUERIES = {
-    "candidate_pairs": lambda s, d: _pairs(s, d).select("l_id", "r_id"),
     "sequence_ratio": lambda s, d: view(s, d, "entities_v").select("id", F.round(sequence_ratio(F.col("name"), F.col("city")), 6).alias("ratio")),
-    "identity_match": lambda s, d: identity_match(_pairs(s, d), ["city", "year"], ["city"]).select("l_id", "r_id", "score", "decision"),
-    "record_dedupe": lambda s, d: best_match(identity_match(_pairs(s, d), ["city", "year"], ["city"]), "r_id", "l_id").select("r_id", "l_id", F.when(F.col("score") >= 0.85, "merge").when(F.col("score") >= 0.7, "review").otherwise("insert").alias("decision")),
-    "entity_pair_score": lambda s, d: _scored(s, d).select("l_id", "r_id", "score"),
-    "best_entity_match": lambda s, d: best_match(_matched(s, d), "r_id", "l_id", "name_score"),
-    "merge_clusters": lambda s, d: winners(clusters(_scored(s, d).where("score >= 0.9").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))), view(s, d, "entities_v")),
-    "resolve_records": lambda s, d: resolve(_sides(s, d)[0].withColumn("confidence", F.col("confidence") / 20), best_match(_matched(s, d), "r_id", "l_id", "name_score"), view(s, d, "links_v").where("entity_id % 10 = 1").groupBy(F.col("entity_id").alias("r_id")).agg(F.min("source_id").alias("entity_id"))),
-    "entity_by_name": lambda s, d: best_match(_scored(s, d).where("name_score >= 0.9"), "r_id", "l_id"),
     "build_edges": lambda s, d: build_edges(*_edge_input(s, d)),
     "merge_record": lambda s, d: merge_record(_near(s, d), [("city", "confidence_score"), ("nationality", "completeness_score")]),
     "merge_snapshot": lambda s, d: _near(s, d).select("l_id", "r_id", F.sha2(F.concat_ws("|", F.coalesce("l_city", F.lit("~")), F.coalesce("r_city", F.lit("~")), "l_confidence_score", "r_confidence_score"), 256).alias("snapshot")),
@@ -402,7 +302,6 @@ QUERIES = {
 }
 
 _MAP = "m as (select id, id - 1 as winner from entities_v where id % 5 = 1)"
-_KEY = "regexp_replace(regexp_replace(trim(lower(name)), '[ \\t\\r\\n]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')"
 _NEAR = "n as (select a.id as l_id, b.id as r_id, a.city as l_city, b.city as r_city, a.nationality as l_nationality, b.nationality as r_nationality, a.confidence_score as l_c, b.confidence_score as r_c, a.completeness_score as l_k, b.completeness_score as r_k from records_v a join records_v b on b.id = a.id + 1 and a.id % 2 = 0)"
 
 
@@ -412,7 +311,6 @@ def _take(v, c):
 
 
 ORACLE = {k: with_views(v) for k, v in {
-    "candidate_pairs": f"with k as (select id, entity_type || '|' || substr({_KEY}, 1, 8) as b from entities_v) select a.id as l_id, c.id as r_id from k a join k c on a.b = c.b and a.id < c.id",
     "merge_record": f"with {_NEAR} select l_id, r_id, {_take('city', 'c')}, {_take('nationality', 'k')} from n",
     "merge_snapshot": f"with {_NEAR} select l_id, r_id, sha256(concat_ws('|', coalesce(l_city, '~'), coalesce(r_city, '~'), l_c, r_c)) as snapshot from n",
     "merge_entity_data": f"with {_MAP} select coalesce(winner, e.id) as id, min_by(name, e.id) as name, string_agg(distinct city, ',' order by city) as cities, max(confidence) as confidence from entities_v e left join m on m.id = e.id group by 1",

@@ -54,13 +54,6 @@ def test_double_high_conflict_keeps_the_old_value(spark):
     assert got == {1: ("1980", True), 3: ("1982", False), 5: ("1982", False)}
 
 
-def test_equal_name_alone_is_review(spark):
-    rows = spark.createDataFrame([(1, "t", "Alex Brown", "uk", None), (2, "t", "alex  brown", "uk", None), (3, "t", "Zoe Gray", None, "z.com"), (4, "t", "Zoe Gray", None, "z.com")], "id int, entity_type string, name string, nationality string, site string")
-    pairs = entities.pairs_of(entities.block_key(rows, "entity_type", "name", 3), "block")
-    got = {(r["l_id"], r["r_id"]): r["decision"] for r in entities.identity_match(pairs, ["nationality", "site"], ["site"]).collect()}
-    assert got == {(1, 2): "review", (3, 4): "merge"}
-
-
 def test_frontier_order_is_priority_depth_age(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(1, "s", 5, 0, "queued", None, None, t), (2, "s", 80, 1, "queued", None, None, t), (3, "s", 80, 0, "queued", None, None, t)]
@@ -163,22 +156,6 @@ def test_duplicate_candidates_are_all_pairs_at_the_score(spark, least):
     assert all(r["auto_merge"] == (r["score"] >= 0.85 and any(rows[r["l_id"]][k] and rows[r["l_id"]][k] == rows[r["r_id"]][k] for k in (2, 3))) for r in got)
 
 
-def test_resolution_needs_name_and_score(spark):
-    people = spark.createDataFrame([(1, "artist", "Alex Brown", 1980, "uk", 40), (2, "artist", "Alex Browne", 1980, "uk", 40), (3, "artist", "Alex Brown", None, None, 90), (4, "artist", "", 1980, "uk", 10), (5, "venue", "Alex Brown", None, None, 40), (6, "artist", "Alex Brown", 1980, "uk", 1)], "id int, entity_type string, name string, birth_year int, nationality string, confidence int")
-    known = spark.createDataFrame([(11, "artist", "alex brown ", 1980, "UK"), (12, "artist", "Alex Brown", 1970, "fr")], "id int, entity_type string, name string, birth_year int, nationality string")
-    best = entities.best_match(entities.match_score(entities.match_pairs(people, known)), "r_id", "l_id", "name_score")
-    linked = spark.createDataFrame([(6, 99)], "r_id int, entity_id long")
-    got = {r["r_id"]: r for r in entities.resolve(people, best, linked).collect()}
-    assert {i: (r["decision"], r["entity_id"], r["method"]) for i, r in got.items()} == {
-        1: ("link_to_entity", 11, "exact"), 2: ("link_to_entity", 11, "fuzzy"), 3: ("create_new_entity", None, "exact"), 4: ("create_new_entity", None, "exact"), 5: ("create_new_entity", None, "exact"), 6: ("already_linked", 99, None),
-    }
-    assert got[1]["confidence"] == 1.0 and got[3]["confidence"] == 0.9 and got[4]["confidence"] == 0.5 and got[2]["confidence"] == pytest.approx(0.7 * 20 / 21 + 0.3, abs=1e-5)
-    half = spark.createDataFrame([(7, "artist", "Alex Brown", 1980, "de", 40)], people.schema)
-    best = entities.best_match(entities.match_score(entities.match_pairs(half, known)), "r_id", "l_id", "name_score")
-    r = entities.resolve(half, best).first()
-    assert (r["decision"], r["entity_id"], r["method"], r["review"], r["confidence"]) == ("create_entity_flag_review", 11, "manual", True, 0.85)
-
-
 @pytest.mark.parametrize(("href", "want"), [("one", "http://a.com/x/one"), ("/two", "http://a.com/two"), ("../three", "http://a.com/three"), ("./four/../five?q=1#f", "http://a.com/x/five?q=1"), ("//a.com/six", "http://a.com/six"), ("?p=2", "http://a.com/x/y.html?p=2"), ("#top", None), ("", None), ("mailto:a@b.co", None), ("javascript:go()", None), ("HTTPS://a.com/s", "HTTPS://a.com/s"), ("..", "http://a.com/"), ("../../../up", "http://a.com/up"), ("http://b.com/z", "http://b.com/z")])
 def test_links_resolve_like_a_browser(spark, href, want):
     assert one(spark, U.resolve(F.lit("http://a.com/x/y.html"), F.col("h")), h=href) == want
