@@ -1,7 +1,8 @@
-"""One pass of the standard HTML parser over a page: a flat row for each element."""
+"""One pass of the standard HTML parser over a page: a flat row for each element and each text, numbered in document order."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,26 +10,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+#: Elements whose text is no text of the page.
+SILENT = frozenset(("script", "style", "template"))
 #: An opening tag ends the open tags of these names.
 ENDS = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",), "div": ("p",), "ul": ("p",), "h1": ("p",), "h2": ("p",)}
-SCHEMA = "page_id long, node int, parent int, tag string, element_id string, classes array<string>, href string, src string, text string, ancestors array<string>"
+SCHEMA = "page_id long, node int, last int, parent int, depth int, place int, siblings int, of_type int, alike int, tag string, element_id string, classes array<string>, attrs map<string,string>, text string"
+TEXT = "#text"
 
 
 class Nodes(HTMLParser):
-    """rows: [node, parent, tag, id, classes, href, src, texts, ancestor tags]."""
+    """rows: dicts of the columns after page_id. last is the number of the last row inside, so that row n is inside row a if a.node < n.node <= a.last."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
+        self.rows: list[dict] = []
         self.open: list[int] = []
+        self.inside: dict[int | None, Counter] = {}
+
+    def _add(self, tag: str, attrs: dict[str, str], text: str) -> int:
+        node, parent = len(self.rows), self.open[-1] if self.open else None
+        row = {"node": node, "last": node, "parent": parent, "depth": len(self.open), "place": None, "siblings": None, "of_type": None, "alike": None, "tag": tag, "element_id": attrs.get("id"), "classes": attrs.get("class", "").split(), "attrs": attrs, "text": text}
+        if tag != TEXT:
+            count = self.inside.setdefault(parent, Counter())
+            count[tag] += 1
+            row |= {"place": count.total(), "of_type": count[tag]}
+        self.rows.append(row)
+        return node
 
     def handle_starttag(self, tag, attrs):
         ends = ENDS.get(tag, ())
-        while self.open and self.rows[self.open[-1]][2] in ends:
+        while self.open and self.rows[self.open[-1]]["tag"] in ends:
             self.open.pop()
-        a = dict(attrs)
-        node = len(self.rows)
-        self.rows.append([node, self.open[-1] if self.open else None, tag, a.get("id"), (a.get("class") or "").split(), a.get("href"), a.get("data-src") or a.get("src"), [], [self.rows[i][2] for i in self.open]])
+        own: dict[str, str] = {}
+        for k, v in attrs:
+            own.setdefault(k, v or "")
+        node = self._add(tag, own, "")
         if tag not in VOID:
             self.open.append(node)
 
@@ -38,17 +54,36 @@ class Nodes(HTMLParser):
             self.open.pop()
 
     def handle_endtag(self, tag):
-        names = [self.rows[i][2] for i in self.open]
+        names = [self.rows[i]["tag"] for i in self.open]
         if tag in names:
             del self.open[len(names) - 1 - names[::-1].index(tag) :]
 
     def handle_data(self, data):
-        if self.open and data.strip():
-            self.rows[self.open[-1]][7].append(data.strip())
+        if text := data.strip():
+            if self.open:
+                own = self.rows[self.open[-1]]
+                own["text"] = f"{own['text']} {text}".strip()
+            if not (self.open and self.rows[self.open[-1]]["tag"] in SILENT):
+                self._add(TEXT, {}, text)
+
+    def close(self):
+        super().close()
+        for row in reversed(self.rows):
+            if row["parent"] is not None:
+                above = self.rows[row["parent"]]
+                above["last"] = max(above["last"], row["last"])
+            if row["tag"] != TEXT:
+                count = self.inside[row["parent"]]
+                row |= {"siblings": count.total(), "alike": count[row["tag"]]}
 
 
 def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page, node, parent, tag, id, classes, href, src, own text, ancestor tags) of every element; null pages have none."""
+    """A row per element and per text of every page, in document order; null pages have none.
+
+    node, last, parent and depth give the place in the tree; place of siblings and of_type of alike count elements of one parent, all and of one tag, from 1.
+    text is an element's own text, without that of what is inside it, or the text of a #text row. Texts of scripts, styles and templates have no row.
+    """
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -56,9 +91,11 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
             for page, html in zip(part.iloc[:, 0], part.iloc[:, 1], strict=True):
                 parser = Nodes()
                 parser.feed(html or "")
-                out += [(page, *r[:7], " ".join(r[7]), r[8]) for r in parser.rows]
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-            frame["parent"] = frame["parent"].astype("Int32")
+                parser.close()
+                out += [{"page_id": page, **r} for r in parser.rows]
+            frame = pd.DataFrame(out, columns=names)
+            for c in ("parent", "place", "siblings", "of_type", "alike"):
+                frame[c] = frame[c].astype("Int32")
             yield frame
 
     return pages.select(id_col, html_col).mapInPandas(work, SCHEMA)

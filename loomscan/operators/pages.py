@@ -1,21 +1,15 @@
-"""Web-page jobs: links, nodes, selectors as joins, classification, cleaning, items."""
+"""Web-page jobs: links, classification, cleaning, items. Nodes and selectors are in `selectors`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomscan.functions import scores as S
 from loomscan.functions import urls as U
-from loomscan.functions.gestalt import reaches, sequence_ratio
-from loomscan.functions.html import page_nodes
 from loomscan.operators.expressions import _any, _when
 from loomscan.sources.views import view, with_views
 
-#: (field, tag, class or null, where the value is, place in the order)
-SELECTORS = [("title", "h1", None, "text", 0), ("title", "title", None, "text", 1), ("body", "p", None, "text", 0), ("link", "a", None, "href", 0), ("ad", "div", "ad", "text", 0)]
-
-
 def extract_links(pages: DataFrame) -> DataFrame:
     """A row per link in order: absolute and without fragment, on the page's own host; comments and scripts hold no links."""
     bare = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>", " ")
@@ -31,31 +25,6 @@ def discover_frontier(links: DataFrame, known: DataFrame, max_depth: int = 3) ->
     return fresh.withColumn("priority", U.priority_of(F.col("page_type")))
 
 
-def select_nodes(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules x nodes: an equi-join on the tag with the class checked; the value from text or attribute."""
-    hit = nodes.join(rules, "tag").where(F.col("css").isNull() | F.array_contains("classes", F.col("css")))
-    value = F.when(F.col("take") == "text", F.col("text")).when(F.col("take") == "href", F.col("href")).otherwise(F.col("src"))
-    return hit.select("page_id", "field", "place", "node", F.nullif(F.trim(value), F.lit("")).alias("value")).where("value is not null")
-
-
-def selector_extract(pages: DataFrame, hits: DataFrame, fields: list[str]) -> DataFrame:
-    """Number and first value of each field; confidence 100 less 10 for each field without one."""
-    first = hits.groupBy("page_id", "field").agg(F.count("*").alias("n"), F.min_by("value", F.struct("place", "node")).alias("value"))
-    wide = first.groupBy("page_id").pivot("field", fields).agg(F.first("value").alias("value"))
-    miss = sum((F.when(F.col(f).isNull(), 1).otherwise(0) for f in fields), F.lit(0))
-    return pages.select("page_id").join(wide, "page_id", "left").withColumn("confidence", F.greatest(F.lit(0), 100 - 10 * miss))
-
-
-def selector_candidates(nodes: DataFrame, expected: DataFrame, least: float = 0.6, top: int = 5) -> DataFrame:
-    """Selectors (tag and first class) whose texts are like the expected text of the page, by how many pages they hit; the best few of each field."""
-    near = nodes.where("text <> ''").join(expected, "page_id").where(reaches(F.col("text"), F.col("expected"), least))
-    hit = near.where(sequence_ratio(F.substring("text", 1, 200), F.substring("expected", 1, 200)) >= least)
-    selector = F.concat("tag", F.when(F.size("classes") > 0, F.concat(F.lit("."), F.get("classes", 0))).otherwise(F.lit("")))
-    count = hit.groupBy("field", selector.alias("selector")).agg(F.count_distinct("page_id").alias("pages"))
-    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("pages"), "selector"))
-    return count.withColumn("place", place).where(F.col("place") <= top)
-
-
 def clean_html(html: Column) -> Column:
     """Without scripts, styles, navigation, footers, comments and tags; blanks collapsed."""
     bare = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
@@ -99,39 +68,17 @@ def child_records(items: DataFrame, stored: DataFrame) -> DataFrame:
     return named.groupBy("fingerprint").agg(F.min_by("item", "id").alias("title"), F.min("id").alias("parent_id")).join(stored.select("fingerprint"), "fingerprint", "left_anti")
 
 
-def _nodes(s, d):
-    return page_nodes(view(s, d, "pages"))
-
-
-def _rules(s):
-    return s.createDataFrame(SELECTORS, "field string, tag string, css string, take string, place int")
-
-
-def _items(s, d):
-    n = _nodes(s, d).where("tag in ('p', 'li', 'article', 'h1', 'h2') and text <> ''")
-    return n.select("page_id", "node", F.substring("text", 1, 80).alias("title"), S.item_fingerprint(F.col("page_id").cast("string"), F.col("text")).alias("fingerprint"))
-
-
 QUERIES = {
     "extract_links": lambda s, d: extract_links(view(s, d, "pages_v")),
     "discover_frontier": lambda s, d: discover_frontier(extract_links(view(s, d, "pages_v")).withColumn("depth", (F.col("id") % 4).cast("int")), view(s, d, "pages_v")),
     "directory_expand": lambda s, d: extract_links(view(s, d, "pages_v")).where(U.profile_candidate(F.col("target"), ("en", "is", "the"))).select("source_id", "target").distinct(),
-    "page_nodes": _nodes,
-    "selector_extract": lambda s, d: selector_extract(view(s, d, "pages"), select_nodes(_nodes(s, d), _rules(s)), ["title", "body", "link", "ad"]),
     "regex_extract": lambda s, d: view(s, d, "pages").select("page_id", F.nullif(F.regexp_extract("html", "<h1[^>]*>([^<]+)</h1>", 1), F.lit("")).alias("heading"), F.nullif(F.regexp_extract("html", 'lang="([a-z]+)"', 1), F.lit("")).alias("lang")),
     "classify_pages": lambda s, d: classify(view(s, d, "pages_v")),
     "date_signal": lambda s, d: view(s, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})"), F.lit(1))).alias("dates")),
     "clean_html": lambda s, d: view(s, d, "pages").select("page_id", clean_html(F.col("html")).alias("body")),
-    "html_preview": lambda s, d: _nodes(s, d).where("tag in ('title', 'h1', 'h2', 'p') and text <> ''").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "\n").alias("t")).select("page_id", F.when(F.length("t") <= 1000, F.col("t")).otherwise(F.concat(F.substring("t", 1, 700), F.lit("\n"), F.expr("right(t, 300)"))).alias("preview")),
-    "extract_images": lambda s, d: _nodes(s, d).where("tag = 'img' and src is not null").select("page_id", "src", S.image_role(F.col("src"), F.lit(""), F.lit(""), F.array_join("classes", " "), F.lit(1)).alias("r")).select("page_id", "src", "r.*").dropDuplicates(["page_id", "src"]),
-    "related_items": lambda s, d: _items(s, d),
     "child_records": lambda s, d: child_records(view(s, d, "records_v").select("id", "source_id", F.explode(F.array("title", "nationality")).alias("item")), view(s, d, "records_v").where("status = 'approved'").select(S.item_fingerprint(F.col("source_id"), F.col("title")).alias("fingerprint"))),
-    "backfill_extract": lambda s, d: select_nodes(_nodes(s, d), _rules(s)).groupBy("page_id", "field").agg(F.min_by("value", F.struct("place", "node")).alias("value")),
     "backfill_merge": lambda s, d: view(s, d, "records_v").select("id", F.coalesce(F.when(S.present(F.col("city")), F.col("city")), F.col("source_id")).alias("city"), F.array_join(F.array_compact(F.array(F.when(~F.coalesce(S.present(F.col("city")), F.lit(False)), "city"), F.when(F.col("url").isNull(), "url"))), ",").alias("filled")),
-    "follow_links": lambda s, d: select_nodes(_nodes(s, d).where(F.array_contains("ancestors", "nav")), _rules(s).where("field = 'link'")).select("page_id", "value").distinct(),
-    "asset_urls": lambda s, d: _nodes(s, d).where("tag in ('img', 'source', 'a') and coalesce(src, href) rlike '[.](png|jpg|jpeg|pdf|svg)$'").select("page_id", F.coalesce("src", "href").alias("asset")).distinct(),
     "extraction_gate": lambda s, d: extraction_gate(view(s, d, "pages_v").select("id", "status", (100 - 10 * (F.col("id") % 5)).alias("confidence"), F.sha2("html", 256).alias("content_hash")), view(s, d, "pages_v").where("id % 3 <> 0").select("id", F.sha2(F.when(F.col("id") % 3 == 1, F.col("html")).otherwise(F.concat("html", F.lit(" "))), 256).alias("content_hash"))),
-    "selector_candidates": lambda s, d: selector_candidates(_nodes(s, d), view(s, d, "pages").select("page_id", F.lit("title").alias("field"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("expected"))),
     "extract_to_records": lambda s, d: view(s, d, "pages_v").select("id", F.nullif(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("")).alias("title"), "source_id").withColumn("state", F.when(F.col("title").isNull(), "error").otherwise("record")),
     "seed_rows": lambda s, d: view(s, d, "sources_v").select("id", F.explode(F.array_distinct(F.concat(F.array(U.normalize_url(F.col("url"))), U.expand_urls(F.concat("url", F.lit("/{letter}")), F.array(*map(F.lit, "abb")))))).alias("seed")),
     "nav_sections": lambda s, d: extract_links(view(s, d, "pages_v")).select("source_id", U.section_type(F.lit(""), F.col("target")).alias("section"), U.section_pagination(F.col("target")).alias("pagination"), "target").groupBy("source_id", "section").agg(F.min("target").alias("url"), F.min("pagination").alias("pagination"), F.count("*").alias("links")),

@@ -98,8 +98,14 @@ def test_signals_coalesce_by_gap(spark):
 
 def test_html_nodes_of_unclosed_tags(spark):
     html = "<div class='a b'><p><b>one<p>two</div><img data-src='x.png'>"
-    got = {r["node"]: r for r in page_nodes(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()}
-    assert [got[i]["tag"] for i in range(5)] == ["div", "p", "b", "p", "img"] and got[0]["classes"] == ["a", "b"] and got[4]["src"] == "x.png"
+    got = [r for r in page_nodes(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("node").collect()]
+    assert [r["tag"] for r in got] == ["div", "p", "b", "#text", "p", "#text", "img"] and got[0]["classes"] == ["a", "b"] and got[6]["attrs"] == {"data-src": "x.png"}
+    assert [r["last"] for r in got] == [5, 3, 3, 3, 5, 5, 6] and [r["parent"] for r in got] == [None, 0, 1, 2, 0, 4, None]
+
+
+def test_html_text_after_the_last_tag_stays(spark):
+    got = page_nodes(spark.createDataFrame([(1, "<p>hello AT&T"), (2, "<script>var a = '<p>';</script>x &eacute; &lt;")], "page_id long, html string")).where("tag = '#text'").collect()
+    assert {(r["page_id"], r["text"]) for r in got} == {(1, "hello AT&T"), (2, "x é <")}
 
 
 def test_insert_if_absent_keeps_existing_rows(spark):
