@@ -33,6 +33,8 @@ from loomscan.plans.shared import materialize
 CHUNK_CHARS = 1 << 14
 CONTEXT = 512
 FAN_IN = 64
+#: Pretokens of up to so many characters are known again by a hash of powers, which longer ones can be built to share.
+NAMED_CHARS = 64
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _KEPT = 1 << 20
@@ -235,16 +237,22 @@ class Counter:
         weight = _weights()[code & 0xFFFF] ^ (code >> 16).astype(np.uint64)
         sums = np.r_[np.uint64(0), np.cumsum(weight * up[: len(code)], dtype=np.uint64)]
         names = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
-        unique, first, back = np.unique(names, return_index=True, return_inverse=True)
+        short = np.flatnonzero(end - start <= NAMED_CHARS)
+        unique, first, back = np.unique(names[short], return_index=True, return_inverse=True)
         if len(self.seen) > 2 * _KEPT:
             self.seen.clear()
         seen, found = self.seen, np.empty(len(unique), np.int64)
-        for i, (name, at) in enumerate(zip(unique.tolist(), first.tolist(), strict=True)):
+        counted = lambda at: self.transducer.count(joined[start[at] : end[at]].encode("utf-8", "surrogatepass"))
+        for i, (name, at) in enumerate(zip(unique.tolist(), short[first].tolist(), strict=True)):
             got = seen.get(name)
             if got is None:
-                got = seen[name] = self.transducer.count(joined[start[at] : end[at]].encode("utf-8", "surrogatepass"))
+                got = seen[name] = counted(at)
             found[i] = got
-        per = np.r_[0, np.cumsum(found[back])]
+        tokens = np.zeros(len(start), np.int64)
+        tokens[short] = found[back]
+        for at in np.flatnonzero(end - start > NAMED_CHARS).tolist():
+            tokens[at] = counted(at)
+        per = np.r_[0, np.cumsum(tokens)]
         cut = np.searchsorted(start, edges)
         return per[cut[1:]] - per[cut[:-1]]
 

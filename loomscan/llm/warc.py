@@ -140,9 +140,19 @@ def _head(row: dict, date: str) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n" + http).encode("utf-8", "surrogatepass")
 
 
+#: Schemes by which Spark's connectors name stores that Arrow's file systems know by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder's URI and the path in it: local, S3, Google and Azure stores by Arrow itself, HDFS where libhdfs is."""
+    scheme, colon, rest = folder.partition("://")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme.lower(), scheme) + colon + rest)
+
+
 def _written(rows: Iterator[tuple], folder: str, date: str, file_bytes: int) -> Iterator[pa.RecordBatch]:
     """Appends chunk rows to archives, a gzip member a record; gives a manifest row for each file that is closed."""
-    system, base = pafs.FileSystem.from_uri(folder)
+    system, base = file_system(folder)
     names = [n for n, _ in _COLUMNS]
     number, data = names.index("chunk"), names.index("data")
     out = path = zipper = None
@@ -269,7 +279,7 @@ def read_warc(manifest: DataFrame, folder: str, with_data: bool = True) -> DataF
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = pafs.FileSystem.from_uri(folder)
+        system, _ = file_system(folder)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows: list[tuple] = []

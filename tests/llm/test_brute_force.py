@@ -170,6 +170,21 @@ def test_op4_chunks_without_blanks(spark, text):
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in got) == want
 
 
+@pytest.mark.parametrize("pair", ["er", "in", "th"])
+def test_op4_long_pretokens_that_share_sums_of_powers(pair):
+    counter, library = _tokenizers()
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = ["".join(pair[b ^ flip] for b in bits[:n]) for n in (1024, 2048, 4096) for flip in (0, 1)]
+    assert counter.counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+@pytest.mark.parametrize("folder", ["s3a://bucket/a/b", "s3://bucket/a/b"])
+def test_op5_store_schemes(folder):
+    pytest.importorskip("pyarrow._s3fs")
+    system, base = warc.file_system(folder + "?region=us-east-1")
+    assert system.type_name == "s3" and base == "bucket/a/b"
+
+
 def test_op5_reader_never_needs_a_whole_record(spark):
     rnd = random.Random(1)
     text = "".join(rnd.choice("abc\r\n€ ") for _ in range(200_000))
@@ -282,6 +297,12 @@ def test_op7_many_templates(spark):
     assert sorted((r["doc_id"], r["license"]) for r in licenses.scan(docs, templates).collect()) == [(i, f"l{i}") for i in range(0, 300, 30)]
 
 
+def test_op8_vectors_whose_length_overflows(spark):
+    rows = [(1, [1.5e308, 1.5e308]), (2, [1.5e308, 1.5e308]), (3, [1.0, 1.0]), (4, [1.5e308, -1.5e308]), (5, [1e-310, 1e-310])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
 def test_op8_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 24))
