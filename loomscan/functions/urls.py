@@ -40,6 +40,11 @@ CAPTCHA = ("captcha", "g-recaptcha", "hcaptcha", "cf-chl", "cloudflare challenge
 #: Path texts that keep a family out of a crawl, and that mark utility families.
 EXCLUDED = ("/login", "/account", "/cart", "/search", "/privacy", "/terms")
 UTILITY_FAMILY = ("privacy", "terms", "contact", "about", "cookie", "sitemap", "rss", "feed")
+#: What a family's page type candidate stands for; texts of a pattern or page that tell a type, in order; texts of listings and of archives.
+FAMILY_TYPES = {"listing": "listing", "generic_detail": "detail", "artist": "artist", "artwork": "artwork", "exhibition": "exhibition", "event": "exhibition", "document": "document"}
+FAMILY_SIGNS = (("artist", ("artist",)), ("artwork", ("artwork", "/works/")), ("exhibition", ("exhibition", "event", "show")), ("document", (".pdf", "document", "catalogue", "catalog")))
+LISTING_TOKENS = ("artists", "artworks", "exhibitions", "events", "news", "blog", "index", "archive")
+ARCHIVE_TOKENS = ("archive", "archives", "year", "past")
 #: Fixed values: (section, texts in its URL; without slashes also in its name), and (pagination, texts in the URL).
 SECTIONS = (
     ("artist_directory", ("/artists", "/artist", "/our-artists", "/gallery-artists")),
@@ -99,6 +104,26 @@ def page_type_candidate(pattern: Column) -> Column:
     return out.when(levels <= 1, "listing").otherwise("generic_detail")
 
 
+def family_type(pattern: Column, signals: Column | None = None) -> Column:
+    """The page type that a path pattern, and what its pages show, speak for: the first sign that holds, else a listing's words, else detail from three parts on."""
+    blob = F.lower(F.concat_ws(" ", pattern, signals if signals is not None else F.lit("")))
+    out = F.when(F.lit(False), "")
+    for kind, words in FAMILY_SIGNS:
+        out = out.when(holds(blob, words), kind)
+    parts = F.size(F.filter(F.split(F.lower(pattern), "/"), lambda x: x != ""))
+    return out.when(holds(blob, LISTING_TOKENS), "listing").when(parts >= 3, "detail").otherwise("generic")
+
+
+def resolve_page_type(candidate: Column, confidence: Column, pattern: Column, signals: Column | None = None) -> tuple[Column, Column]:
+    """(page type, conflict): what the candidate stands for from a confidence of .72 on, else what the pattern speaks for, in conflict if the two differ."""
+    mapped = F.when(F.lit(False), "")
+    for name, kind in FAMILY_TYPES.items():
+        mapped = mapped.when(F.lower(candidate) == name, kind)
+    mapped, own = mapped.otherwise("generic"), family_type(pattern, signals)
+    sure = confidence >= 0.72
+    return F.when(sure, mapped).otherwise(own), ~sure & (mapped != own)
+
+
 def holds(text: Column, words: tuple[str, ...]) -> Column:
     """Whether the text holds any of the words, as they stand."""
     out = F.lit(False)

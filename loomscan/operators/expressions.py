@@ -75,7 +75,7 @@ QUERIES = {
     "captcha_flag": _pages("captcha", lambda: U.captcha_flag(F.col("html"))),
     "pagination_mode": lambda s, d: view(s, d, "pages_v").groupBy("source_id").agg(U.pagination_of(F.col("url")).alias("mode")),
     "include_rule": lambda s, d: view(s, d, "pages").select("page_id", U.include_rule(U.path_pattern(_url()), (F.col("page_id") % 100) / 100, F.col("page_id") % 5, F.when(F.col("page_id") % 3 == 0, "unknown").otherwise("detail")).alias("included")),
-    "resolve_page_type": lambda s, d: view(s, d, "pages").select("page_id", F.when((F.col("page_id") % 100) / 100 >= 0.72, U.page_type_candidate(U.path_pattern(_url()))).otherwise(F.coalesce(U.url_page_type(_url(), PAGE_RULES), F.lit("unknown"))).alias("page_type"), (U.page_type_candidate(U.path_pattern(_url())) != F.coalesce(U.url_page_type(_url(), PAGE_RULES), F.lit("unknown"))).alias("conflict")),
+    "resolve_page_type": lambda s, d: view(s, d, "pages").select("page_id", *[c.alias(n) for n, c in zip(("page_type", "conflict"), U.resolve_page_type(U.page_type_candidate(U.path_pattern(_url())), (F.col("page_id") % 100) / 100, U.path_pattern(_url()), F.regexp_extract("html", "<title>([^<]*)</title>", 1)), strict=True)]),
     "section_type": lambda s, d: view(s, d, "documents").select("doc_id", U.section_type(F.col("text"), F.concat(F.lit("/"), "source")).alias("section"), U.section_pagination(F.col("text")).alias("pagination")),
     "normalize_email": _docs("email", lambda: U.normalize_email(_text())),
     "url_expand": lambda s, d: view(s, d, "sources_v").select("id", F.explode(U.expand_urls(F.concat("url", F.lit("/list/{letter}")), F.array(*map(F.lit, "abc")))).alias("target")),
@@ -149,6 +149,10 @@ _FIELDS = "(values " + ", ".join(f"('{k}', '{f}', {str(f in first).lower()}, {n}
 _VALUE = "case field " + " ".join(f"when '{f}' then {c}" for f, c in _HAVE.items()) + " end"
 _FULL = "case when regexp_matches(url, '^[A-Za-z]+://') then url else 'https://' || url end"
 
+#: The two tables of page types, spelled out once more for SQL over k (the candidate), b (pattern and signals) and l (the pattern), all lower-cased.
+MAPPED = "case k when 'listing' then 'listing' when 'generic_detail' then 'detail' when 'artist' then 'artist' when 'artwork' then 'artwork' when 'exhibition' then 'exhibition' when 'event' then 'exhibition' when 'document' then 'document' else 'generic' end"
+SPOKEN = "case when contains(b, 'artist') then 'artist' when contains(b, 'artwork') or contains(b, '/works/') then 'artwork' when contains(b, 'exhibition') or contains(b, 'event') or contains(b, 'show') then 'exhibition' when contains(b, '.pdf') or contains(b, 'document') or contains(b, 'catalog') then 'document' when contains(b, 'news') or contains(b, 'blog') or contains(b, 'index') or contains(b, 'archive') then 'listing' when len(list_filter(string_split(l, '/'), lambda x: x <> '')) >= 3 then 'detail' else 'generic' end"
+
 ORACLE = {k: with_views(v) for k, v in {
     "normalize_url": f"""with f as (select page_id, {_FULL} as u from pages),
         g as (select page_id, u, lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) as scheme, lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)) as place, regexp_replace({_PATH.replace('url', 'u')}, '/+$', '') as p,
@@ -164,7 +168,7 @@ ORACLE = {k: with_views(v) for k, v in {
     "captcha_flag": "select page_id, regexp_matches(lower(html), 'captcha|cf-chl|cloudflare challenge|are you human') as captcha from pages",
     "pagination_mode": "select source_id, case when bool_or(regexp_matches(url, '[?&](page|p|offset|start)=')) then 'query_param' when bool_or(regexp_matches(url, '/page/[0-9]+')) then 'path_segment' else 'none' end as mode from pages_v group by 1",
     "include_rule": f"with p as (select page_id, {_PATTERN} as pattern, (page_id % 100) / 100 as c, page_id % 5 as n, case when page_id % 3 = 0 then 'unknown' else 'detail' end as t from pages) select page_id, case when {_any('lower(pattern)', (*U.EXCLUDED, *U.UTILITY_FAMILY))} or (c < 0.35 and n <= 1) then false when n >= 3 or c >= 0.7 then true else t <> 'unknown' and c >= 0.45 end as included from p",
-    "resolve_page_type": f"with p as (select page_id, (page_id % 100) / 100 as c, coalesce({_TYPE}, 'unknown') as t, {_PATTERN} as pattern from pages), q as (select *, {_candidate('pattern')} as k from p) select page_id, case when c >= 0.72 then k else t end as page_type, k <> t as conflict from q",
+    "resolve_page_type": f"with p as (select page_id, (page_id % 100) / 100 as c, {_PATTERN} as pattern, regexp_extract(html, '<title>([^<]*)</title>', 1) as dom from pages), q as (select *, {_candidate('pattern')} as k, lower(pattern || ' ' || dom) as b, lower(pattern) as l from p), r as (select *, {MAPPED} as m, {SPOKEN} as o from q) select page_id, case when c >= 0.72 then m else o end as page_type, c < 0.72 and m <> o as conflict from r",
     "section_type": "with d as (select doc_id, lower(text) as n, '/' || source as u from documents) select doc_id, case " + " ".join(f"when {_any('u', w)} or {_any('n', [x.strip('/') for x in w])} then '{k}'" for k, w in U.SECTIONS) + " else 'unknown' end as section, case " + _when("n", U.PAGINATION) + " else 'none' end as pagination from d",
     "normalize_email": "select doc_id, nullif(regexp_extract(regexp_replace(lower(trim(text)), '^mailto:|\\?.*$', '', 'g'), '([a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]+)', 1), '') as email from documents",
     "url_expand": "select id, url || '/list/' || unnest(['a', 'b', 'c']) as target from sources_v",

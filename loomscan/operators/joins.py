@@ -38,6 +38,18 @@ def member_of(people: DataFrame, lists: DataFrame, name: str, names: Column) ->
     return people.withColumn("key", F.lower(F.trim(name))).join(flat, "key")
 
 
+def related_events(venues: DataFrame, events: DataFrame) -> DataFrame:
+    """(side, id, venue, event, matches): venues (id, title) and events (id, venue_name) of equal folded title, a row each.
+
+    A title is one class: venue and event are its least ids, and stand for all of its pairs; matches is how many of the other side a row is related to. Empty titles are related to none.
+    """
+    fold = lambda c: F.lower(F.trim(c))
+    v, e = venues.select("id", fold("title").alias("key")).where("key <> ''"), events.select("id", fold("venue_name").alias("key")).where("key <> ''")
+    both = v.groupBy("key").agg(F.min("id").alias("venue"), F.count("*").alias("venues")).join(e.groupBy("key").agg(F.min("id").alias("event"), F.count("*").alias("events")), "key")
+    side = lambda df, name, n: df.join(both, "key").select(F.lit(name).alias("side"), "id", "venue", "event", F.col(n).alias("matches"))
+    return side(v, "venue", "events").unionByName(side(e, "event", "venues"))
+
+
 def title_lookup(wanted: DataFrame, records: DataFrame, types: list[str]) -> DataFrame:
     """For each wanted (source_id, title) the record of equal folded title: earlier type first, then least id."""
     rank = F.array_position(F.array(*map(F.lit, types)), F.col("record_type"))
@@ -94,7 +106,7 @@ QUERIES = {
     "duplicate_reviews_named": lambda s, d: with_both(view(s, d, "reviews_v"), view(s, d, "records_v"), "title").select("id", "left_title", "right_title", (F.col("score") / 100).alias("score")),
     "records_with_images": lambda s, d: with_images(view(s, d, "records_v"), _images(view(s, d, "pages_v"))).select("id", "image_count", "primary_url"),
     "related_exhibitions": lambda s, d: member_of(view(s, d, "entities_v").where("entity_type = 'PROMO'").select("id", "name"), _lists(view(s, d, "entities_v").where("entity_type = 'STANDARD'")), "name", F.col("names")).select("id", "list_id"),
-    "related_events": lambda s, d: view(s, d, "entities_v").select(F.col("id").alias("venue"), "city", F.lower(F.trim("name")).alias("key")).join(view(s, d, "entities_v").select("id", "city", F.lower(F.trim("name")).alias("key")), ["city", "key"]).select("venue", "id"),
+    "related_events": lambda s, d: related_events(view(s, d, "entities_v").select("id", F.col("name").alias("title")), view(s, d, "entities_v").select("id", F.col("name").alias("venue_name"))),
     "title_lookup": lambda s, d: title_lookup(view(s, d, "records_v").select(F.col("id").alias("wanted"), "source_id", "title"), view(s, d, "records_v"), ["exhibition", "artist", "event"]).select("wanted", "found"),
     "artist_graph": lambda s, d: ego_graph(view(s, d, "edges_v"), 5),
     "family_pages": lambda s, d: family_pages(view(s, d, "pages_v"), s.createDataFrame([("en",), ("de",)], "slug string")).select("id", "slug"),
@@ -118,7 +130,7 @@ ORACLE = {k: with_views(v) for k, v in {
     "duplicate_reviews_named": "select v.id, a.title as left_title, b.title as right_title, score / 100 as score from reviews_v v left join records_v a on a.id = left_id left join records_v b on b.id = right_id",
     "records_with_images": "with i as (select id % 40 as record_id, count(*) as n, min_by(url, id) as u from pages_v group by 1) select r.id, coalesce(n, 0) as image_count, u as primary_url from records_v r left join i on i.record_id = r.id",
     "related_exhibitions": "select a.id, b.id as list_id from entities_v a join entities_v b on lower(trim(a.name)) in (lower(b.name), lower(b.city)) where a.entity_type = 'PROMO' and b.entity_type = 'STANDARD'",
-    "related_events": "select a.id as venue, b.id from entities_v a join entities_v b on a.city = b.city and lower(trim(a.name)) = lower(trim(b.name))",
+    "related_events": "with c as (select id, min(id) over w as first, count(*) over w as n from entities_v where trim(name) <> '' window w as (partition by lower(trim(name)))) select unnest(['venue', 'event']) as side, id, first as venue, first as event, n as matches from c",
     "title_lookup": "with o as (select source_id, lower(trim(title)) as k, id, row_number() over (partition by source_id, lower(trim(title)) order by case record_type when 'exhibition' then 1 when 'artist' then 2 else 3 end, id) as n from records_v where record_type in ('exhibition', 'artist', 'event')) select r.id as wanted, o.id as found from records_v r join o on n = 1 and o.source_id = r.source_id and o.k = lower(trim(r.title))",
     "artist_graph": "select to_id as other, edge_type, 'out' as direction from edges_v where from_id = 5 union select from_id, edge_type, 'in' from edges_v where to_id = 5",
     "family_pages": "select id, slug from pages_v, (values ('en'), ('de')) s(slug) where contains(path || '/', '/' || slug || '/')",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.functions import urls as U
-from loomscan.operators.expressions import _any
+from loomscan.operators.expressions import MAPPED, SPOKEN, _any
 from loomscan.sources.views import view, with_views
 
 
@@ -40,12 +40,14 @@ def page_clusters(pages: DataFrame) -> DataFrame:
 
 
 def family_rules(families: DataFrame) -> DataFrame:
-    """Include, follow, priority and freshness of each family."""
-    t = F.col("page_type")
-    return families.select(
-        "source_id", "pattern", U.include_rule(F.col("pattern"), F.col("confidence"), F.col("size"), t).alias("include"), (t == "listing").alias("follow"),
-        F.when(t == "listing", "high").when(t.isin("artist", "artwork", "exhibition", "generic_detail"), "medium").otherwise("low").alias("priority"),
-        F.when(t == "listing", "daily").when(F.col("pattern").rlike("archive|past"), "monthly").otherwise("weekly").alias("freshness"),
+    """Resolved type, include, follow, priority and freshness of each family (page_type is the candidate), and whether its signals are in conflict."""
+    kind, conflict = U.resolve_page_type(F.col("page_type"), F.col("confidence"), F.col("pattern"))
+    t = F.col("resolved")
+    return families.withColumn("resolved", kind).withColumn("conflict", conflict).select(
+        "source_id", "pattern", t.alias("page_type"), U.include_rule(F.col("pattern"), F.col("confidence"), F.col("size"), t).alias("include"), (t == "listing").alias("follow"),
+        F.when(t == "listing", "high").when(t.isin("detail", "artist", "artwork", "exhibition"), "medium").otherwise("low").alias("priority"),
+        F.when(t == "listing", "daily").when(U.holds(F.lower("pattern"), U.ARCHIVE_TOKENS), "monthly").otherwise("weekly").alias("freshness"),
+        "conflict", (F.col("conflict") & (F.col("confidence") < 0.55)).alias("escalate"),
     )
 
 
@@ -118,7 +120,7 @@ _ROWS = "w as (select record_id * 10 + line as id, record_id, edge_type as statu
 ORACLE = {k: with_views(v) for k, v in {
     "url_families": f"with {_FAM} select * from f",
     "page_clusters": f"with {_CLU} select * from c",
-    "family_rules": f"with {_FAM} select source_id, pattern, case when {_any('lower(pattern)', (*U.EXCLUDED, *U.UTILITY_FAMILY))} or (confidence < 0.35 and size <= 1) then false when size >= 3 or confidence >= 0.7 then true else page_type in ('listing', 'artist', 'artwork', 'exhibition', 'detail') and confidence >= 0.45 end as include, page_type = 'listing' as follow, case when page_type = 'listing' then 'high' when page_type in ('artist', 'artwork', 'exhibition', 'generic_detail') then 'medium' else 'low' end as priority, case when page_type = 'listing' then 'daily' when regexp_matches(pattern, 'archive|past') then 'monthly' else 'weekly' end as freshness from f",
+    "family_rules": f"with {_FAM}, q as (select *, page_type as k, lower(pattern) as b, lower(pattern) as l from f), r as (select source_id, pattern, size, confidence, case when confidence >= 0.72 then {MAPPED} else {SPOKEN} end as page_type, confidence < 0.72 and {MAPPED} <> {SPOKEN} as conflict from q) select source_id, pattern, page_type, case when {_any('lower(pattern)', (*U.EXCLUDED, *U.UTILITY_FAMILY))} or (confidence < 0.35 and size <= 1) then false when size >= 3 or confidence >= 0.7 then true else page_type in ('listing', 'artist', 'artwork', 'exhibition', 'detail') and confidence >= 0.45 end as include, page_type = 'listing' as follow, case when page_type = 'listing' then 'high' when page_type in ('detail', 'artist', 'artwork', 'exhibition') then 'medium' else 'low' end as priority, case when page_type = 'listing' then 'daily' when regexp_matches(lower(pattern), 'archive|year|past') then 'monthly' else 'weekly' end as freshness, conflict, conflict and confidence < 0.55 as escalate from r",
     "mapping_proposals": f"with {_CLU}, b(role, field, rank) as (values {', '.join(map(str, BLUEPRINTS))}) select source_id, c.role, field, round(greatest(0.45, confidence - 0.05 * rank), 4)::double as confidence from c join b on b.role = c.role",
     "mapping_preview": f"with {_ROWS} select record_id, count(*) as rows, count_if(confidence < 0.95) as warnings, string_agg(distinct status, ',' order by status) as categories from w group by 1",
     "runtime_map": f"with {_ROWS} select record_id, string_agg(status || ':' || id, ';' order by status || ':' || id) as rules from w where confidence >= 0.93 group by 1",

@@ -37,13 +37,6 @@ def politeness_schedule(frontier: DataFrame, now: str, seconds: int) -> DataFram
     return frontier.withColumn("slot", F.expr(now) + F.make_interval(secs=(F.row_number().over(w) - 1) * seconds))
 
 
-def top_by_cosine(vectors: DataFrame, query: DataFrame, k: int, bonus: Column) -> DataFrame:
-    """Top k by cosine with the one query vector plus a bonus."""
-    one = query.select(F.col("embedding").alias("q"))
-    score = F.round(S.cosine_similarity(F.col("embedding"), F.col("q")) + bonus, 5)
-    return vectors.crossJoin(F.broadcast(one)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
-
-
 def field_vote(votes: DataFrame, by: list[str]) -> DataFrame:
     """The value of greatest summed weight in each group, ties to the least value."""
     total = votes.groupBy(*by, "value").agg(F.round(F.sum("weight"), 6).alias("weight"))
@@ -82,11 +75,14 @@ def stuck_work(jobs: DataFrame, frontier: DataFrame, pages: DataFrame, as_of: st
 
 
 def requeue(frontier: DataFrame, now: str, limit: int) -> DataFrame:
-    """The oldest discovered rows of each source become queued; retryable rows become queued with now as retry time."""
-    w = Window.partitionBy("source_id", "status").orderBy("created_at", "id")
-    place = F.row_number().over(w)
-    moved = ((F.col("status") == "discovered") & (F.col("_n") <= limit)) | (F.col("status") == "failed_retryable")
-    out = frontier.withColumn("_n", place)
+    """The oldest discovered rows of each source become queued; retryable rows become queued with now as retry time.
+
+    Only discovered rows are ranked, and the first `limit` of each task's before any of a source meet.
+    """
+    w = Window.partitionBy("source_id").orderBy("created_at", "id")
+    first = frontier.where("status = 'discovered'").select("id", "source_id", "created_at").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("id", F.lit(True).alias("_first"))
+    moved = F.col("_first").isNotNull() | (F.col("status") == "failed_retryable")
+    out = frontier.join(first, "id", "left")
     return out.select("id", F.when(moved, "queued").otherwise(F.col("status")).alias("status"), F.when(F.col("status") == "failed_retryable", F.expr(now)).otherwise(F.col("next_retry_at")).alias("next_retry_at"))
 
 
@@ -135,22 +131,15 @@ def _votes(l):
     return l.select("entity_id", F.lit("source").alias("field"), F.col("source_id").alias("value"), F.col("confidence").alias("weight"))
 
 
-def _vec(bonus):
-    return lambda s, d: top_by_cosine(view(s, d, "vectors_v"), view(s, d, "vectors_v").where("id = 0"), 20, bonus())
-
-
 QUERIES = {
     "latest_record_per_page": lambda s, d: latest(view(s, d, "records_v").select((F.col("id") % 77).alias("page"), "id", "updated_at", "title"), ["page"], "updated_at", "id"),
     "adjacent_records": lambda s, d: adjacent(view(s, d, "records_v").where("status = 'approved'").select("id", "source_id"), "source_id"),
     "frontier_due": lambda s, d: frontier_due(view(s, d, "frontier_v"), NOW, 3).select("id", "source_id", "place"),
     "politeness_schedule": lambda s, d: politeness_schedule(view(s, d, "frontier_v"), NOW, 5).select("id", "slot"),
-    "semantic_artists": _vec(lambda: F.col("label") / 1000 + F.least((F.col("id") % 101) / 1000, F.lit(0.1))),
-    "semantic_exhibitions": _vec(lambda: F.when(F.col("id") % 200 < 120, 0.05).otherwise(0.0) + F.col("label") / 1000),
-    "ask": lambda s, d: view(s, d, "conversations").select("conv_id", "turn", F.nullif(F.regexp_extract("text", r"^.* in (.*)$", 1), F.lit("")).alias("location"), F.when(F.lower("text").rlike("similar"), "similar").otherwise("search").alias("intent")),
     "related_artists": lambda s, d: related_artists(_artists(s, d), _artists(s, d).where("id % 100 = 0"), 10),
     "field_vote": lambda s, d: field_vote(_votes(view(s, d, "links_v")), ["entity_id", "field"]),
     "template_match": lambda s, d: template_match(_items(view(s, d, "entities_v")), _templates(s)),
-    "top_failing_fields": lambda s, d: view(s, d, "signals_v").groupBy("field", "signal_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field", "signal_type").limit(10),
+    "top_failing_fields": lambda s, d: view(s, d, "signals_v").groupBy("field").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field").limit(10),
     "stuck_work": lambda s, d: stuck_work(view(s, d, "jobs_v").withColumn("heartbeat_at", F.expr("heartbeat_at + interval '9000' day")), view(s, d, "frontier_v").withColumn("status", F.when(F.col("status") == "fetched", "fetching").otherwise(F.col("status"))).withColumn("lease_expires_at", F.expr("created_at + interval '5' minute")).withColumn("lease_version", F.col("depth")), view(s, d, "pages_v").withColumn("status", F.when(F.col("status") == "pending", "in_progress").otherwise(F.col("status"))).withColumn("started_at", F.col("fetched_at")), "timestamp '2024-01-01 01:00:00'"),
     "requeue": lambda s, d: requeue(view(s, d, "frontier_v"), NOW, 1),
 }
@@ -161,13 +150,10 @@ ORACLE = {k: with_views(v) for k, v in {
     "adjacent_records": "select id, source_id, lag(id) over w as previous, lead(id) over w as next from records_v where status = 'approved' window w as (partition by source_id order by id)",
     "frontier_due": f"with f as (select id, source_id, row_number() over (partition by source_id order by priority desc, depth, created_at, id) as place from frontier_v where status in ('queued', 'failed_retryable') and ((next_retry_at is null and next_eligible_at is null) or coalesce(next_retry_at <= {NOW}, false) or coalesce(next_eligible_at <= {NOW}, false))) select id, source_id, cast(place as int) as place from f where place <= 3",
     "politeness_schedule": f"select id, {NOW} + (row_number() over (partition by source_id order by priority desc, id) - 1) * interval '5' second as slot from frontier_v",
-    "semantic_artists": f"select v.id, round({_COS} + v.label / 1000 + least((v.id % 101) / 1000, 0.1), 5) as score from vectors_v v, vectors_v q where q.id = 0 order by 2 desc, 1 limit 20",
-    "semantic_exhibitions": f"select v.id, round({_COS} + case when v.id % 200 < 120 then 0.05 else 0 end + v.label / 1000, 5) as score from vectors_v v, vectors_v q where q.id = 0 order by 2 desc, 1 limit 20",
-    "ask": "select conv_id, turn, nullif(regexp_extract(text, '^.* in (.*)$', 1), '') as location, case when contains(lower(text), 'similar') then 'similar' else 'search' end as intent from conversations",
     "related_artists": f"with w as (select v.id, embedding, city, source_id as country, nationality, record_type, lower(concat_ws(' ', nullif(city, ''), source_id, nationality)) as place from vectors_v v join records_v r on r.id = v.id), x as (select q.id as anchor, v.id, round(0.6 * {_COS} + 0.25 * (case when v.record_type = q.record_type then 1 else 0 end + (case when v.nationality = q.nationality then 1 else 0 end + case when v.record_type = q.record_type then 1 else 0 end) / (4 - case when v.nationality = q.nationality then 1 else 0 end - case when v.record_type = q.record_type then 1 else 0 end)) / 3 + 0.15 * case when v.place = q.place then 1 when v.country = q.country then 0.5 else 0 end, 5)::double as score from w v, w q where q.id % 100 = 0 and v.id <> q.id), y as (select *, row_number() over (partition by anchor order by score desc, id) as place from x where score > 0) select anchor, id, score, cast(place as int) as place from y where place <= 10",
     "field_vote": "with t as (select entity_id, source_id as value, round(sum(confidence), 6) as weight from links_v group by 1, 2), r as (select *, row_number() over (partition by entity_id order by weight desc, value) as n from t) select entity_id, 'source' as field, value, weight from r where n = 1",
     "template_match": "with t(template, k, s, w, p) as (values " + ", ".join(f"({n}, '{k}', '{y}', {w}::varchar[], {p}::varchar[])" for n, k, y, w, p in TEMPLATES) + "), x as (select id, template, round(case when entity_type = k then 0.35 else 0 end + case when city = s then 0.25 else 0 end + 0.25 * coalesce(len(list_intersect(regexp_split_to_array(lower(name), '[^a-z0-9]+'), w)) / nullif(len(w), 0), 0) + 0.15 * coalesce(len(list_filter(p, lambda z: contains(lower(name), z))) / nullif(len(p), 0), 0), 4)::double as score from entities_v, t), y as (select *, row_number() over (partition by id order by score desc, template) as n from x where score >= 0.75) select id, template, score from y where n = 1",
-    "top_failing_fields": "select field, signal_type, count(*) as n from signals_v group by 1, 2 order by 3 desc, 1, 2 limit 10",
+    "top_failing_fields": "select field, count(*) as n from signals_v group by 1 order by 2 desc, 1 limit 10",
     "stuck_work": "select 'job' as kind, id, 'pending' as status, attempts + 1 as tries, 'no_heartbeat' as reason from jobs_v where status = 'running' and heartbeat_at + interval '9000' day < timestamp '2024-01-01 00:58:00' union all select 'frontier', id, 'queued', depth + 1, 'lease_expired_reset_to_queue' from frontier_v where status = 'fetched' and created_at < timestamp '2024-01-01 00:55:00' union all select 'page', id, 'pending', null, 'recovered_from_stale_in_progress' from pages_v where status = 'pending' and fetched_at < timestamp '2024-01-01 00:45:00'",
     "requeue": f"with f as (select *, row_number() over (partition by source_id, status order by created_at, id) as n from frontier_v) select id, case when (status = 'discovered' and n <= 1) or status = 'failed_retryable' then 'queued' else status end as status, case when status = 'failed_retryable' then {NOW} else next_retry_at end as next_retry_at from f",
 }.items()}

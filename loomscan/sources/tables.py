@@ -114,9 +114,8 @@ def _loaded(s, d):
     return out
 
 
-def _raw_events(s, d):
+def raw_events(e: DataFrame) -> DataFrame:
     """Events as JSON: a level for two of three, every fifth time unreadable, user and k beyond the known keys."""
-    e = view(s, d, "events")
     when = F.when(F.col("event_id") % 5 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     fields = F.struct(F.concat("event_type", F.lit(" seen")).alias("event"), F.when(F.col("event_id") % 3 > 0, F.upper("event_type")).alias("level"), when.alias("timestamp"), F.col("user_id").alias("user"), F.get_json_object("props", "$.k").alias("k"))
     return e.select("event_id", F.to_json(fields).alias("payload"))
@@ -131,7 +130,6 @@ QUERIES = {
     "export_select_and_mark": lambda s, d: select_and_mark(view(s, d, "records_v"), view(s, d, "records_v").where("id % 3 = 0")),
     "export_history": lambda s, d: view(s, d, "records_v").where("status = 'approved'").select("id", "source_id", "updated_at").orderBy(F.desc("updated_at"), "id").offset(5).limit(100),
     "export_events_csv": lambda s, d: events_csv(view(s, d, "log_v").where("level <> 'debug'"), 2000),
-    "normalize_log_stream": lambda s, d: normalize_logs(_raw_events(s, d), "miner", F.expr("timestamp '2024-03-01 00:00:00'"), "warning").select("event_id", F.col("timestamp").cast("timestamp_ntz").alias("ts"), "level", "service", "source_id", "message", "context"),
 }
 
 ORACLE = {k: with_views(v) for k, v in {
@@ -143,5 +141,4 @@ ORACLE = {k: with_views(v) for k, v in {
     "export_select_and_mark": "select id, case when id % 3 = 0 then 'exported' else 'approved' end as status from records_v where status = 'approved'",
     "export_history": "select id, source_id, updated_at from records_v where status = 'approved' order by updated_at desc, id limit 100 offset 5",
     "export_events_csv": "select id::varchar as id, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, level as event_type, service as user_id, coalesce(context, '') as metadata from log_v where level <> 'debug' order by ts desc, log_v.id desc limit 2000",
-    "normalize_log_stream": """select event_id, case when event_id % 5 = 0 then timestamp '2024-03-01 00:00:00' else ts end as ts, case when event_id % 3 = 0 then 'warning' when event_type in ('debug', 'info', 'warning', 'error') then event_type else 'info' end as level, 'miner' as service, null::varchar as source_id, event_type || ' seen' as message, '{"user":"' || user_id || '"' || coalesce(',"k":"' || (props->>'$.k') || '"', '') || '}' as context from events""",
 }.items()}
