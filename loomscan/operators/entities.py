@@ -147,16 +147,6 @@ def entity_confidence(links: DataFrame) -> DataFrame:
     return g.select("entity_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)) + 1e-9, 4).alias("confidence"))
 
 
-def merge_record(pairs: DataFrame, fields: list[tuple[str, str]], high: int = 80) -> DataFrame:
-    """Fields (value, confidence) of both sides: gaps are filled, a clash of two high values keeps the old one, else the more certain wins."""
-    out = []
-    for value, certain in fields:
-        old, new, a, b = F.col(f"l_{value}"), F.col(f"r_{value}"), F.col(f"l_{certain}"), F.col(f"r_{certain}")
-        take = F.when(~F.coalesce(S.present(old.cast("string")), F.lit(False)), new).when(~F.coalesce(S.present(new.cast("string")), F.lit(False)) | (old == new), old).when((a >= high) & (b >= high), old).when(b > a, new).otherwise(old)
-        out += [take.alias(value), F.coalesce((old != new) & (a >= high) & (b >= high), F.lit(False)).alias(f"{value}_conflict")]
-    return pairs.select("l_id", "r_id", *out)
-
-
 def upsert_edges(stored: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     new = found.groupBy(*keys).agg(F.max("confidence").alias("new_confidence"))
     both = stored.groupBy(*keys).agg(F.max("confidence").alias("confidence")).join(new, keys, "full_outer")
@@ -243,26 +233,6 @@ def review_decisions(reviews: DataFrame, events: DataFrame) -> DataFrame:
     return reviews.join(last, reviews["id"] == last["review_id"], "left").select("id", F.coalesce("decision", "status").alias("status"))
 
 
-def merge_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Primary first: its value unless empty, else the secondary's; the higher scores."""
-    a = records.select(*[F.col(c).alias(f"l_{c}") for c in ("id", "city", "url", "confidence_score")])
-    b = records.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "city", "url", "confidence_score")])
-    both = pairs.join(a, "l_id").join(b, "r_id")
-    first = lambda c: F.coalesce(F.nullif(f"l_{c}", F.lit("")), F.nullif(f"r_{c}", F.lit("")))
-    return both.select(F.col("l_id").alias("id"), F.col("r_id").alias("removed"), first("city").alias("city"), first("url").alias("url"), F.greatest("l_confidence_score", "r_confidence_score").alias("confidence_score"))
-
-
-def rollback(merged: DataFrame, history: DataFrame) -> DataFrame:
-    """Rows of history come back in place of what they were merged to."""
-    return merged.join(history.select(F.col("kept").alias("id")), "id", "left_anti").unionByName(history.select(F.explode(F.array("before_kept", "before_removed")).alias("r")).select("r.*"))
-
-
-def payload_merge(rows: DataFrame, by: str) -> DataFrame:
-    """Of each family: the longest text, one of a biography row before all others, ties to the least id; sources counted."""
-    best = F.max(F.struct("is_bio", F.length("text").alias("n"), (-F.col("id")).alias("neg"), "text"))
-    return rows.groupBy(by).agg(best["text"].alias("text"), F.count_distinct("text").alias("versions"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
-
-
 def _duplicates(s, d):
     e = view(s, d, "entities_v").select("id", "name", F.col("city").alias("website_url"), F.col("year").alias("birth_year"), F.array("entity_type").alias("exhibitions"), F.array("entity_type", "city").alias("articles"), F.array().cast("array<string>").alias("press"))
     return duplicate_candidates(e.join(view(s, d, "vectors_v").select("id", "embedding"), "id", "left"), 0.45)
@@ -272,48 +242,27 @@ def _mapping(s, d):
     return view(s, d, "entities_v").where("id % 5 = 1").select("id", (F.col("id") - 1).alias("winner"))
 
 
-def _near(s, d):
-    r = view(s, d, "records_v").select("id", "city", "nationality", "confidence_score", "completeness_score")
-    return pairs_of(r.withColumn("block", F.floor(F.col("id") / 2)), "block")
-
-
 QUERIES = {
     "sequence_ratio": lambda s, d: view(s, d, "entities_v").select("id", F.round(sequence_ratio(F.col("name"), F.col("city")), 6).alias("ratio")),
     "build_edges": lambda s, d: build_edges(*_edge_input(s, d)),
-    "merge_record": lambda s, d: merge_record(_near(s, d), [("city", "confidence_score"), ("nationality", "completeness_score")]),
-    "merge_snapshot": lambda s, d: _near(s, d).select("l_id", "r_id", F.sha2(F.concat_ws("|", F.coalesce("l_city", F.lit("~")), F.coalesce("r_city", F.lit("~")), "l_confidence_score", "r_confidence_score"), 256).alias("snapshot")),
-    "merge_entity_data": lambda s, d: view(s, d, "entities_v").join(_mapping(s, d), "id", "left").groupBy(F.coalesce("winner", "id").alias("id")).agg(F.min_by("name", "id").alias("name"), F.array_join(F.array_sort(F.collect_set("city")), ",").alias("cities"), F.max("confidence").alias("confidence")),
     "rewrite_links": lambda s, d: rewrite_links(view(s, d, "links_v"), _mapping(s, d)),
     "rewrite_edges": lambda s, d: rewrite_edges(view(s, d, "edges_v"), _mapping(s, d)),
     "noisy_or": lambda s, d: noisy_or(view(s, d, "edges_v").select("from_id", "to_id", F.struct("record_id", "line").alias("o"), (F.col("confidence") / 2).alias("confidence")), ["from_id", "to_id"], "o"),
     "edge_metadata": lambda s, d: view(s, d, "edges_v").groupBy("from_id", "to_id").agg(F.array_join(F.array_sort(F.collect_set("edge_type")), ",").alias("signals"), F.count("*").alias("reinforced")),
     "entity_confidence": lambda s, d: entity_confidence(view(s, d, "links_v")),
-    "merge_into_entity": lambda s, d: view(s, d, "links_v").groupBy("entity_id").agg(F.max(F.struct("confidence", "record_id"))["record_id"].alias("best_record"), F.round(F.max("confidence"), 6).alias("confidence"), (F.count_distinct("source_id") > 1).alias("conflict")),
     "upsert_edges": lambda s, d: upsert_edges(view(s, d, "edges_v").where("record_id % 3 <> 1"), view(s, d, "edges_v").where("record_id % 3 <> 0"), ["from_id", "to_id", "edge_type"]).withColumn("confidence", F.round("confidence", 6)),
     "duplicate_candidates": _duplicates,
     "merge_candidates": lambda s, d: merge_candidates(view(s, d, "vectors_v"), 0.3),
     "review_upsert": lambda s, d: review_upsert(view(s, d, "reviews_v").where("id % 3 <> 0"), view(s, d, "reviews_v").where("id % 2 = 0 or id % 3 = 0")),
     "review_decisions": lambda s, d: review_decisions(view(s, d, "reviews_v").select("id", "status"), view(s, d, "events").select(((F.col("event_id") % 90) * 10 + 1).alias("review_id"), "ts", "event_id", F.col("event_type").alias("decision"))),
-    "merge_artists": lambda s, d: merge_pairs(view(s, d, "records_v").where("id % 2 = 0").select(F.col("id").alias("l_id"), (F.col("id") + 1).alias("r_id")), view(s, d, "records_v")),
-    "rollback_merge": lambda s, d: rollback(view(s, d, "entities_v").where("id % 8 <> 1").select("id", "name"), view(s, d, "entities_v").where("id % 8 = 0").select(F.col("id").alias("kept"), F.struct("id", "name").alias("before_kept"), F.struct((F.col("id") + 1).alias("id"), F.concat("name", F.lit("*")).alias("name")).alias("before_removed"))),
-    "artist_payload_merge": lambda s, d: payload_merge(view(s, d, "records_v").select("source_id", "id", (F.col("record_type") == "artist").alias("is_bio"), F.col("title").alias("text"), F.col("nationality").alias("tag")), "source_id"),
     "conflict_resolve": lambda s, d: view(s, d, "records_v").where("has_conflicts").select("id", F.when(F.col("id") % 2 == 0, F.coalesce(F.nullif("city", F.lit("")), "source_id")).otherwise(F.col("source_id")).alias("city"), F.lit(False).alias("has_conflicts")),
     "review_artist": lambda s, d: view(s, d, "records_v").groupBy("source_id").agg(*[F.count_if(F.col("record_type") == t).alias(t) for t in ("artwork", "exhibition", "event")], F.count_if("has_conflicts").alias("conflicts")),
 }
 
 _MAP = "m as (select id, id - 1 as winner from entities_v where id % 5 = 1)"
-_NEAR = "n as (select a.id as l_id, b.id as r_id, a.city as l_city, b.city as r_city, a.nationality as l_nationality, b.nationality as r_nationality, a.confidence_score as l_c, b.confidence_score as r_c, a.completeness_score as l_k, b.completeness_score as r_k from records_v a join records_v b on b.id = a.id + 1 and a.id % 2 = 0)"
-
-
-def _take(v, c):
-    old, new, a, b = f"l_{v}", f"r_{v}", f"l_{c}", f"r_{c}"
-    return f"case when coalesce(trim({old}), '') in ('', '[]', '{{}}') then {new} when coalesce(trim({new}), '') in ('', '[]', '{{}}') or {old} = {new} then {old} when {a} >= 80 and {b} >= 80 then {old} when {b} > {a} then {new} else {old} end as {v}, coalesce({old} <> {new} and {a} >= 80 and {b} >= 80, false) as {v}_conflict"
 
 
 ORACLE = {k: with_views(v) for k, v in {
-    "merge_record": f"with {_NEAR} select l_id, r_id, {_take('city', 'c')}, {_take('nationality', 'k')} from n",
-    "merge_snapshot": f"with {_NEAR} select l_id, r_id, sha256(concat_ws('|', coalesce(l_city, '~'), coalesce(r_city, '~'), l_c, r_c)) as snapshot from n",
-    "merge_entity_data": f"with {_MAP} select coalesce(winner, e.id) as id, min_by(name, e.id) as name, string_agg(distinct city, ',' order by city) as cities, max(confidence) as confidence from entities_v e left join m on m.id = e.id group by 1",
     "rewrite_links": f"with {_MAP} select record_id, coalesce(winner, entity_id) as entity_id, max(confidence) as confidence from links_v l left join m on m.id = entity_id group by 1, 2",
     "rewrite_edges": f"with {_MAP}, x as (select coalesce(a.winner, from_id) as from_id, coalesce(b.winner, to_id) as to_id, edge_type, confidence from edges_v left join m a on a.id = from_id left join m b on b.id = to_id) select from_id, to_id, edge_type, round(max(confidence), 6) as confidence, count(*) as reinforced from x where from_id <> to_id group by 1, 2, 3",
     "noisy_or": "with g as (select from_id, to_id, list(confidence / 2 order by record_id, line) as c from edges_v group by 1, 2) select from_id, to_id, round(list_reduce(c, lambda e, x: greatest(e, least(1.0, 1 - (1 - e) * (1 - 0.85 * x)))), 6) as confidence, cast(len(c) as int) as signals from g",
@@ -325,7 +274,6 @@ ORACLE = {k: with_views(v) for k, v in {
         g as (select a as from_id, b as to_id, edge_type, list(c order by id) as c from x group by 1, 2, 3) select from_id, to_id, edge_type, round(list_reduce(c, lambda e, y: greatest(e, least(1.0, 1 - (1 - e) * (1 - 0.85 * y)))), 6) as confidence, cast(len(c) as int) as signals from g""",
     "edge_metadata": "select from_id, to_id, string_agg(distinct edge_type, ',' order by edge_type) as signals, count(*) as reinforced from edges_v group by 1, 2",
     "entity_confidence": "select entity_id, round(least(1.0, greatest(0.0, 0.35 * least(count(*), 20) / 20 + 0.45 * avg(confidence) + 0.2 * least(count(distinct source_id), 10) / 10)) + 1e-9, 4) as confidence from links_v group by 1",
-    "merge_into_entity": "select entity_id, arg_max(record_id, (confidence, record_id)) as best_record, round(max(confidence), 6) as confidence, count(distinct source_id) > 1 as conflict from links_v group by 1",
     "upsert_edges": "with a as (select from_id, to_id, edge_type, max(confidence) as c from edges_v where record_id % 3 <> 1 group by 1, 2, 3), b as (select from_id, to_id, edge_type, max(confidence) as c from edges_v where record_id % 3 <> 0 group by 1, 2, 3) select from_id, to_id, edge_type, round(greatest(a.c, b.c), 6) as confidence, a.c is null as is_new from a full join b using (from_id, to_id, edge_type)",
     "duplicate_candidates": """with e as (select p.id, city, year, entity_type, embedding, list_distinct(list_filter(regexp_split_to_array(lower(name), '[ \\t\\r\\n-]+'), lambda x: x <> '')) as w from entities_v p left join vectors_v v on v.id = p.id),
         j as (select a.id as l_id, b.id as r_id, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) as name, coalesce(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 0) as near, (a.city = b.city)::int as link,
@@ -336,9 +284,6 @@ ORACLE = {k: with_views(v) for k, v in {
     "merge_candidates": "select a.id as l_id, c.id as r_id, round(list_cosine_similarity(a.embedding::double[], c.embedding::double[]), 5) as score from vectors_v a join vectors_v c on a.id < c.id where round(list_cosine_similarity(a.embedding::double[], c.embedding::double[]), 5) >= 0.3",
     "review_upsert": "with a as (select least(left_id, right_id) as low, greatest(left_id, right_id) as high, max(score) as score, max(status) as status from reviews_v where id % 3 <> 0 group by 1, 2), b as (select least(left_id, right_id) as low, greatest(left_id, right_id) as high, max(score) as score from reviews_v where id % 2 = 0 or id % 3 = 0 group by 1, 2) select low, high, coalesce(b.score, a.score) as score, coalesce(status, 'pending') as status from a full join b using (low, high)",
     "review_decisions": "with e as (select (event_id % 90) * 10 + 1 as review_id, arg_max(event_type, (ts, event_id)) as decision from events group by 1) select id, coalesce(decision, status) as status from reviews_v left join e on review_id = id",
-    "merge_artists": "select a.id, b.id as removed, coalesce(nullif(a.city, ''), nullif(b.city, '')) as city, coalesce(nullif(a.url, ''), nullif(b.url, '')) as url, greatest(a.confidence_score, b.confidence_score) as confidence_score from records_v a join records_v b on b.id = a.id + 1 where a.id % 2 = 0",
-    "rollback_merge": "select id, name from entities_v where id % 8 <> 1 and id % 8 <> 0 union all select id, name from entities_v where id % 8 = 0 union all select id + 1, name || '*' from entities_v where id % 8 = 0",
-    "artist_payload_merge": "select source_id, arg_max(title, (record_type = 'artist', length(title), -id)) as text, count(distinct title) as versions, string_agg(distinct nationality, ',' order by nationality) as tags from records_v group by 1",
     "conflict_resolve": "select id, case when id % 2 = 0 then coalesce(nullif(city, ''), source_id) else source_id end as city, false as has_conflicts from records_v where has_conflicts",
     "review_artist": "select source_id, count_if(record_type = 'artwork') as artwork, count_if(record_type = 'exhibition') as exhibition, count_if(record_type = 'event') as event, count_if(has_conflicts) as conflicts from records_v group by 1",
 }.items()}

@@ -48,12 +48,6 @@ def test_content_change(spark):
     assert c(None, "b", None, "f", "m", "n") == "last_modified"
 
 
-def test_double_high_conflict_keeps_the_old_value(spark):
-    rows = spark.createDataFrame([(1, 2, "1980", 90, "1982", 92), (3, 4, "1980", 50, "1982", 92), (5, 6, None, 0, "1982", 1)], "l_id int, r_id int, l_year string, l_c int, r_year string, r_c int")
-    got = {r["l_id"]: (r["year"], r["year_conflict"]) for r in entities.merge_record(rows, [("year", "c")]).collect()}
-    assert got == {1: ("1980", True), 3: ("1982", False), 5: ("1982", False)}
-
-
 def test_frontier_order_is_priority_depth_age(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(1, "s", 5, 0, "queued", None, None, t), (2, "s", 80, 1, "queued", None, None, t), (3, "s", 80, 0, "queued", None, None, t)]
