@@ -184,14 +184,6 @@ def resolve(base: Column, href: Column) -> Column:
     )
 
 
-def page_role(url: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """(host, path pattern, role): the first rule for the host, or for any if its host is *."""
-    out = F.when(F.lit(False), "")
-    for site, pattern, role in rules:
-        out = out.when(path(url).rlike(pattern) if site == "*" else (host(url) == site) & path(url).rlike(pattern), role)
-    return out
-
-
 def profile_candidate(url: Column, reserved: tuple[str, ...]) -> Column:
     """One path part, without a dot, that is not reserved."""
     parts = F.filter(F.split(path(url), "/"), lambda x: x != "")

@@ -10,7 +10,6 @@ from loomscan.sources.views import view, with_views
 
 #: Rules beside the fixed ones, for the URLs of the test pages.
 PAGE_RULES = (*U.PAGE_TYPES, ("/[a-z]{2}/[0-9]+$", "detail"), (r"\.html$", "document"), ("/$", "listing"), (r"\?", "filtered"))
-ROLE_RULES = [("*", "^/en/", "english"), ("*", "^/de/", "german"), ("*", "^/[a-z]{2}/", "translated")]
 RESERVED = ("en", "login")
 
 
@@ -69,7 +68,6 @@ QUERIES = {
     "page_type_candidate": _pages("candidate", lambda: U.page_type_candidate(U.path_pattern(_url()))),
     "score_url": _pages("priority", lambda: U.score_url(_url())),
     "url_page_type": _pages("page_type", lambda: U.url_page_type(_url(), PAGE_RULES)),
-    "page_role": _pages("role", lambda: U.page_role(_url(), ROLE_RULES)),
     "profile_candidate": _pages("is_profile", lambda: U.profile_candidate(_url(), RESERVED)),
     "family_key": _pages("family", lambda: U.family_key(_url())),
     "captcha_flag": _pages("captcha", lambda: U.captcha_flag(F.col("html"))),
@@ -162,7 +160,6 @@ ORACLE = {k: with_views(v) for k, v in {
     "page_type_candidate": f"with p as (select page_id, {_PATTERN} as pattern from pages) select page_id, {_candidate('pattern')} as candidate from p",
     "score_url": f"select page_id, {_PRIORITY} as priority from pages",
     "url_page_type": f"select page_id, {_TYPE} as page_type from pages",
-    "page_role": f"select page_id, case {' '.join(f'''when regexp_matches({_PATH}, '{p}') then '{r}' ''' for _, p, r in ROLE_RULES)} end as role from pages",
     "profile_candidate": f"select page_id, len({_PARTS}) = 1 and not contains(lower({_PARTS}[1]), '.') and lower({_PARTS}[1]) not in {RESERVED} as is_profile from pages",
     "family_key": f"select page_id, case when {_PARTS}[1] is not null and not ends_with(lower({_PARTS}[1]), '.php') then lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) || '::' || lower({_PARTS}[1]) end as family from pages",
     "captcha_flag": "select page_id, regexp_matches(lower(html), 'captcha|cf-chl|cloudflare challenge|are you human') as captcha from pages",

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from loomscan.functions import urls as U
 from loomscan.sources.views import view, with_views
 
-RULES = [(0, "^/en/", "english", 4), (1, r"^/[a-z]{2}/[0-9]+$", "detail", 18), (2, r"\.html$", "document", 7), (3, "^/[a-z]{2}/", "translated", 11)]
-
 
 def uncrawled(records: DataFrame, pages: DataFrame) -> DataFrame:
     return records.where("url is not null").join(pages.select("url"), "url", "left_anti")
@@ -77,20 +75,6 @@ def mapping_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) ->
     return a.join(b, keys, "full_outer").select(*keys, kind.alias("change"))
 
 
-def first_rule(pages: DataFrame, rules: DataFrame, best: str) -> DataFrame:
-    """Each page with its best matching rule (max of the column best, then least rule), null if none matches."""
-    hits = pages.select("id", "path").join(rules, F.expr("path rlike pattern")).groupBy("id").agg(F.max_by("kind", F.struct(F.col(best), -F.col("rule"))).alias("kind"))
-    return pages.join(hits, "id", "left")
-
-
-def rule_table(spark) -> DataFrame:
-    return spark.createDataFrame(RULES, "rule int, pattern string, kind string, specificity int").withColumn("first", -F.col("rule"))
-
-
-def _rules(best):
-    return lambda s, d: first_rule(view(s, d, "pages_v"), rule_table(s), best).select("id", F.coalesce("kind", F.lit("unknown")).alias("kind"))
-
-
 def _images(p):
     return p.select((F.col("id") % 40).alias("record_id"), F.col("id").alias("image_id"), F.col("url").alias("image_url"))
 
@@ -112,17 +96,9 @@ QUERIES = {
     "family_pages": lambda s, d: family_pages(view(s, d, "pages_v"), s.createDataFrame([("en",), ("de",)], "slug string")).select("id", "slug"),
     "family_lookup": lambda s, d: view(s, d, "log_v").select("id", F.get_json_object("context", "$.k").cast("bigint").alias("key")).join(view(s, d, "entities_v").select(F.col("id").alias("key"), "name"), "key").select("id", "key", "name"),
     "mapping_diff": lambda s, d: mapping_diff(view(s, d, "entities_v").where("id % 5 <> 0").select("id", "entity_type", "city", "name"), view(s, d, "entities_v").where("id % 7 <> 0 or id % 5 = 0").select("id", "entity_type", "city", F.when(F.col("id") % 3 == 0, "x").otherwise(F.col("name")).alias("name")), ["id", "entity_type", "city"], "name").groupBy("change").agg(F.count("*").alias("n")),
-    "structure_classify": _rules("first"),
-    "rule_classify": _rules("specificity"),
-    "record_type_resolve": lambda s, d: view(s, d, "records_v").join(s.createDataFrame([("artist", "person"), ("venue", "place")], "record_type string, mapped string"), "record_type", "left").select("id", F.coalesce("mapped", F.when(F.col("record_type") != "organization", F.col("record_type")), F.lit("unknown")).alias("kind")),
 }
 
 
-def _first(order):
-    hits = " union all ".join(f"select id, {r} as rule, '{k}' as kind, {n} as specificity from pages_v where regexp_matches(path, '{p}')" for r, p, k, n in RULES)
-    return f"with h as ({hits}), b as (select id, kind, row_number() over (partition by id order by {order}) as n from h) select p.id, coalesce(b.kind, 'unknown') as kind from pages_v p left join b on b.id = p.id and n = 1"
-
-
 ORACLE = {k: with_views(v) for k, v in {
     "find_uncrawled_urls": "select id, url from records_v r where url is not null and not exists (select 1 from pages_v p where p.url = r.url)",
     "records_for_entity": "select r.id, entity_id, updated_at from links_v l join records_v r on l.record_id % 900 = r.id where entity_id = 5",
@@ -136,7 +112,4 @@ ORACLE = {k: with_views(v) for k, v in {
     "family_pages": "select id, slug from pages_v, (values ('en'), ('de')) s(slug) where contains(path || '/', '/' || slug || '/')",
     "family_lookup": "with l as (select id, cast(context->>'$.k' as bigint) as key from log_v) select l.id, key, name from l join entities_v e on e.id = key",
     "mapping_diff": "with a as (select id, name from entities_v where id % 5 <> 0), b as (select id, case when id % 3 = 0 then 'x' else name end as name from entities_v where id % 7 <> 0 or id % 5 = 0) select case when a.id is null then 'added' when b.id is null then 'removed' when a.name is not distinct from b.name then 'unchanged' else 'changed' end as change, count(*) as n from a full join b on a.id = b.id group by 1",
-    "structure_classify": _first("rule"),
-    "rule_classify": _first("specificity desc, rule"),
-    "record_type_resolve": "select id, case record_type when 'artist' then 'person' when 'venue' then 'place' when 'organization' then 'unknown' else record_type end as kind from records_v",
 }.items()}
