@@ -40,33 +40,38 @@ _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _KEPT = 1 << 20
 
 
+@cache
+def _vocabulary(path: str) -> tuple[list[str], dict[tuple[bytes, bytes], int], dict[int, int], dict[int, bytes], int]:
+    """(special strings, ranks of merges, prefix tree, tokens by node, longest token) of a vocabulary file, read once a worker."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = _byte_letters()
+    to_bytes = {c: bytes([b]) for b, c in letters.items()}
+    rank: dict[tuple[bytes, bytes], int] = {}
+    words = {bytes([b]) for b in range(256)}
+    for i, pair in enumerate(spec["model"]["merges"]):
+        a, b = (b"".join(to_bytes[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
+        rank[a, b] = i
+        words.add(a + b)
+    child: dict[int, int] = {}
+    token: dict[int, bytes] = {}
+    nodes = 1
+    for word in sorted(words):  # nodes have the same numbers in every task
+        at = 0
+        for b in word:
+            key = at << 8 | b
+            if key not in child:
+                child[key], nodes = nodes, nodes + 1
+            at = child[key]
+        token[at] = word
+    return [x["content"] for x in spec["added_tokens"]], rank, child, token, max(map(len, words))
+
+
 class Transducer:
     """Byte transducer of a byte-level vocabulary file; count(pretoken bytes) is the number of its tokens."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters = _byte_letters()
-        to_bytes = {c: bytes([b]) for b, c in letters.items()}
-        self.specials = [x["content"] for x in spec["added_tokens"]]
-        self.rank: dict[tuple[bytes, bytes], int] = {}
-        vocabulary = {bytes([b]) for b in range(256)}
-        for i, pair in enumerate(spec["model"]["merges"]):
-            a, b = (b"".join(to_bytes[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.rank[a, b] = i
-            vocabulary.add(a + b)
-        self.child: dict[int, int] = {}
-        self.token: dict[int, bytes] = {}
-        nodes = 1
-        self.longest = max(map(len, vocabulary))
-        for word in sorted(vocabulary):  # nodes have the same numbers in every task
-            at = 0
-            for b in word:
-                key = at << 8 | b
-                if key not in self.child:
-                    self.child[key], nodes = nodes, nodes + 1
-                at = self.child[key]
-            self.token[at] = word
+        self.specials, self.rank, self.child, self.token, self.longest = _vocabulary(path)
         self.reset()
 
     def reset(self) -> None:
