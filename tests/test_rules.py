@@ -94,7 +94,7 @@ def test_html_nodes_of_unclosed_tags(spark):
     html = "<div class='a b'><p><b>one<p>two</div><img data-src='x.png'>"
     got = [r for r in page_nodes(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("node").collect()]
     assert [r["tag"] for r in got] == ["div", "p", "b", "#text", "p", "#text", "img"] and got[0]["classes"] == ["a", "b"] and got[6]["attrs"] == {"data-src": "x.png"}
-    assert [r["last"] for r in got] == [5, 3, 3, 3, 5, 5, 6] and [r["parent"] for r in got] == [None, 0, 1, 2, 0, 4, None]
+    assert [r["last"] for r in got] == [5, 5, 5, 3, 5, 5, 6] and [r["parent"] for r in got] == [None, 0, 1, 2, 2, 4, None]
 
 
 def test_html_text_after_the_last_tag_stays(spark):
