@@ -6,8 +6,9 @@ from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 #: Elements whose text is no text of the page.
@@ -16,6 +17,9 @@ SILENT = frozenset(("script", "style", "template"))
 ENDS = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",), "div": ("p",), "ul": ("p",), "h1": ("p",), "h2": ("p",)}
 SCHEMA = "page_id long, node int, last int, parent int, depth int, place int, siblings int, of_type int, alike int, tag string, element_id string, classes array<string>, attrs map<string,string>, text string"
 TEXT = "#text"
+#: Rows of a batch on their way to Spark, at least; a batch ends with a page.
+BATCH_ROWS = 1 << 14
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
 
 class Nodes(HTMLParser):
@@ -25,7 +29,9 @@ class Nodes(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.names: Counter = Counter()
         self.inside: dict[int | None, Counter] = {}
+        self.pieces: dict[int, list[str]] = {}
 
     def _add(self, tag: str, attrs: dict[str, str], text: str) -> int:
         node, parent = len(self.rows), self.open[-1] if self.open else None
@@ -33,48 +39,57 @@ class Nodes(HTMLParser):
         if tag != TEXT:
             count = self.inside.setdefault(parent, Counter())
             count[tag] += 1
-            row |= {"place": count.total(), "of_type": count[tag]}
+            count[TEXT] += 1  # all elements of the parent
+            row |= {"place": count[TEXT], "of_type": count[tag]}
         self.rows.append(row)
         return node
 
+    def _shut(self) -> str:
+        """Closes the innermost open element and tells its tag."""
+        tag = self.rows[self.open.pop()]["tag"]
+        self.names[tag] -= 1
+        return tag
+
     def handle_starttag(self, tag, attrs):
         ends = ENDS.get(tag, ())
         while self.open and self.rows[self.open[-1]]["tag"] in ends:
-            self.open.pop()
+            self._shut()
         own: dict[str, str] = {}
         for k, v in attrs:
             own.setdefault(k, v or "")
         node = self._add(tag, own, "")
         if tag not in VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._shut()
 
     def handle_endtag(self, tag):
-        names = [self.rows[i]["tag"] for i in self.open]
-        if tag in names:
-            del self.open[len(names) - 1 - names[::-1].index(tag) :]
+        if self.names[tag]:
+            while self._shut() != tag:
+                pass
 
     def handle_data(self, data):
         if text := data.strip():
             if self.open:
-                own = self.rows[self.open[-1]]
-                own["text"] = f"{own['text']} {text}".strip()
+                self.pieces.setdefault(self.open[-1], []).append(text)
             if not (self.open and self.rows[self.open[-1]]["tag"] in SILENT):
                 self._add(TEXT, {}, text)
 
     def close(self):
         super().close()
+        for node, pieces in self.pieces.items():
+            self.rows[node]["text"] = " ".join(pieces)
         for row in reversed(self.rows):
             if row["parent"] is not None:
                 above = self.rows[row["parent"]]
                 above["last"] = max(above["last"], row["last"])
             if row["tag"] != TEXT:
                 count = self.inside[row["parent"]]
-                row |= {"siblings": count.total(), "alike": count[row["tag"]]}
+                row |= {"siblings": count[TEXT], "alike": count[row["tag"]]}
 
 
 def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -83,19 +98,25 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     node, last, parent and depth give the place in the tree; place of siblings and of_type of alike count elements of one parent, all and of one tag, from 1.
     text is an element's own text, without that of what is inside it, or the text of a #text row. Texts of scripts, styles and templates have no row.
     """
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    columns = [x.split() for x in SCHEMA.split(", ")]
+
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        held = [pa.array([list(r[c].items()) for r in rows] if t.startswith("map") else [r[c] for r in rows], _TYPES[t]) for c, t in columns]
+        return pa.RecordBatch.from_arrays(held, names=[c for c, _ in columns])
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for part in parts:
-            out = []
-            for page, html in zip(part.iloc[:, 0], part.iloc[:, 1], strict=True):
+            for page, html in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 parser = Nodes()
-                parser.feed(html or "")
+                parser.feed(html.as_py() or "")
                 parser.close()
-                out += [{"page_id": page, **r} for r in parser.rows]
-            frame = pd.DataFrame(out, columns=names)
-            for c in ("parent", "place", "siblings", "of_type", "alike"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame
-
-    return pages.select(id_col, html_col).mapInPandas(work, SCHEMA)
+                for r in parser.rows:
+                    r["page_id"] = page
+                rows += parser.rows
+                if len(rows) >= BATCH_ROWS:
+                    yield batch(rows)
+                    rows = []
+        yield batch(rows)
+
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(work, SCHEMA)

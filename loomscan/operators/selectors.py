@@ -1,9 +1,9 @@
 """CSS selectors over page nodes as structural joins, and the extractions that stand on them.
 
 A selector is compiled to steps, rows of a table; all rules' steps meet the nodes in one equi-join on id, class or tag. The
-steps are then tied together one by one. Nodes are numbered in document order and know the last number inside them, so their
-intervals nest or are apart: a node is inside one of the nodes found so far if the greatest end among those before it
-reaches it. That is a running maximum over a page's matches, not a join of all pairs.
+steps are then tied together one by one, on one shuffle by rule and page: nodes are numbered in document order and know the last
+number inside them, so their intervals nest or are apart, and a node is inside one of those found so far if the greatest end
+among those before it reaches it. Children and siblings are windows on the parent. No pairs are formed.
 """
 
 from __future__ import annotations
@@ -116,43 +116,52 @@ def _fits() -> Column:
     return tag & (F.col("s.element_id").isNull() | F.col("n.element_id").eqNullSafe(F.col("s.element_id"))) & (F.size(F.array_except("s.classes", "n.classes")) == 0) & F.forall("s.attrs", attr) & F.forall("s.nth", nth)
 
 
-def select_nodes(nodes: DataFrame, rules: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
-    """(on, rule, page_id, node, last): the elements that each rule (rule, selector) selects, once each.
+def select_nodes(nodes: DataFrame, rules: DataFrame, on: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(on, rule, page_id, node, last, carry): the elements that each rule (rule, selector) selects, once each.
 
-    on: columns that nodes and rules must share, such as a page type. Selectors may use tags, #id, .class, attributes with all six comparisons, the nth- pseudo-classes,
+    on: columns that nodes and rules must share, such as a page type; carry: columns of the nodes to return (parent and place aside). Selectors may use tags, #id, .class, attributes with all six comparisons, the nth- pseudo-classes,
     blanks, >, + and ~, and commas; a rule whose selector is none of these selects nothing.
     """
-    steps = rules.select(*on, "rule", F.explode(F.udf(compiled, STEPS, useArrow=False)("selector")).alias("s")).select(*on, "rule", "s.*")
-    most = steps.agg(F.max("steps")).first()[0] or 0
+    # written, so that its size is known and decides how it meets the nodes
+    steps = materialize(rules.select(*on, "rule", F.explode(F.udf(compiled, STEPS, useArrow=False)("selector")).alias("s")).select(*on, "rule", "s.*"), "steps")
+    used = {r["step"]: r["then"] for r in steps.groupBy("step").agg(F.collect_set("then").alias("then")).collect()}  # a row for each place in a selector
     keys = F.concat(F.array("tag", F.lit("*")), F.transform("classes", lambda c: F.concat(F.lit("."), c)), F.when(F.col("element_id").isNotNull(), F.array(F.concat(F.lit("#"), F.col("element_id")))).otherwise(F.array().cast("array<string>")))
     n = nodes.where(F.col("tag") != TEXT).withColumn("key", F.explode(F.array_distinct(keys))).alias("n")
     meet = functools.reduce(Column.__and__, [F.col(f"n.{c}") == F.col(f"s.{c}") for c in (*on, "key")])
-    hits = n.join(steps.alias("s"), meet).where(_fits()).select(*[F.col(f"n.{c}") for c in on], "s.rule", "s.alt", "s.step", "s.steps", "s.then", "n.page_id", "n.node", "n.last", F.coalesce("n.parent", F.lit(-1)).alias("parent"), "n.place")
+    rows = n.join(steps.alias("s"), meet).where(_fits()).select(*[F.col(f"n.{c}") for c in on], "s.rule", "s.alt", "s.step", "s.steps", "s.then", "n.page_id", "n.node", "n.last", F.coalesce("n.parent", F.lit(-1)).alias("parent"), "n.place", *[F.col(f"n.{c}").alias(f"_{c}") for c in carry])
     chain = [*on, "rule", "alt", "page_id"]
-    hits = materialize(hits, "selected")
-    found, done = hits.where("step = 0"), []
-    for k in range(1, most):
-        done.append(found.where(F.col("steps") == k))
-        new = hits.where(F.col("step") == k)
-        w = Window.partitionBy(*chain).orderBy("node", "side").rowsBetween(Window.unboundedPreceding, -1)
-        before = found.select(*chain, "node", F.col("last").alias("reach"), F.lit(1).alias("side"))
-        inside = new.where("then = ' '").withColumn("side", F.lit(0)).unionByName(before, allowMissingColumns=True).withColumn("reached", F.max("reach").over(w))
-        parts = [inside.where("side = 0 and reached >= node").drop("side", "reach", "reached")]
-        parts.append(new.where("then = '>'").join(found.select(*chain, F.col("node").alias("parent")).distinct(), [*chain, "parent"], "left_semi"))
-        parts.append(new.where("then = '+'").join(found.select(*chain, "parent", (F.col("place") + 1).alias("place")).distinct(), [*chain, "parent", "place"], "left_semi"))
-        first = found.groupBy(*chain, "parent").agg(F.min("place").alias("first"))
-        parts.append(new.where("then = '~'").join(first, [*chain, "parent"]).where("place > first").drop("first"))
-        found = functools.reduce(DataFrame.unionByName, parts)
-    done.append(found.where(F.col("steps") == most))
-    return functools.reduce(DataFrame.unionByName, done).select(*on, "rule", "page_id", "node", "last").distinct()
+    if len(used) > 1:
+        rows = rows.repartition(*chain)  # all windows below stand on this one shuffle
+    for k in range(1, len(used)):
+        before, then, holds = F.col("step") == k - 1, F.col("then"), F.lit(False)
+        if " " in used[k]:
+            w = Window.partitionBy(*chain).orderBy("node", F.when(before, 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, -1)
+            rows = rows.withColumn("_reach", F.max(F.when(before, F.col("last"))).over(w))
+            holds |= (then == " ") & (F.col("_reach") >= F.col("node"))
+        if ">" in used[k]:
+            rows = rows.withColumn("_up", F.when(before, F.col("node")).otherwise(F.col("parent")))
+            rows = rows.withColumn("_child", F.max(before).over(Window.partitionBy(*chain, "_up")))
+            holds |= (then == ">") & F.col("_child")
+        if {"+", "~"} & set(used[k]):
+            w = Window.partitionBy(*chain, "parent").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+            rows = rows.withColumn("_prior", F.max(F.when(before, F.col("place"))).over(w))
+            holds |= ((then == "+") & (F.col("_prior") == F.col("place") - 1)) | ((then == "~") & F.col("_prior").isNotNull())
+        # rows of this step stay where they are tied to the step before, whose rows then go unless they end their selector
+        rows = rows.where(F.when(F.col("step") == k, F.coalesce(holds, F.lit(False))).otherwise(~before | (F.col("steps") == k))).drop("_reach", "_up", "_child", "_prior")
+    ends = rows.where("step = steps - 1").select(*on, "rule", "page_id", "node", "last", *[F.col(f"_{c}").alias(c) for c in carry])
+    return ends.dropDuplicates([*on, "rule", "page_id", "node"])  # alternatives of a rule may select one element
+
+
+def page_texts(nodes: DataFrame) -> DataFrame:
+    """(page_id, texts): all texts of a page (at, piece) in document order; pages without any are left out."""
+    return nodes.where(F.col("tag") == TEXT).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("at"), F.col("text").alias("piece")))).alias("texts"))
 
 
 def with_text(hits: DataFrame, nodes: DataFrame, joined: str = " ") -> DataFrame:
-    """hits (page_id, node, last and more, each once) with text: all texts inside, in order; empty without any."""
-    texts = nodes.where(F.col("tag") == TEXT).select("page_id", F.col("node").alias("at"), F.col("text").alias("piece"))
-    spans = hits.select("page_id", "node", "last").distinct()
-    inside = spans.join(texts, "page_id").where("at between node and last").groupBy("page_id", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), joined).alias("text"))
-    return hits.join(inside, ["page_id", "node"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """hits (page_id, node, last and more) with text: all texts inside, in order; empty without any."""
+    inside = F.filter("texts", lambda x: x["at"].between(F.col("node"), F.col("last")))
+    text = F.array_join(F.transform(inside, lambda x: x["piece"]), joined)
+    return hits.join(page_texts(nodes), "page_id", "left").withColumn("text", F.coalesce(text, F.lit(""))).drop("texts")
 
 
 def _first_attr(attrs: Column, names: tuple[str, ...], base: Column) -> Column:
@@ -178,8 +187,7 @@ def field_value(field: Column, tag: Column, attrs: Column, text: Column, base: C
 
 def values_of(pages: DataFrame, nodes: DataFrame, rules: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, field, values): what the rules (field, selector) select on each page (page_id, url), in document order; fields without a value are left out."""
-    hits = with_text(select_nodes(nodes, rules.withColumnRenamed("field", "rule"), on), nodes)
-    full = hits.join(nodes.select("page_id", "node", "tag", "attrs"), ["page_id", "node"]).join(pages.select("page_id", "url"), "page_id")
+    full = with_text(select_nodes(nodes, rules.withColumnRenamed("field", "rule"), on, ("tag", "attrs")), nodes).join(pages.select("page_id", "url"), "page_id")
     told = full.select("page_id", F.col("rule").alias("field"), "node", field_value(F.col("rule"), F.col("tag"), F.col("attrs"), F.col("text"), F.col("url")).alias("value")).where("value is not null")
     return told.groupBy("page_id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "value"))), lambda x: x["value"]).alias("values"))
 
@@ -189,7 +197,7 @@ def selector_extract(pages: DataFrame, nodes: DataFrame, rules: DataFrame, patte
 
     patterns (field, regular expression) are searched in the whole text of the page, case aside; the first group is the value, or all that matches where there is none.
     """
-    whole = nodes.where(F.col("tag") == TEXT).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "\n").alias("whole"))
+    whole = page_texts(nodes).select("page_id", F.array_join(F.transform("texts", lambda x: x["piece"]), "\n").alias("whole"))
     rows = pages.select("page_id", *on).join(whole, "page_id", "left")
     for k, (_, p) in enumerate(patterns):
         group = int(re.compile(p).groups > 0)
@@ -221,8 +229,7 @@ def follow_links(pages: DataFrame, nodes: DataFrame, rules: DataFrame, seen: Dat
     every = rules.select("page_type", "selector").unionByName(plain).withColumn("rule", F.col("selector"))
     open_pages = pages.join(rules.groupBy("page_type").agg(F.max("max_depth").alias("max_depth")), "page_type", "left").where(F.col("depth") < F.coalesce("max_depth", F.lit(1)))
     typed = nodes.join(open_pages.select("page_id", "page_type"), "page_id")
-    hits = select_nodes(typed, every, ("page_type",)).select("page_id", "node").distinct()
-    href = hits.join(nodes.select("page_id", "node", F.trim(F.element_at("attrs", "href")).alias("href")), ["page_id", "node"]).where("href <> '' and not startswith(href, '#') and not startswith(href, 'javascript:')")
+    href = select_nodes(typed, every, ("page_type",), ("attrs",)).select("page_id", F.trim(F.element_at("attrs", "href")).alias("href")).where("href <> '' and not startswith(href, '#') and not startswith(href, 'javascript:')")
     place = lambda u: F.regexp_extract(u, "^[A-Za-z]+://([^/?#]*)", 1)
     out = href.join(pages.select("page_id", "url", "depth"), "page_id").withColumn("target", U.resolve(F.col("url"), F.col("href"))).where(place(F.col("target")) == place(F.col("url")))
     out = out.select("page_id", "target", (F.col("depth") + 1).alias("depth")).distinct()
@@ -232,8 +239,7 @@ def follow_links(pages: DataFrame, nodes: DataFrame, rules: DataFrame, seen: Dat
 def asset_urls(pages: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, asset): of what the page type's rules (page_type, selector) select, the first of src, data-src and href that holds no data, absolute and without fragment, once a page."""
     typed = nodes.join(pages.select("page_id", "page_type"), "page_id")
-    hits = select_nodes(typed, rules.withColumn("rule", F.col("selector")), ("page_type",)).select("page_id", "node").distinct()
-    full = hits.join(nodes.select("page_id", "node", "attrs"), ["page_id", "node"]).join(pages.select("page_id", "url"), "page_id")
+    full = select_nodes(typed, rules.withColumn("rule", F.col("selector")), ("page_type",), ("attrs",)).join(pages.select("page_id", "url"), "page_id")
     at = lambda n: F.when(~F.trim(F.element_at("attrs", n)).startswith("data:"), F.nullif(F.trim(F.element_at("attrs", n)), F.lit("")))
     value = F.coalesce(at("src"), at("data-src"), at("href"))
     asset = F.when(value.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.regexp_replace(value, "#.*$", "")).otherwise(U.resolve(F.col("url"), value))
