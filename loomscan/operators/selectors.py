@@ -164,32 +164,33 @@ def with_text(hits: DataFrame, nodes: DataFrame, joined: str = " ") -> DataFrame
     return hits.join(page_texts(nodes), "page_id", "left").withColumn("text", F.coalesce(text, F.lit(""))).drop("texts")
 
 
-def _first_attr(attrs: Column, names: tuple[str, ...], base: Column) -> Column:
-    """The first of these attributes that holds an address, as an absolute one."""
-    def address(c: Column) -> Column:
-        v = F.trim(c)
-        return F.when((v == "") | v.startswith("#") | F.lower(v).startswith("javascript:"), None).when(v.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), v).otherwise(U.resolve(base, v))
-
-    return F.coalesce(*[address(F.element_at(attrs, n)) for n in names])
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def field_value(field: Column, tag: Column, attrs: Column, text: Column, base: Column) -> Column:
-    """What a field takes from an element: an address of mail, a URL from its attributes, or its text; null if there is nothing."""
+    """What a field takes from an element: an address of mail, a URL from its attributes, or its text; null if there is nothing.
+
+    The attribute is chosen first and made absolute once, as that is a large expression.
+    """
     f, content = F.lower(F.trim(field)), F.nullif(F.trim(text), F.lit(""))
-    image = f.rlike("avatar|image|photo|logo")
+    email, image = F.contains(f, F.lit("email")), f.rlike("avatar|image|photo|logo")
     url = f.endswith("_url") | f.rlike("website|canonical|link")
-    picture, other = ("src", "data-src", "data-original", "href"), ("href", "src", "content")
-    taken = F.when(tag == "meta", _first_attr(attrs, ("content", "href", "src"), base)).when(tag == "link", _first_attr(attrs, ("href", "content"), base)).when((tag == "img") | image, _first_attr(attrs, picture, base)).otherwise(_first_attr(attrs, other, base))
+    held = F.when(email, F.array(F.lit("href"))).when(tag == "meta", F.array(*map(F.lit, ("content", "href", "src")))).when(tag == "link", F.array(*map(F.lit, ("href", "content"))))
+    held = held.when((tag == "img") | image, F.array(*map(F.lit, ("src", "data-src", "data-original", "href")))).otherwise(F.array(*map(F.lit, ("href", "src", "content"))))
+    usable = lambda v: (v != "") & ~v.startswith("#") & ~F.lower(v).startswith("javascript:") & (base.isNotNull() | v.rlike(SCHEME))
+    raw = F.get(F.filter(F.transform(held, lambda n: F.trim(F.element_at(attrs, n))), usable), 0)
+    taken = F.when(raw.rlike(SCHEME), raw).otherwise(U.resolve(base, raw))
     href = F.nullif(F.trim(F.element_at(attrs, "href")), F.lit(""))
-    mail = F.coalesce(U.normalize_email(href), _first_attr(attrs, ("href",), base))
-    return F.when(F.contains(f, F.lit("email")), F.when(href.isNotNull(), mail).otherwise(F.coalesce(U.normalize_email(content), content))).when(image | url, F.coalesce(taken, content)).otherwise(content)
+    plain = F.when(email, F.coalesce(U.normalize_email(content), content)).otherwise(content)
+    return F.when((email & href.isNotNull()) | (~email & (image | url)), F.coalesce(F.when(email, U.normalize_email(href)), taken, F.when(~email, content))).otherwise(plain)
 
 
 def values_of(pages: DataFrame, nodes: DataFrame, rules: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, field, values): what the rules (field, selector) select on each page (page_id, url), in document order; fields without a value are left out."""
     full = with_text(select_nodes(nodes, rules.withColumnRenamed("field", "rule"), on, ("tag", "attrs")), nodes).join(pages.select("page_id", "url"), "page_id")
-    told = full.select("page_id", F.col("rule").alias("field"), "node", field_value(F.col("rule"), F.col("tag"), F.col("attrs"), F.col("text"), F.col("url")).alias("value")).where("value is not null")
-    return told.groupBy("page_id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "value"))), lambda x: x["value"]).alias("values"))
+    told = full.select("page_id", F.col("rule").alias("field"), "node", field_value(F.col("rule"), F.col("tag"), F.col("attrs"), F.col("text"), F.col("url")).alias("value"))
+    held = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("node", "value")))  # a filter on the value would compute it twice
+    return told.groupBy("page_id", "field").agg(F.transform(F.array_sort(held), lambda x: x["value"]).alias("values")).where(F.size("values") > 0)
 
 
 def selector_extract(pages: DataFrame, nodes: DataFrame, rules: DataFrame, patterns: tuple[tuple[str, str], ...] = (), on: tuple[str, ...] = ()) -> DataFrame:
