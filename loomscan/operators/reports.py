@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,15 +85,17 @@ def platform_metrics(records: DataFrame, pages: DataFrame, reviews: DataFrame, a
 
 def metrics_history(records: DataFrame, reviews: DataFrame, crawls: DataFrame, merges: DataFrame, first: str, last: str) -> DataFrame:
     """A row for each day: records created (by created_at), mean completeness (by updated_at), reviews, merges, share of crawls that ended well; 0 where a day has none."""
-    good = F.count_if(F.col("status").isin("done", "completed"))
-    parts = [
-        daily(records, "created_at", first, last, records_created=F.count("*")), daily(records, "updated_at", first, last, mean_completeness=F.round(F.avg("completeness_score"), 2)),
-        daily(reviews, "created_at", first, last, duplicates=F.count("*")), daily(merges, "created_at", first, last, merges=F.count("*")), daily(crawls, "created_at", first, last, crawl_success=ratio(good, F.count("*"))),
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.join(x, "day")
-    return out
+    def told(df: DataFrame, ts: str, kind: str, value: Column = F.lit(None)) -> DataFrame:
+        return df.select(F.col(ts).alias("ts"), F.lit(kind).alias("kind"), value.cast("double").alias("value"))
+
+    ended_well = F.col("status").isin("done", "completed").cast("int")
+    parts = [told(records, "created_at", "created"), told(records, "updated_at", "updated", F.col("completeness_score")), told(reviews, "created_at", "review"), told(merges, "created_at", "merge"), told(crawls, "created_at", "crawl", F.coalesce(ended_well, F.lit(0)))]
+    of = lambda kind: F.col("kind") == kind
+    # all tables meet in one partial aggregate by day, instead of a join for each measure
+    return daily(
+        functools.reduce(DataFrame.unionByName, parts), "ts", first, last, records_created=F.count_if(of("created")), mean_completeness=F.round(F.avg(F.when(of("updated"), F.col("value"))), 2),
+        duplicates=F.count_if(of("review")), merges=F.count_if(of("merge")), crawl_success=ratio(F.sum(F.when(of("crawl"), F.col("value"))), F.count_if(of("crawl"))),
+    )
 
 
 def filtered_counts(tables: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
