@@ -290,7 +290,7 @@ class Plan:
 
 
 def _sketches(shingle: int):
-    """Distinct texts to (key, n, fp, zones): shingles, the first fingerprint word, and the others that zones take their bits from."""
+    """Named texts to (a, b, n, fp, zones): shingles, the first fingerprint word, and the others that zones take their bits from."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +301,7 @@ def _sketches(shingle: int):
                 prints.append(wide_fingerprint(own))
             prints = np.array(prints, np.uint64).reshape(-1, WORDS)
             rest = [r.tobytes() for r in prints[:, 1:]]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int32()), pa.array(prints[:, 0].copy().view(np.int64)), pa.array(rest, pa.binary())], names=["key", "n", "fp", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int32()), pa.array(prints[:, 0].copy().view(np.int64)), pa.array(rest, pa.binary())], names=["a", "b", "n", "fp", "rest"])
 
     return work
 
@@ -390,7 +390,9 @@ def _verified(similarity: float):
 
 
 def near_copies(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, miss: float = MISS, cell_limit: int = CELL_LIMIT, block_texts: int = BLOCK_TEXTS) -> DataFrame:
-    """(key, component): for each distinct text, named by its 64-bit hash, the least name reachable by links of at least that Jaccard similarity.
+    """(a, b, component): for each distinct text, named by the 128 bits of `text_key`, the least number reachable by links of at least that Jaccard similarity.
+
+    Distinct texts are numbered once they are written; the numbers differ from run to run, the groups don't.
 
     Words are lower-cased runs between blanks; null and empty texts are one text. Wide SimHash fingerprints meet in the
     grid cells of random zones of segments and are joined within a radius; what they join are loose groups, in which the
@@ -399,16 +401,16 @@ def near_copies(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
     of close copies costs one comparison a text and no pair is left out. A pair at exactly the similarity is missed by the
     cells with probability `miss`, closer ones much less often.
     """
-    keyed = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(text_key(F.col("text")).alias("key"), "text")
-    # copies collapse here; the text that stays for a key is any of equal ones
-    sketch = materialize(keyed.mapInArrow(_sketches(shingle), "key long, n int, fp long, rest binary").dropDuplicates(["key"]), "near-copies")
+    named = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(text_key(F.col("text")).alias("name"), "text").select("name.*", "text")
+    # copies collapse here; a number is unique whichever attempt of a task wrote it, and read from the table ever after
+    sketch = materialize(named.mapInArrow(_sketches(shingle), "a long, b long, n int, fp long, rest binary").dropDuplicates(["a", "b"]).withColumn("key", F.monotonically_increasing_id()), "near-copies")
     plan = Plan.of(sketch.count(), similarity, miss)
     cells = sketch.where("n > 0").mapInArrow(_zone_cells(plan), "cell long, fp long, node long")
     links = materialize(_link_cells(cells, plan.radius, cell_limit), "near-copies-loose")
     loose = materialize(connected_components(links).withColumnRenamed("node", "key").join(sketch.select("key", "n"), "key"), "near-copies-groups")
     size = loose.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
     large = size.where((F.col("texts") > block_texts) | (F.col("shingles") > BLOCK_SHINGLES)).select("component")
-    sets = materialize(keyed.join(loose.select("key"), "key", "left_semi").mapInArrow(_shingle_rows(shingle), "key long, own array<long>").dropDuplicates(["key"]), "near-copies-sets")
+    sets = materialize(named.join(sketch.select("a", "b", "key").join(loose.select("key"), "key", "left_semi"), ["a", "b"]).select("key", "text").mapInArrow(_shingle_rows(shingle), "key long, own array<long>").dropDuplicates(["key"]), "near-copies-sets")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def judged(rows: DataFrame) -> DataFrame:
@@ -429,7 +431,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
         rest = materialize(judged(_block_pairs(within, block_texts)), "near-copies-rest")
         found = found.unionByName(first).unionByName(rest)
     joined = connected_components(found).withColumnRenamed("node", "key")
-    return sketch.select("key").join(joined, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
+    return sketch.select("a", "b", "key").join(joined, "key", "left").select("a", "b", F.coalesce("component", "key").alias("component"))
 
 
 def _block_pairs(within: DataFrame, block_texts: int) -> DataFrame:
@@ -452,8 +454,8 @@ def _block_pairs(within: DataFrame, block_texts: int) -> DataFrame:
 
 
 def text_key(text: F.Column) -> F.Column:
-    """The 64-bit name of a text."""
-    return F.xxhash64(text)
+    """The name of a text, two hashes of 64 bits."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -462,11 +464,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     The least id stays, one without an id only if no document of the group has one; of texts under one id that of least name
     stays. Rows that repeat both id and text stay or go together.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"))
-    rows = named.join(near_copies(docs, text_col, shingle, similarity), "key")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("name")).select("doc_id", "name.*")
+    rows = named.join(near_copies(docs, text_col, shingle, similarity), ["a", "b"])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
     best = rows.groupBy("component").agg(F.min(order).alias("best"))
     judged = rows.join(best, "component").where(~(order == F.col("best")))
-    doomed = judged.select(F.col("doc_id").alias("__drop_id"), F.col("key").alias("__drop_key")).distinct()
+    doomed = judged.select(F.col("doc_id").alias("__drop_id"), F.struct("a", "b").alias("__drop_key")).distinct()
     same = (text_key(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("__drop_key")) & docs[id_col].cast("long").eqNullSafe(F.col("__drop_id"))
     return docs.join(doomed, same, "left_anti")
