@@ -1,10 +1,10 @@
 """All registered queries of the library proper, gathered from the operator modules."""
 
-from loomscan.operators import drift, entities, expressions, joins, listing, mapping, merging, names, pages, patterns, ranking, reports, search, selectors, sets
+from loomscan.operators import drift, entities, expressions, joins, listing, mapping, merging, names, pages, patterns, presets, ranking, reports, search, selectors, sets
 from loomscan.sources import tables
 from loomscan.streaming import streams
 
-MODULES = (drift, entities, expressions, joins, listing, mapping, merging, names, pages, patterns, ranking, reports, search, selectors, sets, streams, tables)
+MODULES = (drift, entities, expressions, joins, listing, mapping, merging, names, pages, patterns, presets, ranking, reports, search, selectors, sets, streams, tables)
 
 
 def queries():

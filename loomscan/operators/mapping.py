@@ -95,17 +95,12 @@ QUERIES = {
     "family_rules": lambda s, d: family_rules(url_families(view(s, d, "pages_v"))),
     "mapping_proposals": lambda s, d: proposals(page_clusters(view(s, d, "pages_v")), _blueprints(s)),
     "mapping_preview": lambda s, d: _rowset(s, d).groupBy("record_id").agg(F.count("*").alias("rows"), F.count_if(F.col("confidence") < 0.95).alias("warnings"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("categories")),
-    "runtime_map": lambda s, d: _rowset(s, d).where("confidence >= 0.93").groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "status", F.col("id")))), ";").alias("rules")),
-    "template_validate": lambda s, d: view(s, d, "log_v").select("id", F.get_json_object("context", "$.k").alias("k")).select("id", F.array_join(F.array_compact(F.array(F.when(F.col("k").isNull(), "missing"), F.when(F.col("k").cast("int") > 80, "too_broad"), F.when(F.col("k").cast("int") < 5, "too_narrow"))), ",").alias("errors")).withColumn("usable", F.col("errors") == ""),
     "template_apply": lambda s, d: view(s, d, "sources_v").select("id", F.replace(F.replace(F.lit('{"start":"{url}","host":"{domain}"}'), F.lit("{url}"), F.col("url")), F.lit("{domain}"), U.host(F.col("url"))).alias("config")),
     "version_publish": lambda s, d: publish(_versions(s, d), view(s, d, "edges_v").where("edge_type = 'A'").groupBy(F.col("record_id").alias("version_id")).agg(F.count("*").alias("approved"))),
     "version_rollback": lambda s, d: _versions(s, d).withColumn("n", latest_per(_versions(s, d), ["source_id"], "version_id")).groupBy("source_id").agg(F.coalesce(F.max(F.when(F.col("n") == 2, F.col("version_id"))), F.max("version_id")).alias("active_id")),
-    "version_clone": lambda s, d: _rowset(s, d).where("not is_draft").select("id", F.when(F.col("status") == "N", "draft").otherwise("stale").alias("status"), F.lit("cloned").alias("note")),
     "replace_families": lambda s, d: view(s, d, "pages_v").where("id % 2 = 0").select("source_id", U.path_pattern(F.col("url")).alias("pattern")).distinct().unionByName(view(s, d, "pages_v").select("source_id").subtract(view(s, d, "pages_v").where("id % 2 = 0").select("source_id")).select("source_id", F.lit("/old").alias("pattern"))),
     "refresh_plan": lambda s, d: view(s, d, "frontier_v").where("next_eligible_at is null or next_eligible_at <= timestamp '2024-01-08 02:00:00'").select("id", F.lit("queued").alias("status"), "created_at").orderBy("created_at", "id").limit(500),
     "version_number": lambda s, d: _versions(s, d).groupBy("source_id").agg((F.count("*") + 1).alias("next_version")),
-    "preset_snapshot": lambda s, d: _rowset(s, d).where("status in ('A', 'R')").groupBy("from_id").agg(F.count("*").alias("rows"), F.count_distinct("status").alias("types")),
-    "preset_apply": lambda s, d: view(s, d, "sources_v").select("id").join(_rowset(s, d).where("confidence >= 0.98").groupBy((F.col("from_id") % 200).alias("id")).agg(F.max("id").alias("map_id")), "id", "left").select("id", F.coalesce("map_id", F.lit(0)).alias("map_id")),
     "row_decisions": lambda s, d: decide_rows(_rowset(s, d), view(s, d, "events").select((F.col("event_id") * 10 + 1).alias("row_id"), "ts", "event_id", F.col("event_type").alias("action"))),
     "source_profile": lambda s, d: view(s, d, "pages_v").groupBy("source_id").agg(F.count("*").alias("pages"), F.count_distinct(U.path_pattern(F.col("url"))).alias("families"), F.min(F.split_part("url", F.lit("://"), F.lit(1))).alias("scheme")),
 }
@@ -123,17 +118,12 @@ ORACLE = {k: with_views(v) for k, v in {
     "family_rules": f"with {_FAM}, q as (select *, page_type as k, lower(pattern) as b, lower(pattern) as l from f), r as (select source_id, pattern, size, confidence, case when confidence >= 0.72 then {MAPPED} else {SPOKEN} end as page_type, confidence < 0.72 and {MAPPED} <> {SPOKEN} as conflict from q) select source_id, pattern, page_type, case when {_any('lower(pattern)', (*U.EXCLUDED, *U.UTILITY_FAMILY))} or (confidence < 0.35 and size <= 1) then false when size >= 3 or confidence >= 0.7 then true else page_type in ('listing', 'artist', 'artwork', 'exhibition', 'detail') and confidence >= 0.45 end as include, page_type = 'listing' as follow, case when page_type = 'listing' then 'high' when page_type in ('detail', 'artist', 'artwork', 'exhibition') then 'medium' else 'low' end as priority, case when page_type = 'listing' then 'daily' when regexp_matches(lower(pattern), 'archive|year|past') then 'monthly' else 'weekly' end as freshness, conflict, conflict and confidence < 0.55 as escalate from r",
     "mapping_proposals": f"with {_CLU}, b(role, field, rank) as (values {', '.join(map(str, BLUEPRINTS))}) select source_id, c.role, field, round(greatest(0.45, confidence - 0.05 * rank), 4)::double as confidence from c join b on b.role = c.role",
     "mapping_preview": f"with {_ROWS} select record_id, count(*) as rows, count_if(confidence < 0.95) as warnings, string_agg(distinct status, ',' order by status) as categories from w group by 1",
-    "runtime_map": f"with {_ROWS} select record_id, string_agg(status || ':' || id, ';' order by status || ':' || id) as rules from w where confidence >= 0.93 group by 1",
-    "template_validate": "with k as (select id, context->>'$.k' as k from log_v), e as (select id, array_to_string(list_filter([case when k is null then 'missing' end, case when k::int > 80 then 'too_broad' end, case when k::int < 5 then 'too_narrow' end], lambda x: x is not null), ',') as errors from k) select *, errors = '' as usable from e",
     "template_apply": "select id, '{\"start\":\"' || url || '\",\"host\":\"' || regexp_extract(url, '://([^/]+)', 1) || '\"}' as config from sources_v",
     "version_publish": "with a as (select record_id, count(*) as n from edges_v where edge_type = 'A' group by 1), v as (select source_id, id as version_id, coalesce(n, 0) > 0 as ok from jobs_v left join a on record_id = id), m as (select source_id, max(version_id) as active_id from v where ok group by 1) select v.source_id, version_id, case when version_id = active_id then 'active' when ok then 'superseded' else 'draft' end as state from v left join m on m.source_id = v.source_id",
     "version_rollback": "with r as (select source_id, id, row_number() over (partition by source_id order by id desc) as n from jobs_v) select source_id, coalesce(max(case when n = 2 then id end), max(id)) as active_id from r group by 1",
-    "version_clone": f"with {_ROWS} select id, case when status = 'N' then 'draft' else 'stale' end as status, 'cloned' as note from w where not is_draft",
     "replace_families": f"with p as (select id, source_id, {_PATTERN} as pattern from pages_v) select distinct source_id, pattern from p where id % 2 = 0 union all select distinct source_id, '/old' from p where source_id not in (select source_id from p where id % 2 = 0)",
     "refresh_plan": "select id, 'queued' as status, created_at from frontier_v where next_eligible_at is null or next_eligible_at <= timestamp '2024-01-08 02:00:00' order by created_at, id limit 500",
     "version_number": "select source_id, count(*) + 1 as next_version from jobs_v group by 1",
-    "preset_snapshot": f"with {_ROWS} select from_id, count(*) as rows, count(distinct status) as types from w where status in ('A', 'R') group by 1",
-    "preset_apply": f"with {_ROWS}, m as (select from_id % 200 as id, max(id) as map_id from w where confidence >= 0.98 group by 1) select s.id, coalesce(map_id, 0) as map_id from sources_v s left join m on m.id = s.id",
     "row_decisions": f"with {_ROWS}, e as (select event_id * 10 + 1 as row_id, arg_max(event_type, (ts, event_id)) as action from events group by 1) select id, case when is_draft then coalesce(action, status) else status end as status from w left join e on row_id = id",
     "source_profile": f"select source_id, count(*) as pages, count(distinct {_PATTERN}) as families, min(split_part(url, '://', 1)) as scheme from pages_v group by 1",
 }.items()}

@@ -54,6 +54,32 @@ VIEWS = {
         from events""",
     "edges_v": """
         select l_partkey as from_id, l_suppkey as to_id, l_returnflag as edge_type, 1 - l_discount as confidence, l_orderkey as record_id, l_linenumber as line from lineitem""",
+    "mapping_rows_v": """
+        select l_orderkey as preset_id, l_linenumber * 1000000000000 + l_partkey * 1000 + l_suppkey % 1000 as sort_order,
+               case l_partkey % 8 when 0 then 'artist_detail' when 1 then 'event_detail' when 2 then 'listing' when 3 then 'root_page' when 4 then 'Venue Page' when 5 then 'artwork_detail' when 6 then 'exhibition' end as page_type_key,
+               case l_partkey % 3 when 0 then concat('Type ', cast(l_linenumber as varchar(20))) when 1 then '' end as page_type_label,
+               case l_suppkey % 6 when 0 then 'h1.title' when 1 then 'a[HREF]' when 2 then 'img.hero' when 4 then 'a.next' when 5 then '.body p' end as selector,
+               case l_partkey % 11 when 0 then 'title' when 1 then 'source_url' when 2 then 'hero_image' when 4 then 'next_page' when 5 then 'bio' when 6 then 'avatar' when 7 then 'document' when 8 then 'thumbnail' when 9 then 'ticket_link' when 10 then '' end as destination_field,
+               case when l_suppkey % 5 = 1 then 'HREF' end as attribute_name, case when l_suppkey % 7 = 2 then 'image' else 'text' end as extraction_mode,
+               case when l_linenumber = 5 then 'Pagination' end as category_target,
+               case l_partkey % 4 when 0 then 'artist' when 1 then 'event' when 3 then 'artwork' end as destination_entity,
+               l_linenumber % 3 = 0 as is_required, l_suppkey % 9 <> 0 as is_enabled, case l_returnflag when 'A' then 'approved' when 'R' then 'rejected' else 'draft' end as status
+        from lineitem""",
+    "templates_v": """
+        select o_orderkey as id,
+               case o_orderkey % 11
+                   when 0 then concat('{"crawl_plan": {"phases": [{"phase_name": "root"}]}, "extraction_rules": {"artist": {"css_selectors": {"title": "h1", "n": "p"}, "identifiers": ["/artists/", "/x/', cast(o_orderkey as varchar(20)), '"]}}}')
+                   when 1 then concat('{"crawl_plan": ', cast(o_orderkey as varchar(20)), ', "extraction_rules": ')
+                   when 2 then concat('[', cast(o_orderkey as varchar(20)), ']')
+                   when 3 then concat('{"mining_map": {"k": ', cast(o_orderkey as varchar(20)), '}}')
+                   when 4 then '{"crawl_plan": {"phases": []}, "page_type_rules": {"a": {}}, "extraction_rules": {}}'
+                   when 5 then '{"crawl_plan": {"phases": [1]}, "extraction_rules": []}'
+                   when 6 then '{"crawl_plan": [], "extraction_rules": {"b": "x", "a": {"css_selectors": ["h1"], "identifiers": ["/"]}}}'
+                   when 7 then '{"crawl_plan": {"phases": {"a": 1}}, "extraction_rules": {"z": {"css_selectors": {"t": " ", "b": 7, "c": null, "d": "DIV"}, "identifiers": ["ab", "/abc"]}}}'
+                   when 8 then '{"crawl_plan": {}, "extraction_rules": {"z": {"css_selectors": null, "identifiers": []}, "y": {}}}'
+                   when 9 then concat('{"extraction_rules": {"e', cast(o_orderkey as varchar(20)), '": {"css_selectors": {"t": "h1"}, "identifiers": "/events/"}}, "crawl_plan": null}')
+               end as template
+        from orders""",
     "links_v": """
         select l_partkey as entity_id, l_orderkey * 10 + l_linenumber as record_id, l_suppkey as source_id, l_quantity / 50 as confidence from lineitem""",
     "entities_v": """
