@@ -38,6 +38,7 @@ ASSET_MODES = ("image", "asset")
 BROAD_IDENTIFIERS, LEAST_IDENTIFIER = ("/", ".", "/."), 3
 BROAD_SELECTORS = ("p", "div", "a")
 
+FIRST_ROW = -(1 << 61)
 ENTRY = "struct<part:string,name:string,value:string,k:int>"
 _LISTS = "array<string>"
 TEMPLATE = (
@@ -85,7 +86,7 @@ def row_entries(rows: DataFrame) -> DataFrame:
 
     rows: preset_id, sort_order (long), page_type_key, page_type_label, selector, attribute_name, extraction_mode,
     destination_entity, destination_field, category_target, is_required, is_enabled. Null or empty: a page type is unknown, a field
-    raw_value, a label the page type; a row without a selector adds to no list of selectors. Other columns are ignored.
+    raw_value, a label the page type; a row without a selector adds to no list of selectors. Orders are above those of templates, which start at -2^62. Other columns are ignored.
     """
     r = rows.where("is_enabled").select(
         "preset_id", F.col("sort_order").cast("long").alias("sort_order"), _filled("page_type_key", "unknown").alias("page_type"), F.nullif("page_type_label", F.lit("")).alias("label"), F.nullif("selector", F.lit("")).alias("sel"),
@@ -101,11 +102,11 @@ def row_entries(rows: DataFrame) -> DataFrame:
     has, entity = F.col("sel").isNotNull(), F.col("entity").isNotNull()
     made = F.array(
         _entry("label", F.lit(""), F.coalesce("label", "page_type")), F.when(has, _entry("selector", F.col("field"), F.col("sel"))),
-        F.when(entity, _entry("entity", F.col("entity"))), F.when(entity, _entry("record_type", F.col("entity"))), F.when(F.col("need"), _entry("required", F.col("field"))),
+        F.when(entity, _entry("both", F.col("entity"))), F.when(F.col("need"), _entry("required", F.col("field"))),
         F.when(has & follow, _entry("follow", F.col("sel"))), F.when(has & (F.col("c").contains("pagination") | _holds(low, PAGED)), _entry("pagination", F.col("sel"))),
         F.when(has & asset, _entry("asset", F.col("sel"), role)),
     )
-    every = F.array_compact(F.concat(made.cast(f"array<{ENTRY}>"), _listed("identifier", identifiers(F.col("page_type"))).cast(f"array<{ENTRY}>")))
+    every = F.array_compact(made.cast(f"array<{ENTRY}>"))
     return r.select("preset_id", "page_type", F.col("sort_order").alias("at"), F.explode(every).alias("e")).select("preset_id", "page_type", "e.part", "e.name", "e.value", F.struct("at", "e.k").alias("at"))
 
 
@@ -134,14 +135,17 @@ def page_rules(entries: DataFrame) -> DataFrame:
     Columns: preset_id, page_type, at, label (null without one), depth, selectors (field, selector), identifiers, entities, record_types, required, follow, pagination, assets (selector, role).
     """
     one = entries.groupBy("preset_id", "page_type", "part", "name").agg(F.min(F.struct("at", "value")).alias("first"), F.max(F.struct("at", "value"))["value"].alias("last"))
-    of = lambda part: F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("first.at", "name", "first.value", "last"))))
-    names = lambda part: F.transform(of(part), lambda e: e["name"])
-    only = lambda part: F.max(F.when(F.col("part") == part, F.col("first.value")))
-    return one.groupBy("preset_id", "page_type").agg(
-        F.min("first.at").alias("at"), only("label").alias("label"), F.coalesce(only("depth").cast("int"), F.lit(1)).alias("depth"),
+    every = F.array_sort(F.collect_list(F.struct("first.at", "part", "name", "first.value", "last"))).alias("e")
+    g = one.groupBy("preset_id", "page_type").agg(F.min("first.at").alias("at"), (F.max("first.at")["at"] > FIRST_ROW).alias("has_rows"), every)
+    of = lambda *parts: F.filter("e", lambda e: e["part"].isin(*parts))
+    names = lambda *parts: F.array_distinct(F.transform(of(*parts), lambda e: e["name"]))
+    only = lambda part: F.get(of(part), 0)["value"]
+    by_default = F.when(F.col("has_rows"), identifiers(F.col("page_type"))).otherwise(F.array().cast(_LISTS))
+    return g.select(
+        "preset_id", "page_type", "at", only("label").alias("label"), F.coalesce(only("depth").cast("int"), F.lit(1)).alias("depth"),
         F.transform(of("selector"), lambda e: F.struct(e["name"].alias("field"), e["value"].alias("selector"))).alias("selectors"),
-        *[names(part).alias(c) for part, c in (("identifier", "identifiers"), ("entity", "entities"), ("record_type", "record_types"), ("required", "required"), ("follow", "follow"), ("pagination", "pagination"))],
-        F.transform(of("asset"), lambda e: F.struct(e["name"].alias("selector"), e["last"].alias("role"))).alias("assets"),
+        F.array_distinct(F.concat(names("identifier"), by_default)).alias("identifiers"), names("entity", "both").alias("entities"), names("record_type", "both").alias("record_types"),
+        names("required").alias("required"), names("follow").alias("follow"), names("pagination").alias("pagination"), F.transform(of("asset"), lambda e: F.struct(e["name"].alias("selector"), e["last"].alias("role"))).alias("assets"),
     )
 
 
