@@ -70,11 +70,14 @@ def merge_into_entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (entity_id, field, seq, record_id, value, confidence), records in order of seq: (entity_id, field, value, confidence, entries) and (entity_id, field, record_id, existing_value, incoming_value, resolution).
 
     The first value is taken; a later one replaces what differs from it if its confidence is not under any before it, and is noted as replaced or kept_existing. Null and empty values count for nothing.
+    Rows that repeat seq and record_id come in order of (file, place), if rows have those two; of such rows with equal confidence the first is what later ones meet.
     """
     there = rows.where(F.col("value").isNotNull() & ~F.col("value").isin("", "[]"))
     best = F.struct("confidence", "seq", "record_id", "value")
     fields = there.groupBy("entity_id", "field").agg(F.max(best).alias("b"), F.count("*").alias("entries")).select("entity_id", "field", F.col("b.value").alias("value"), F.col("b.confidence").alias("confidence"), "entries")
-    seen = with_running_max(there, ["entity_id", "field"], ["seq", "record_id"], best, "prior")
+    ties = ["file", "place"] if "place" in rows.columns else []
+    first = F.struct("confidence", "seq", "record_id", (-F.col("place")).alias("early"), "value") if ties else best
+    seen = with_running_max(there, ["entity_id", "field"], ["seq", "record_id", *ties], first, "prior")
     differ = seen.where(F.col("prior").isNotNull() & (F.col("prior.value") != F.col("value")))
     return fields, differ.select("entity_id", "field", "record_id", F.col("prior.value").alias("existing_value"), F.col("value").alias("incoming_value"), F.when(F.col("confidence") >= F.col("prior.confidence"), "replaced").otherwise("kept_existing").alias("resolution"))
 
@@ -183,9 +186,10 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def _entity_rows(s, d):
-    """Lines of orders as records of parts: the supplier and the flag of each."""
-    fields = F.array(F.struct(F.lit("source").alias("field"), F.col("to_id").cast("string").alias("value")), F.struct(F.lit("flag").alias("field"), F.col("edge_type").alias("value")))
-    return view(s, d, "edges_v").select(F.col("from_id").alias("entity_id"), (F.col("record_id") * 10 + F.col("line")).alias("record_id"), F.col("record_id").alias("seq"), F.round("confidence", 2).alias("confidence"), F.explode(fields).alias("x")).select("entity_id", "record_id", "seq", "confidence", "x.field", "x.value")
+    """Lines of orders as records of parts: the supplier and the flag of each. Some lines repeat order and number; they count in the order of the file."""
+    fields = F.array(F.struct(F.lit("source").alias("field"), F.col("l_suppkey").cast("string").alias("value")), F.struct(F.lit("flag").alias("field"), F.col("l_returnflag").alias("value")))
+    lines = view(s, d, "lineitem").select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return lines.select(F.col("l_partkey").alias("entity_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"), F.col("l_orderkey").alias("seq"), F.round(1 - F.col("l_discount"), 2).alias("confidence"), F.explode(fields).alias("x"), "file", "place").select("entity_id", "record_id", "seq", "confidence", "x.field", "x.value", "file", "place")
 
 
 def _graph(s, d):

@@ -48,6 +48,14 @@ def test_records_come_into_an_entity_as_in_a_loop(spark):
     assert sorted(map(tuple, conflicts.collect())) == sorted(noted) and noted
 
 
+def test_rows_of_one_record_come_into_an_entity_by_place(spark):
+    rows = [(1, "a", 1, 11, "x", 0.5, "f", 0), (1, "a", 2, 21, "p", 0.7, "f", 9), (1, "a", 2, 21, "z", 0.7, "f", 3), (1, "a", 2, 21, "y", 0.6, "g", 1), (1, "a", 3, 31, "w", 0.1, "f", 5)]
+    want = [(1, "a", 21, "x", "z", "replaced"), (1, "a", 21, "z", "p", "replaced"), (1, "a", 21, "z", "y", "kept_existing"), (1, "a", 31, "z", "w", "kept_existing")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "entity_id int, field string, seq int, record_id int, value string, confidence double, file string, place long")
+        assert sorted(map(tuple, M.merge_into_entities(df)[1].collect())) == sorted(want)
+
+
 def test_losers_fill_gaps(spark):
     rows = spark.createDataFrame([(1, "a", None, 0.1), (2, "a", "two", 0.2), (3, "a", "three", 0.3), (1, "b", "one", 0.4), (3, "b", "tri", 0.5), (9, "a", "nine", 0.6)], "id long, field string, value string, confidence double")
     got = {(r["id"], r["field"]): (r["value"], r["confidence"], [tuple(p) for p in r["provenance"]], r["merged_ids"]) for r in M.merge_entity_data(rows, spark.createDataFrame([(2, 1), (3, 1)], "id long, winner long")).collect()}
