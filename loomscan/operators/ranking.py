@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.functions import scores as S
+from loomscan.operators.search import BLOCK, Sets, unit_rows
 from loomscan.sources.views import view, with_views
 
+#: More than the width of a score rounded to 5 places, of which equal ones are ranked by id.
+SLACK = 1.2e-5
 NOW = "timestamp '2024-01-01 03:00:00'"
 
 
@@ -95,21 +102,78 @@ def related_overlap(left: str, right: str) -> Column:
     return F.least(sum((one(c) for c in RELATED), F.lit(0.0)) / 3, F.lit(1.0))
 
 
+def place_text(side: str) -> Column:
+    return F.lower(F.concat_ws(" ", *[F.nullif(f"{side}{c}", F.lit("")) for c in ("city", "country", "nationality")]))
+
+
 def location_similarity(left: str, right: str) -> Column:
     """1 for equal places (city, country, nationality as one text), 0.5 for the same country, else 0."""
-    place = lambda x: F.lower(F.concat_ws(" ", *[F.nullif(f"{x}{c}", F.lit("")) for c in ("city", "country", "nationality")]))
-    a, b = place(left), place(right)
+    a, b = place_text(left), place_text(right)
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.col(f"{left}country") == F.col(f"{right}country"), 0.5).otherwise(0.0)
 
 
-def related_artists(artists: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """For each anchor the k others of highest 0.6 cosine + 0.25 related overlap + 0.15 location, above 0."""
-    a = anchors.select(F.col("id").alias("anchor"), *[F.col(c).alias(f"a_{c}") for c in ("embedding", "city", "country", "nationality", *RELATED)])
+def related_artists(artists: DataFrame, anchors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """For each anchor the k others of highest 0.6 cosine + 0.25 related overlap + 0.15 location, above 0; of equal ones those of least id.
+
+    Artists and anchors are dealt to blocks, and each pair of blocks is compared in its own task, which gives the anchors' best by what a
+    product can differ; the exact score of those decides.
+    """
+    names = ["embedding", "city", "country", "nationality", *RELATED]
+    n_artists, n_anchors = (max(1, math.ceil(df.count() / block)) for df in (artists, anchors))
+    deal = lambda df, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    placed = lambda df: df.select("id", "embedding", place_text("").alias("place"), "country", *RELATED)
+    a, q = deal(placed(artists), "ab", n_artists, "qb", n_anchors), deal(placed(anchors), "qb", n_anchors, "ab", n_artists)
+    near = a.groupBy("qb", "ab").cogroup(q.groupBy("qb", "ab")).applyInArrow(_most_related(k), "anchor long, id long")
+    exact = near.join(artists.select("id", *names), "id").join(anchors.select(F.col("id").alias("anchor"), *[F.col(c).alias(f"a_{c}") for c in names]), "anchor")
     score = F.round(0.6 * S.cosine_similarity(F.col("embedding"), F.col("a_embedding")) + 0.25 * related_overlap("", "a_") + 0.15 * location_similarity("", "a_"), 5)
-    scored = artists.crossJoin(a).where("id <> anchor").select("anchor", "id", score.alias("score")).where("score > 0")
+    scored = exact.select("anchor", "id", score.alias("score")).where("score > 0")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k)
 
 
+def _most_related(k: int, tile: int = 256):
+    """(anchor, id) of one pair of blocks: for each anchor whatever may be among its k best, of rows of one value the k of least id."""
+
+    def work(rows: pa.Table, anchors: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        ids, asked = rows["id"].to_numpy(), anchors["id"].to_numpy()
+        sizes = np.array([len(e or ()) for e in anchors["embedding"].to_pylist()], int)
+        lists = {c: (Sets(rows[c]), Sets(anchors[c])) for c in RELATED}
+        (place, a_place), (country, a_country) = (_codes(rows[c], anchors[c]) for c in ("place", "country"))
+        empty = np.array([p == "" for p in rows["place"].to_pylist()], bool)
+        a_empty = np.array([p == "" for p in anchors["place"].to_pylist()], bool)
+        found, of = [], []
+        for dim in np.unique(sizes):
+            own = np.flatnonzero(sizes == dim)
+            unit, q_unit = (unit_rows(t["embedding"], dim) for t in (rows, anchors.take(pa.array(own)))) if dim else (np.zeros((len(ids), 1)), np.zeros((len(own), 1)))
+            for at in range(0, len(own), tile):
+                part = own[at : at + tile]
+                every = np.arange(len(ids))
+                related = np.minimum(sum((y.overlap(part, every, x) for x, y in lists.values()), 0.0) / 3, 1.0)
+                same_country = (a_country[part][:, None] == country[None, :]) & (country >= 0)[None, :]
+                located = np.where(a_place[part][:, None] == place[None, :], 1.0, np.where(same_country, 0.5, 0.0)) * ~(a_empty[part][:, None] | empty[None, :])
+                values = 0.6 * (q_unit[at : at + tile] @ unit.T) + 0.25 * related + 0.15 * located
+                values[asked[part][:, None] == ids[None, :]] = -1
+                for q, value in zip(asked[part].tolist(), values, strict=True):
+                    keep = np.flatnonzero(value > -SLACK)
+                    if len(keep) > k:
+                        keep = keep[value[keep] >= np.partition(value[keep], -k)[-k] - SLACK]
+                        keep = keep[np.argsort(-value[keep], kind="stable")]
+                        run = np.flatnonzero(np.diff(value[keep], prepend=np.inf))
+                        keep = keep[np.arange(len(keep)) - np.repeat(run, np.diff(np.r_[run, len(keep)])) < k]
+                    found.append(ids[keep])
+                    of.append(np.full(len(keep), q, np.int64))
+        none = np.zeros(0, np.int64)
+        return pa.table({"anchor": np.concatenate([none, *of]), "id": np.concatenate([none, *found])})
+
+    return work
+
+
+def _codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Texts of several columns as numbers, equal for equal texts; null is -1."""
+    known: dict[str, int] = {}
+    return [np.array([-1 if x is None else known.setdefault(x, len(known)) for x in c.to_pylist()], int) for c in columns]
+
+
 def _artists(s, d):
     """Vectors with the places and lists of the record of the same id."""
     r = view(s, d, "records_v").select("id", "city", F.col("source_id").alias("country"), "nationality", F.array("record_type").alias("exhibitions"), F.array("nationality", "record_type").alias("articles"), F.array().cast("array<string>").alias("press"))

@@ -22,7 +22,7 @@ BLOCK = 4096
 SLACK = 3e-6
 
 
-def _unit(column, dim: int) -> np.ndarray:
+def unit_rows(column, dim: int) -> np.ndarray:
     """Vectors of this length as rows of length one; zeros for all others."""
     out = np.zeros((len(column), dim))
     for i, e in enumerate(column.to_pylist()):
@@ -34,6 +34,28 @@ def _unit(column, dim: int) -> np.ndarray:
     return out
 
 
+class Sets:
+    """A column of lists as numbered sets; rows with equal sets share a number."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        known: dict[frozenset, int] = {}
+        self.of = np.array([known.setdefault(frozenset(x or ()), len(known)) for x in column.to_pylist()], int)
+        self.sets = list(known)
+
+    def overlap(self, i: np.ndarray, j: np.ndarray, other: Sets | None = None) -> np.ndarray:
+        """Jaccard similarity of rows i and of rows j, of the other column if it is given; 0 if both are empty."""
+        sides = [(s.sets, *np.unique(s.of[x], return_inverse=True)) for s, x in ((self, i), (other or self, j))]
+        (a, at_a), (b, at_b) = (([sets[k] for k in found], at) for sets, found, at in sides)
+        place = {w: n for n, w in enumerate(set().union(*a) & set().union(*b))}
+        has = [np.zeros((len(x), len(place))) for x in (a, b)]
+        for x, m in zip((a, b), has, strict=True):
+            for k, s in enumerate(x):
+                m[k, [place[w] for w in s if w in place]] = 1
+        both = has[0] @ has[1].T
+        size = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - both
+        return (both / np.maximum(size, 1))[at_a][:, at_b]
+
+
 def _place_test(location: str):
     """Whether a text holds the location, case aside, with % and _ as wildcards."""
     low = location.lower()
@@ -53,8 +75,8 @@ def _best_of_block(k: int):
         by_id = np.argsort(ids, kind="stable")
         for dim in np.unique(sizes) if rows.num_rows else ():
             own = np.flatnonzero(sizes == dim)
-            unit = _unit(rows["embedding"], dim) if dim else None
-            asked = _unit(queries["embedding"].take(pa.array(own)), dim) if dim else None
+            unit = unit_rows(rows["embedding"], dim) if dim else None
+            asked = unit_rows(queries["embedding"].take(pa.array(own)), dim) if dim else None
             for at in range(0, len(own), 256):
                 part = own[at : at + 256]
                 values = (asked[at : at + 256] @ unit.T if dim else np.zeros((len(part), len(ids)))) + bonus

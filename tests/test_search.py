@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomscan.functions import scores as S
 from loomscan.functions import urls as U
 from loomscan.operators import joins, mapping, ranking, search
 
@@ -47,6 +48,31 @@ def test_questions(spark):
     assert got == {1: ("artist_similarity", "paris", 1), 2: ("semantic_lookup", "Rome", None), 3: ("semantic_lookup", None, 1)}
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_related_artists_are_those_of_all_pairs(spark, block):
+    rng, rnd = np.random.default_rng(5), random.Random(5)
+    pick = lambda *v: rnd.choice(v)
+    vector = lambda: pick(None, [], [0.0] * 3, [1.0, 0.0, 0.0], [1.0, 2.0], rng.normal(size=3).tolist(), rng.normal(size=3).tolist())
+    lists = lambda: [pick(None, [], ["a"], ["a", "b"], ["c", None, "c"]) for _ in range(3)]
+    rows = [(i, vector(), pick("", "Rome", "rome", None), pick("IT", "FR", None), pick("it", None), *lists()) for i in range(150)]
+    names = ["embedding", "city", "country", "nationality", "exhibitions", "articles", "press"]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, city string, country string, nationality string, exhibitions array<string>, articles array<string>, press array<string>")
+    q = df.where("id % 5 = 0").select(F.col("id").alias("anchor"), *[F.col(c).alias(f"a_{c}") for c in names])
+    score = F.round(0.6 * S.cosine_similarity(F.col("embedding"), F.col("a_embedding")) + 0.25 * ranking.related_overlap("", "a_") + 0.15 * ranking.location_similarity("", "a_"), 5)
+    every, want = df.crossJoin(q).where("id <> anchor").select("anchor", "id", score.alias("score")).where("score > 0").collect(), set()
+    for a in range(0, 150, 5):
+        best = sorted((-r["score"], r["id"]) for r in every if r["anchor"] == a)[:7]
+        want |= {(a, i, -s, n) for n, (s, i) in enumerate(best, 1)}
+    got = [tuple(r) for r in ranking.related_artists(df, df.where("id % 5 = 0"), 7, block).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_related_artists_has_no_join_of_all_rows(spark):
+    df = spark.createDataFrame([(1, [1.0], "", "", "", ["a"], ["a"], ["a"])], "id long, embedding array<double>, city string, country string, nationality string, exhibitions array<string>, articles array<string>, press array<string>")
+    plan = ranking.related_artists(df, df, 2)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_related_events_by_title_alone(spark):
     venues = spark.createDataFrame([(1, " Hall "), (2, "hall"), (3, "Dome"), (4, ""), (5, None)], "id long, title string")
     events = spark.createDataFrame([(11, "HALL"), (12, "hall "), (13, "hall"), (14, ""), (15, "Pier")], "id long, venue_name string")
