@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,21 @@ def with_images(records: DataFrame, images: DataFrame) -> DataFrame:
 def member_of(people: DataFrame, lists: DataFrame, name: str, names: Column) -> DataFrame:
     """People whose folded name stands in a row's list."""
     flat = lists.select(F.col("id").alias("list_id"), F.explode(F.array_distinct(F.transform(names, F.lower))).alias("key"))
-    return people.withColumn("key", F.lower(F.trim(name))).join(flat, "key")
+    return spread_join(people.withColumn("key", F.lower(F.trim(name))), "id", flat, "list_id")
+
+
+def spread_join(left: DataFrame, left_id: str, right: DataFrame, right_id: str, pairs: int = 1 << 22) -> DataFrame:
+    """left and right joined on key. A key of more pairs than `pairs` is dealt to a grid by the ids, both sides cut alike, and there are as many tasks as there are so many pairs: a task stays as long as it is."""
+    one, two = (df.where("key is not null").groupBy("key").agg(F.count("*").alias(n)) for df, n in ((left, "lefts"), (right, "rights")))
+    sizes = one.join(two, "key").select("key", (F.col("lefts").cast("double") * F.col("rights")).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    if total <= pairs:
+        return left.join(right, "key")
+    hot = sizes.where(F.col("n") > pairs).select("key", F.ceil(F.sqrt(F.col("n") / pairs)).cast("int").alias("_cuts"))
+    deal = lambda df, own, mine, other: df.join(hot, "key", "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(1))).withColumn(mine, F.pmod(F.xxhash64(own), F.col("_cuts")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))).drop("_cuts")
+    on = ["key", "_row", "_column"]
+    tasks = min(20_000, max(math.ceil(total / pairs), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return deal(left, left_id, "_row", "_column").repartition(tasks, *on).join(deal(right, right_id, "_column", "_row").repartition(tasks, *on), on).drop("_row", "_column")
 
 
 def related_events(venues: DataFrame, events: DataFrame) -> DataFrame:

@@ -73,6 +73,16 @@ def test_related_artists_has_no_join_of_all_rows(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_spread_join_deals_large_keys_and_loses_no_pair(spark):
+    left = spark.createDataFrame([(i, "a" if i < 80 else None if i == 99 else str(i % 7)) for i in range(100)], "id long, key string")
+    right = spark.createDataFrame([(i, "a" if i < 50 else str(i % 9)) for i in range(70)], "list_id long, key string")
+    want = sorted(map(tuple, left.join(right, "key").select("key", "id", "list_id").collect()))
+    got = joins.spread_join(left, "id", right, "list_id", 100)
+    assert sorted(map(tuple, got.select("key", "id", "list_id").collect())) == want
+    sizes = [n for n, in got.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    assert max(sizes) < 4000 / 4  # one task had all 4,000 pairs of the key before
+
+
 def test_related_events_by_title_alone(spark):
     venues = spark.createDataFrame([(1, " Hall "), (2, "hall"), (3, "Dome"), (4, ""), (5, None)], "id long, title string")
     events = spark.createDataFrame([(11, "HALL"), (12, "hall "), (13, "hall"), (14, ""), (15, "Pier")], "id long, venue_name string")
