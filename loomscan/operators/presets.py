@@ -40,6 +40,8 @@ BROAD_SELECTORS = ("p", "div", "a")
 
 FIRST_ROW = -(1 << 61)
 ENTRY = "struct<part:string,name:string,value:string,k:int>"
+#: What row_entries reads of a row.
+ROW = ("preset_id", "sort_order", "page_type_key", "page_type_label", "selector", "attribute_name", "extraction_mode", "destination_entity", "destination_field", "category_target", "is_required", "is_enabled")
 _LISTS = "array<string>"
 TEMPLATE = (
     f"struct<extraction_rules:map<string,struct<css_selectors:map<string,string>,identifiers:{_LISTS}>>,"
@@ -309,6 +311,11 @@ def _rows(s, d):
     return view(s, d, "mapping_rows_v")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Enabled rows, those of a preset together: for many presets of few rows each, which then meet as rows once and not as entries of every level."""
+    return rows.where("is_enabled").select(*ROW).repartition("preset_id")
+
+
 def _presets(s, d):
     return view(s, d, "jobs_v").select(F.col("id").alias("preset_id"), "source_id", F.concat(F.lit("preset "), F.col("id")).alias("name"))
 
@@ -345,7 +352,7 @@ def _runtime_extract(s, d):
 
 
 QUERIES = {
-    "runtime_map": lambda s, d: _flat(page_rules(row_entries(_rows(s, d)))),
+    "runtime_map": lambda s, d: _flat(page_rules(row_entries(_dealt(_rows(s, d))))),
     "template_export": lambda s, d: runtime_maps(page_rules(row_entries(_rows(s, d))), _presets(s, d).withColumn("url", F.concat(F.lit("https://s"), F.col("source_id"), F.lit(".example.com/")))),
     "template_validate": lambda s, d: template_validate(view(s, d, "templates_v")).select("id", "ok", "usable", *[F.array_join(c, ",").alias(c) for c in ("errors", "refusals")]),
     "preset_apply": lambda s, d: preset_apply(_chosen(s, d), _presets(s, d), _rows(s, d)),

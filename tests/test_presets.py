@@ -201,3 +201,9 @@ def test_empty_tables(spark, sf_dir):
     assert made.count() == 0
     assert P.runtime_maps(made, spark.createDataFrame([], PRESET)).count() == 0
     assert P.template_validate(view(spark, sf_dir, "templates_v").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("name", "most"), [("runtime_map", 1)])
+def test_rows_of_presets_are_dealt_once(spark, sf_dir, name, most):
+    plan = P.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("Exchange hashpartitioning") <= most  # before, two of all entries
