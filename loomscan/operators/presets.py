@@ -353,7 +353,7 @@ def _runtime_extract(s, d):
 
 QUERIES = {
     "runtime_map": lambda s, d: _flat(page_rules(row_entries(_dealt(_rows(s, d))))),
-    "template_export": lambda s, d: runtime_maps(page_rules(row_entries(_rows(s, d))), _presets(s, d).withColumn("url", F.concat(F.lit("https://s"), F.col("source_id"), F.lit(".example.com/")))),
+    "template_export": lambda s, d: runtime_maps(page_rules(row_entries(_dealt(_rows(s, d)))), _presets(s, d).withColumn("url", F.concat(F.lit("https://s"), F.col("source_id"), F.lit(".example.com/")))),
     "template_validate": lambda s, d: template_validate(view(s, d, "templates_v")).select("id", "ok", "usable", *[F.array_join(c, ",").alias(c) for c in ("errors", "refusals")]),
     "preset_apply": lambda s, d: preset_apply(_chosen(s, d), _presets(s, d), _rows(s, d)),
     "preset_snapshot": lambda s, d: preset_snapshot(_owned(s, d), taken=_presets(s, d).where("preset_id % 7 = 0"))[0],
