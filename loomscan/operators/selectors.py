@@ -362,6 +362,11 @@ def _nodes(s, d):
     return page_nodes(view(s, d, "pages"))
 
 
+def _read_often(nodes: DataFrame) -> DataFrame:
+    """nodes, written: a query that reads them for matches and again for texts parses every page once."""
+    return materialize(nodes, "nodes")
+
+
 def _pictured(s, d):
     """The pages with an image in each link of their lists, some of them repeated, small or drawn."""
     image = r'<img class="thumb" alt="$2" src="/img/$1.jpg" width="400" height="300"><img data-src="$1.svg"><img src="/img/$1.jpg"><img src="/px/$1.png" width="1" height="1">$2'
@@ -395,7 +400,7 @@ QUERIES = {
     "backfill_extract": lambda s, d: selector_extract(_typed(s, d), _nodes(s, d).join(_typed(s, d).select("page_id", "page_type"), "page_id"), _by_type(s), on=("page_type",)),
     "follow_links": lambda s, d: follow_links(_typed(s, d), _nodes(s, d), _frame(s, FOLLOW, "page_type string, selector string, max_depth int")),
     "asset_urls": lambda s, d: asset_urls(_pictured(s, d).withColumn("page_type", F.lit("any")), page_nodes(_pictured(s, d)), _frame(s, [("any", "nav a > img:nth-of-type(2n)"), ("any", "img.thumb")], "page_type string, selector string")),
-    "related_items": lambda s, d: related_items(_typed(s, d), _nodes(s, d)),
+    "related_items": lambda s, d: related_items(_typed(s, d), _read_often(_nodes(s, d))),
     "extract_images": lambda s, d: extract_images(_pictured(s, d), page_nodes(_pictured(s, d))),
     "html_preview": lambda s, d: html_preview(_nodes(s, d)),
     "selector_candidates": lambda s, d: selector_candidates(_nodes(s, d), view(s, d, "pages").select("page_id", F.lit("title").alias("field"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("expected")), {"title": "header > h2.title"}),

@@ -137,3 +137,8 @@ def test_preview(spark):
 def test_registered_queries_give_rows(spark):
     for name, query in X.QUERIES.items():
         assert query(spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+def test_related_items_parses_pages_once(spark, sf_dir):
+    plan = X.QUERIES["related_items"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # the written nodes are read; before, each reader parsed all pages
