@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomscan.functions.html import page_nodes
 from loomscan.operators.mapping import publish
 from loomscan.operators.selectors import selector_extract
+from loomscan.plans.shared import materialize
 from loomscan.sources.views import view, with_views
 
 #: Parts of a page type's name and the identifiers of such pages, in the order of trial; those of all others.
@@ -112,6 +113,16 @@ def row_entries(rows: DataFrame) -> DataFrame:
     return r.select("preset_id", "page_type", F.col("sort_order").alias("at"), F.explode(every).alias("e")).select("preset_id", "page_type", "e.part", "e.name", "e.value", F.struct("at", "e.k").alias("at"))
 
 
+def outermost(rows: DataFrame) -> DataFrame:
+    """Of a preset's enabled rows (as row_entries takes them) that are alike but for their order, the first and the last: all that page_rules takes of their entries.
+
+    For maps of many rows: alike rows meet before entries are made, in a partial aggregate on whole numbers that needs no sort.
+    """
+    alike, order = [c for c in ROW if c != "sort_order"], F.col("sort_order").cast("long")
+    ends = rows.where("is_enabled").groupBy(*alike, order.isNull().alias("unplaced")).agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    return ends.select(*alike, F.explode(F.array_distinct(F.array("first", "last"))).alias("sort_order"))
+
+
 def template_entries(templates: DataFrame) -> DataFrame:
     """Entries of templates (preset_id, template: JSON text); they come before those of any row. What is no JSON object, or has no such rules, gives none."""
     t = templates.select("preset_id", F.from_json("template", TEMPLATE).alias("t")).where("t is not null")
@@ -345,10 +356,11 @@ def _flat(rules):
 
 def _runtime_extract(s, d):
     """All pages by the rules of all rows as one map; page types are dealt by id."""
-    rules = page_rules(row_entries(_rows(s, d).withColumn("preset_id", F.lit(0))))
+    rules = page_rules(row_entries(outermost(_rows(s, d).withColumn("preset_id", F.lit(0)))))
+    asked = materialize(extraction_table(rules).drop("preset_id"), "rules")  # read for the steps and for what was asked
     kinds = ("artist_detail", "event_detail", "listing", "root_page", "Venue Page", "artwork_detail", "exhibition", "unknown")
     pages = view(s, d, "pages").withColumn("page_type", F.element_at(_texts(kinds), (F.col("page_id") % 8 + 1).cast("int")))
-    return selector_extract(pages, page_nodes(pages).join(pages.select("page_id", "page_type"), "page_id"), extraction_table(rules).drop("preset_id"), on=("page_type",))
+    return selector_extract(pages, materialize(page_nodes(pages, keep=("page_type",)), "nodes"), asked, on=("page_type",))
 
 
 QUERIES = {

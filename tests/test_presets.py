@@ -207,3 +207,26 @@ def test_empty_tables(spark, sf_dir):
 def test_rows_of_presets_are_dealt_once(spark, sf_dir, name, most):
     plan = P.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert 1 <= plan.count("Exchange hashpartitioning") <= most  # before, two of all entries and, for the export, one more of pages
+
+
+def test_alike_rows_give_their_first_and_last(spark):
+    rnd = random.Random(3)
+    rows = [row(rnd.choice([None, *range(400)]), rnd.choice(["artist", "", None]), rnd.choice(["a", "img[href]", None]), rnd.choice(["title", "hero_image", "avatar", None]), rnd.randrange(2), is_required=rnd.random() < 0.3, is_enabled=rnd.random() < 0.9) for _ in range(1500)]
+    df = spark.createDataFrame(rows, ROW)
+    few = P.outermost(df)
+    alike = {(*r[:1], *r[2:], r[1] is None) for r in rows if r[NAMES.index("is_enabled")]}
+    assert len(alike) <= few.count() <= 2 * len(alike) < len(rows) / 2
+    assert "Sort" not in few._jdf.queryExecution().executedPlan().toString()  # on numbers: no sort of all rows
+    assert sorted(map(str, P.page_rules(P.row_entries(few)).collect())) == sorted(map(str, P.page_rules(P.row_entries(df)).collect()))
+
+
+def test_runtime_extract_parses_pages_once_and_its_rules_once(spark, sf_dir):
+    plan = P.QUERIES["runtime_extract"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "lineitem" not in plan  # before, both were in it twice
+
+
+def test_nodes_keep_texts_of_their_page(spark):
+    pages = spark.createDataFrame([(1, "<p>a<p>b", "x"), (2, "<i>c</i>", None), (3, None, "y")], "page_id long, html string, kind string")
+    got = page_nodes(pages, keep=("kind",))
+    want = page_nodes(pages).join(pages.select("page_id", "kind"), "page_id")
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() > 4
