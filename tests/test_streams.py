@@ -82,6 +82,18 @@ def test_maps_compose_to_the_sequential_fold(spark, chunk, fan_in):
     assert sorted(map(str, ((r["key"], r["event_id"], r["before"], r["event"], r["after"], r["valid"]) for r in judged.collect()))) == sorted(map(str, want))
 
 
+def test_short_keys_share_a_call_and_events_without_a_key_count(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, *range(200)]) if i % 2 else None, T + dt.timedelta(seconds=rnd.randrange(300)), i, rnd.choice([*moves.MOVES, "odd", None])) for i in range(900)]
+    ends, judged = moves.fold(spark.createDataFrame(rows, "key long, ts timestamp, event_id long, state string"), chunk=50, fan_in=3)
+    want_ends, want = sequential([(-1 if r[0] is None else r[0], *r[1:]) for r in rows])
+    assert {-1 if r["key"] is None else r["key"]: (r["state"], r["invalid"]) for r in ends.collect()} == want_ends
+    got = judged.collect()  # before, those without a key were left out
+    assert sorted(map(str, ((-1 if r["key"] is None else r["key"], r["event_id"], r["before"], r["event"], r["after"], r["valid"]) for r in got))) == sorted(map(str, want))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and "hashpartitioning(key" not in plan.split("FlatMapCoGroupsInArrow")[1].split("Exchange")[1]  # before, a call for each key
+
+
 def test_no_events(spark):
     ends, judged = moves.fold(spark.createDataFrame([], "key long, ts timestamp, event_id long, state string"))
     assert ends.count() == judged.count() == 0
