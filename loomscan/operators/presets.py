@@ -12,7 +12,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomscan.functions.html import page_nodes
+from loomscan.functions.html import written_nodes
 from loomscan.operators.mapping import publish
 from loomscan.operators.selectors import selector_extract
 from loomscan.plans.shared import materialize
@@ -360,7 +360,7 @@ def _runtime_extract(s, d):
     asked = materialize(extraction_table(rules).drop("preset_id"), "rules")  # read for the steps and for what was asked
     kinds = ("artist_detail", "event_detail", "listing", "root_page", "Venue Page", "artwork_detail", "exhibition", "unknown")
     pages = view(s, d, "pages").withColumn("page_type", F.element_at(_texts(kinds), (F.col("page_id") % 8 + 1).cast("int")))
-    return selector_extract(pages, materialize(page_nodes(pages, keep=("page_type",)), "nodes"), asked, on=("page_type",))
+    return selector_extract(pages, written_nodes(pages, keep=("page_type",)), asked, on=("page_type",))
 
 
 QUERIES = {

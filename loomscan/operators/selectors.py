@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomscan.functions import scores as S
 from loomscan.functions import urls as U
 from loomscan.functions.gestalt import reaches, sequence_ratio
-from loomscan.functions.html import TEXT, page_nodes
+from loomscan.functions.html import TEXT, page_nodes, written_nodes
 from loomscan.plans.shared import materialize
 from loomscan.sources.views import view
 
@@ -359,12 +359,7 @@ def html_preview(nodes: DataFrame, most: int = 1000, head: int = 700, tail: int
 
 
 def _nodes(s, d):
-    return page_nodes(view(s, d, "pages"))
-
-
-def _read_often(nodes: DataFrame) -> DataFrame:
-    """nodes, written: a query that reads them for matches and again for texts parses every page once."""
-    return materialize(nodes, "nodes")
+    return written_nodes(view(s, d, "pages"))
 
 
 def _pictured(s, d):
@@ -397,10 +392,10 @@ def _by_type(s):
 QUERIES = {
     "page_nodes": _nodes,
     "selector_extract": lambda s, d: selector_extract(view(s, d, "pages"), _nodes(s, d), _field_rules(s), (("heading", r"\b(\d{4})\b"),)),
-    "backfill_extract": lambda s, d: selector_extract(_typed(s, d), _nodes(s, d).join(_typed(s, d).select("page_id", "page_type"), "page_id"), _by_type(s), on=("page_type",)),
+    "backfill_extract": lambda s, d: selector_extract(_typed(s, d), written_nodes(_typed(s, d), keep=("page_type",)), _by_type(s), on=("page_type",)),
     "follow_links": lambda s, d: follow_links(_typed(s, d), _nodes(s, d), _frame(s, FOLLOW, "page_type string, selector string, max_depth int")),
     "asset_urls": lambda s, d: asset_urls(_pictured(s, d).withColumn("page_type", F.lit("any")), page_nodes(_pictured(s, d)), _frame(s, [("any", "nav a > img:nth-of-type(2n)"), ("any", "img.thumb")], "page_type string, selector string")),
-    "related_items": lambda s, d: related_items(_typed(s, d), _read_often(_nodes(s, d))),
+    "related_items": lambda s, d: related_items(_typed(s, d), _nodes(s, d)),
     "extract_images": lambda s, d: extract_images(_pictured(s, d), page_nodes(_pictured(s, d))),
     "html_preview": lambda s, d: html_preview(_nodes(s, d)),
     "selector_candidates": lambda s, d: selector_candidates(_nodes(s, d), view(s, d, "pages").select("page_id", F.lit("title").alias("field"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("expected")), {"title": "header > h2.title"}),

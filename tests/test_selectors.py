@@ -3,9 +3,11 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomscan.functions import html as H
 from loomscan.functions.html import Nodes, page_nodes
 from loomscan.operators import selectors as X
 
@@ -142,3 +144,22 @@ def test_registered_queries_give_rows(spark):
 def test_related_items_parses_pages_once(spark, sf_dir):
     plan = X.QUERIES["related_items"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan  # the written nodes are read; before, each reader parsed all pages
+
+
+def test_a_parser_gets_few_pages_at_a_time(spark, monkeypatch):
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32())], names=["n"])
+
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    pages = spark.range(0, 3 * H.BATCH_PAGES, 1, 1).selectExpr("id as page_id", "concat('<p>', id) as html")
+    old = spark.conf.get(limit)
+    assert pages.join(H.written_nodes(pages).where("tag = 'p'"), "page_id").count() == 3 * H.BATCH_PAGES
+    monkeypatch.setattr(H, "page_nodes", lambda pages, keep=(): pages.mapInArrow(sizes, "n int"))
+    assert [r["n"] for r in H.written_nodes(pages).collect()] == [H.BATCH_PAGES] * 3
+    assert spark.conf.get(limit) == old
+
+
+@pytest.mark.parametrize("name", ["selector_extract", "backfill_extract", "html_preview", "selector_candidates", "follow_links"])
+def test_pages_are_parsed_once(spark, sf_dir, name):
+    assert "MapInArrow" not in X.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()  # before, once a reader and from batches of 10,000 pages
