@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomscan.functions import scores as S
 from loomscan.functions import urls as U
 from loomscan.functions.gestalt import reaches, sequence_ratio
-from loomscan.functions.html import TEXT, page_nodes, written_nodes
+from loomscan.functions.html import TEXT, written_nodes
 from loomscan.plans.shared import materialize
 from loomscan.sources.views import view
 
@@ -302,8 +302,9 @@ def extract_images(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = rows.where("p.raw <> '' and not startswith(p.raw, 'data:')").withColumn("src", F.when(F.col("p.raw").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("p.raw")).otherwise(U.resolve(F.col("url"), F.col("p.raw"))))
     small = F.coalesce((F.col("width") < LEAST_SIDE) | (F.col("height") < LEAST_SIDE), F.lit(False)) & F.col("width").isNotNull() & F.col("height").isNotNull()
     ending = F.lower(F.regexp_extract("src", r"\.([^.]*)$", 1))
-    kept = rows.where(F.col("src").isNotNull() & ~U.holds(U.host(F.col("src")), TRACKERS) & ~ending.isin(*NO_IMAGES) & ~small)
-    first = kept.groupBy("page_id", "src").agg(F.min(F.struct("node", "p.k", "parent", "alt", "width", "height", "classes")).alias("i"), F.count_distinct("node").cast("int").alias("occurrences"))
+    one = rows.where(~small).groupBy("page_id", "src").agg(F.min(F.struct("node", "p.k", "parent", "alt", "width", "height", "classes")).alias("i"), F.count_distinct("node").cast("int").alias("occurrences"))
+    # written, as it is read twice and as filters on an address, which only then follow, would compute it anew for each
+    first = materialize(one, "images").where(F.col("src").isNotNull() & ~U.holds(U.host(F.col("src")), TRACKERS) & ~ending.isin(*NO_IMAGES))
     around = nodes.select("page_id", F.col("node").alias("parent"), "last")
     flat = first.select("page_id", "src", "occurrences", "i.*")
     context = with_text(flat.select("page_id", "parent").distinct().join(around, ["page_id", "parent"]).select("page_id", F.col("parent").alias("node"), "last"), nodes, "").select("page_id", F.col("node").alias("parent"), F.col("text").alias("context"))
@@ -394,9 +395,9 @@ QUERIES = {
     "selector_extract": lambda s, d: selector_extract(view(s, d, "pages"), _nodes(s, d), _field_rules(s), (("heading", r"\b(\d{4})\b"),)),
     "backfill_extract": lambda s, d: selector_extract(_typed(s, d), written_nodes(_typed(s, d), keep=("page_type",)), _by_type(s), on=("page_type",)),
     "follow_links": lambda s, d: follow_links(_typed(s, d), _nodes(s, d), _frame(s, FOLLOW, "page_type string, selector string, max_depth int")),
-    "asset_urls": lambda s, d: asset_urls(_pictured(s, d).withColumn("page_type", F.lit("any")), page_nodes(_pictured(s, d)), _frame(s, [("any", "nav a > img:nth-of-type(2n)"), ("any", "img.thumb")], "page_type string, selector string")),
+    "asset_urls": lambda s, d: asset_urls(_pictured(s, d).withColumn("page_type", F.lit("any")), written_nodes(_pictured(s, d)), _frame(s, [("any", "nav a > img:nth-of-type(2n)"), ("any", "img.thumb")], "page_type string, selector string")),
     "related_items": lambda s, d: related_items(_typed(s, d), _nodes(s, d)),
-    "extract_images": lambda s, d: extract_images(_pictured(s, d), page_nodes(_pictured(s, d))),
+    "extract_images": lambda s, d: extract_images(_pictured(s, d), written_nodes(_pictured(s, d))),
     "html_preview": lambda s, d: html_preview(_nodes(s, d)),
     "selector_candidates": lambda s, d: selector_candidates(_nodes(s, d), view(s, d, "pages").select("page_id", F.lit("title").alias("field"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("expected")), {"title": "header > h2.title"}),
 }

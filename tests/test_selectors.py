@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -160,6 +161,13 @@ def test_a_parser_gets_few_pages_at_a_time(spark, monkeypatch):
     assert spark.conf.get(limit) == old
 
 
-@pytest.mark.parametrize("name", ["selector_extract", "backfill_extract", "html_preview", "selector_candidates", "follow_links"])
+@pytest.mark.parametrize("name", ["selector_extract", "backfill_extract", "html_preview", "selector_candidates", "follow_links", "extract_images", "asset_urls"])
 def test_pages_are_parsed_once(spark, sf_dir, name):
     assert "MapInArrow" not in X.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()  # before, once a reader and from batches of 10,000 pages
+
+
+def test_image_addresses_are_resolved_once(spark, sf_dir):
+    df = X.QUERIES["extract_images"](spark, sf_dir)
+    scans = set(re.findall(r"images-[0-9a-f]{32}", "".join(df.inputFiles())))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(scans) == 1 and "Generate explode" not in plan  # before, both readers of the images unfolded and resolved them
