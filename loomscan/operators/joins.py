@@ -55,10 +55,11 @@ def spread_join(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
 def related_events(venues: DataFrame, events: DataFrame) -> DataFrame:
     """(side, id, venue, event, matches): venues (id, title) and events (id, venue_name) of equal folded title, a row each.
 
-    A title is one class: venue and event are its least ids, and stand for all of its pairs; matches is how many of the other side a row is related to. Empty titles are related to none.
+    A title is one class: venue and event are its least ids, and stand for all of its pairs; matches is how many of the other side a row is related to. Empty titles are related to none,
+    titles of blanks to the events whose venue name is missing, empty or blank.
     """
     fold = lambda c: F.lower(F.trim(c))
-    v, e = venues.select("id", fold("title").alias("key")).where("key <> ''"), events.select("id", fold("venue_name").alias("key")).where("key <> ''")
+    v, e = venues.where("title <> ''").select("id", fold("title").alias("key")), events.select("id", fold(F.coalesce("venue_name", F.lit(""))).alias("key"))
     both = v.groupBy("key").agg(F.min("id").alias("venue"), F.count("*").alias("venues")).join(e.groupBy("key").agg(F.min("id").alias("event"), F.count("*").alias("events")), "key")
     side = lambda df, name, n: df.join(both, "key").select(F.lit(name).alias("side"), "id", "venue", "event", F.col(n).alias("matches"))
     return side(v, "venue", "events").unionByName(side(e, "event", "venues"))
@@ -122,7 +123,7 @@ ORACLE = {k: with_views(v) for k, v in {
     "duplicate_reviews_named": "select v.id, a.title as left_title, b.title as right_title, score / 100 as score from reviews_v v left join records_v a on a.id = left_id left join records_v b on b.id = right_id",
     "records_with_images": "with i as (select id % 40 as record_id, count(*) as n, min_by(url, id) as u from pages_v group by 1) select r.id, coalesce(n, 0) as image_count, u as primary_url from records_v r left join i on i.record_id = r.id",
     "related_exhibitions": "select a.id, b.id as list_id from entities_v a join entities_v b on lower(trim(a.name)) in (lower(b.name), lower(b.city)) where a.entity_type = 'PROMO' and b.entity_type = 'STANDARD'",
-    "related_events": "with c as (select id, min(id) over w as first, count(*) over w as n from entities_v where trim(name) <> '' window w as (partition by lower(trim(name)))) select unnest(['venue', 'event']) as side, id, first as venue, first as event, n as matches from c",
+    "related_events": "with v as (select id, lower(trim(name)) as k from entities_v where name <> ''), e as (select id, lower(trim(coalesce(name, ''))) as k from entities_v), b as (select k, venue, venues, event, events from (select k, min(id) as venue, count(*) as venues from v group by 1) join (select k, min(id) as event, count(*) as events from e group by 1) using (k)) select 'venue' as side, id, venue, event, events as matches from v join b using (k) union all select 'event', id, venue, event, venues from e join b using (k)",
     "title_lookup": "with o as (select source_id, lower(trim(title)) as k, id, row_number() over (partition by source_id, lower(trim(title)) order by case record_type when 'exhibition' then 1 when 'artist' then 2 else 3 end, id) as n from records_v where record_type in ('exhibition', 'artist', 'event')) select r.id as wanted, o.id as found from records_v r join o on n = 1 and o.source_id = r.source_id and o.k = lower(trim(r.title))",
     "artist_graph": "select to_id as other, edge_type, 'out' as direction from edges_v where from_id = 5 union select from_id, edge_type, 'in' from edges_v where to_id = 5",
     "family_pages": "select id, slug from pages_v, (values ('en'), ('de')) s(slug) where contains(path || '/', '/' || slug || '/')",

@@ -90,6 +90,23 @@ def test_related_events_by_title_alone(spark):
     assert got == {("venue", 1): (1, 11, 3), ("venue", 2): (1, 11, 3), ("event", 11): (1, 11, 2), ("event", 12): (1, 11, 2), ("event", 13): (1, 11, 2)}
 
 
+def test_related_events_of_blank_titles(spark):
+    venues = spark.createDataFrame([(1, "  "), (2, " "), (3, ""), (4, None), (5, "Pier")], "id long, title string")
+    events = spark.createDataFrame([(11, None), (12, ""), (13, " "), (14, "pier")], "id long, venue_name string")
+    got = {(r["side"], r["id"]): (r["venue"], r["event"], r["matches"]) for r in joins.related_events(venues, events).collect()}
+    blank = {("venue", i): (1, 11, 3) for i in (1, 2)} | {("event", i): (1, 11, 2) for i in (11, 12, 13)}  # none before
+    assert got == blank | {("venue", 5): (5, 14, 1), ("event", 14): (5, 14, 1)}
+
+
+def test_related_events_give_the_pairs_of_the_former_join(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("city"))
+    rows = joins.related_events(e.select("id", "title"), e.select("id", F.col("title").alias("venue_name")))
+    side = lambda x, c: rows.where(F.col("side") == x).select(F.col("id").alias(c), "venue", "event")
+    pairs = side("venue", "a").join(side("event", "b"), ["venue", "event"]).select("a", "b")
+    k = e.select(F.col("id").alias("a"), F.lower(F.trim("title")).alias("k"), "city")
+    assert k.join(k.withColumnRenamed("a", "b"), ["k", "city"]).select("a", "b").exceptAll(pairs).isEmpty()
+
+
 def test_related_events_lose_no_match(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
     got = joins.related_events(e, e.withColumnRenamed("title", "venue_name")).where("side = 'venue'").agg(F.sum("matches")).first()[0]
