@@ -50,6 +50,13 @@ def field_vote(votes: DataFrame, by: list[str]) -> DataFrame:
     return total.groupBy(*by).agg(F.min_by(F.struct("value", "weight"), F.struct(-F.col("weight"), "value")).alias("b")).select(*by, "b.value", "b.weight")
 
 
+def top_failing_fields(signals: DataFrame, k: int = 10) -> DataFrame:
+    """(source_id, place, field, n): the k fields of each source that have the most signals, ties by name. Signals without a field count for none."""
+    counted = signals.where("field <> ''").groupBy("source_id", "field").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("n"), "field"))
+    return counted.withColumn("place", place).where(F.col("place") <= k).select("source_id", "place", "field", "n")
+
+
 def template_match(items: DataFrame, templates: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The best template of each item at or above the threshold, ties to the earlier one.
 
@@ -203,7 +210,7 @@ QUERIES = {
     "related_artists": lambda s, d: related_artists(_artists(s, d), _artists(s, d).where("id % 100 = 0"), 10),
     "field_vote": lambda s, d: field_vote(_votes(view(s, d, "links_v")), ["entity_id", "field"]),
     "template_match": lambda s, d: template_match(_items(view(s, d, "entities_v")), _templates(s)),
-    "top_failing_fields": lambda s, d: view(s, d, "signals_v").groupBy("field").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field").limit(10),
+    "top_failing_fields": lambda s, d: top_failing_fields(view(s, d, "signals_v")),
     "stuck_work": lambda s, d: stuck_work(view(s, d, "jobs_v").withColumn("heartbeat_at", F.expr("heartbeat_at + interval '9000' day")), view(s, d, "frontier_v").withColumn("status", F.when(F.col("status") == "fetched", "fetching").otherwise(F.col("status"))).withColumn("lease_expires_at", F.expr("created_at + interval '5' minute")).withColumn("lease_version", F.col("depth")), view(s, d, "pages_v").withColumn("status", F.when(F.col("status") == "pending", "in_progress").otherwise(F.col("status"))).withColumn("started_at", F.col("fetched_at")), "timestamp '2024-01-01 01:00:00'"),
     "requeue": lambda s, d: requeue(view(s, d, "frontier_v"), NOW, 1),
 }
@@ -217,7 +224,7 @@ ORACLE = {k: with_views(v) for k, v in {
     "related_artists": f"with w as (select v.id, embedding, city, source_id as country, nationality, record_type, lower(concat_ws(' ', nullif(city, ''), source_id, nationality)) as place from vectors_v v join records_v r on r.id = v.id), x as (select q.id as anchor, v.id, round(0.6 * {_COS} + 0.25 * (case when v.record_type = q.record_type then 1 else 0 end + (case when v.nationality = q.nationality then 1 else 0 end + case when v.record_type = q.record_type then 1 else 0 end) / (4 - case when v.nationality = q.nationality then 1 else 0 end - case when v.record_type = q.record_type then 1 else 0 end)) / 3 + 0.15 * case when v.place = q.place then 1 when v.country = q.country then 0.5 else 0 end, 5)::double as score from w v, w q where q.id % 100 = 0 and v.id <> q.id), y as (select *, row_number() over (partition by anchor order by score desc, id) as place from x where score > 0) select anchor, id, score, cast(place as int) as place from y where place <= 10",
     "field_vote": "with t as (select entity_id, source_id as value, round(sum(confidence), 6) as weight from links_v group by 1, 2), r as (select *, row_number() over (partition by entity_id order by weight desc, value) as n from t) select entity_id, 'source' as field, value, weight from r where n = 1",
     "template_match": "with t(template, k, s, w, p) as (values " + ", ".join(f"({n}, '{k}', '{y}', {w}::varchar[], {p}::varchar[])" for n, k, y, w, p in TEMPLATES) + "), x as (select id, template, round(case when entity_type = k then 0.35 else 0 end + case when city = s then 0.25 else 0 end + 0.25 * coalesce(len(list_intersect(regexp_split_to_array(lower(name), '[^a-z0-9]+'), w)) / nullif(len(w), 0), 0) + 0.15 * coalesce(len(list_filter(p, lambda z: contains(lower(name), z))) / nullif(len(p), 0), 0), 4)::double as score from entities_v, t), y as (select *, row_number() over (partition by id order by score desc, template) as n from x where score >= 0.75) select id, template, score from y where n = 1",
-    "top_failing_fields": "select field, count(*) as n from signals_v group by 1 order by 2 desc, 1 limit 10",
+    "top_failing_fields": "with c as (select source_id, field, count(*) as n from signals_v where field <> '' group by 1, 2), p as (select source_id, row_number() over (partition by source_id order by n desc, field)::int as place, field, n from c) select source_id, place, field, n from p where place <= 10",
     "stuck_work": "select 'job' as kind, id, 'pending' as status, attempts + 1 as tries, 'no_heartbeat' as reason from jobs_v where status = 'running' and heartbeat_at + interval '9000' day < timestamp '2024-01-01 00:58:00' union all select 'frontier', id, 'queued', depth + 1, 'lease_expired_reset_to_queue' from frontier_v where status = 'fetched' and created_at < timestamp '2024-01-01 00:55:00' union all select 'page', id, 'pending', null, 'recovered_from_stale_in_progress' from pages_v where status = 'pending' and fetched_at < timestamp '2024-01-01 00:45:00'",
     "requeue": f"with f as (select *, row_number() over (partition by source_id, status order by created_at, id) as n from frontier_v) select id, case when (status = 'discovered' and n <= 1) or status = 'failed_retryable' then 'queued' else status end as status, case when status = 'failed_retryable' then {NOW} else next_retry_at end as next_retry_at from f",
 }.items()}

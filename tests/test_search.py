@@ -135,6 +135,13 @@ def test_family_rules(spark):
     }
 
 
+def test_failing_fields_are_ranked_in_each_source(spark):
+    rows = [("a", f"f{i:02}") for i in range(12) for _ in range(1 + i // 2)] + [("b", "x"), ("b", ""), ("b", None)]
+    got = [tuple(r) for r in ranking.top_failing_fields(spark.createDataFrame(rows, "source_id string, field string")).orderBy("source_id", "place").collect()]
+    best = ["f10", "f11", "f08", "f09", "f06", "f07", "f04", "f05", "f02", "f03"]
+    assert got == [("a", n, f, 1 + int(f[1:]) // 2) for n, f in enumerate(best, 1)] + [("b", 1, "x", 1)]  # b had no row before
+
+
 def test_requeue_ranks_discovered_rows(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(1, "a", "discovered", t, None), (2, "a", "discovered", t - dt.timedelta(1), None), (3, "a", "failed_retryable", t, None), (4, "b", "fetched", t, None), (5, "b", "discovered", t, None)]
